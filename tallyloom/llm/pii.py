@@ -250,6 +250,6 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             done = [(t, {}) if t is None or not SIGN.search(t) else replaced(t, secret_key) for t in pdf["text"]]
-            yield pdf.assign(text=[t for t, _ in done], pii=[list(n.items()) for _, n in done])
+            yield pdf.assign(text=[t for t, _ in done], pii=[n for _, n in done])
 
     return rows.mapInPandas(run, f"{kept}, pii map<string,long>")
