@@ -1,9 +1,9 @@
 """Token counts: each distinct pre-token is tokenised once, and documents sum the counts of theirs.
 
 The pre-tokens of all texts are counted; each distinct one gets its number of tokens. Frequent pre-tokens (at least one
-in HEAD of all occurrences, so HEAD of them at most, of at most HEAD_BYTES bytes each) are broadcast; a document's
-others are first counted for the document, then joined by a shuffle, where no short pre-token can be hot any more.
-No token ids are kept.
+in HEAD of all occurrences, so HEAD of them at most, of at most HEAD_BYTES bytes each) are broadcast; the others
+are joined by a shuffle, where no short pre-token can be hot any more. Both joins' counts are summed for each document
+before they are shuffled. No token ids are kept.
 
 Null and empty texts have no tokens. Special strings in a text are one token each, as the library's default has it.
 Repeated rows are counted once and then repeated. Other columns are not read.
@@ -24,7 +24,7 @@ from .common import lean_session, stored, text_or_empty
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 SPECIAL = "<|endoftext|>"
-HEAD, HEAD_BYTES = 1_000_000, 64
+HEAD, HEAD_BYTES = 2_000_000, 64
 
 
 def pieces_of(text, special: str = SPECIAL):
@@ -53,19 +53,18 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 1024, specia
             yield pdf.assign(n=[len(x) for part in parts for x in part])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    key = [F.col("doc_id"), F.xxhash64("text").alias("text_key")]
+    key = [F.col("doc_id"), F.hash("text").alias("text_key")]
     pieces = base.select(*key, F.explode(pieces_of(F.col("text"), special)).alias("piece"))
     counts = stored(pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("times")).mapInPandas(counted, "piece string, times long, n int"), "pieces")
     total = counts.agg(F.sum("times")).first()[0] or 0
     frequent = (F.col("times") * HEAD >= total) & (F.octet_length("piece") <= HEAD_BYTES)
-    head = counts.where(frequent).select("piece", F.col("n").alias("head_n"))
-    tail = counts.where(~frequent).select(F.col("piece").alias("rare"), F.col("n").alias("rare_n"))
-    # One row for each document's frequent pre-tokens together, under a key that no pre-token has, and one for each rare one.
-    own = F.when(F.col("head_n").isNull(), F.col("piece")).otherwise(F.concat(F.lit("\x00"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    freq = pieces.join(F.broadcast(head), "piece", "left").groupBy("doc_id", "text_key", own.alias("rare")).agg(F.count(F.lit(1)).alias("times"), F.sum("head_n").alias("head_n"))
-    sums = freq.join(tail, "rare", "left").groupBy("doc_id", "text_key").agg(F.sum(F.coalesce(F.col("head_n"), F.lit(0)) + F.col("times") * F.coalesce(F.col("rare_n"), F.lit(0))).alias("n"))
+    head, tail = F.broadcast(counts.where(frequent).select("piece", "n")), counts.where(~frequent).select("piece", "n")
+    by_head = pieces.join(head, "piece").groupBy("doc_id", "text_key").agg(F.sum("n").alias("n"))
+    by_tail = pieces.join(head, "piece", "left_anti").join(tail, "piece").groupBy("doc_id", "text_key").agg(F.sum("n").alias("n"))
     shown = F.size(F.split("text", r"\Q" + special + r"\E", -1)) - 1
-    rows = base.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.max(F.octet_length("text")).cast("long").alias("n_bytes"), F.max(shown).alias("shown"))
-    both = rows.join(sums, rows.doc_id.eqNullSafe(sums.doc_id) & (rows.text_key == sums.text_key), "left").drop(sums.doc_id).drop(sums.text_key)
-    n = (F.coalesce(F.col("n"), F.lit(0)) / F.col("copies")).cast("long") + F.col("shown")
-    return both.select("doc_id", "n_bytes", n.cast("long").alias("n_tokens"), (n > limit).alias("over_limit"), F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
+    rows = base.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.max(F.octet_length("text")).cast("long").alias("n_bytes"), F.max(shown).alias("shown"), F.lit(0).cast("long").alias("n"))
+    none = F.lit(None)
+    parts = rows.unionByName(by_head.union(by_tail).withColumns({"copies": none.cast("long"), "n_bytes": none.cast("long"), "shown": none.cast("int")}))
+    one = parts.groupBy("doc_id", "text_key").agg(F.max("copies").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.max("shown").alias("shown"), F.sum("n").alias("n"))
+    n = (F.col("n") / F.col("copies")).cast("long") + F.col("shown")
+    return one.select("doc_id", "n_bytes", n.cast("long").alias("n_tokens"), (n > limit).alias("over_limit"), F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
