@@ -7,10 +7,10 @@ arrival comes after the last register's. Two documents then agree in a register
 similarity of their weighted shingles. Documents that agree in a band of registers are candidates; a link needs a
 Jaccard similarity of the plain shingle sets of at least SIMILARITY, computed exactly.
 
-Documents with equal sets are one representative. In a band's bucket, members are compared with one pivot. Those
-compared leave the bucket only where the triangle inequality of the Jaccard distance, or a common class, shows that
-no link to another member can add anything; the others are compared with the next pivot, until no bucket is open. So
-a bucket needs few comparisons where its members are alike, and none of its links between classes are lost.
+Documents with equal sets are one representative. In a band's bucket, members are first compared with one pivot. They
+leave the bucket only where the triangle inequality of the Jaccard distance, or a common class, shows that no link to
+another member can add anything; the others are compared with the next pivots, eight times as many in each round, until
+no bucket is open. So a bucket needs few comparisons where its members are alike, and loses no link between classes.
 
 Classes are the connected components of the links, named by their least doc_id. Null, empty or blank texts have no
 shingles and are classes of their own, as are rows without a doc_id (class null). Repeated rows share a class.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -119,11 +119,8 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, similarity) of pairs (a, b) of doc_ids."""
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    sets = stored(shingle_sets(own), "shingles")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, similarity) of pairs (a, b) of ids. sets: (id, shingles)."""
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity"))
@@ -138,26 +135,39 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     reps = stored(owners.select("fp1", "fp2", "n", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")), "representatives")
     entries = reps.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
-    open_, links = stored(entries.join(shared, "bucket").withColumn("grey", F.lit(False)), "members"), None
-    label = None
+    open_, links, label = stored(entries.join(shared, "bucket").withColumn("grey", F.lit(False)), "members"), None, None
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(open_.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    sets = stored(shingle_sets(own.groupBy("id").agg(F.min("text").alias("text"))), "shingles")
+    pivots_each = 1
     while not open_.isEmpty():
-        # The next pivot of a bucket: its least grey member, else its least member.
-        pivots = open_.groupBy("bucket").agg(F.min(F.struct(~F.col("grey"), "rep", "n")).alias("p")).select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"))
-        faced = stored(open_.join(pivots, "bucket").where("rep <> pivot"), "faced")
+        # The next pivots of a bucket: its least grey members, else its least members.
+        if pivots_each == 1:
+            pivots = open_.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("p")).select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"))
+        else:
+            order = Window.partitionBy("bucket").orderBy(F.col("grey").desc(), "rep")
+            pivots = open_.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots_each).select("bucket", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"))
         ratio = F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
-        pairs = stored(faced.where(ratio >= 2 * similarity - 1).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), "pairs")
-        known = stored(verified(pairs, docs), "verified")
+        faced = stored(open_.join(pivots, "bucket").where("rep <> pivot").select("bucket", "rep", "n", "pivot", F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), ratio.alias("ratio")), "faced")
+        known = stored(verified(faced.where(F.col("ratio") >= 2 * similarity - 1).select("a", "b").distinct(), sets), "verified")
         found = known.where(F.col("similarity") >= similarity).select("a", "b")
-        links = stored(found if links is None else links.union(found).distinct(), "links")
-        label = components(links)
-        d = faced.withColumns({"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(known, ["a", "b"], "left").select("bucket", "rep", "n", (1 - F.coalesce("similarity", ratio)).alias("d"))
-        # Within far: linked. Up to twice far: grey, may be linked to a linked member. Beyond: to no linked member.
-        least_grey = F.min(F.when((F.col("d") > far) & (F.col("d") <= 2 * far), F.col("d")))
-        state = d.join(d.groupBy("bucket").agg(least_grey.alias("g")), "bucket")
-        left = state.where((F.col("d") > far) | (F.col("d") >= F.col("g") - far - 1e-9)).withColumn("grey", (F.col("d") > far) & (F.col("d") <= 2 * far))
-        left = stored(left.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n", "grey", F.coalesce("class", "rep").alias("class")), "left")
+        if not found.isEmpty():
+            links = stored(found if links is None else links.union(found), "links")
+            label = components(links)
+        d = faced.join(known, ["a", "b"], "left").select("bucket", "rep", "n", "pivot", (1 - F.coalesce("similarity", "ratio")).alias("d"))
+        # Within far of a pivot: linked. Up to twice far: grey, may be linked to a linked member. Beyond: to none.
+        is_grey = (F.col("d") > far) & (F.col("d") <= 2 * far)
+        nearest = d.groupBy("bucket", "pivot").agg(F.min(F.when(is_grey, F.col("d"))).alias("g"))
+        settled = (F.col("d") <= far) & (F.col("g").isNull() | (F.col("d") < F.col("g") - far - 1e-9))
+        state = d.join(nearest, ["bucket", "pivot"]).groupBy("bucket", "rep", "n").agg(F.bool_or(settled).alias("settled"), F.bool_or(is_grey).alias("grey"))
+        left = state.where(~F.col("settled")).join(pivots.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
+        if label is None:
+            left = left.withColumn("class", F.col("rep"))
+        else:
+            left = left.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+        left = stored(left.select("bucket", "rep", "n", "grey", "class"), "left")
         more = left.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket")
         open_ = stored(left.join(more, "bucket").select("rep", "n", "bucket", "grey"), "members")
+        pivots_each *= 8
     named = reps.select("fp1", "fp2", "n", "rep")
     if label is not None:
         named = named.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("class", "rep").alias("class"))
