@@ -8,9 +8,10 @@ similarity of their weighted shingles. Documents that agree in a band of registe
 Jaccard similarity of the plain shingle sets of at least SIMILARITY, computed exactly.
 
 Documents with equal sets are one representative. In a band's bucket, members are first compared with one pivot. They
-leave the bucket only where the triangle inequality of the Jaccard distance, or a common class, shows that no link to
-another member can add anything; the others are compared with the next pivots, eight times as many in each round, until
-no bucket is open. So a bucket needs few comparisons where its members are alike, and loses no link between classes.
+leave the bucket only where the triangle inequality of the Jaccard distance shows that no link to another class is left;
+the others are compared with the next pivots, members of the bucket's smallest classes and eight times as many in each
+round, until a bucket has one class only. So it needs few comparisons where its members are alike, and loses no link
+between classes.
 
 Classes are the connected components of the links, named by their least doc_id. Null, empty or blank texts have no
 shingles and are classes of their own, as are rows without a doc_id (class null). Repeated rows share a class.
@@ -135,20 +136,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     reps = stored(owners.select("fp1", "fp2", "n", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")), "representatives")
     entries = reps.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
-    open_, links, label = stored(entries.join(shared, "bucket").withColumn("grey", F.lit(False)), "members"), None, None
+    open_, links, label = stored(entries.join(shared, "bucket").withColumn("class", F.col("rep")), "members"), None, None
     own = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(open_.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     sets = stored(shingle_sets(own.groupBy("id").agg(F.min("text").alias("text"))), "shingles")
     pivots_each = 1
     while not open_.isEmpty():
-        # The next pivots of a bucket: its least grey members, else its least members.
+        # The next pivots of a bucket: members of its smallest classes. They are compared with the other classes' members.
         if pivots_each == 1:
-            pivots = open_.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("p")).select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"))
+            pivots = open_.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("p")).select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.rep").alias("pivot_class"))
         else:
-            order = Window.partitionBy("bucket").orderBy(F.col("grey").desc(), "rep")
-            pivots = open_.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots_each).select("bucket", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"))
+            ranked = open_.join(open_.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size")), ["bucket", "class"])
+            order = Window.partitionBy("bucket").orderBy("size", "class", "rep")
+            pivots = ranked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots_each).select("bucket", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("class").alias("pivot_class"))
+        pivots = stored(pivots, "pivots")
         ratio = F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
-        faced = stored(open_.join(pivots, "bucket").where("rep <> pivot").select("bucket", "rep", "n", "pivot", F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), ratio.alias("ratio")), "faced")
-        known = stored(verified(faced.where(F.col("ratio") >= 2 * similarity - 1).select("a", "b").distinct(), sets), "verified")
+        faced = stored(open_.join(pivots, "bucket").where("class <> pivot_class").select("bucket", "rep", "n", "pivot", F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), ratio.alias("ratio")), "faced")
+        known = stored(verified(faced.where(F.col("ratio") >= similarity).select("a", "b").distinct(), sets), "verified")
         found = known.where(F.col("similarity") >= similarity).select("a", "b")
         if not found.isEmpty():
             links = stored(found if links is None else links.union(found), "links")
@@ -158,15 +161,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         is_grey = (F.col("d") > far) & (F.col("d") <= 2 * far)
         nearest = d.groupBy("bucket", "pivot").agg(F.min(F.when(is_grey, F.col("d"))).alias("g"))
         settled = (F.col("d") <= far) & (F.col("g").isNull() | (F.col("d") < F.col("g") - far - 1e-9))
-        state = d.join(nearest, ["bucket", "pivot"]).groupBy("bucket", "rep", "n").agg(F.bool_or(settled).alias("settled"), F.bool_or(is_grey).alias("grey"))
-        left = state.where(~F.col("settled")).join(pivots.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
+        done = d.join(nearest, ["bucket", "pivot"]).where(settled).select("bucket", "rep").union(pivots.select("bucket", "pivot")).distinct()
+        left = open_.drop("class").join(done, ["bucket", "rep"], "left_anti")
         if label is None:
             left = left.withColumn("class", F.col("rep"))
         else:
             left = left.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-        left = stored(left.select("bucket", "rep", "n", "grey", "class"), "left")
+        left = stored(left.select("bucket", "rep", "n", "class"), "left")
         more = left.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket")
-        open_ = stored(left.join(more, "bucket").select("rep", "n", "bucket", "grey"), "members")
+        open_ = stored(left.join(more, "bucket").select("rep", "n", "bucket", "class"), "members")
         pivots_each *= 8
     named = reps.select("fp1", "fp2", "n", "rep")
     if label is not None:
