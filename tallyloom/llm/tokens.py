@@ -52,8 +52,8 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 1024, specia
             parts = [tok.encode_batch_fast(pdf["piece"].iloc[a : a + 2000].tolist(), add_special_tokens=False) for a in range(0, len(pdf), 2000)]
             yield pdf.assign(n=[len(x) for part in parts for x in part])
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    key = [F.col("doc_id"), F.hash("text").alias("text_key")]
+    key = ["doc_id", "text_key"]  # the key is taken before the text is exploded, or it would be hashed for each piece
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_key", F.hash("text"))
     pieces = base.select(*key, F.explode(pieces_of(F.col("text"), special)).alias("piece"))
     counts = stored(pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("times")).mapInPandas(counted, "piece string, times long, n int"), "pieces")
     total = counts.agg(F.sum("times")).first()[0] or 0
