@@ -7,11 +7,15 @@ arrival comes after the last register's. Two documents then agree in a register
 similarity of their weighted shingles. Documents that agree in a band of registers are candidates; a link needs a
 Jaccard similarity of the plain shingle sets of at least SIMILARITY, computed exactly.
 
-Documents with equal sets are one representative. In a band's bucket, members are first compared with one pivot. They
-leave the bucket only where the triangle inequality of the Jaccard distance shows that no link to another class is left;
-the others are compared with the next pivots, members of the bucket's smallest classes and eight times as many in each
-round, until a bucket has one class only. So it needs few comparisons where its members are alike, and loses no link
-between classes.
+Documents with equal sets are one representative. A band's bucket has a pivot, its least representative, and every
+member is compared with it. Two members that are both linked to the pivot share its class; all other pairs of the
+pivot's members are searched with an exact prefix filter on what sets them apart from the pivot. With E the symmetric
+difference of a member's set and the pivot's, members x and y are linked only if
+|E(x) & E(y)| >= (|E(x)| + |E(y)| - c (n(x) + n(y))) / 2, where c = (1 - s) / (1 + s). That is above 0 unless both are
+linked to the pivot, so they share an element in the first few of E, rarest first. Members far from the pivot are
+searched in the same way by their whole sets. The triangle inequality of the Jaccard distance says which members can be
+linked at all. So a group of many near copies needs comparisons for what its copies share beyond the pivot, not for
+each of its pairs, and no link between classes is lost.
 
 Classes are the connected components of the links, named by their least doc_id. Null, empty or blank texts have no
 shingles and are classes of their own, as are rows without a doc_id (class null). Repeated rows share a class.
@@ -127,6 +131,40 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity"))
 
 
+def prefixes(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rarest elements of each member's set, as far as a linked partner must share one of them.
+
+    members: (a, b, similarity, far) of a member a and its pivot b; far is 0 for the difference to the pivot, 1 for the
+    whole set. short is for partners that are not linked to the pivot; the rest of a prefix is for those that are.
+    """
+    c = (1 - similarity) / (1 + similarity)
+    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    apart = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    e = members.join(left, "a").join(right, "b").select("far", "b", "a", (F.col("similarity") >= similarity).alias("linked"), F.size("x").alias("n"), F.size("y").alias("pivot_n"), F.when(F.col("far") == 0, apart).otherwise(F.col("x")).alias("e"))
+    e = e.withColumn("size", F.size("e"))
+    to_open = F.when(F.col("far") == 0, (F.col("size") - c * (F.col("n") - F.col("pivot_n"))) / 2).otherwise(similarity * F.col("n"))
+    to_linked = F.when(F.col("far") == 0, F.col("size") - c * (1 + 1 / similarity) * F.col("n")).otherwise(similarity * F.col("n"))
+    length = lambda least: F.col("size") - F.greatest(F.ceil(least - 1e-6), F.lit(1)) + 1
+    e = e.withColumns({"upto_open": length(to_open), "upto_linked": F.when(F.col("linked"), length(to_open)).otherwise(F.greatest(length(to_open), length(to_linked)))})
+    items = e.select("far", "b", "a", "linked", "n", "size", "upto_open", "upto_linked", F.explode("e").alias("item"))
+    often = items.groupBy("far", "b", "item").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("far", "b", "a").orderBy("often", "item"))
+    ranked = items.join(often, ["far", "b", "item"]).withColumn("place", place)
+    return ranked.where("place <= upto_linked AND often > 1").select("far", "b", "item", "a", "linked", "n", "size", "place", (F.col("place") <= F.col("upto_open")).alias("short"))
+
+
+def partners(prefix: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: the pairs of members of a pivot, not both linked to it, that may be linked."""
+    c = (1 - similarity) / (1 + similarity)
+    x, y = prefix.where("short").alias("x"), prefix.where("NOT linked").alias("y")
+    same = (F.col("x.far") == F.col("y.far")) & (F.col("x.b") == F.col("y.b")) & (F.col("x.item") == F.col("y.item"))
+    once = F.col("x.linked") | (F.col("y.short") & (F.col("x.a") < F.col("y.a")))
+    alike = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6
+    rest = 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    enough = 2 * rest >= F.col("x.size") + F.col("y.size") - c * (F.col("x.n") + F.col("y.n")) - 1e-6
+    return x.join(y, same & once & alike & enough).select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, n_shingles) for each document."""
     lean_session(docs.sparkSession)
@@ -134,43 +172,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     seen = stored(sketches(docs), "sketches")
     owners = seen.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
     reps = stored(owners.select("fp1", "fp2", "n", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")), "representatives")
-    entries = reps.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
-    open_, links, label = stored(entries.join(shared, "bucket").withColumn("class", F.col("rep")), "members"), None, None
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(open_.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    entries = reps.select("rep", F.explode("bands").alias("bucket"))
+    pivots = entries.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", "pivot")
+    faced = stored(entries.join(pivots, "bucket").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "faced")
+    named_in = faced.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(named_in, "id", "left_semi")
     sets = stored(shingle_sets(own.groupBy("id").agg(F.min("text").alias("text"))), "shingles")
-    pivots_each = 1
-    while not open_.isEmpty():
-        # The next pivots of a bucket: members of its smallest classes. They are compared with the other classes' members.
-        if pivots_each == 1:
-            pivots = open_.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("p")).select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.rep").alias("pivot_class"))
-        else:
-            ranked = open_.join(open_.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size")), ["bucket", "class"])
-            order = Window.partitionBy("bucket").orderBy("size", "class", "rep")
-            pivots = ranked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots_each).select("bucket", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("class").alias("pivot_class"))
-        pivots = stored(pivots, "pivots")
-        ratio = F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
-        faced = stored(open_.join(pivots, "bucket").where("class <> pivot_class").select("bucket", "rep", "n", "pivot", F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), ratio.alias("ratio")), "faced")
-        known = stored(verified(faced.where(F.col("ratio") >= similarity).select("a", "b").distinct(), sets), "verified")
-        found = known.where(F.col("similarity") >= similarity).select("a", "b")
-        if not found.isEmpty():
-            links = stored(found if links is None else links.union(found), "links")
-            label = components(links)
-        d = faced.join(known, ["a", "b"], "left").select("bucket", "rep", "n", "pivot", (1 - F.coalesce("similarity", "ratio")).alias("d"))
-        # Within far of a pivot: linked. Up to twice far: grey, may be linked to a linked member. Beyond: to none.
-        is_grey = (F.col("d") > far) & (F.col("d") <= 2 * far)
-        nearest = d.groupBy("bucket", "pivot").agg(F.min(F.when(is_grey, F.col("d"))).alias("g"))
-        settled = (F.col("d") <= far) & (F.col("g").isNull() | (F.col("d") < F.col("g") - far - 1e-9))
-        done = d.join(nearest, ["bucket", "pivot"]).where(settled).select("bucket", "rep").union(pivots.select("bucket", "pivot")).distinct()
-        left = open_.drop("class").join(done, ["bucket", "rep"], "left_anti")
-        if label is None:
-            left = left.withColumn("class", F.col("rep"))
-        else:
-            left = left.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-        left = stored(left.select("bucket", "rep", "n", "class"), "left")
-        more = left.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket")
-        open_ = stored(left.join(more, "bucket").select("rep", "n", "bucket", "class"), "members")
-        pivots_each *= 8
+    known = stored(verified(faced, sets), "verified")
+    open_ = F.col("similarity") < similarity
+    group = known.groupBy("b").agg(F.count(F.lit(1)).alias("k"), F.max(F.when(open_, F.col("similarity"))).alias("nearest"), F.min("similarity").alias("farthest")).where("k > 1 AND nearest IS NOT NULL")
+    # A linked member matters only if it is far enough from the pivot to reach the nearest member that is not linked.
+    member = known.join(group, "b").where(open_ | (F.col("similarity") <= F.col("nearest") + far + 1e-9))
+    near, low = F.col("similarity") >= 0.5, (F.col("similarity") < 0.5 + far + 1e-9) & (F.col("farthest") < 0.5)
+    kinds = F.filter(F.array(F.when(near, 0), F.when(low, 1)), lambda k: k.isNotNull())
+    prefix = stored(prefixes(member.select("a", "b", "similarity", F.explode(kinds).alias("far")), sets, similarity), "prefixes")
+    more = verified(partners(prefix, similarity), sets)
+    links = known.unionByName(more).where(F.col("similarity") >= similarity).select("a", "b")
+    links = stored(links, "links")
+    label = None if links.isEmpty() else components(links)
     named = reps.select("fp1", "fp2", "n", "rep")
     if label is not None:
         named = named.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("class", "rep").alias("class"))
