@@ -8,11 +8,11 @@ similarity of their weighted shingles. Documents that agree in a band of registe
 Jaccard similarity of the plain shingle sets of at least SIMILARITY, computed exactly.
 
 Documents with equal sets are one representative. A band's bucket has a pivot, its least representative, and every
-member is compared with it. Two members that are both linked to the pivot share its class; all other pairs of the
+member is compared with it. Two members that these links bring into the pivot's class need no link of their own; all other pairs of the
 pivot's members are searched with an exact prefix filter on what sets them apart from the pivot. With E the symmetric
 difference of a member's set and the pivot's, members x and y are linked only if
 |E(x) & E(y)| >= (|E(x)| + |E(y)| - c (n(x) + n(y))) / 2, where c = (1 - s) / (1 + s). That is above 0 unless both are
-linked to the pivot, so they share an element in the first few of E, rarest first. Members far from the pivot are
+in the pivot's class, so they share an element in the first few of E, rarest first. Members far from the pivot are
 searched in the same way by their whole sets. The triangle inequality of the Jaccard distance says which members can be
 linked at all. So a group of many near copies needs comparisons for what its copies share beyond the pivot, not for
 each of its pairs, and no link between classes is lost.
@@ -134,13 +134,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def prefixes(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The rarest elements of each member's set, as far as a linked partner must share one of them.
 
-    members: (a, b, similarity, far) of a member a and its pivot b; far is 0 for the difference to the pivot, 1 for the
-    whole set. short is for partners that are not linked to the pivot; the rest of a prefix is for those that are.
+    members: (a, b, linked, far) of a member a, its pivot b, and whether they are in one class already; far is 0 for the difference to the pivot, 1 for the
+    whole set. short is for partners that are not in the pivot's class; the rest of a prefix is for those that are.
     """
     c = (1 - similarity) / (1 + similarity)
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     apart = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
-    e = members.join(left, "a").join(right, "b").select("far", "b", "a", (F.col("similarity") >= similarity).alias("linked"), F.size("x").alias("n"), F.size("y").alias("pivot_n"), F.when(F.col("far") == 0, apart).otherwise(F.col("x")).alias("e"))
+    e = members.join(left, "a").join(right, "b").select("far", "b", "a", "linked", F.size("x").alias("n"), F.size("y").alias("pivot_n"), F.when(F.col("far") == 0, apart).otherwise(F.col("x")).alias("e"))
     e = e.withColumn("size", F.size("e"))
     to_open = F.when(F.col("far") == 0, (F.col("size") - c * (F.col("n") - F.col("pivot_n"))) / 2).otherwise(similarity * F.col("n"))
     to_linked = F.when(F.col("far") == 0, F.col("size") - c * (1 + 1 / similarity) * F.col("n")).otherwise(similarity * F.col("n"))
@@ -154,7 +154,7 @@ def prefixes(members: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 
 
 def partners(prefix: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: the pairs of members of a pivot, not both linked to it, that may be linked."""
+    """(a, b), a < b: the pairs of members of a pivot, not both in its class, that may be linked."""
     c = (1 - similarity) / (1 + similarity)
     x, y = prefix.where("short").alias("x"), prefix.where("NOT linked").alias("y")
     same = (F.col("x.far") == F.col("y.far")) & (F.col("x.b") == F.col("y.b")) & (F.col("x.item") == F.col("y.item"))
@@ -179,17 +179,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     own = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(named_in, "id", "left_semi")
     sets = stored(shingle_sets(own.groupBy("id").agg(F.min("text").alias("text"))), "shingles")
     known = stored(verified(faced, sets), "verified")
-    open_ = F.col("similarity") < similarity
-    group = known.groupBy("b").agg(F.count(F.lit(1)).alias("k"), F.max(F.when(open_, F.col("similarity"))).alias("nearest"), F.min("similarity").alias("farthest")).where("k > 1 AND nearest IS NOT NULL")
-    # A linked member matters only if it is far enough from the pivot to reach the nearest member that is not linked.
-    member = known.join(group, "b").where(open_ | (F.col("similarity") <= F.col("nearest") + far + 1e-9))
+    direct = stored(known.where(F.col("similarity") >= similarity).select("a", "b"), "links")
+    label = None if direct.isEmpty() else components(direct)
+    if label is None:
+        known = known.withColumn("linked", F.lit(False))
+    else:
+        of = lambda key: label.select(F.col("id").alias(key), F.col("class").alias(f"class_{key}"))
+        known = known.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("linked", F.coalesce(F.col("class_a") == F.col("class_b"), F.lit(False))).drop("class_a", "class_b")
+    group = known.groupBy("b").agg(F.count(F.lit(1)).alias("k"), F.max(F.when(~F.col("linked"), F.col("similarity"))).alias("nearest"), F.min("similarity").alias("farthest")).where("k > 1 AND nearest IS NOT NULL")
+    # A member of the pivot's class matters only if it is far enough from the pivot to reach the nearest other one.
+    member = known.join(group, "b").where(~F.col("linked") | (F.col("similarity") <= F.col("nearest") + far + 1e-9))
     near, low = F.col("similarity") >= 0.5, (F.col("similarity") < 0.5 + far + 1e-9) & (F.col("farthest") < 0.5)
     kinds = F.filter(F.array(F.when(near, 0), F.when(low, 1)), lambda k: k.isNotNull())
-    prefix = stored(prefixes(member.select("a", "b", "similarity", F.explode(kinds).alias("far")), sets, similarity), "prefixes")
-    more = verified(partners(prefix, similarity), sets)
-    links = known.unionByName(more).where(F.col("similarity") >= similarity).select("a", "b")
-    links = stored(links, "links")
-    label = None if links.isEmpty() else components(links)
+    prefix = stored(prefixes(member.select("a", "b", "linked", F.explode(kinds).alias("far")), sets, similarity), "prefixes")
+    more = verified(partners(prefix, similarity), sets).where(F.col("similarity") >= similarity).select("a", "b")
+    found = stored(more, "links")
+    if not found.isEmpty():
+        label = components(direct.union(found))
     named = reps.select("fp1", "fp2", "n", "rep")
     if label is not None:
         named = named.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("class", "rep").alias("class"))
