@@ -53,7 +53,7 @@ def read_rescored(spark: SparkSession, path: str) -> DataFrame:
 def read_answers(spark: SparkSession, path: str, problems: DataFrame) -> DataFrame:
     """A row for each problem (instance_id): its answer, from the text file of that name, or status gen_error with a score of -0.5."""
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-    answers = spark.read.option("wholetext", True).text(path).select(name.alias("instance_id"), F.col("value").alias("answer"))
+    answers = spark.read.text(path, wholetext=True).select(name.alias("instance_id"), F.col("value").alias("answer"))
     lost = F.col("answer").isNull()
     return problems.select("instance_id").join(answers, "instance_id", "left").select("instance_id", "answer", F.when(lost, "gen_error").alias("status"), F.when(lost, -0.5).alias("score"))
 
