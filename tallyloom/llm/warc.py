@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean_session, shared_dir
+from .common import lean_session, shared_dir, stored
 
 SEGMENT, CHUNK, REVISIT, FILE_RECORDS = 32_768, 8_192, 1000, 256
 DATE = "2000-01-01T00:00:00Z"
@@ -76,8 +76,9 @@ def records(pages: DataFrame) -> DataFrame:
     return rows.select(F.concat(head.cast("binary"), part).cast("string").alias("record"))
 
 
-def write_warc(pages: DataFrame, path: str, compression: str = "none") -> None:
-    records(pages).write.option("lineSep", END.decode()).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def write_warc(pages: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Writes archives of FILE_RECORDS records at most; gzip runs at its fastest level."""
+    records(pages).write.option("lineSep", END.decode()).option("compression", compression).option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parsed(content: bytes) -> Iterator[tuple]:
@@ -100,14 +101,14 @@ def parsed(content: bytes) -> Iterator[tuple]:
         at = stop + 8 + size
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(RECORD): all records of the archives, segments apart."""
+def read_warc(spark: SparkSession, path: str, segments: bool | None = None) -> DataFrame:
+    """(RECORD): the records of the archives, segments apart; with segments, only those that are segments, or only those that are not."""
     names = [x.split(" ")[0] for x in RECORD.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content in pdf["content"]:
-                out = pd.DataFrame(list(parsed(content)), columns=names)
+                out = pd.DataFrame([r for r in parsed(content) if segments is None or segments == (r[3] is not None)], columns=names)
                 yield out.astype({"segment": "Int32", "total": "Int64"})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORD)
@@ -131,10 +132,10 @@ def payload_of(block: bytes) -> bytes:
     return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-def reassembled(read: DataFrame) -> DataFrame:
-    """(id, type, refers_to, digest, block): whole records, segments put together. A record with missing parts is an error."""
-    whole = read.where("segment IS NULL").select("id", "type", "refers_to", "digest", "block")
-    parts = read.where("segment IS NOT NULL").groupBy(F.coalesce("origin", "id").alias("id")).agg(
+def reassembled(spark: SparkSession, path: str) -> DataFrame:
+    """(id, type, refers_to, digest, block): the whole records of archives, segments put together. A record with missing parts is an error."""
+    whole = read_warc(spark, path, False).select("id", "type", "refers_to", "digest", "block")
+    parts = read_warc(spark, path, True).groupBy(F.coalesce("origin", "id").alias("id")).agg(
         F.max(F.when(F.col("segment") == 1, F.col("type"))).alias("type"), F.max("refers_to").alias("refers_to"), F.max("digest").alias("digest"), F.max("total").alias("total"),
         F.array_sort(F.collect_set(F.struct("segment", "block"))).alias("s"), F.count_if(F.col("segment") == 1).alias("copies"),
     )
@@ -166,7 +167,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     lean_session(spark)
     path = shared_dir(spark, "warc")
     write_warc(pages, path)
-    got = payloads(reassembled(read_warc(spark, path))).select("id", "type", F.col("refers_to").alias("to"), "payload_digest", F.octet_length("payload").cast("long").alias("n"))
+    read = payloads(reassembled(spark, path)).select("id", "type", F.col("refers_to").alias("to"), "payload_digest", F.octet_length("payload").cast("long").alias("n"))
+    got = stored(read, "payloads")  # three parts below use it, and must not read the archives again
     page = lambda c: F.split_part(c, F.lit(":"), F.lit(3)).try_cast("long")
     own = got.where("type = 'response'").select(page(F.col("id")).alias("page_id"), F.col("n").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     lengths = got.where("type = 'response'").groupBy(F.col("id").alias("to")).agg(F.max("n").alias("payload_bytes"))
