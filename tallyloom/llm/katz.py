@@ -107,12 +107,12 @@ class Pairs:
         # A known history with an unknown word asks for no count, but for the history's weight.
         order = np.argsort(self.bucket.astype(np.uint16 if buckets < 65_535 else np.int64), kind="stable")
         self.order = order[: int(known.sum())]
+        self.cut = np.searchsorted(self.bucket[self.order], np.arange(buckets + 1))
         self.hot, self.h, self.known = hot, h, known
         self.n_train = np.bincount(self.inverse, weights=chunk.train, minlength=len(code)).astype(np.int64)
 
     def of(self, bucket: int) -> np.ndarray:
-        lo, hi = np.searchsorted(self.bucket[self.order], [bucket, bucket + 1])
-        return self.order[lo:hi]
+        return self.order[self.cut[bucket] : self.cut[bucket + 1]]
 
 
 def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -213,8 +213,8 @@ def fitted(docs: DataFrame) -> tuple[Model, dict]:
             at = p.of(b)
             if not len(at):
                 continue
-            head, length, need = histories(p, at)
-            live = at[p.w_count[at] > 0]
+            first, length, need = histories(p, at)
+            head, live = at[first], at[p.w_count[at] > 0]
             for k, x in zip(rows, (b, p.h_id[head], need, length, p.w_id[live], p.w_count[live], p.n_train[live])):
                 rows[k].append(x)
         return pa.table({"chunk": pa.array([left["chunk"][0].as_py()] * len(rows["bucket"]), pa.int32()), "bucket": pa.array(rows["bucket"], pa.int32()), "h": lists(rows["h"], pa.int32()), "need": lists([x.astype(np.int8) for x in rows["need"]], pa.int8()), "length": lists(rows["length"], pa.int32()), "w": lists(rows["w"], pa.int32()), "wc": lists(rows["wc"], narrow), "n": lists(rows["n"], narrow)})
@@ -248,7 +248,7 @@ def fitted(docs: DataFrame) -> tuple[Model, dict]:
             "counts": lists([*answers, total[seen], none], narrow), "stats": lists([*sent, numbers, stats.ravel()], pa.float64()),
         })
 
-    requests = dealt.groupBy("chunk").cogroup(words.where("kind = 'answer'").select("chunk", "bucket", "ids", "counts").groupBy("chunk")).applyInArrow(ask_pairs, f"chunk int, bucket int, h array<int>, need array<byte>, length array<int>, w array<int>, wc array<{count_type}>, n array<{count_type}>")
+    requests = dealt.groupBy("chunk").cogroup(words.where("kind = 'answer'").select("chunk", "bucket", "ids", F.col("counts").cast(f"array<{count_type}>").alias("counts")).groupBy("chunk")).applyInArrow(ask_pairs, f"chunk int, bucket int, h array<int>, need array<byte>, length array<int>, w array<int>, wc array<{count_type}>, n array<{count_type}>")
     pair_schema = f"kind string, bucket int, chunk int, histories array<int>, ids array<int>, counts array<{count_type}>, stats array<double>"
     requests.groupBy("bucket").applyInArrow(add_pairs, pair_schema).write.partitionBy("kind", "bucket").parquet(f"{path}/pairs")
     pairs = spark.read.schema(pair_schema).parquet(f"{path}/pairs")
@@ -256,7 +256,7 @@ def fitted(docs: DataFrame) -> tuple[Model, dict]:
     d = discounts([x or 0.0 for x in numbers])
     # Sums of the hot histories, 4 * buckets + 1 at most; a history is hot for all chunks or for none.
     hot = hot_histories(pairs, words, n, end, chunks, buckets)
-    return Model(path, n, v, d), {"chunks": chunks, "buckets": buckets, "end": end, "hot": hot, "words": words, "pairs": pairs}
+    return Model(path, n, v, d), {"chunks": chunks, "buckets": buckets, "end": end, "hot": hot, "words": words, "pairs": pairs, "counts": f"array<{count_type}>"}
 
 
 def hot_histories(pairs: DataFrame, words: DataFrame, n: int, end: int, chunks: int, buckets: int) -> dict[int, np.ndarray]:
@@ -283,17 +283,17 @@ def asked_pairs(left: pa.Table, right: pa.Table, chunks: int, buckets: int, n: i
     c = Chunk(left, chunks)
     right = right.sort_by("bucket")
     ids = right["ids"].combine_chunks().flatten().to_numpy().astype(np.int64)
-    counts = right["counts"].combine_chunks().flatten().to_numpy()
+    counts = right["counts"].combine_chunks().flatten().to_numpy().astype(np.int64)
     c.counts = counts
     return c, Pairs(c, ids, counts, n, end, buckets)
 
 
 def histories(p: Pairs, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs of a bucket, which are in runs of one history: each run's first pair, its requests, and whether it has an unknown word."""
+    """Of the pairs of a bucket, which are in runs of one history: where each run begins, its requests, and whether it has an unknown word."""
     first = np.flatnonzero(np.concatenate(([True], p.h[at][1:] != p.h[at][:-1])))
     live = (p.w_count[at] > 0).astype(np.int64)
     length = np.add.reduceat(live, first)
-    return at[first], length, np.add.reduceat(1 - live, first) > 0
+    return first, length, np.add.reduceat(1 - live, first) > 0
 
 
 def scored(docs: DataFrame, model: Model, at: dict) -> DataFrame:
@@ -312,7 +312,8 @@ def scored(docs: DataFrame, model: Model, at: dict) -> DataFrame:
             own = p.of(b)
             if not len(own):
                 continue
-            head, length, need = histories(p, own)
+            first, length, need = histories(p, own)
+            head = own[first]
             counts, stats = (x.values.to_numpy() for x in answers[b])
             live = p.w_count[own] > 0
             pair[own[live]] = counts
@@ -323,8 +324,7 @@ def scored(docs: DataFrame, model: Model, at: dict) -> DataFrame:
                 s[i] = hot[int(hh[i])]
             own_weight = np.ones(len(head))
             own_weight[lack] = weights(s, p.h_count[head[lack]], d)
-            runs = np.diff(np.append(np.flatnonzero(np.isin(own, head)), len(own)))
-            weight[own] = np.repeat(own_weight, runs)
+            weight[own] = np.repeat(own_weight, np.diff(np.append(first, len(own))))
         unigram = (p.w_count + 1) / (n + v + 1)
         lost = np.array([0.0, *d])
         kept = np.where(pair > CUT, pair - HALF, lost[np.minimum(pair, CUT)] * pair)
@@ -335,7 +335,7 @@ def scored(docs: DataFrame, model: Model, at: dict) -> DataFrame:
         sums = [np.bincount(c.doc, weights=x, minlength=c.rows) for x in (np.ones(len(c.doc)), count > 0, base, log)]
         return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base_score": sums[2], "score": sums[3]})
 
-    to_chunk = at["words"].where("kind = 'answer'").select("chunk", F.lit("word").alias("kind"), "bucket", "ids", "counts", F.lit(None).cast("array<double>").alias("stats"))
-    to_chunk = to_chunk.union(at["pairs"].where("kind = 'answer'").select("chunk", F.lit("pair"), "bucket", F.lit(None).cast("array<int>"), F.col("counts").cast("array<long>"), "stats"))
+    to_chunk = at["words"].where("kind = 'answer'").select("chunk", F.lit("word").alias("kind"), "bucket", "ids", F.col("counts").cast(at["counts"]).alias("counts"), F.lit(None).cast("array<double>").alias("stats"))
+    to_chunk = to_chunk.union(at["pairs"].where("kind = 'answer'").select("chunk", F.lit("pair"), "bucket", F.lit(None).cast("array<int>"), "counts", "stats"))
     out = chunked(docs, chunks).groupBy("chunk").cogroup(to_chunk.groupBy("chunk")).applyInArrow(score, RESULT)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
