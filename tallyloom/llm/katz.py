@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import lean_session, shared_dir, text_or_empty
 
-FOLDS, HELD_OUT, CUT, HALF, CHUNK = 7, 2, 5, 0.5, 11 << 20
+FOLDS, HELD_OUT, CUT, HALF, CHUNK = 7, 2, 5, 0.5, 13 << 20
 U = np.uint64
 END, START = np.uint64(0x0123456789ABCDEF), -1
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
