@@ -4,7 +4,9 @@ A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are s
 file at RATE. The stored samples are read back, resampled to TARGET by a polyphase filter (windowed sinc, one branch
 for each output phase), cut into overlapping Hann windows, and turned into log-mel energies in decibels. Runs of frames
 are segmented by energy with hysteresis: a segment begins above the upper level and ends below the lower one. Features
-come in tensors of FRAMES x MELS numbers, the last one padded with FLOOR, each with its span of seconds.
+come in tensors of FRAMES x MELS numbers, the last one padded with FLOOR, each with its span of seconds and the loud
+spans in it. They are stored for each document, with Arrow's tensor type and shape in the schema of the files, and the
+digests of the features are taken from what is read back.
 
 Null and empty texts have 64 zero bytes as payload. Equal texts have equal media and features. Very long texts are
 framed in runs of BLOCK frames. Repeated rows get rows each; other columns are not read.
@@ -13,6 +15,7 @@ framed in runs of BLOCK frames. Repeated rows get rows each; other columns are n
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import lean_session, shared_dir, text_or_empty
 
@@ -30,6 +34,14 @@ RATE, TARGET, TAPS = 16_000, 8_000, 16
 WINDOW, HOP, FFT, MELS = 200, 80, 256, 40
 FRAMES, BLOCK, FLOOR = 64, 4096, -100.0
 UPPER, LOWER = 3.0, -3.0  # decibels against the median frame
+BATCH = 8 << 20  # bytes of tensors sent at once, if a document has not more
+
+#: A field of tensors in a schema, marked as Arrow does it: Spark has lists only, but keeps what its fields are marked with.
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))
+MARK = {"ARROW:extension:name": TENSOR.extension_name, "ARROW:extension:metadata": json.dumps({"shape": TENSOR.shape})}
+SPANS = T.ArrayType(T.StructType().add("t_start", "double").add("t_end", "double"))
+PART = T.StructType().add("t_start", "double").add("t_end", "double").add("log_mel", T.ArrayType(T.FloatType()), metadata=MARK).add("loud", SPANS)
+STORED = T.StructType().add("doc_id", "long").add("n_bytes", "long").add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("tensors", T.ArrayType(PART))
 
 
 def wav(payload: bytes, rate: int = RATE) -> bytes:
@@ -145,25 +157,54 @@ def media(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def tensors(stored_media: DataFrame) -> DataFrame:
-    """(doc_id, part, t_start, t_end, log_mel, loud): tensors of FRAMES x MELS, row by row, and the loud spans in each."""
+def tensor_rows(stored_media: DataFrame) -> DataFrame:
+    """A row of STORED for each stored medium: digests of its bytes, and its features as tensors with their spans."""
+    span = pa.struct([("t_start", pa.float64()), ("t_end", pa.float64())])
+
+    def columns(rows: list[tuple]) -> pa.RecordBatch:
+        *plain, mels, segs = zip(*rows)
+        parts = np.array([-(-len(mel) // FRAMES) for mel in mels])
+        padded = np.full((parts.sum() * FRAMES, MELS), FLOOR, np.float32)
+        start, end, loud = [], [], []
+        for mel, seg, n, at in zip(mels, segs, parts.tolist(), (np.cumsum(parts) - parts).tolist()):
+            padded[at * FRAMES : at * FRAMES + len(mel)] = mel
+            first = np.arange(n) * FRAMES
+            last = np.minimum(first + FRAMES, len(mel))
+            start.append(first * HOP / TARGET)
+            end.append(((last - 1) * HOP + WINDOW) / TARGET)
+            low, high = np.searchsorted(seg[:, 1], first, "right"), np.searchsorted(seg[:, 0], last, "left")
+            loud += [[{"t_start": max(a, f) * HOP / TARGET, "t_end": min(b, e) * HOP / TARGET} for a, b in seg[i:j].tolist()] for f, e, i, j in zip(first.tolist(), last.tolist(), low, high)]
+        part = pa.StructArray.from_arrays([pa.array(np.concatenate(start)), pa.array(np.concatenate(end)), as_tensor(padded).storage.cast(pa.list_(pa.float32())), pa.array(loud, pa.list_(span))], PART.names)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([*map(pa.array, plain, kinds), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(parts)), pa.int32()), part)], STORED.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, m in zip(batch.column(0).to_pylist(), batch.column(1)):
-                _, mel, seg = features(m.as_py())
-                n = -(-len(mel) // FRAMES)
-                padded = np.full((n * FRAMES, MELS), FLOOR, np.float32)
-                padded[: len(mel)] = mel
-                first = np.arange(n) * FRAMES
-                last = np.minimum(first + FRAMES, len(mel))
-                loud = [[{"t_start": max(a, f) * HOP / TARGET, "t_end": min(b, e) * HOP / TARGET} for a, b in seg.tolist() if a < e and b > f] for f, e in zip(first.tolist(), last.tolist())]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array([doc_id] * n, pa.int64()), "part": pa.array(range(n), pa.int32()), "t_start": pa.array(first * HOP / TARGET), "t_end": pa.array(((last - 1) * HOP + WINDOW) / TARGET),
-                    "log_mel": as_tensor(padded.reshape(n, FRAMES, MELS)).storage.cast(pa.list_(pa.float32())), "loud": pa.array(loud, pa.list_(pa.struct([("t_start", pa.float64()), ("t_end", pa.float64())]))),
-                })
-
-    return stored_media.select("doc_id", "media").mapInArrow(run, "doc_id long, part int, t_start double, t_end double, log_mel array<float>, loud array<struct<t_start: double, t_end: double>>")
+            rows, held = [], 0
+            for doc_id, n_bytes, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                m = m.as_py()
+                payload, mel, seg = features(m)
+                rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), mel, seg))
+                held += mel.nbytes + FRAMES * MELS * 4
+                if held >= BATCH:
+                    yield columns(rows)
+                    rows, held = [], 0
+            if rows:
+                yield columns(rows)
+
+    return stored_media.select("doc_id", "n_bytes", "media").mapInArrow(run, STORED)
+
+
+def tensors(stored_media: DataFrame) -> DataFrame:
+    """(doc_id, part, t_start, t_end, log_mel, loud): tensors of FRAMES x MELS, row by row, and the loud spans in each."""
+    return tensor_rows(stored_media).select("doc_id", F.posexplode("tensors").alias("part", "t")).select("doc_id", "part", "t.*")
+
+
+def stored_tensors(stored_media: DataFrame) -> DataFrame:
+    """tensor_rows, written to the shared folder and read from there with the schema that the files have."""
+    path = shared_dir(stored_media.sparkSession, "tensors")
+    tensor_rows(stored_media).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+    return stored_media.sparkSession.read.parquet(path)
 
 
 def as_tensor(values: np.ndarray) -> pa.FixedShapeTensorArray:
@@ -171,23 +212,44 @@ def as_tensor(values: np.ndarray) -> pa.FixedShapeTensorArray:
     return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(np.asarray(values, np.float32).reshape(-1, FRAMES, MELS)))
 
 
-def digests(stored_media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of stored media.
+def tensor_type(rows: DataFrame) -> pa.FixedShapeTensorType:
+    """The type that the schema of stored tensors is marked with."""
+    mark = rows.schema["tensors"].dataType.elementType["log_mel"].metadata
+    if mark.get("ARROW:extension:name") != TENSOR.extension_name:
+        raise ValueError("log_mel is not marked as a tensor")
+    return pa.fixed_shape_tensor(pa.float32(), json.loads(mark["ARROW:extension:metadata"])["shape"])
 
-    feature: frames, loud segments, mean level in decibels, and a digest of the decibels rounded to tenths and the segments.
-    """
+
+def described(rows: DataFrame) -> DataFrame:
+    """Stored tensors' rows, with feature in place of the tensors, as taken from these and their spans."""
+    kind = tensor_type(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for m in batch.column(2):
-                m = m.as_py()
-                payload, mel, seg = features(m)
+            held = batch.column(STORED.names.index("tensors"))
+            part, at = held.flatten(), np.append(0, np.cumsum(held.value_lengths().to_numpy()))
+            values = pa.ExtensionArray.from_storage(kind, part.field("log_mel").cast(kind.storage_type)).to_numpy_ndarray() if len(part) else None
+            frame = lambda seconds: np.rint(seconds.to_numpy(zero_copy_only=False) * TARGET / HOP).astype(np.int64)
+            end = np.rint((part.field("t_end").to_numpy() * TARGET - WINDOW) / HOP).astype(np.int64) + 1 - frame(part.field("t_start"))
+            loud, spans = part.field("loud").flatten(), np.append(0, np.cumsum(part.field("loud").value_lengths().to_numpy()))
+            on, off = frame(loud.field("t_start")), frame(loud.field("t_end"))
+            out = []
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                mel = values[i:j].reshape(-1, kind.shape[1])[: end[i:j].sum()]
+                a, b = on[spans[i] : spans[j]], off[spans[i] : spans[j]]
+                cut = a[1:] != b[:-1]  # segments that go over the end of a tensor are joined again
+                seg = np.stack([a[np.append(True, cut)[: len(a)]], b[np.append(cut, True)[: len(b)]]], axis=1)
                 exact = hashlib.sha256(np.rint(mel * 10).astype("<i2").tobytes() + seg.astype("<i8").tobytes()).hexdigest()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), f"{len(mel)}:{len(seg)}:{mel.mean(dtype=np.float64):.1f}:{exact[:32]}"))
-            cols = list(zip(*rows)) if rows else [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_bytes": batch.column(1)} | {k: pa.array(c, t) for k, c, t in zip(names, cols, kinds)})
+                out.append(f"{len(mel)}:{len(seg)}:{mel.mean(dtype=np.float64):.1f}:{exact[:32]}")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], [*STORED.names[:-1], "feature"])
 
-    return stored_media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return rows.select(*STORED.names).mapInArrow(run, T.StructType(STORED.fields[:-1]).add("feature", "string"))
+
+
+def digests(stored_media: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of stored media.
+
+    feature: frames, loud segments, mean level in decibels, and a digest of the decibels rounded to tenths and the segments,
+    all taken from the stored tensors.
+    """
+    return described(stored_tensors(stored_media))
