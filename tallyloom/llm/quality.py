@@ -6,9 +6,12 @@ with both by Jensen-Shannon distance (base 2, from 0 to 1). Short documents say
 from a minimum length on, and gets an allowance that shrinks with the square root of the length.
 
 Words are the runs between the bytes space and \\t to \\r; keys of words, lines and windows have 64 bits.
-Null or empty texts have no words and fail the base rule. A null language is a language of its own. A language with
-under LANGUAGE_SHARE of all words gets no reference (so at most 1 / LANGUAGE_SHARE have one), and its documents pass.
-Repeated rows are judged alike; other columns are not read.
+Null or empty texts have no words and fail the base rule. A null language is a language of its own. A language has its
+own reference from LANGUAGE_DOCS documents and LANGUAGE_WORDS words on, whatever else the corpus holds. References of
+languages with LANGUAGE_SHARE of all words (1 / LANGUAGE_SHARE at most) and of the NEAREST largest are sent to all tasks;
+those of other languages are joined by language. A document of a language that is too small is compared with the nearest by words of the NEAREST
+largest languages and the whole corpus, or with the whole corpus if it has too few words to tell; so a small language
+that is like none of these is rejected from these lengths on. Repeated rows are judged alike; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from . import kernels as K
 from .common import lean_session, stored, text_or_empty
 
 COMMON, LANGUAGE_SHARE = 0.005, 0.001
+LANGUAGE_DOCS, LANGUAGE_WORDS, NEAREST = 10, 2000, 16
 MIN_CHARS, MIN_WORDS = 200, 40
 #: A distance may reach MAX + ALLOW / sqrt(characters or words of letters).
 MAX_CLASS, MAX_WORD, ALLOW = 0.19, 0.14, 1.8
@@ -33,11 +37,30 @@ CLASS = np.array([7 if b >= 128 else 0 if 97 <= b <= 122 else 1 if 65 <= b <= 90
 SYMBOL = CLASS == 6
 CONTINUES = (np.arange(256) & 0xC0) == 0x80
 
-FEATURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, common array<long>, n_letter_words long"
+FEATURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, common array<long>, n_letter_words long, ref string"
+#: The language that a reference is of (None: the whole corpus), sorted keys of its common words, and their shares and that of the other words.
+Reference = tuple[str | None, np.ndarray, np.ndarray]
 
 
-def features(data: np.ndarray, off: np.ndarray, langs: list[str], common: dict[str, np.ndarray]) -> dict[str, object]:
-    """Counts of a slice of texts, as columns."""
+def counted(own: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """How often each of the common keys is among own, and at the end how often none."""
+    own = own.view(common.dtype)
+    if not len(common):
+        return np.array([len(own)])
+    place = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    hit = common[place] == own
+    return np.append(np.bincount(place[hit], minlength=len(common)), len(own) - hit.sum())
+
+
+def apart(counts: np.ndarray, shares: np.ndarray) -> float:
+    """The square of divergence(), to find the nearest reference."""
+    p = counts / max(1, counts.sum())
+    both = p + shares
+    return float(sum((x[x > 0] * np.log2(2 * x[x > 0] / both[x > 0])).sum() for x in (p, shares)))
+
+
+def features(data: np.ndarray, off: np.ndarray, refs: list[list[Reference]]) -> dict[str, object]:
+    """Counts of a slice of texts, as columns. refs: for each text the references to choose from, the first for short ones."""
     n = len(off) - 1
     code_point = ~CONTINUES[data]
     start, end, of = K.spans(data, off, K.SPACE)
@@ -58,42 +81,71 @@ def features(data: np.ndarray, off: np.ndarray, langs: list[str], common: dict[s
     n_letters = np.bincount(letters_of, minlength=n)
     first = np.concatenate(([0], np.cumsum(n_letters)))
     hist: list[np.ndarray] = []
-    for i, lang in enumerate(langs):
-        ref = common.get(lang)
-        if ref is None:
-            hist.append(np.zeros(0, np.int64))
-            continue
+    names: list[str | None] = []
+    for i, near in enumerate(refs):
         own = letters[first[i] : first[i + 1]]
-        place = np.minimum(np.searchsorted(ref, own), len(ref) - 1) if len(ref) else np.zeros(len(own), np.int64)
-        hit = ref[place] == own if len(ref) else np.zeros(len(own), bool)
-        found = np.bincount(place[hit], minlength=len(ref))
-        hist.append(np.append(found, len(own) - hit.sum()))
+        found = [counted(own, r[1]) for r in (near if len(own) >= MIN_WORDS else near[:1])]
+        best = min(range(len(found)), key=lambda k: apart(found[k], near[k][2])) if len(found) > 1 else 0
+        hist.append(found[best])
+        names.append(near[best][0])
     return {
         "n_words": np.bincount(of, minlength=n), "word_chars": K.per_text(code_point & ~K.SPACE[data], off), "n_symbols": K.per_text(SYMBOL[data], off), "n_dup_lines": np.bincount(lo[earlier], minlength=n),
-        "n_repeat_words": np.bincount(of[np.cumsum(covered[:-1]) > 0], minlength=n), "classes": list(counts), "common": hist, "n_letter_words": n_letters,
+        "n_repeat_words": np.bincount(of[np.cumsum(covered[:-1]) > 0], minlength=n), "classes": list(counts), "common": hist, "n_letter_words": n_letters, "ref": names,
     }
 
 
-def featured(docs: DataFrame, common: dict[str, np.ndarray]) -> DataFrame:
-    """A row of FEATURES for each document. common: for each language the sorted keys of its common words."""
+def featured(texts: DataFrame, own: dict[str, Reference], other: list[Reference]) -> DataFrame:
+    """A row of FEATURES for each of texts. References are a column of keys, if there is one, or else own by language, or one of other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, langs = batch.column(0), batch.column(1).to_pylist()
+            if batch.num_columns > 3:
+                refs = [[(lang, np.array(k, np.int64), np.zeros(0))] for lang, k in zip(langs, batch.column(3).to_pylist())]
+            else:
+                refs = [[own[lang]] if lang in own else other for lang in langs]
             for a, b, data, off in K.slices(batch.column(2)):
-                x = features(data, off, langs[a:b], common)
-                yield pa.RecordBatch.from_pydict({"doc_id": ids[a:b], "lang": pa.array(langs[a:b], pa.string())} | {k: pa.array(v, pa.list_(pa.int64()) if k in ("classes", "common") else pa.int64()) for k, v in x.items()})
+                x = features(data, off, refs[a:b])
+                kinds = {"classes": pa.list_(pa.int64()), "common": pa.list_(pa.int64()), "ref": pa.string()}
+                yield pa.RecordBatch.from_pydict({"doc_id": ids[a:b], "lang": pa.array(langs[a:b], pa.string())} | {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in x.items()})
+
+    return texts.mapInArrow(run, FEATURES)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_or_empty().alias("text")).mapInArrow(run, FEATURES)
+def language() -> Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit(""))
 
 
-def common_words(docs: DataFrame) -> DataFrame:
-    """(lang, word, n, total): the words of letters that make up at least COMMON of their language's, ASCII lower-cased."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, word, n): the words of letters of each language, ASCII lower-cased."""
     text = F.translate(text_or_empty(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.explode(F.split(text, r"[\x00-@\[-`{-\x7f]+")).alias("word")).where("word <> ''")
-    counts = stored(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    words = docs.select(language().alias("lang"), F.explode(F.split(text, r"[\x00-@\[-`{-\x7f]+")).alias("word")).where("word <> ''")
+    return stored(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+
+
+def languages(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(lang, n_docs, total, own): each language, its documents and words, and whether these are enough for its own reference."""
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    return counts.join(totals, "lang").where(F.col("n") >= COMMON * F.col("total"))
+    found = docs.groupBy(language().alias("lang")).agg(F.count(F.lit(1)).alias("n_docs")).join(totals, "lang", "left")
+    total = F.coalesce(F.col("total"), F.lit(0).cast("long"))
+    return stored(found.select("lang", "n_docs", total.alias("total"), ((F.col("n_docs") >= LANGUAGE_DOCS) & (total >= LANGUAGE_WORDS)).alias("own")), "languages")
+
+
+def keyed(words: DataFrame) -> DataFrame:
+    """(lang, n, total, key) of (lang, n, total, word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, off in K.slices(batch.column(3)):
+                yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[:3]), pa.array(K.keys(data, off[:-1], off[1:]).view(np.int64))], ["lang", "n", "total", "key"])
+
+    return words.select("lang", "n", "total", "word").mapInArrow(run, "lang string, n long, total long, key long")
+
+
+def reference(name: str | None, found: list[tuple[int, int]], total: int) -> Reference:
+    """found: the keys and counts of the common words."""
+    found = sorted((k % 2**64, n) for k, n in found)
+    return name, np.array([k for k, _ in found], np.uint64), np.array([n / total for _, n in found] + [1 - sum(n for _, n in found) / max(1, total)])
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -110,27 +162,62 @@ def divergence(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(each, F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))))
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, the two distances and kept, for each document."""
-    lean_session(docs.sparkSession)
-    totals: dict[str, int] = {}
-    words: dict[str, list[tuple[np.uint64, int]]] = {}
-    for r in common_words(docs).collect():  # at most 1 / COMMON for each language
-        key = K.keys(np.frombuffer(r.word.encode(), np.uint8), np.array([0]), np.array([len(r.word.encode())]))[0]
-        words.setdefault(r.lang, []).append((key, r.n))
-        totals[r.lang] = r.total
-    enough = LANGUAGE_SHARE * sum(totals.values())
-    words = {k: sorted(v) for k, v in words.items() if totals[k] >= enough}
-    seen = stored(featured(docs, {k: np.array([w for w, _ in v], np.uint64) for k, v in words.items()}), "features")
-    shares = [(k, [n / totals[k] for _, n in v] + [1 - sum(n for _, n in v) / totals[k]]) for k, v in words.items()]
-    ref = docs.sparkSession.createDataFrame(shares or [("", [1.0])], "lang string, word_ref array<double>")
-    classes = seen.groupBy("lang").agg(F.array(*[F.sum(F.col("classes")[c]) for c in range(8)]).alias("class_ref"))
-    both = seen.join(F.broadcast(ref.join(classes, "lang")), "lang", "left")  # languages with a reference: 1 / LANGUAGE_SHARE at most
+def judged(both: DataFrame) -> DataFrame:
+    """The result of features with word_ref and class_ref."""
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda acc, v: acc + v)
-    judged = both.withColumns({
-        "class_distance": F.when(F.col("class_ref").isNotNull() & (chars >= MIN_CHARS), divergence(F.col("classes"), F.col("class_ref"))),
-        "word_distance": F.when(F.col("word_ref").isNotNull() & (F.col("n_letter_words") >= MIN_WORDS), divergence(F.col("common"), F.col("word_ref"))),
+    rows = both.withColumns({
+        "class_distance": F.when(chars >= MIN_CHARS, divergence(F.col("classes"), F.col("class_ref"))),
+        "word_distance": F.when(F.col("n_letter_words") >= MIN_WORDS, divergence(F.col("common"), F.col("word_ref"))),
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
     })
     far = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > MAX_CLASS + ALLOW / F.sqrt(chars)) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > MAX_WORD + ALLOW / F.sqrt(F.col("n_letter_words")))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "class_distance", "word_distance", "n_letter_words", "lang")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "class_distance", "word_distance", "n_letter_words", "lang")
+
+
+def quality(docs: DataFrame) -> DataFrame:
+    """doc_id, the base counts, base_failed, the two distances and kept, for each document."""
+    lean_session(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language().alias("lang"), text_or_empty().alias("text"))
+    counts = word_counts(docs)
+    langs = languages(docs, counts)
+    n_langs, n_own, n_all = (x or 0 for x in langs.agg(F.count(F.lit(1)), F.sum(F.col("own").cast("long")), F.sum("total")).first())
+    largest = [r.lang for r in langs.where("own").orderBy(F.desc("total"), "lang").limit(NEAREST).collect()]
+    sent = F.col("own") & ((F.col("total") >= LANGUAGE_SHARE * n_all) | F.col("lang").isin(largest))
+    totals = {r.lang: r.total for r in langs.where(sent).collect()}  # at most 1 / LANGUAGE_SHARE + NEAREST
+    joined = langs.where(F.col("own") & ~sent).select("lang", "total")
+
+    def common(some: DataFrame) -> DataFrame:
+        return keyed(counts.join(some.select("lang", "total"), "lang").where(F.col("n") >= COMMON * F.col("total")))
+
+    words: dict[str, list[tuple[int, int]]] = {k: [] for k in totals}
+    for r in common(langs.where(sent)).collect():  # at most 1 / COMMON for each language
+        words[r.lang].append((r.key, r.n))
+    own = {k: reference(k, v, totals[k]) for k, v in words.items()}
+    other: list[Reference] = []
+    if n_langs > n_own:
+        of_all = counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * n_all)
+        pool = keyed(of_all.select(F.lit("").alias("lang"), "n", F.lit(n_all).cast("long").alias("total"), "word")).collect()
+        other = [reference(None, [(r.key, r.n) for r in pool], n_all), *(own[k] for k in largest)]
+    apart_langs = n_own > len(own)
+    rest = texts
+    if apart_langs:
+        rare = texts.where(~F.col("lang").isin(list(own)))
+        rest = texts.where(F.col("lang").isin(list(own))).unionByName(rare.join(joined.select("lang"), "lang", "left_anti").select(*texts.columns))
+    seen = stored(featured(rest, own, other), "features")
+    sums = F.array(*[F.sum(F.col("classes")[c]) for c in range(8)]).alias("class_ref")
+    refs = docs.sparkSession.createDataFrame([(k, r[2].tolist()) for k, r in own.items()], "ref string, word_ref array<double>").join(seen.groupBy(F.col("lang").alias("ref")).agg(sums), "ref")
+    everything = seen.select("classes")
+    if apart_langs:
+        keys = F.sort_array(F.collect_list(F.struct("key", "n")))
+        found = joined.join(common(joined).groupBy("lang").agg(keys.alias("found")), "lang", "left").withColumn("found", F.coalesce("found", F.expr("CAST(array() AS array<struct<key: bigint, n: bigint>>)")))
+        n_common = F.aggregate("found", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+        rare_refs = stored(found.select("lang", F.col("found.key").alias("keys"), F.concat(F.transform("found", lambda x: x["n"] / F.col("total")), F.array(1 - n_common / F.col("total"))).alias("word_ref")), "references")
+        rare_seen = stored(featured(rare.join(rare_refs.select("lang", "keys"), "lang").select(*texts.columns, "keys"), own, other), "rare-features")
+        everything = everything.unionByName(rare_seen.select("classes"))
+    if other:
+        refs = refs.unionByName(everything.agg(sums).select(F.lit(None).cast("string").alias("ref"), F.lit(other[0][2].tolist()).cast("array<double>").alias("word_ref"), "class_ref"))
+    refs = refs.withColumnRenamed("ref", "of")
+    out = judged(seen.join(F.broadcast(refs), F.col("ref").eqNullSafe(F.col("of")), "left"))
+    if apart_langs:
+        out = out.unionByName(judged(rare_seen.join(rare_refs.select("lang", "word_ref").join(rare_seen.groupBy("lang").agg(sums), "lang"), "lang", "left")))
+    return out
