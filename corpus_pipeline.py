@@ -3,23 +3,30 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, minhash, mixing, pii, quality
 from tallyloom.llm.common import stored
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A 64-bit key of the whole row, so that rows without a doc_id, or with that of another, are told apart."""
+    return F.xxhash64(*[docs[c] for c in docs.columns], *[docs[c].isNull() for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows of one doc_id stay if one of them is kept."""
-    kept = quality.quality(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id"))).where("_kept").select(*docs.columns)
+    """Rows that the quality rules keep."""
+    kept = quality.quality(docs.withColumn("doc_id", row_key(docs))).where("kept").select(F.col("doc_id").alias("_key"))
+    return docs.join(kept, row_key(docs) == F.col("_key"), "left_semi")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that with the least doc_id; rows without a doc_id stay."""
-    first = minhash.near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.where("doc_id IS NOT NULL").join(first, docs["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each class of near-duplicates, that with the least doc_id (none is the last, and the row's key breaks ties)."""
+    classes = minhash.near_duplicates(docs.withColumn("doc_id", row_key(docs))).select(F.col("doc_id").alias("_key"), "class_id")
+    ids = docs.select(row_key(docs).alias("_key"), F.col("doc_id").isNull().alias("last"), "doc_id")
+    first = classes.join(ids, "_key").groupBy("class_id").agg(F.min(F.struct("last", "doc_id", "_key")).alias("m")).select(F.col("m._key").alias("_key"))
+    return docs.withColumn("_key", row_key(docs)).join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +45,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality_rules), ("near-duplicates", near_dedup), ("personal data", private_data), ("source mix", source_mix), ("BPE", encoding)]
-#: Sketches, Feistel networks, hashes of the mix and BPE are beyond SQL; the tests have a brute-force version.
+#: Sketches, Feistel networks, hashes of the mix and BPE are beyond SQL; the tests have a brute-force version of near-duplicates, and of which rows the first two stages decide on.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,58 @@
+"""The pipeline decides by row, also where doc_ids are missing or repeated; whole rows are compared with brute force."""
+
+import random
+
+import corpus_pipeline
+import pytest
+from tallyloom.llm import quality
+
+DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    real = spark.read.parquet(f"{DIR}/documents.parquet")
+    rng = random.Random(3)
+    rows = []
+    for i, r in enumerate(real.orderBy("doc_id").collect()):
+        rows.append((rng.choice([None, i % 40, r.doc_id]), r.text, r.lang, r.source, r.n_chars))
+    rows += [rows[0], rows[1], (None, *rows[2][1:]), (0, *rows[3][1:]), (None, "", "en", "s", 0), (None, None, "en", "s", 0)]
+    return spark.createDataFrame(rows, real.schema).cache()
+
+
+def ordered(rows):
+    return sorted(map(tuple, rows), key=repr)
+
+
+def test_quality_rules_by_row(spark, docs):
+    rows = docs.collect()
+    numbered = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], docs.schema)
+    kept = {r.doc_id for r in quality.quality(numbered).where("kept").collect()}
+    want = [r for i, r in enumerate(rows) if i in kept]
+    assert 0 < len(want) < len(rows)
+    assert ordered(corpus_pipeline.quality_rules(spark, docs, DIR).collect()) == ordered(want)
+
+
+def test_near_dedup_by_row(spark, docs):
+    rows = list({tuple(r) for r in docs.collect()})
+    split = [(r[1] or "").encode().split() for r in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in split]
+    up = list(range(len(rows)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                up[top(i)] = top(j)
+    classes = {}
+    for i, r in enumerate(rows):
+        classes.setdefault(top(i), []).append(r)
+    got = ordered(corpus_pipeline.near_dedup(spark, docs, DIR).collect())
+    of = {r: top(i) for i, r in enumerate(rows)}
+    assert sorted(of[r] for r in got) == sorted(classes)  # one whole row of each class
+    rank = lambda r: (r[0] is None, r[0] or 0)
+    assert all(rank(r) == min(map(rank, classes[of[r]])) for r in got)
