@@ -33,7 +33,7 @@ MIN_CHARS, MIN_WORDS = 200, 40
 MAX_CLASS, MAX_WORD, ALLOW = 0.19, 0.14, 1.8
 
 #: Classes 0 lower-case, 1 upper-case, 2 digit, 3 white space, 4 stop mark, 5 other mark, 6 symbol, 7 beyond ASCII.
-CLASS = np.array([7 if b >= 128 else 0 if 97 <= b <= 122 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if K.SPACE[b] else 4 if chr(b) in ".,;:?'\"()-" else 6 if chr(b) in "#*$%&|<>" else 5 for b in range(256)])
+CLASS = np.array([7 if b >= 128 else 0 if 97 <= b <= 122 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if K.SPACE[b] else 4 if chr(b) in ".,;:?'\"()-" else 6 if chr(b) in "#*$%&|<>" else 5 for b in range(256)], np.uint8)
 SYMBOL = CLASS == 6
 CONTINUES = (np.arange(256) & 0xC0) == 0x80
 
@@ -142,9 +142,11 @@ def keyed(words: DataFrame) -> DataFrame:
     return words.select("lang", "n", "total", "word").mapInArrow(run, "lang string, n long, total long, key long")
 
 
-def reference(name: str | None, found: list[tuple[int, int]], total: int) -> Reference:
-    """found: the keys and counts of the common words."""
-    found = sorted((k % 2**64, n) for k, n in found)
+def reference(name: str | None, found: list[tuple[str, int]], total: int) -> Reference:
+    """found: the common words and their counts."""
+    raw = [w.encode() for w, _ in found]
+    off = np.cumsum([0, *map(len, raw)])
+    found = sorted(zip(K.keys(np.frombuffer(b"".join(raw), np.uint8), off[:-1], off[1:]).tolist(), (n for _, n in found))) if found else []
     return name, np.array([k for k, _ in found], np.uint64), np.array([n / total for _, n in found] + [1 - sum(n for _, n in found) / max(1, total)])
 
 
@@ -187,17 +189,16 @@ def quality(docs: DataFrame) -> DataFrame:
     joined = langs.where(F.col("own") & ~sent).select("lang", "total")
 
     def common(some: DataFrame) -> DataFrame:
-        return keyed(counts.join(some.select("lang", "total"), "lang").where(F.col("n") >= COMMON * F.col("total")))
+        return counts.join(some.select("lang", "total"), "lang").where(F.col("n") >= COMMON * F.col("total"))
 
-    words: dict[str, list[tuple[int, int]]] = {k: [] for k in totals}
+    words: dict[str, list[tuple[str, int]]] = {k: [] for k in totals}
     for r in common(langs.where(sent)).collect():  # at most 1 / COMMON for each language
-        words[r.lang].append((r.key, r.n))
+        words[r.lang].append((r.word, r.n))
     own = {k: reference(k, v, totals[k]) for k, v in words.items()}
     other: list[Reference] = []
     if n_langs > n_own:
-        of_all = counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * n_all)
-        pool = keyed(of_all.select(F.lit("").alias("lang"), "n", F.lit(n_all).cast("long").alias("total"), "word")).collect()
-        other = [reference(None, [(r.key, r.n) for r in pool], n_all), *(own[k] for k in largest)]
+        pool = counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * n_all).collect()
+        other = [reference(None, [(r.word, r.n) for r in pool], n_all), *(own[k] for k in largest)]
     apart_langs = n_own > len(own)
     rest = texts
     if apart_langs:
@@ -209,7 +210,7 @@ def quality(docs: DataFrame) -> DataFrame:
     everything = seen.select("classes")
     if apart_langs:
         keys = F.sort_array(F.collect_list(F.struct("key", "n")))
-        found = joined.join(common(joined).groupBy("lang").agg(keys.alias("found")), "lang", "left").withColumn("found", F.coalesce("found", F.expr("CAST(array() AS array<struct<key: bigint, n: bigint>>)")))
+        found = joined.join(keyed(common(joined)).groupBy("lang").agg(keys.alias("found")), "lang", "left").withColumn("found", F.coalesce("found", F.expr("CAST(array() AS array<struct<key: bigint, n: bigint>>)")))
         n_common = F.aggregate("found", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
         rare_refs = stored(found.select("lang", F.col("found.key").alias("keys"), F.concat(F.transform("found", lambda x: x["n"] / F.col("total")), F.array(1 - n_common / F.col("total"))).alias("word_ref")), "references")
         rare_seen = stored(featured(rare.join(rare_refs.select("lang", "keys"), "lang").select(*texts.columns, "keys"), own, other), "rare-features")
