@@ -34,6 +34,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shelf:
+    """Tables in the shared folder: put() writes and rereads one, drop() deletes those whose readers have been written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.places = spark, shared_dir(spark, name), {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{len(self.places)}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.places[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            _, path = self.places[id(t)]
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def lean_session(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes, and lets the shuffle files of finished actions go at once."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

@@ -5,9 +5,10 @@ that occurs c times weighs 1 + ln c. Each shingle sends arrivals of a Poisson pr
 a random register; a register keeps the shingle of its first arrival. A shingle's process ends early, once its next
 arrival comes after the last register's. Two documents then agree in a register with the probability Jaccard
 similarity of their weighted shingles. Documents that agree in a band of registers are candidates; a link needs a
-Jaccard similarity of the plain shingle sets of at least SIMILARITY, computed exactly.
+Jaccard similarity of the plain shingle sets of at least SIMILARITY, computed exactly. Texts with repeated shingles are
+also sketched with unit weights, so that pairs that differ in repeats only are candidates as surely as others.
 
-Documents with equal sets are one representative. A band's bucket has a pivot, its least representative, and every
+Documents with equal sets are one representative, told apart by a 128-bit fingerprint of the set. A band's bucket has a pivot, its least representative, and every
 member is compared with it. Two members that these links bring into the pivot's class need no link of their own; all other pairs of the
 pivot's members are searched with an exact prefix filter on what sets them apart from the pivot. With E the symmetric
 difference of a member's set and the pivot's, members x and y are linked only if
@@ -17,9 +18,10 @@ searched in the same way by their whole sets. The triangle inequality of the Jac
 linked at all. So a group of many near copies needs comparisons for what its copies share beyond the pivot, not for
 each of its pairs, and no link between classes is lost.
 
-Classes are the connected components of the links, named by their least doc_id. Null, empty or blank texts have no
-shingles and are classes of their own, as are rows without a doc_id (class null). Repeated rows share a class.
-Other columns are not read.
+Classes are the connected components of the links, named by their least doc_id (null if none of theirs has one). Rows
+are told apart by doc_id and a 128-bit key of the text, so rows of one doc_id with different texts are judged each.
+Null, empty or blank texts have no shingles and are classes of their own. Repeated rows share a class. Very long texts
+are sketched whole. Without documents the result is empty. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,9 +34,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import lean_session, stored, text_or_empty
+from .common import Shelf, lean_session, text_or_empty
 
 SIZE, BANDS, ROWS, SIMILARITY = 5, 16, 4, 0.8
+#: Rows that are broadcast at most (32 bytes each), and pairs that one part of a hot pivot has.
+SENT, SPLIT = 1 << 20, 256
 U = np.uint64
 
 
@@ -81,22 +85,34 @@ def bands(who: np.ndarray) -> np.ndarray:
     return K.mix(key + np.arange(BANDS, dtype=U)).view(np.int64)
 
 
+def band_keys(shingle: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Bands of the weighted sketch, and of that with unit weights where a shingle is repeated."""
+    own = bands(prob_minhash(shingle, 1 + np.log(count)))
+    return own if count.max() == 1 else np.concatenate((own, bands(prob_minhash(shingle, np.ones(len(shingle))))))
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2, text): t1 and t2 are a 128-bit key of the text."""
+    text = text_or_empty()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp1, fp2, n, bands): a fingerprint of the shingle set, its size, and the band keys."""
+    """(doc_id, t1, t2, fp1, fp2, n, bands): a fingerprint of the shingle set, its size, and the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, off in K.slices(batch.column(1)):
+            for a, b, data, off in K.slices(batch.column(3)):
                 out: list[tuple] = []
                 for s in shingles(data, off):
                     u, c = np.unique(s, return_counts=True)
                     own = K.mix(u)
                     fp = [int(x.sum(dtype=U).view(np.int64)) if len(x) else 0 for x in (own, K.mix(own))]
-                    out.append((*fp, len(u), bands(prob_minhash(u, 1 + np.log(c))) if len(u) else None))
+                    out.append((*fp, len(u), band_keys(u, c) if len(u) else None))
                 one, two, n, keys = zip(*out)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[a:b], "fp1": pa.array(one, pa.int64()), "fp2": pa.array(two, pa.int64()), "n": pa.array(n, pa.int64()), "bands": pa.array(keys, pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_arrays([*(x[a:b] for x in batch.columns[:3]), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "t1", "t2", "fp1", "fp2", "n", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp1 long, fp2 long, n long, bands array<long>")
+    return texts_of(docs).mapInArrow(run, "doc_id long, t1 long, t2 long, fp1 long, fp2 long, n long, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -111,37 +127,60 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, shingles array<long>")
 
 
-def components(links: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, shingles) of the texts of wanted: (id, doc_id, t1, t2).
+
+    Up to SENT rows of wanted, of 32 bytes each, are broadcast, so that only their texts are shuffled; beyond, all are.
+    """
+    few = wanted.select("id", F.col("doc_id").alias("_d"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
+    if wanted.count() <= SENT:
+        few = F.broadcast(few)
+    own = texts_of(docs).join(few, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")))
+    return shingle_sets(own.groupBy("id").agg(F.first("text").alias("text")))  # a row can be repeated
+
+
+def components(links: DataFrame, shelf: Shelf) -> DataFrame:
     """(id, class): the least id of each id's connected component. links: (a, b)."""
-    both = stored(links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a")).distinct(), "links")
-    label = stored(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("class")), "labels")
+    both = shelf.put(links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a")).distinct(), "both")
+    old = shelf.put(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("class")), "labels")
+    label = old
     while True:
         near = both.join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("class").alias("near"))
         hop = label.select(F.col("id").alias("class"), F.col("class").alias("hop"))
-        new = stored(label.join(near, "id").join(hop, "class", "left").select("id", F.least("class", "near", "hop").alias("class"), (F.least("class", "near", "hop") < F.col("class")).alias("moved")), "labels")
-        label = new.select("id", "class")
+        new = shelf.put(label.join(near, "id").join(hop, "class", "left").select("id", F.least("class", "near", "hop").alias("class"), (F.least("class", "near", "hop") < F.col("class")).alias("moved")), "labels")
+        shelf.drop(old)
+        old, label = new, new.select("id", "class")
         if new.where("moved").isEmpty():
+            shelf.drop(both)
             return label
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, similarity) of pairs (a, b) of ids. sets: (id, shingles)."""
+def faced_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with their sets x and y. An id b of many pairs has them dealt by a to parts of about SPLIT pairs, each with a copy of y."""
+    many = F.broadcast(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts")).where("parts > 1").orderBy(F.desc("parts"), "b").limit(SENT))
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity"))
+    dealt = pairs.join(many, "b", "left").withColumn("part", F.pmod(F.hash("a"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    copies = right.join(many, "b", "left").select("b", "y", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return dealt.join(left, "a").join(copies, ["b", "part"]).drop("part")
 
 
-def prefixes(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) of ids with similarity, the sizes n and pivot_n, and what is in one set only (apart). sets: (id, shingles)."""
+    n, m, left = F.size("x"), F.size("y"), F.array_except("x", "y")
+    rows = faced_sets(pairs, sets).select("*", n.alias("n"), m.alias("pivot_n"), left.alias("own"))
+    shared = F.col("n") - F.size("own")
+    rows = rows.withColumn("similarity", shared / (F.col("n") + F.col("pivot_n") - shared))
+    return rows.withColumn("apart", F.when(F.col("similarity") >= 0.5, F.concat("own", F.array_except("y", "x")))).drop("x", "y", "own")
+
+
+def prefixes(members: DataFrame, similarity: float) -> DataFrame:
     """The rarest elements of each member's set, as far as a linked partner must share one of them.
 
-    members: (a, b, linked, far) of a member a, its pivot b, and whether they are in one class already; far is 0 for the difference to the pivot, 1 for the
-    whole set. short is for partners that are not in the pivot's class; the rest of a prefix is for those that are.
+    members: (a, b, linked, far, n, pivot_n, e) of a member a, its pivot b, and whether they are in one class already; e is the difference to
+    the pivot if far is 0, the whole set if it is 1. short is for partners that are not in the pivot's class; the rest of a prefix is for those that are.
     """
     c = (1 - similarity) / (1 + similarity)
-    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    apart = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
-    e = members.join(left, "a").join(right, "b").select("far", "b", "a", "linked", F.size("x").alias("n"), F.size("y").alias("pivot_n"), F.when(F.col("far") == 0, apart).otherwise(F.col("x")).alias("e"))
-    e = e.withColumn("size", F.size("e"))
+    e = members.withColumn("size", F.size("e"))
     to_open = F.when(F.col("far") == 0, (F.col("size") - c * (F.col("n") - F.col("pivot_n"))) / 2).otherwise(similarity * F.col("n"))
     to_linked = F.when(F.col("far") == 0, F.col("size") - c * (1 + 1 / similarity) * F.col("n")).otherwise(similarity * F.col("n"))
     length = lambda least: F.col("size") - F.greatest(F.ceil(least - 1e-6), F.lit(1)) + 1
@@ -166,40 +205,47 @@ def partners(prefix: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, n_shingles) for each document."""
+    """(doc_id, class_id, n_shingles) for each row of docs."""
     lean_session(docs.sparkSession)
-    far = 1 - similarity
-    seen = stored(sketches(docs), "sketches")
-    owners = seen.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
-    reps = stored(owners.select("fp1", "fp2", "n", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")), "representatives")
-    entries = reps.select("rep", F.explode("bands").alias("bucket"))
-    pivots = entries.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", "pivot")
-    faced = stored(entries.join(pivots, "bucket").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "faced")
+    shelf = Shelf(docs.sparkSession, "minhash")
+    reach = 1 - similarity
+    seen = shelf.put(sketches(docs), "sketches")
+    owners = seen.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc_id", "t1", "t2", "bands")).alias("m"), F.min("doc_id").alias("least"))
+    reps = shelf.put(owners.select("fp1", "fp2", "n", "least", F.monotonically_increasing_id().alias("rep"), "m.doc_id", "m.t1", "m.t2", F.array_distinct("m.bands").alias("bands")), "representatives")
+    entries = reps.select("rep", "least", F.explode("bands").alias("bucket"))
+    # The least doc_id of a bucket, often the original of its copies and so near all of them.
+    pivots = entries.groupBy("bucket").agg(F.min(F.struct("least", "rep")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", F.col("m.rep").alias("pivot"))
+    faced = shelf.put(entries.join(pivots, "bucket").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "faced")
     named_in = faced.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(named_in, "id", "left_semi")
-    sets = stored(shingle_sets(own.groupBy("id").agg(F.min("text").alias("text"))), "shingles")
-    known = stored(verified(faced, sets), "verified")
-    direct = stored(known.where(F.col("similarity") >= similarity).select("a", "b"), "links")
-    label = None if direct.isEmpty() else components(direct)
+    wanted = shelf.put(named_in.join(reps.select(F.col("rep").alias("id"), "doc_id", "t1", "t2"), "id"), "wanted")
+    sets = shelf.put(sets_of(docs, wanted), "shingles")
+    known = shelf.put(verified(faced, sets), "verified")
+    shelf.drop(faced, wanted)
+    linked = known.where(F.col("similarity") >= similarity).select("a", "b")
+    label = None if linked.isEmpty() else components(linked, shelf)
     if label is None:
-        known = known.withColumn("linked", F.lit(False))
+        placed = known.withColumn("linked", F.lit(False))
     else:
         of = lambda key: label.select(F.col("id").alias(key), F.col("class").alias(f"class_{key}"))
-        known = known.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("linked", F.coalesce(F.col("class_a") == F.col("class_b"), F.lit(False))).drop("class_a", "class_b")
-    group = known.groupBy("b").agg(F.count(F.lit(1)).alias("k"), F.max(F.when(~F.col("linked"), F.col("similarity"))).alias("nearest"), F.min("similarity").alias("farthest")).where("k > 1 AND nearest IS NOT NULL")
+        placed = known.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("linked", F.coalesce(F.col("class_a") == F.col("class_b"), F.lit(False))).drop("class_a", "class_b")
+    group = placed.groupBy("b").agg(F.count(F.lit(1)).alias("k"), F.max(F.when(~F.col("linked"), F.col("similarity"))).alias("nearest"), F.min("similarity").alias("farthest")).where("k > 1 AND nearest IS NOT NULL")
     # A member of the pivot's class matters only if it is far enough from the pivot to reach the nearest other one.
-    member = known.join(group, "b").where(~F.col("linked") | (F.col("similarity") <= F.col("nearest") + far + 1e-9))
-    near, low = F.col("similarity") >= 0.5, (F.col("similarity") < 0.5 + far + 1e-9) & (F.col("farthest") < 0.5)
-    kinds = F.filter(F.array(F.when(near, 0), F.when(low, 1)), lambda k: k.isNotNull())
-    prefix = stored(prefixes(member.select("a", "b", "linked", F.explode(kinds).alias("far")), sets, similarity), "prefixes")
-    more = verified(partners(prefix, similarity), sets).where(F.col("similarity") >= similarity).select("a", "b")
-    found = stored(more, "links")
-    if not found.isEmpty():
-        label = components(direct.union(found))
-    named = reps.select("fp1", "fp2", "n", "rep")
-    if label is not None:
-        named = named.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("class", "rep").alias("class"))
+    member = placed.join(group, "b").where(~F.col("linked") | (F.col("similarity") <= F.col("nearest") + reach + 1e-9))
+    columns = ("a", "b", "linked", "n", "pivot_n")
+    near = member.where("similarity >= 0.5").select(*columns, F.lit(0).alias("far"), F.col("apart").alias("e"))
+    low = member.where((F.col("similarity") < 0.5 + reach + 1e-9) & (F.col("farthest") < 0.5))
+    whole = low.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("e")), "a").select(*columns, F.lit(1).alias("far"), "e")
+    prefix = shelf.put(prefixes(near.union(whole), similarity), "prefixes")
+    more = shelf.put(verified(partners(prefix, similarity), sets).where(F.col("similarity") >= similarity).select("a", "b"), "links")
+    if not more.isEmpty():
+        label = components(linked.union(more), shelf)
+    shelf.drop(sets, known, prefix, more)
+    named = reps.select("fp1", "fp2", "n", "rep", "least")
+    if label is None:
+        named = named.withColumnRenamed("least", "class_id")
     else:
-        named = named.withColumnRenamed("rep", "class")
-    some = seen.where("n > 0 AND doc_id IS NOT NULL").join(named, ["fp1", "fp2", "n"]).select("doc_id", F.col("class").alias("class_id"), F.col("n").alias("n_shingles"))
-    return some.unionByName(seen.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("n").alias("n_shingles")))
+        of_class = label.join(named.select(F.col("rep").alias("id"), "least"), "id").groupBy("class").agg(F.min("least").alias("class_least"))
+        in_class = label.join(of_class, "class").select(F.col("id").alias("rep"), F.lit(True).alias("in_class"), "class_least")
+        named = named.join(in_class, "rep", "left").select("fp1", "fp2", "n", F.when(F.col("in_class"), F.col("class_least")).otherwise(F.col("least")).alias("class_id"))
+    some = seen.where("n > 0").select("doc_id", "fp1", "fp2", "n").join(named, ["fp1", "fp2", "n"]).select("doc_id", "class_id", F.col("n").alias("n_shingles"))
+    return some.unionByName(seen.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("n").alias("n_shingles")))
