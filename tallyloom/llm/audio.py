@@ -4,12 +4,13 @@ A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are s
 file at RATE. The stored samples are read back, resampled to TARGET by a polyphase filter (windowed sinc, one branch
 for each output phase), cut into overlapping Hann windows, and turned into log-mel energies in decibels. Runs of frames
 are segmented by energy with hysteresis: a segment begins above the upper level and ends below the lower one. Features
-come in tensors of FRAMES x MELS numbers, the last one padded with FLOOR, each with its span of seconds and the loud
-spans in it. They are stored for each document, with Arrow's tensor type and shape in the schema of the files, and the
-digests of the features are taken from what is read back.
+come in tensors of FRAMES x MELS numbers, in hundredths of a decibel as 16-bit integers (the level of 8-bit samples is not
+known more exactly), the last one padded with FLOOR, each with its span of seconds and the loud spans in it. They are
+stored for each document, with Arrow's tensor type and shape in the schema of the files, and the digests of the features
+are taken from what is read back.
 
 Null and empty texts have 64 zero bytes as payload. Equal texts have equal media and features. Very long texts are
-framed in runs of BLOCK frames. Repeated rows get rows each; other columns are not read.
+framed in runs of BLOCK frames. Repeated rows get rows each; without documents the result is empty. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,14 +34,15 @@ from .common import lean_session, shared_dir, text_or_empty
 RATE, TARGET, TAPS = 16_000, 8_000, 16
 WINDOW, HOP, FFT, MELS = 200, 80, 256, 40
 FRAMES, BLOCK, FLOOR = 64, 4096, -100.0
+UNIT = 100  # tensors hold whole hundredths of a decibel, in 16 bits
 UPPER, LOWER = 3.0, -3.0  # decibels against the median frame
 BATCH = 8 << 20  # bytes of tensors sent at once, if a document has not more
 
 #: A field of tensors in a schema, marked as Arrow does it: Spark has lists only, but keeps what its fields are marked with.
-TENSOR = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))
+TENSOR = pa.fixed_shape_tensor(pa.int16(), (FRAMES, MELS))
 MARK = {"ARROW:extension:name": TENSOR.extension_name, "ARROW:extension:metadata": json.dumps({"shape": TENSOR.shape})}
 SPANS = T.ArrayType(T.StructType().add("t_start", "double").add("t_end", "double"))
-PART = T.StructType().add("t_start", "double").add("t_end", "double").add("log_mel", T.ArrayType(T.FloatType()), metadata=MARK).add("loud", SPANS)
+PART = T.StructType().add("t_start", "double").add("t_end", "double").add("log_mel", T.ArrayType(T.ShortType()), metadata=MARK).add("loud", SPANS)
 STORED = T.StructType().add("doc_id", "long").add("n_bytes", "long").add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("tensors", T.ArrayType(PART))
 
 
@@ -164,17 +166,17 @@ def tensor_rows(stored_media: DataFrame) -> DataFrame:
     def columns(rows: list[tuple]) -> pa.RecordBatch:
         *plain, mels, segs = zip(*rows)
         parts = np.array([-(-len(mel) // FRAMES) for mel in mels])
-        padded = np.full((parts.sum() * FRAMES, MELS), FLOOR, np.float32)
+        padded = np.full((parts.sum() * FRAMES, MELS), FLOOR * UNIT, np.int16)
         start, end, loud = [], [], []
         for mel, seg, n, at in zip(mels, segs, parts.tolist(), (np.cumsum(parts) - parts).tolist()):
-            padded[at * FRAMES : at * FRAMES + len(mel)] = mel
+            padded[at * FRAMES : at * FRAMES + len(mel)] = np.rint(mel * UNIT)
             first = np.arange(n) * FRAMES
             last = np.minimum(first + FRAMES, len(mel))
             start.append(first * HOP / TARGET)
             end.append(((last - 1) * HOP + WINDOW) / TARGET)
             low, high = np.searchsorted(seg[:, 1], first, "right"), np.searchsorted(seg[:, 0], last, "left")
             loud += [[{"t_start": max(a, f) * HOP / TARGET, "t_end": min(b, e) * HOP / TARGET} for a, b in seg[i:j].tolist()] for f, e, i, j in zip(first.tolist(), last.tolist(), low, high)]
-        part = pa.StructArray.from_arrays([pa.array(np.concatenate(start)), pa.array(np.concatenate(end)), as_tensor(padded).storage.cast(pa.list_(pa.float32())), pa.array(loud, pa.list_(span))], PART.names)
+        part = pa.StructArray.from_arrays([pa.array(np.concatenate(start)), pa.array(np.concatenate(end)), as_tensor(padded).storage.cast(pa.list_(pa.int16())), pa.array(loud, pa.list_(span))], PART.names)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
         return pa.RecordBatch.from_arrays([*map(pa.array, plain, kinds), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(parts)), pa.int32()), part)], STORED.names)
 
@@ -203,13 +205,13 @@ def tensors(stored_media: DataFrame) -> DataFrame:
 def stored_tensors(stored_media: DataFrame) -> DataFrame:
     """tensor_rows, written to the shared folder and read from there with the schema that the files have."""
     path = shared_dir(stored_media.sparkSession, "tensors")
-    tensor_rows(stored_media).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+    tensor_rows(stored_media).write.option("compression", "zstd").parquet(path)
     return stored_media.sparkSession.read.parquet(path)
 
 
 def as_tensor(values: np.ndarray) -> pa.FixedShapeTensorArray:
     """Values of shape (n, FRAMES, MELS), or the column log_mel as numbers, as Arrow's fixed-shape tensors."""
-    return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(np.asarray(values, np.float32).reshape(-1, FRAMES, MELS)))
+    return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(np.asarray(values, np.int16).reshape(-1, FRAMES, MELS)))
 
 
 def tensor_type(rows: DataFrame) -> pa.FixedShapeTensorType:
@@ -217,7 +219,7 @@ def tensor_type(rows: DataFrame) -> pa.FixedShapeTensorType:
     mark = rows.schema["tensors"].dataType.elementType["log_mel"].metadata
     if mark.get("ARROW:extension:name") != TENSOR.extension_name:
         raise ValueError("log_mel is not marked as a tensor")
-    return pa.fixed_shape_tensor(pa.float32(), json.loads(mark["ARROW:extension:metadata"])["shape"])
+    return pa.fixed_shape_tensor(pa.int16(), json.loads(mark["ARROW:extension:metadata"])["shape"])
 
 
 def described(rows: DataFrame) -> DataFrame:
@@ -235,7 +237,7 @@ def described(rows: DataFrame) -> DataFrame:
             on, off = frame(loud.field("t_start")), frame(loud.field("t_end"))
             out = []
             for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-                mel = values[i:j].reshape(-1, kind.shape[1])[: end[i:j].sum()]
+                mel = values[i:j].reshape(-1, kind.shape[1])[: end[i:j].sum()] / UNIT
                 a, b = on[spans[i] : spans[j]], off[spans[i] : spans[j]]
                 cut = a[1:] != b[:-1]  # segments that go over the end of a tensor are joined again
                 seg = np.stack([a[np.append(True, cut)[: len(a)]], b[np.append(cut, True)[: len(b)]]], axis=1)

@@ -22,9 +22,9 @@ def test_audio_tensors_are_stored(spark, monkeypatch):
     assert sorted(r.doc_id for r in rows) == sorted(got) == sorted(media)
     for r in rows:
         _, want, _ = audio.features(media[r.doc_id])
-        stored = np.concatenate([np.array(p.log_mel, np.float32).reshape(audio.FRAMES, audio.MELS) for p in r.tensors])
+        stored = np.concatenate([np.array(p.log_mel).reshape(audio.FRAMES, audio.MELS) / audio.UNIT for p in r.tensors])
         mel = stored[: len(want)]
-        assert len(r.tensors) == -(-len(want) // audio.FRAMES) and np.abs(mel - want).max() < 0.01 and (stored[len(want) :] == audio.FLOOR).all()
+        assert len(r.tensors) == -(-len(want) // audio.FRAMES) and np.abs(mel - want).max() < 0.00501 and (stored[len(want) :] == audio.FLOOR).all()
         on = np.zeros(len(mel), bool)
         for p in r.tensors:
             for x in p.loud:
@@ -34,6 +34,6 @@ def test_audio_tensors_are_stored(spark, monkeypatch):
         exact = hashlib.sha256(np.rint(mel * 10).astype("<i2").tobytes() + seg.astype("<i8").tobytes()).hexdigest()
         assert got[r.doc_id] == f"{len(mel)}:{len(seg)}:{mel.mean(dtype=np.float64):.1f}:{exact[:32]}"
     assert max(len(r.tensors) for r in rows) > 10
-    louder = held.withColumn("tensors", F.transform("tensors", lambda t: t.withField("log_mel", F.transform(t["log_mel"], lambda v: (v + 1).cast("float")))))
+    louder = held.withColumn("tensors", F.transform("tensors", lambda t: t.withField("log_mel", F.transform(t["log_mel"], lambda v: (v + 100).cast("short")))))
     marked = louder.withColumn("tensors", F.col("tensors").cast(held.schema["tensors"].dataType))
     assert not set(got.values()) & {r.feature for r in audio.described(marked).collect()}
