@@ -6,7 +6,9 @@ when its bytes are encoded; pairs are tested together with numpy, by undoing mer
 and looking for one that would have come first. Words that fail are merged exactly, by rank. Encodings of words are
 kept in a worker up to KEEP words, then the later half is forgotten. Decoding turns each id into its bytes and the bytes into text.
 
-Null and empty texts have no ids. Special strings in a text are one id each. Repeated rows get a row each.
+Null and empty texts have no ids. Special strings in a text are one id each. Repeated rows get a row each. Very long texts
+are encoded whole, one at a time; without documents the result is empty. Other columns pass as they are; those that are
+named like a new one, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -14,14 +16,16 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, filterfalse
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import lean_session, text_or_empty
 
@@ -37,6 +41,40 @@ def pretokens(text: str) -> list[str]:
     return PLAIN.findall(text) if text.isascii() or not ODD.search(text) else PATTERN.findall(text)
 
 
+def specials(described: dict) -> dict[str, int]:
+    """The special strings of a tokenizer's file and their ids. Only byte-level files with the usual pattern are read."""
+    kind = described.get("pre_tokenizer") or {}
+    if kind.get("type") != "ByteLevel" or kind.get("use_regex") is False or kind.get("add_prefix_space") or described.get("normalizer"):
+        raise ValueError("not a byte-level tokenizer with the usual pattern")
+    return {t["content"]: t["id"] for t in described.get("added_tokens", [])}
+
+
+def cutter(special: Iterable[str]) -> Callable[[str], list[str]]:
+    """Cuts a text into pre-tokens and special strings."""
+    known = sorted(special, key=len, reverse=True)
+    if not known:
+        return pretokens
+    mark = re.compile("(" + "|".join(map(re.escape, known)) + ")")
+
+    def cut(text: str) -> list[str]:
+        if not any(s in text for s in known):
+            return pretokens(text)
+        return [w for k, part in enumerate(mark.split(text)) for w in ([part] if k % 2 else pretokens(part))]
+
+    return cut
+
+
+def text_runs(column: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of runs of texts of about size bytes, or one longer text."""
+    length = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    end = np.cumsum(length)
+    at = 0
+    while at < len(length):
+        stop = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + size, side="right")))
+        yield at, stop
+        at = stop
+
+
 def byte_of_char() -> dict[str, int]:
     """The byte for each character that byte-level vocabularies use: printable bytes stand for themselves, others follow from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -52,7 +90,8 @@ class SpeculativeBpe:
         to_byte = byte_of_char()
         raw = lambda s: bytes(to_byte[c] for c in s)
         vocab = {raw(k): v for k, v in x["model"]["vocab"].items()}
-        self.special = {t["content"]: t["id"] for t in x.get("added_tokens", [])}
+        self.special = specials(x)
+        self.cut = cutter(self.special)
         size = 1 + max([*vocab.values(), *self.special.values()])
         self.bytes: list[bytes] = [b""] * size
         for k, v in vocab.items():
@@ -171,11 +210,9 @@ class SpeculativeBpe:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """For each text the number of ids, the ids joined by commas, and the bytes that they decode to."""
-        if self.special:
-            mark = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-            for s, i in self.special.items():
-                self.ids[s], self.raw[s] = str(i), self.bytes[i]
-        cut = [[w for k, part in enumerate(mark.split(t)) for w in ([part] if k % 2 else pretokens(part))] if self.special and any(s in t for s in self.special) else pretokens(t) for t in texts]
+        for special, i in self.special.items():
+            self.ids[special], self.raw[special] = str(i), self.bytes[i]
+        cut = [self.cut(t) for t in texts]
         new = set(filterfalse(self.ids.__contains__, chain.from_iterable(cut)))
         if len(self.ids) + len(new) > KEEP:
             first = list(self.ids)[: KEEP // 2]  # the words learnt first, so the frequent ones
@@ -200,27 +237,23 @@ def coder(described: str) -> SpeculativeBpe:
     return _loaded[key]
 
 
-def encoded(docs: DataFrame, tokenizer_file: str, schema: str, row) -> DataFrame:
-    """mapInPandas over docs, whose last column is the text: row(n, ids, decoded) gives the columns that replace it."""
+def encoded(docs: DataFrame, tokenizer_file: str, schema: str, columns: Callable[[list[tuple[int, str, bytes]]], list[pa.Array]]) -> DataFrame:
+    """docs, whose last column is the text, with the columns in its place that columns() makes of (n, ids, decoded). Other columns stay as they are."""
     lean_session(docs.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a tokenizer's file, of fixed size
+    names = StructType.fromDDL(schema).names
+    kept = StructType(docs.schema.fields[:-1])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(shared.value)
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            at = 0
-            while at < len(texts):  # of about 2 MB, or one longer text
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < 2_000_000):
-                    size += len(texts[end])
-                    end += 1
-                new = pd.DataFrame([row(*x) for x in c.encode(texts[at:end])], index=pdf.index[at:end])
-                yield pd.concat([pdf.iloc[at:end].drop(columns="text"), new], axis=1)
-                at = end
+        for batch in batches:
+            *other, text = batch.columns
+            for a, b in text_runs(text):
+                new = columns(list(c.encode(text[a:b].to_pylist())))
+                yield pa.RecordBatch.from_arrays([*(x[a:b] for x in other), *new], [*batch.schema.names[:-1], *names])
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, StructType(kept.fields + StructType.fromDDL(schema).fields))
 
 
 def sha(data: bytes) -> str:
@@ -230,15 +263,20 @@ def sha(data: bytes) -> str:
 def round_trip(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    row = lambda n, ids, raw: {"n_tokens": n, "ids_sha256": sha(ids.encode()), "decoded_sha256": sha(raw.decode("utf-8", "replace").encode())}
-    return encoded(rows, tokenizer_file, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+
+    def columns(found: list[tuple[int, str, bytes]]) -> list[pa.Array]:
+        return [pa.array([n for n, _, _ in found], pa.int64()), pa.array([sha(ids.encode()) for _, ids, _ in found], pa.string()), pa.array([sha(raw.decode("utf-8", "replace").encode()) for _, _, raw in found], pa.string())]
+
+    return encoded(rows, tokenizer_file, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
 
 
 def encode_documents(docs: DataFrame, tokenizer_file: str) -> DataFrame:
-    """The documents with their ids: every column, then token_ids and n_tokens."""
-    clash = [c for c in docs.columns if c in ("token_ids", "n_tokens")]
-    rows = docs.drop(*clash).withColumn("text", text_or_empty())
-    rows = rows.select(*[c for c in rows.columns if c != "text"], "text")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    row = lambda n, ids, raw: {"text": raw.decode("utf-8", "replace"), "token_ids": np.array(ids.split(",") if ids else [], np.int32), "n_tokens": n}
-    return encoded(rows, tokenizer_file, f"{kept}, text string, token_ids array<int>, n_tokens long", row)
+    """The documents with their ids: every other column, then text, token_ids and n_tokens, which replace columns of these names in any case."""
+    rows = docs.withColumn("text", text_or_empty())
+    rows = rows.select(*[rows[f"`{c}`"] for c in rows.columns if c.lower() not in ("text", "token_ids", "n_tokens")], "text")
+
+    def columns(found: list[tuple[int, str, bytes]]) -> list[pa.Array]:
+        ids = [np.array(ids.split(",") if ids else [], np.int32) for _, ids, _ in found]
+        return [pa.array([raw.decode("utf-8", "replace") for _, _, raw in found], pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array([n for n, _, _ in found], pa.int64())]
+
+    return encoded(rows, tokenizer_file, "text string, token_ids array<int>, n_tokens long", columns)

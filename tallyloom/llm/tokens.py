@@ -1,70 +1,94 @@
 """Token counts: each distinct pre-token is tokenised once, and documents sum the counts of theirs.
 
-The pre-tokens of all texts are counted; each distinct one gets its number of tokens. Frequent pre-tokens (at least one
-in HEAD of all occurrences, so HEAD of them at most, of at most HEAD_BYTES bytes each) are broadcast; the others
-are joined by a shuffle, where no short pre-token can be hot any more. Both joins' counts are summed for each document
-before they are shuffled. No token ids are kept.
+One pass over the texts gives each document's pre-tokens and how often it has each, which are stored. The distinct ones of
+all documents get their number of tokens. Frequent ones (in at least one of HEAD of all document's entries, so HEAD of them
+at most, known by 16-byte keys) are broadcast; the others are joined by a shuffle, where no pre-token can be hot any more.
+Both joins' counts are summed for each document before they are shuffled. No token ids are kept.
 
 Null and empty texts have no tokens. Special strings in a text are one token each, as the library's default has it.
-Repeated rows are counted once and then repeated. Other columns are not read.
+Rows are told apart by a number of their own, so repeated rows, missing and repeated doc_ids get a row each. Very long
+texts are cut whole, one at a time. Without documents the result is empty. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean_session, stored, text_or_empty
+from .bpe import cutter, specials, text_runs
+from .common import Shelf, lean_session, text_or_empty
 
-#: White space as the byte-level pre-tokeniser has it, and its pattern, for Java's regular expressions.
-SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-SPECIAL = "<|endoftext|>"
-HEAD, HEAD_BYTES = 2_000_000, 64
+HEAD = 2_000_000
 
 
-def pieces_of(text, special: str = SPECIAL):
-    """The pre-tokens of a text, without special strings."""
-    whole = lambda t: F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))
-    parts = F.split(text, r"\Q" + special + r"\E", -1)
-    return F.when(F.contains(text, F.lit(special)), F.flatten(F.transform(parts, whole))).otherwise(whole(text))
+def pretoken_table(docs: DataFrame, special: list[str]) -> DataFrame:
+    """(row, doc_id, n_bytes, shown, pieces, times): each row's distinct pre-tokens and their counts; shown: its special strings."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, marks = cutter(special), set(special)
+        for batch in batches:
+            for a, b in text_runs(batch.column(3)):
+                pieces, times, shown = [], [], []
+                for text in batch.column(3)[a:b].to_pylist():
+                    count = Counter(cut(text))
+                    shown.append(sum(count.pop(m, 0) for m in marks))
+                    pieces.append(list(count))
+                    times.append(list(count.values()))
+                yield pa.RecordBatch.from_arrays([*(x[a:b] for x in batch.columns[:3]), pa.array(shown, pa.int64()), pa.array(pieces, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))], ["row", "doc_id", "n_bytes", "shown", "pieces", "times"])
 
-def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 1024, special: str = SPECIAL) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) for each document."""
-    spark = docs.sparkSession
-    lean_session(spark)
-    with open(tokenizer_file, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())  # a tokenizer's file, of fixed size
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, "row long, doc_id long, n_bytes long, shown long, pieces array<string>, times array<int>")
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def token_numbers(pieces: DataFrame, described: str) -> DataFrame:
+    """(piece, entries, n): the number of tokens of each piece. pieces: (piece, entries)."""
+    shared = pieces.sparkSession.sparkContext.broadcast(described)  # a tokenizer's file, of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_str(shared.value)
         tok.no_padding()
         tok.no_truncation()
-        for pdf in batches:
-            parts = [tok.encode_batch_fast(pdf["piece"].iloc[a : a + 2000].tolist(), add_special_tokens=False) for a in range(0, len(pdf), 2000)]
-            yield pdf.assign(n=[len(x) for part in parts for x in part])
-
-    key = ["doc_id", "text_key"]  # the key is taken before the text is exploded, or it would be hashed for each piece
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_key", F.hash("text"))
-    pieces = base.select(*key, F.explode(pieces_of(F.col("text"), special)).alias("piece"))
-    counts = stored(pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("times")).mapInPandas(counted, "piece string, times long, n int"), "pieces")
-    total = counts.agg(F.sum("times")).first()[0] or 0
-    frequent = (F.col("times") * HEAD >= total) & (F.octet_length("piece") <= HEAD_BYTES)
-    head, tail = F.broadcast(counts.where(frequent).select("piece", "n")), counts.where(~frequent).select("piece", "n")
-    by_head = pieces.join(head, "piece").groupBy("doc_id", "text_key").agg(F.sum("n").alias("n"))
-    by_tail = pieces.join(head, "piece", "left_anti").join(tail, "piece").groupBy("doc_id", "text_key").agg(F.sum("n").alias("n"))
-    shown = F.size(F.split("text", r"\Q" + special + r"\E", -1)) - 1
-    rows = base.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.max(F.octet_length("text")).cast("long").alias("n_bytes"), F.max(shown).alias("shown"), F.lit(0).cast("long").alias("n"))
-    none = F.lit(None)
-    parts = rows.unionByName(by_head.union(by_tail).withColumns({"copies": none.cast("long"), "n_bytes": none.cast("long"), "shown": none.cast("int")}))
-    one = parts.groupBy("doc_id", "text_key").agg(F.max("copies").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.max("shown").alias("shown"), F.sum("n").alias("n"))
-    n = (F.col("n") / F.col("copies")).cast("long") + F.col("shown")
-    return one.select("doc_id", "n_bytes", n.cast("long").alias("n_tokens"), (n > limit).alias("over_limit"), F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
+        for batch in batches:
+            for a, b in text_runs(batch.column(0)):
+                own = batch.column(0)[a:b]
+                n = [len(x) for x in tok.encode_batch_fast(own.to_pylist(), add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([own, batch.column(1)[a:b], pa.array(n, pa.int64())], ["piece", "entries", "n"])
+
+    return pieces.mapInArrow(run, "piece string, entries long, n long")
+
+
+def keyed(piece: str) -> list[Column]:
+    """A 16-byte key of a pre-token."""
+    return [F.xxhash64(F.col(piece)).alias("k1"), F.xxhash64(F.lit(1), F.col(piece)).alias("k2")]
+
+
+def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 1024) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit) for each document."""
+    spark = docs.sparkSession
+    lean_session(spark)
+    shelf = Shelf(spark, "tokens")
+    with open(tokenizer_file, encoding="utf-8") as f:
+        described = f.read()
+    table = shelf.put(pretoken_table(docs, list(specials(json.loads(described)))), "pre-tokens")
+    entries = table.select("row", F.explode(F.arrays_zip(F.col("pieces").alias("piece"), F.col("times").alias("times"))).alias("x")).select("row", "x.piece", "x.times")
+    numbers = shelf.put(token_numbers(entries.groupBy("piece").agg(F.count(F.lit(1)).alias("entries")), described), "numbers")
+    total = numbers.agg(F.sum("entries")).first()[0] or 0
+    frequent = F.col("entries") * HEAD >= total
+    known = entries.select("row", *keyed("piece"), "times", "piece")
+    head = F.broadcast(numbers.where(frequent).select(*keyed("piece"), "n"))
+    by_head = known.join(head, ["k1", "k2"]).groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("n"))
+    tail = numbers.where(~frequent).select(*keyed("piece"), "n")
+    by_tail = known.join(head, ["k1", "k2"], "left_anti").join(tail, ["k1", "k2"]).groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("n"))
+    own = table.select("row", "doc_id", "n_bytes", F.col("shown").alias("n"))
+    parts = own.unionByName(by_head.union(by_tail), allowMissingColumns=True)
+    one = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
+    return one.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
