@@ -6,8 +6,11 @@ the number is permuted by an alternating Feistel network keyed with BLAKE2 (numb
 are inside), and the new number is written in the old format: same length, same separators, valid again. So equal
 values have equal pseudonyms in all documents, in whatever way their separators are written, and different ones differ.
 
-Dates and numbers that don't validate stay, as does all other text. Null and empty texts have nothing to replace (null
-stays null). Repeated rows are treated alike. Texts keep their number of characters.
+Dates and numbers that don't validate stay, as does all other text. Dates are those of the years FIRST to LAST, the range
+that they are permuted in; a secret is a value of SECRET characters or more after a name such as token, with a digit or in
+quotes, since shorter and plain ones are words of running text as a rule. Null and empty texts have nothing to replace
+(null stays null). Repeated rows are treated alike. Very long texts are searched whole. Without documents the result is
+empty. Texts keep their number of characters.
 """
 
 from __future__ import annotations
@@ -18,23 +21,25 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, MapType, StringType, StructField, StructType
 
 from .common import lean_session
 
-ROUNDS, KEY = 8, "tallyloom"
+ROUNDS = 8
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email", "secret")
 
 #: Fixed values.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+SECRET = 8
 FIRST, LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 MONTH = "|".join(MONTHS)
 
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]))"
-    r"|(?P<secret>(?i:\b(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd)\b)[\"']?\s*[:=]\s*[\"']?)(?P<value>[A-Za-z0-9_\-+/=.]{8,})"
+    rf"|(?P<secret>(?i:\b(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd)\b)[\"']?\s*[:=]\s*[\"']?)(?P<value>[A-Za-z0-9_\-+/=.]{{{SECRET},}})"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w))"
     r"|(?P<date>(?<![\w/.-])(?:(?:19|20)\d\d(?P<mark>[-/.])\d{1,2}(?P=mark)\d{1,2}|\d{1,2}(?P<mark2>[-/.])\d{1,2}(?P=mark2)(?:19|20)\d\d)(?![\w/-]|\.\d))"
@@ -240,16 +245,29 @@ def replaced(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     return PATTERN.sub(one, text), found
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """The documents, with pseudonyms in text, and a column pii of the number of values replaced, by kind."""
-    lean_session(docs.sparkSession)
-    secret_key = hashlib.blake2b(key.encode(), digest_size=32).digest()
-    rows = docs.drop(*[c for c in docs.columns if c == "pii"]).withColumn("text", F.col("text").cast("string"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+def session_key(spark: SparkSession) -> str:
+    """The key of pseudonyms: the session's tallyloom.pii.key, or one for tests, which protects nothing."""
+    return spark.conf.get("tallyloom.pii.key", "a key for tests only")
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            done = [(t, {}) if t is None or not SIGN.search(t) else replaced(t, secret_key) for t in pdf["text"]]
-            yield pdf.assign(text=[t for t, _ in done], pii=[n for _, n in done])
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
+    """The documents, with pseudonyms in text, and a last column pii of the number of values replaced, by kind.
 
-    return rows.mapInPandas(run, f"{kept}, pii map<string,long>")
+    key: a secret; whoever knows it can turn pseudonyms back. Other columns pass as they are; one named pii, in any case, is replaced.
+    """
+    lean_session(docs.sparkSession)
+    if not key:
+        raise ValueError("a key is needed")
+    secret_key = hashlib.blake2b(key.encode(), digest_size=32).digest()
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    rows = rows.select(*[rows[f"`{c}`"] for c in rows.columns if c.lower() != "pii"])
+    at = [c.lower() for c in rows.columns].index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [(t, {}) if t is None or not SIGN.search(t) else replaced(t, secret_key) for t in batch.column(at).to_pylist()]
+            out = batch.set_column(at, batch.schema.names[at], pa.array([t for t, _ in done], pa.string()))
+            found = pa.array([list(n.items()) for _, n in done], pa.map_(pa.string(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, found], [*out.schema.names, "pii"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("pii", MapType(StringType(), LongType()))]))

@@ -26,7 +26,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.pseudonymised(documents(spark, sf_dir).select("doc_id", "text"))
+    found = pii.pseudonymised(documents(spark, sf_dir).select("doc_id", "text"), pii.session_key(spark))
     return found.select("doc_id", "text", F.aggregate(F.map_values("pii"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_replaced"), F.array_join(F.array_sort(F.map_keys("pii")), ",").alias("kinds"))
 
 

@@ -162,9 +162,9 @@ def test_pii():
 
 
 def test_pii_frame(docs, empty):
-    got = pii.pseudonymised(docs)
+    got = pii.pseudonymised(docs, "key")
     assert got.columns == docs.columns[:-1] + ["pii"] and got.count() == docs.count()
-    assert got.where("text IS NULL").count() == docs.where("text IS NULL").count() and pii.pseudonymised(empty).count() == 0
+    assert got.where("text IS NULL").count() == docs.where("text IS NULL").count() and pii.pseudonymised(empty, "key").count() == 0
 
 
 def test_mixing(docs, empty):
