@@ -1,23 +1,36 @@
 """Main text of web pages by a minimum cut between content and boilerplate.
 
-A page is cut into blocks: runs of text between the tags that break lines. A classifier gives each block a cost for either
-label from its tags, the names in class, id and role of what it is in, its share of link text, its length and its
-sentence marks. These costs are the capacities to source and sink; smoothness edges join blocks that follow each other,
-the more so the nearer they are in the tree, and blocks to the node of the tree that holds them. A maximum flow separates
-the two labels at least cost, and the content blocks' text is joined in page order.
-
-Null and empty pages have an empty text. Broken markup is read as browsers do in the main: unclosed tags end with what
-holds them, an angle bracket without a name is text. Whole pages are read, of any length. Repeated rows get rows each.
+A page is cut into blocks: runs of text between the tags that break lines. A classifier gives each block the log-odds of
+being content, and these are its capacity to the source (content) or the sink (boilerplate). Two parts add up to them:
+
+- words, links and sentence marks of the block, with weights that are fitted by logistic regression. Blocks in landmark
+  tags (article and main; nav, footer, aside and the like) are the labelled ones; FIT_PAGES pages by hash, and
+  FIT_BLOCKS of their blocks, are the bounded sample. PRIOR is what the weights are without a sample, and are drawn to.
+- where the block is, with the fixed log-odds of PLACE: landmark tags, names in class, id and role, and how much of the
+  page's text is in the same parent. A name such as sidebar tells nothing on a wrapper that also holds the page's main
+  heading or main element, or most of its text.
+
+Smoothness edges join blocks that follow each other, the more so the nearer they are in the tree, and blocks to the node
+of the tree that holds them. A maximum flow separates the two labels at least cost; so a short line between paragraphs
+is content though its own words do not tell, and a sentence among links is not. What the cut leaves open (a tie) is
+boilerplate. The content blocks' text is joined in page order.
+
+Null and empty pages, and pages without text, have an empty text. Broken markup is read as browsers do in the main:
+unclosed tags end with what holds them, an angle bracket without a name is text. Whole pages are read, of any length and
+depth, in time that grows with the length. Repeated rows get rows each; rows without a page_id are rows like others.
+Without pages the result is empty. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
+from math import log1p
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,143 +43,231 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 NEVER = frozenset("script style noscript template iframe object applet svg math canvas audio video select option optgroup datalist button textarea input head title noembed noframes xmp".split())
 SIDE_TAGS = frozenset("nav aside footer form menu dialog search fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist status note".split())
 SIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored sponsors promo promos promotion promoted sidebar sidebars aside rail widget widgets comment comments commentlist respond disqus discussion replies reply cookie cookies consent gdpr notice notices notification notifications alert disclaimer nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs pagination pager footer foot masthead topbar toolbar header share sharing social socials related recommended recommendations newsletter subscribe subscription signup signin login register popup modal overlay paywall search searchbox skip skiplink tags taglist copyright legal outbrain taboola".split())
 CONTENT_NAMES = frozenset("article content post entry story main body text articlebody postcontent entrycontent maincontent".split())
+READERS = frozenset("comment comments commentlist respond disqus discussion replies reply".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 LIST_ENDS = frozenset("ul ol dl table select".split())
 SECTIONS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+TAG_END = re.compile(r"[^\"'>]*(?:(?:\"[^\"]*\"|'[^']*')[^\"'>]*)*>")
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAME = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|[a-z]")
 WHITE = re.compile(r"\s+")
+MARKS, ENDS = ".!?。！？;:,", ".!?。！？\"”»"
 
-INSIDE, TEXT, SMOOTH, FAR, HOLD = 4.0, 1.0, 0.6, 0.15, 0.4
-SURE = 50.0
+#: Log-odds without a sample: of 1, ln(1 + words), the share of link text, sentence marks up to 3, a mark at the end, and a heading.
+PRIOR = (-2.0, 0.9, -4.0, 0.4, 0.6, 1.5)
+#: Log-odds of places: of a sure side, of content landmarks and names, and of all the page's text being in the same parent.
+PLACE = {"side": -12.0, "landmark": 5.0, "name": 2.0, "share": 3.0}
+#: Costs of parting blocks that follow each other (SMOOTH for siblings, less by DECAY for each step more, FAR at least and beyond a landmark), and a block and its holder.
+SMOOTH, DECAY, FAR, HOLD, STEPS = 1.5, 4.0, 0.1, 0.3, 6
+FIT_PAGES, FIT_BLOCKS, FIT_LEAST = 1000, 20_000, 50
 
 
-class Block:
-    __slots__ = ("parts", "path", "link", "side", "content", "heading", "never")
-
-    def __init__(self, path: tuple[int, ...], side: float, content: bool, heading: bool, never: bool):
-        self.parts: list[str] = []
-        self.path, self.side, self.content, self.heading, self.never, self.link = path, side, content, heading, never, 0
+class Node:
+    """An element of the page. length: of its text; mark: whether it holds the page's main heading or main element; side: how surely it is none of the main text."""
 
+    __slots__ = ("tag", "up", "depth", "never", "link", "heading", "content", "named", "own", "side", "length", "mark", "readers")
 
-class Node:
-    __slots__ = ("tag", "number", "side", "content", "never", "link")
-
-    def __init__(self, tag: str, number: int, up: Node | None, attributes: str):
-        self.tag, self.number = tag, number
-        self.side, self.content, self.never, self.link = (up.side, up.content, up.never, up.link) if up else (0.0, False, False, False)
-        self.never |= tag in NEVER
-        self.link |= tag == "a"
-        if tag in CONTENT_TAGS and not self.side:
-            self.content = True
-        if tag in SIDE_TAGS or tag == "header" and not self.content:
-            self.side = 1.0
+    def __init__(self, tag: str, up: Node | None, attributes: str):
+        self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
+        self.never = tag in NEVER or bool(up and up.never)
+        self.link = tag == "a" or bool(up and up.link)
+        self.content = tag in CONTENT_TAGS or bool(up and up.content)
+        self.named = bool(up and up.named)
+        self.heading = tag in HEADINGS or bool(up and up.heading and tag not in BLOCK_TAGS)
+        self.own = 1.0 if tag in SIDE_TAGS or tag == "header" and not self.content else 0.0
+        self.length, self.mark, self.readers, self.side = 0, tag in ("h1", "main"), False, 0.0
         if not attributes:
             return
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-        if "hidden" in found or found.get("aria-hidden", "").lower() == "true" and tag not in ("html", "body") or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
+        if "hidden" in found or found.get("aria-hidden", "").lower() == "true" and tag not in ("html", "body") or HIDDEN.search(found.get("style", "")):
             self.never = True
-        if found.get("role", "").lower() in SIDE_ROLES:
-            self.side = 1.0
-        if tag in ("html", "body", "main") or tag == "article" and not self.side and self.number >= 0 and not (up and up.content):
+        role = found.get("role", "").lower()
+        self.mark |= role == "main"
+        if role in SIDE_ROLES:
+            self.own = 1.0
+        if tag in ("html", "body", "main"):
             return
         names = f"{found.get('class', '')} {found.get('id', '')}"
-        words = {w.lower() for w in NAME.findall(names)}
-        whole = {w.lower() for w in re.split(r"[\s_-]+", names)}
-        if (words | whole) & SIDE_NAMES and not (tag == "header" and self.content):
+        words = {w.lower() for w in NAME.findall(names)} | {w.lower() for w in re.split(r"[\s_-]+", names)}
+        if words & SIDE_NAMES and not (tag == "header" and self.content):
+            self.readers = bool(words & READERS)
             # A name of content beside it makes it less sure, such as in post-header.
-            self.side = max(self.side, 0.5 if (words | whole) & CONTENT_NAMES and not (words | whole) & {"comment", "comments", "ad", "ads", "sidebar"} else 1.0)
-        elif (words | whole) & CONTENT_NAMES and not self.side:
-            self.content = True
+            self.own = max(self.own, 0.5 if words & CONTENT_NAMES and not self.readers else 1.0)
+        elif words & CONTENT_NAMES:
+            self.named = True
+
+
+class Block:
+    __slots__ = ("parts", "at", "link", "text")
+
+    def __init__(self, at: Node):
+        self.parts: list[str] = []
+        self.at, self.link, self.text = at, 0, ""
 
 
-def blocks(html: str) -> list[Block]:
-    """The page's blocks of text, in order."""
-    out: list[Block] = []
-    stack = [Node("#page", 0, None, "")]
-    number, at, fresh = 0, 0, True
+class Tree:
+    """What is open while a page is read, and what was found."""
 
-    def text(s: str) -> None:
-        nonlocal fresh
-        top = stack[-1]
-        if top.never or not s:
+    def __init__(self):
+        self.nodes = [Node("#page", None, "")]
+        self.stack, self.opened = [self.nodes[0]], Counter()
+        self.found: list[Block] = []
+        self.fresh = True
+
+    def text(self, s: str) -> None:
+        top = self.stack[-1]
+        if top.never or self.fresh and not s.strip():
             return
-        if fresh:
-            if not s.strip():
-                return
-            tags = [n.tag for n in stack]
-            out.append(Block(tuple(n.number for n in stack if n.tag in BLOCK_TAGS or n.number == 0), top.side, top.content, any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t in tags[-4:]), False))
-            fresh = False
-        out[-1].parts.append(s)
+        if self.fresh:
+            self.found.append(Block(top))
+            self.fresh = False
+        self.found[-1].parts.append(s)
         if top.link:
-            out[-1].link += len(s.strip())
+            self.found[-1].link += len(s.strip())
 
-    pos, n = 0, len(html)
-    while pos < n:
-        m = TAG.search(html, pos)
-        if not m:
-            text(unescape(html[pos:]))
-            break
-        if m.start() > pos:
-            text(unescape(html[pos : m.start()]))
-        pos = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                text(m[0][9:].removesuffix("]]>"))
-            continue
-        tag = m[2].lower()
-        if tag in BLOCK_TAGS:
-            fresh = True
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK_TAGS and stack[i].tag in BLOCK_TAGS and tag != "a":
-                    break
-            continue
+    def cut(self, i: int) -> None:
+        self.opened.subtract(x.tag for x in self.stack[i:])
+        del self.stack[i:]
+
+    def close(self, tag: str) -> None:
+        if not self.opened[tag]:
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag == tag:
+                return self.cut(i)
+            if tag not in BLOCK_TAGS and self.stack[i].tag in BLOCK_TAGS and tag != "a":
+                return
+
+    def open(self, tag: str, attributes: str) -> None:
+        stack = self.stack
         if tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in LIST_ENDS and not (tag in ("tr", "td", "th", "tbody", "thead") and stack[i].tag != "table"):
-                    break
-                if stack[i].tag in CLOSES[tag]:
-                    del stack[i:]
-                    if tag not in ("tr", "tbody"):
+            if any(self.opened[t] for t in CLOSES[tag]):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag in LIST_ENDS and not (tag in ("tr", "td", "th", "tbody", "thead") and stack[i].tag != "table"):
                         break
-        elif tag in SECTIONS:
+                    if stack[i].tag in CLOSES[tag]:
+                        self.cut(i)
+                        if tag not in ("tr", "tbody") or not any(self.opened[t] for t in CLOSES[tag]):
+                            break
+        elif tag in SECTIONS and self.opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    self.cut(i)
                     break
                 if stack[i].tag in SECTIONS or stack[i].tag in ("td", "th", "li"):
                     break
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK_TAGS and tag not in RAW:
+        if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK_TAGS and tag not in RAW:
+            return
+        node = Node(tag, stack[-1], attributes)
+        self.nodes.append(node)
+        stack.append(node)
+        self.opened[tag] += 1
+
+
+def read(html: str) -> Tree:
+    """The page's blocks of text and its elements, in order. Each place of the page is passed a bounded number of times."""
+    tree = Tree()
+    start = pos = 0  # start: of text that was not taken yet
+    n, quotes = len(html), True
+    while (at := html.find("<", pos)) >= 0:
+        if html.startswith(("<!", "<?"), at):
+            mark, skip = ("-->", 4) if html.startswith("<!--", at) else ("]]>", 9) if html.startswith("<![CDATA[", at) else (">", 2)
+            end = html.find(mark, at + skip)
+            tree.text(unescape(html[start:at]))
+            if mark == "]]>":
+                tree.text(html[at + 9 : end if end >= 0 else n])
+            start = pos = end + len(mark) if end >= 0 else n
+            continue
+        name = TAG_NAME.match(html, at)
+        if not name:
+            pos = at + 1
             continue
-        number += 1
-        stack.append(Node(tag, number, stack[-1], m[3]))
+        whole = TAG_END.match(html, name.end()) if quotes else None
+        quotes = whole is not None  # once a quote is never closed, tags end at the next bracket
+        stop = whole.end() if whole else html.find(">", name.end()) + 1
+        if not stop:
+            break
+        tree.text(unescape(html[start:at]))
+        start = pos = stop
+        tag = name[2].lower()
+        if tag in BLOCK_TAGS:
+            tree.fresh = True
+        if name[1]:
+            tree.close(tag)
+            continue
+        tree.open(tag, html[name.end() : stop - 1])
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, pos)
-            pos = end.start() if end else n
+            end = RAW_END[tag].search(html, stop)
+            start = pos = end.start() if end else n
+    tree.text(unescape(html[start:]))
+    for b in tree.found:
+        b.text = WHITE.sub(" ", "".join(b.parts)).strip()
+    tree.found = [b for b in tree.found if b.text]
+    weigh(tree)
+    return tree
+
+
+def weigh(tree: Tree) -> None:
+    """Lengths and marks go up the tree; then how surely a side each element is goes down."""
+    for b in tree.found:
+        b.at.length += len(b.text)
+    for x in reversed(tree.nodes[1:]):
+        x.up.length += x.length
+        x.up.mark |= x.mark and not x.readers
+    total, marked = tree.nodes[0].length, tree.nodes[0].mark
+    for x in tree.nodes:
+        wraps = x.mark or not marked and not x.readers and x.tag not in SIDE_TAGS - {"form"} and 2 * x.length > total
+        x.side = max(0.0 if wraps else x.own, x.up.side if x.up else 0.0)
+
+
+def described(b: Block) -> tuple[float, ...]:
+    """What is fitted: the block's words, links and marks."""
+    words, marks = b.text.count(" ") + 1, sum(map(b.text.count, MARKS))
+    return 1.0, log1p(words), min(1.0, b.link / len(b.text)), float(min(3, marks)), float(b.text[-1] in ENDS), float(b.at.heading)
+
+
+def landmark(b: Block) -> int | None:
+    """What landmark tags alone say: 1 is content, 0 boilerplate, None nothing."""
+    up: Node | None = b.at
+    while up and up.tag not in CONTENT_TAGS and up.tag not in SIDE_TAGS and b.at.depth - up.depth < STEPS:
+        up = up.up
+    if not up or up.tag not in CONTENT_TAGS | SIDE_TAGS:
+        return None
+    return None if (b.at.side == 1.0) == (up.tag in CONTENT_TAGS) else int(up.tag in CONTENT_TAGS)
+
+
+def log_odds(found: list[Block], weights: tuple[float, ...]) -> list[float]:
+    """Each block's log-odds of being content, from its words and its place."""
+    open_ = [b for b in found if not b.at.side]
+    main, same = max(1, sum(len(b.text) for b in open_)), Counter()
+    for b in open_:
+        same[id(b.at.up or b.at)] += len(b.text)
+    out = []
+    for b in found:
+        words = sum(w * x for w, x in zip(weights, described(b)))
+        place = PLACE["side"] * b.at.side if b.at.side else PLACE["share"] * same[id(b.at.up or b.at)] / main + (PLACE["landmark"] if b.at.content else PLACE["name"] if b.at.named else 0.0)
+        out.append(max(-6.0, min(6.0, words)) + place)
     return out
 
 
-def costs(text: str, b: Block) -> tuple[float, float]:
-    """What it costs to call a block boilerplate, and to call it content."""
-    link = min(1.0, b.link / max(1, len(text)))
-    words = text.count(" ") + 1
-    marks = sum(text.count(c) for c in ".!?。！？;:,")
-    good = TEXT * min(2.0, words / 15) + 0.5 * min(2, marks) * (words > 4) + (0.8 if b.heading else 0.0)
-    bad = 0.7 + 2.5 * link + (0.6 if words < 4 and not b.heading else 0.0)
-    if b.content:
-        good += INSIDE
-    if b.side:
-        bad += b.side * (SURE if b.side == 1 else 2 * INSIDE)
-    return good, bad
+def steps_between(a: Node, b: Node) -> int:
+    """Steps from one element to another in the tree; STEPS + 1 if there are more."""
+    n = 0
+    while a is not b and n <= STEPS:
+        n += 1
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+    return n
 
 
 def source_side(n: int, edges: list[tuple[int, int, float, float]], s: int, t: int) -> list[bool]:
@@ -218,56 +319,75 @@ def source_side(n: int, edges: list[tuple[int, int, float, float]], s: int, t: i
                 turn[u] += 1
 
 
-def labels(texts: list[str], found: list[Block]) -> list[bool]:
-    """Which blocks are content."""
-    if not found:
-        return []
+def labels(found: list[Block], odds: list[float]) -> list[bool]:
+    """Which blocks are content, by the minimum cut."""
     n = len(found)
     holds: dict[int, int] = {}
     edges: list[tuple[int, int, float, float]] = []
-    for i, (s, b) in enumerate(zip(texts, found)):
-        good, bad = costs(s, b)
-        common = min(good, bad)  # flow that goes straight through
-        if good > common:
-            edges.append((n, i, good - common, 0.0))
-        elif bad > common:
-            edges.append((i, n + 1, bad - common, 0.0))
-        parent = b.path[-2] if len(b.path) > 1 else 0
-        node = holds.setdefault(parent, n + 2 + len(holds))
-        if b.side != 1:
-            edges.append((i, node, HOLD, HOLD))
+    for i, (b, x) in enumerate(zip(found, odds)):
+        edges.append((n, i, x, 0.0) if x > 0 else (i, n + 1, -x, 0.0))
+        edges.append((i, holds.setdefault(id(b.at.up or b.at), n + 2 + len(holds)), HOLD, HOLD))
         if i:
-            before = found[i - 1].path
-            shared = next((k for k, (x, y) in enumerate(zip(before, b.path)) if x != y), min(len(before), len(b.path)))
-            steps = len(before) + len(b.path) - 2 * shared
-            weight = SMOOTH / (1 + max(0, steps - 2)) if steps <= 6 else FAR / 2
-            if b.side != found[i - 1].side or b.content != found[i - 1].content:
+            before = found[i - 1].at
+            steps = steps_between(before, b.at)
+            weight = max(FAR, SMOOTH / DECAY ** max(0, steps - 2))
+            if before.side != b.at.side or before.content != b.at.content:
                 weight = min(weight, FAR)
             edges.append((i - 1, i, weight, weight))
     return source_side(n + 2 + len(holds), edges, n, n + 1)[:n]
 
 
-def main_text(html: str | None) -> str:
-    if not html:
-        return ""
-    found = blocks(html)
-    texts = [WHITE.sub(" ", "".join(b.parts)).strip() for b in found]
-    keep = [i for i, t in enumerate(texts) if t]
-    found, texts = [found[i] for i in keep], [texts[i] for i in keep]
-    chosen = labels(texts, found)
-    if not any(chosen):  # a page of a few words only
-        chosen = [not b.side and 2 * b.link < len(t) for t, b in zip(texts, found)]
-    return " ".join(t for t, c in zip(texts, chosen) if c)
+def main_text(html: str | None, weights: tuple[float, ...] = PRIOR) -> str:
+    found = read(html or "").found
+    return " ".join(b.text for b, content in zip(found, labels(found, log_odds(found, weights))) if content)
+
+
+def fitted(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, ...]:
+    """Logistic regression by Newton's method, both labels with the same weight, drawn to PRIOR by a unit normal distribution. PRIOR, if either label has under FIT_LEAST rows."""
+    prior = np.array(PRIOR)
+    if min(np.sum(y == 0), np.sum(y == 1)) < FIT_LEAST:
+        return PRIOR
+    share, w = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())), prior.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (share * (y - p)) - (w - prior))
+        w += np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return tuple(np.round(w, 6).tolist())
+
+
+def sample(pages: DataFrame) -> DataFrame:
+    """(x, y) of labelled blocks: of about FIT_PAGES different pages by hash, and of FIT_BLOCKS blocks at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = [(described(b), y) for b in read(html or "").found if (y := landmark(b)) is not None][:FIT_BLOCKS]
+                if rows:
+                    x, y = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(x), pa.int64()), pa.array(range(len(x)), pa.int32()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], ["key", "place", "x", "y"])
+
+    key = F.xxhash64(F.col("html").cast("string"))
+    some = pages.select(key.alias("key"), F.col("html").cast("string").alias("html")).where(F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(max(pages.count(), 1))) < FIT_PAGES).dropDuplicates(["key"])
+    return some.mapInArrow(run, "key long, place int, x array<double>, y int").orderBy("key", "place").limit(FIT_BLOCKS).select("x", "y")
+
+
+def fit(pages: DataFrame) -> tuple[float, ...]:
+    """Weights of words, links and marks, from a bounded sample of the pages."""
+    rows = sample(pages).collect()  # FIT_BLOCKS at most
+    return fitted(np.array([r.x for r in rows]), np.array([r.y for r in rows])) if rows else PRIOR
 
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) for each page."""
+def extracted(pages: DataFrame, weights: tuple[float, ...] | None = None) -> DataFrame:
+    """(page_id, url, text, n_chars) for each page. weights: those of an earlier fit(), so that later pages are treated alike."""
     lean_session(pages.sparkSession)
+    own = fit(pages) if weights is None else weights
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            text = [main_text(h) for h in pdf["html"]]
-            yield pdf.drop(columns="html").assign(text=text, n_chars=[len(t) for t in text])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [main_text(h, own) for h in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
