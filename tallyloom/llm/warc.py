@@ -3,15 +3,17 @@
 Writing: a page is a response record whose block is an HTTP message with chunked framing. Of pages with equal payloads of
 at least REVISIT bytes, that with the largest page_id is the response and the others are revisit records that refer to
 it. Blocks over SEGMENT bytes are split: the first segment is the response record, the others are continuation records
-with the origin's id and a segment number, the last of which has the total length. Files hold FILE_RECORDS records at
-most, so their size is bounded. Records end with two line ends, which Spark's text writer puts between rows.
+with the origin's id and a segment number, the last of which has the total length. Files hold as many records as make up
+FILE_BYTES by the mean size of a record. Records end with two line ends, which Spark's text writer puts between rows.
 
-Reading: files are parsed by their Content-Length fields. Segmented records are grouped by origin, ordered by segment
+Reading: files are parsed once, by their Content-Length fields. Segmented records are grouped by origin, ordered by segment
 number, and checked to be complete and as long as stated; the group is one record. Blocks are decoded from chunked
 framing, and digests are checked. A revisit gets its payload's length from the response that it refers to.
 
 Null html is the empty payload. Rows with a null page_id are responses. Line ends in a url become %0A and %0D. Rows that
-are repeated as a whole are records each. Other columns are not read.
+are repeated as a whole are records each. Very long payloads are split in segments, and put together in one row. A payload
+of many pages has its pages dealt to parts of about SPLIT rows before they meet the page that they refer to. Without pages
+the result is empty. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,17 +21,22 @@ from __future__ import annotations
 import gzip
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import lean_session, shared_dir, stored
 
-SEGMENT, CHUNK, REVISIT, FILE_RECORDS = 32_768, 8_192, 1000, 256
+SEGMENT, CHUNK, REVISIT, FILE_BYTES = 32_768, 8_192, 1000, 16 << 20
+#: Rows that one part of a frequent payload has, and frequent payloads that are known to all tasks (about 60 bytes each).
+SPLIT, SENT = 4096, 1 << 18
 DATE = "2000-01-01T00:00:00Z"
 END = b"\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+KINDS = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 RECORD = "id string, type string, origin string, segment int, total long, refers_to string, digest string, block binary"
 
 
@@ -50,8 +57,13 @@ def records(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    known = rows.where((F.octet_length("payload") >= REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    rows = rows.join(known, "digest", "left")
+    known = rows.where((F.octet_length("payload") >= REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    known = stored(known, "repeated")
+    many = F.broadcast(known.where(F.col("k") > SPLIT).orderBy(F.desc("k"), "digest").limit(SENT).select("digest", F.ceil(F.col("k") / SPLIT).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = rows.join(many, "digest", "left").withColumn("part", F.pmod(F.hash("page_id", "url"), parts)).drop("parts")
+    copies = known.join(many, "digest", "left").select("digest", "first", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    rows = dealt.join(copies, ["digest", "part"], "left").drop("part")
     visited = (F.col("first") != F.col("page_id")) & (F.octet_length("payload") >= REVISIT)
     rows = rows.withColumn("revisit", F.coalesce(visited, F.lit(False)))
     urn = lambda page: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), F.col("digest"), F.lit(">"))
@@ -77,8 +89,10 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Writes archives of FILE_RECORDS records at most; gzip runs at its fastest level."""
-    records(pages).write.option("lineSep", END.decode()).option("compression", compression).option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    """Writes archives of about FILE_BYTES before compression; gzip runs at its fastest level."""
+    n, size = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col("html").cast("string")))).first()
+    mean = min((size or 0) / max(n, 1), SEGMENT) + 500  # a record's head has about 500 bytes
+    records(pages).write.option("lineSep", END.decode()).option("compression", compression).option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", int(FILE_BYTES / mean)).text(path)
 
 
 def parsed(content: bytes) -> Iterator[tuple]:
@@ -101,17 +115,21 @@ def parsed(content: bytes) -> Iterator[tuple]:
         at = stop + 8 + size
 
 
-def read_warc(spark: SparkSession, path: str, segments: bool | None = None) -> DataFrame:
-    """(RECORD): the records of the archives, segments apart; with segments, only those that are segments, or only those that are not."""
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(RECORD): the records of the archives, segments apart."""
     names = [x.split(" ")[0] for x in RECORD.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["content"]:
-                out = pd.DataFrame([r for r in parsed(content) if segments is None or segments == (r[3] is not None)], columns=names)
-                yield out.astype({"segment": "Int32", "total": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                yield from in_batches(parsed(content.as_py()), names, KINDS)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORD)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+
+
+def in_batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], size: int = 512) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*part), kinds)], names)
 
 
 def dechunked(body: bytes) -> bytes:
@@ -132,33 +150,47 @@ def payload_of(block: bytes) -> bytes:
     return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-def reassembled(spark: SparkSession, path: str) -> DataFrame:
-    """(id, type, refers_to, digest, block): the whole records of archives, segments put together. A record with missing parts is an error."""
-    whole = read_warc(spark, path, False).select("id", "type", "refers_to", "digest", "block")
-    parts = read_warc(spark, path, True).groupBy(F.coalesce("origin", "id").alias("id")).agg(
+def reassembled(parts: DataFrame) -> DataFrame:
+    """(id, type, refers_to, digest, block): whole records, from records that are segments. A record with missing parts is an error."""
+    joined = parts.groupBy(F.coalesce("origin", "id").alias("id")).agg(
         F.max(F.when(F.col("segment") == 1, F.col("type"))).alias("type"), F.max("refers_to").alias("refers_to"), F.max("digest").alias("digest"), F.max("total").alias("total"),
         F.array_sort(F.collect_set(F.struct("segment", "block"))).alias("s"), F.count_if(F.col("segment") == 1).alias("copies"),
     )
     block = F.array_join(F.transform("s", lambda x: x["block"].cast("string")), "").cast("binary")
-    joined = parts.withColumn("block", block)
+    joined = joined.withColumn("block", block)
     good = (F.element_at("s", -1)["segment"] == F.size("s")) & (F.octet_length("block") == F.col("total")) & F.col("type").isNotNull()
     said = F.raise_error(F.concat(F.lit("segments of "), F.col("id"), F.lit(" are missing"))).cast("binary")
     joined = joined.withColumn("block", F.when(good, F.col("block")).otherwise(said))
-    return whole.unionByName(joined.select("id", "type", "refers_to", "digest", "block", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("copies").cast("int"))))).drop("col"))
+    return joined.select("id", "type", "refers_to", "digest", "block", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("copies").cast("int"))))).drop("col")
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(id, type, refers_to, digest, block): the whole records of archives, segments put together."""
+    found = read_warc(spark, path)
+    return found.where("segment IS NULL").select("id", "type", "refers_to", "digest", "block").unionByName(reassembled(found.where("segment IS NOT NULL")))
 
 
-def payloads(records_: DataFrame) -> DataFrame:
-    """(id, type, refers_to, payload_digest, payload): decoded, with the digest of what was read checked against the record's."""
+def digested(records_: DataFrame) -> DataFrame:
+    """records_ (RECORD) with n and payload_digest of the payloads, checked against the record's digest. Segments keep their block and have neither, others lose it."""
+    at = [f.name for f in records_.schema]
+    digest, block, kind, segment = at.index("digest"), at.index("block"), at.index("type"), at.index("segment")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            body = [payload_of(b) if t != "revisit" else b"" for t, b in zip(pdf["type"], pdf["block"])]
-            seen = [hashlib.sha1(p).hexdigest() if t != "revisit" else d for p, t, d in zip(body, pdf["type"], pdf["digest"])]
-            if wrong := [i for i, a, b in zip(pdf["id"], seen, pdf["digest"]) if a != b]:
-                raise ValueError(f"digests differ: {wrong[:3]}")
-            yield pd.DataFrame({"id": pdf["id"], "type": pdf["type"], "refers_to": pdf["refers_to"], "payload_digest": seen, "payload": body})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, seen, kept = [], [], []
+            for said, raw, t, part in zip(*(batch.column(i).to_pylist() for i in (digest, block, kind, segment))):
+                plain = part is None and t != "revisit"
+                payload = payload_of(raw) if plain else b""
+                own = hashlib.sha1(payload).hexdigest() if plain else said if part is None else None
+                if plain and own != said:
+                    raise ValueError(f"the digest {said} is not that of its payload")
+                sizes.append(len(payload) if plain else None)
+                seen.append(own)
+                kept.append(None if part is None else raw)
+            out = batch.set_column(block, "block", pa.array(kept, pa.binary()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(sizes, pa.int64()), pa.array(seen, pa.string())], [*out.schema.names, "n", "payload_digest"])
 
-    return records_.mapInPandas(run, "id string, type string, refers_to string, payload_digest string, payload binary")
+    return records_.mapInArrow(run, StructType([*records_.schema.fields, StructField("n", LongType()), StructField("payload_digest", StringType())]))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -167,10 +199,13 @@ def round_trip(pages: DataFrame) -> DataFrame:
     lean_session(spark)
     path = shared_dir(spark, "warc")
     write_warc(pages, path)
-    read = payloads(reassembled(spark, path)).select("id", "type", F.col("refers_to").alias("to"), "payload_digest", F.octet_length("payload").cast("long").alias("n"))
-    got = stored(read, "payloads")  # three parts below use it, and must not read the archives again
+    first = stored(digested(read_warc(spark, path)), "records")  # of the blocks only those of segments are kept
+    whole = reassembled(first.where("segment IS NOT NULL")).select("id", "type", F.lit(None).cast("string").alias("origin"), F.lit(None).cast("int").alias("segment"), F.lit(None).cast("long").alias("total"), "refers_to", "digest", "block")
+    wanted = ("id", "type", F.col("refers_to").alias("to"), "payload_digest", "n")
+    got = stored(first.where("segment IS NULL").select(*wanted).unionByName(digested(whole).select(*wanted)), "payloads")
     page = lambda c: F.split_part(c, F.lit(":"), F.lit(3)).try_cast("long")
     own = got.where("type = 'response'").select(page(F.col("id")).alias("page_id"), F.col("n").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    # A response that is referred to may be repeated as a row; a payload's length is one for all that refer to it.
     lengths = got.where("type = 'response'").groupBy(F.col("id").alias("to")).agg(F.max("n").alias("payload_bytes"))
     again = got.where("type = 'revisit'").join(lengths, "to", "left").select(page(F.col("id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page(F.col("to")).alias("refers_to"))
     return own.unionByName(again)
