@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 U = np.uint64
 
 

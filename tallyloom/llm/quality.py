@@ -6,7 +6,8 @@ with both by Jensen-Shannon distance (base 2, from 0 to 1). Short documents say
 from a minimum length on, and gets an allowance that shrinks with the square root of the length.
 
 Words are the runs between the bytes space and \\t to \\r; keys of words, lines and windows have 64 bits.
-Null or empty texts have no words and fail the base rule. A null language is a language of its own. A language has its
+Null or empty texts have no words and fail the base rule. A null language is a language of its own, and so is an empty one. Very long
+texts are counted whole; without documents the result is empty. A language has its
 own reference from LANGUAGE_DOCS documents and LANGUAGE_WORDS words on, whatever else the corpus holds. References of
 languages with LANGUAGE_SHARE of all words (1 / LANGUAGE_SHARE at most) and of the NEAREST largest are sent to all tasks;
 those of other languages are joined by language. A document of a language that is too small is compared with the nearest by words of the NEAREST
@@ -113,7 +114,8 @@ def featured(texts: DataFrame, own: dict[str, Reference], other: list[Reference]
 
 
 def language() -> Column:
-    return F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    """A language's name with a letter before it; the empty string is for null."""
+    return F.coalesce(F.concat(F.lit("l"), F.col("lang").cast("string")), F.lit(""))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -173,7 +175,7 @@ def judged(both: DataFrame) -> DataFrame:
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
     })
     far = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > MAX_CLASS + ALLOW / F.sqrt(chars)) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > MAX_WORD + ALLOW / F.sqrt(F.col("n_letter_words")))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "class_distance", "word_distance", "n_letter_words", "lang")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "class_distance", "word_distance", "n_letter_words", F.when(F.col("lang") != "", F.expr("substring(lang, 2)")).alias("lang"))
 
 
 def quality(docs: DataFrame) -> DataFrame:
