@@ -25,11 +25,6 @@ def violations(df: DataFrame, rule: str, entity: str, observed: Column, limit: C
     return df.select(F.col("instance_id").cast("string").alias("instance_id"), F.lit(rule).alias("rule"), F.col(entity).cast("string").alias("entity"), observed.cast("double").alias("observed"), limit.cast("double").alias("limit"))
 
 
-def close(a: Column, b: Column, rel: float = 1e-6, abs_: float = 1e-6) -> Column:
-    """Equal within a relative or an absolute tolerance; the soft tolerances are 2e-3 and 2e-2."""
-    return F.abs(a - b) <= F.greatest(rel * F.greatest(F.abs(a), F.abs(b)), F.lit(abs_))
-
-
 def rollup(found: DataFrame, instances: DataFrame, total: int, keep: int = 6) -> DataFrame:
     """feasible, partial score and the first messages of each instance."""
     n = found.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.concat_ws(":", "rule", "entity"))).alias("m"))
@@ -123,11 +118,9 @@ def route_lengths(stops: DataFrame, closed: bool = True) -> DataFrame:
 def clock(stops: DataFrame) -> DataFrame:
     """start of service at each stop: travel and service before it plus the running maximum of tw_start less that; no loop."""
     w = Window.partitionBy("instance_id", "route").orderBy("pos")
-    before = F.sum(F.col("travel") + F.coalesce(F.lag("service").over(w), F.lit(0.0)))
     x = stops.withColumn("step", F.col("travel") + F.coalesce(F.lag("service").over(w), F.lit(0.0)))
     x = x.withColumn("prefix", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     start = F.col("prefix") + F.greatest(F.lit(0.0), F.max(F.col("tw_start") - F.col("prefix")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    del before
     return x.withColumn("start", start).withColumn("late", F.col("start") > F.col("tw_end")).drop("step", "prefix")
 
 
@@ -144,6 +137,12 @@ def edge_conflicts(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     return a.join(chosen.select("instance_id", F.col("node").alias("v")), ["instance_id", "v"], "left_semi")
 
 
+@audit_rule("independent")
+def independent_set(t: dict[str, DataFrame]) -> DataFrame:
+    x = edge_conflicts(t["edges"], t["chosen"]).withColumn("at", F.concat_ws("/", "u", "v"))
+    return violations(x, "independent", "at", F.lit(1), F.lit(0))
+
+
 def nearest_open(distances: DataFrame, opened: DataFrame) -> DataFrame:
     """Each customer's nearest opened facility: (instance_id, customer, facility, distance)."""
     x = distances.join(opened, ["instance_id", "facility"])

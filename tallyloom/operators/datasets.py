@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.tables import ranked
+
+from .training import with_system
+
 
 def first_of(df: DataFrame, keys: list, order: list, n: int = 1) -> DataFrame:
     """The first n rows of each key. Spark limits each task's rows to n before the shuffle."""
@@ -50,8 +56,7 @@ def exclude_kinds(df: DataFrame, kinds: list[str], col: str = "kind") -> DataFra
 
 def split_by_spec(df: DataFrame, spec: dict[str, int], kind: str, order: list) -> DataFrame:
     """A column split: in each kind the first rows get the first label's number of rows, and so on; later rows get null."""
-    place = F.row_number().over(Window.partitionBy(kind).orderBy(*order)) - 1
-    out, at, label = df.withColumn("_k", place), 0, F.lit(None).cast("string")
+    out, at, label = ranked(df, [kind], order, "_k"), 0, F.lit(None).cast("string")
     bounds = []
     for name, n in spec.items():
         bounds.append((name, at, at + n))
@@ -75,24 +80,47 @@ def stratified_split(df: DataFrame, stratum: str, shuffle: Column, n_train: int,
 
 
 def assign_ids(df: DataFrame, group: str, order: list, start: int, per_group: int) -> DataFrame:
-    """new_id = start + the group's place * per_group + the row's place in its group. The groups are a small table."""
-    groups = df.select(group).distinct().withColumn("_g", F.row_number().over(Window.orderBy(group)) - 1)
-    k = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return df.join(groups, group).withColumn("new_id", start + F.col("_g") * per_group + k).drop("_g")
+    """new_id = start + the group's place * per_group + the row's place in its group. The groups are a small table. A group of more than per_group rows is an error when the rows are read."""
+    groups = df.select(F.col(group).alias("_v")).distinct().withColumn("_g", F.row_number().over(Window.orderBy("_v")) - 1)
+    x = ranked(df, [group], order, "_k").join(groups, F.col(group).eqNullSafe(F.col("_v")))
+    k = F.when(F.col("_k") < per_group, F.col("_k")).otherwise(F.raise_error(F.lit(f"a group has more than {per_group} rows")).cast("long"))
+    return x.withColumn("new_id", start + F.col("_g") * per_group + k).drop("_g", "_v", "_k")
+
+
+def stratified_validation(df: DataFrame, stratum: str, shuffle: Column, n: int) -> DataFrame:
+    """A column split: n validation rows, taken in turn over the strata; all train where n is 0 or not below the number of rows."""
+    taken = stratified_split(df, stratum, shuffle, 0, n) if 0 < n < df.count() else df.withColumn("split", F.lit(None).cast("string")).limit(0)
+    own = taken.select(*[F.col(c).alias(f"_t_{c}") for c in df.columns])
+    same = [df[c].eqNullSafe(own[f"_t_{c}"]) for c in df.columns]
+    return df.join(own.withColumn("_v", F.lit(True)), same, "left").select(*df.columns, F.when(F.col("_v"), "validation").otherwise("train").alias("split"))
+
+
+def assign_bases(df: DataFrame, kind: str, order: list, bases: int) -> DataFrame:
+    """A column base: the row's place in its kind, modulo the number of bases."""
+    return ranked(df, [kind], order, "_k").withColumn("base", F.pmod("_k", F.lit(bases))).drop("_k")
+
+
+def check_spec(df: DataFrame, spec: dict[str, int], kind: str) -> DataFrame:
+    """(kind, n_rows, wanted) of kinds whose number of rows is not the spec's total."""
+    total = sum(spec.values())
+    return df.groupBy(kind).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("wanted", F.lit(total).cast("long")).where("n_rows <> wanted")
+
 
+def merge_datasets(inputs: list[tuple[DataFrame, str, int]], exclude: list[str] | None = None, system: str | None = None, seed: int | None = None) -> DataFrame:
+    """The union of (rows, source, repeat): training rows repeated, validation rows once; columns split, messages, tools, source.
 
-def merge_datasets(inputs: list[tuple[DataFrame, str, int]], exclude: list[str] | None = None) -> DataFrame:
-    """The union of (rows, source, repeat): training rows repeated, validation rows once; columns split, messages, tools, source."""
+    system replaces the system turns; a seed orders each split by a hash of it, the messages, the source and the repeat.
+    """
     parts = []
     for rows, source, repeat in inputs:
         if exclude and "kind" in rows.columns:
             rows = exclude_kinds(rows, exclude)
         times = F.when(F.col("split") == "train", repeat).otherwise(1)
-        parts.append(rows.withColumn("_c", F.explode(F.sequence(F.lit(1), times))).select("split", "messages", "tools", F.lit(source).alias("source")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        parts.append(with_system(rows, system).withColumn("_c", F.explode(F.sequence(F.lit(1), times))).select("split", "messages", "tools", F.lit(source).alias("source"), "_c"))
+    out = reduce(DataFrame.unionByName, parts)
+    if seed is not None:
+        out = out.orderBy("split", F.xxhash64(F.lit(seed), F.to_json("messages"), "source", "_c"))
+    return out.drop("_c")
 
 
 def split_leaks(df: DataFrame, text: str, split: str) -> DataFrame:
@@ -108,13 +136,42 @@ def reconcile_ids(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame
     return both.select(key, problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def dataset_digest(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """(bucket digest) sha256 of each record, joined in key order inside 64 buckets of the key's hash, then over the buckets."""
-    record = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256)
-    lines = df.select(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(64)).alias("bucket"), F.struct(F.col(key), record.alias("h")).alias("r"))
-    buckets = lines.groupBy("bucket").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: F.concat(x["h"], F.lit("  "), x[key].cast("string"))), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
-    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), "\n"), 256)
-    return buckets.groupBy().agg(whole.alias("digest"), F.sum("n").alias("n_records"))
+def record_hashes(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """(key, h, n): the sha256 of each record, and how often it occurs."""
+    h = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256)
+    return df.groupBy(F.col(key).cast("string").alias("key"), h.alias("h")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def dataset_digest(df: DataFrame, key: str, cols: list[str], fanout_rows: int = 10_000) -> DataFrame:
+    """(digest, n_records, unique_keys): a hash tree over the records' sha256.
+
+    Lines "<hash>  <key>" are joined in order, in leaves that share the first digits of the hash. There are as many digits as make leaves of about
+    fanout_rows; then 16 leaves make a node, up to the root, so no task holds more than a leaf. Equal records are one line, with their number.
+    """
+    lines = record_hashes(df, key, cols)
+    n, digits = lines.count(), 0
+    while n > fanout_rows * 16**digits:
+        digits += 1
+    line = F.concat("h", F.lit("  "), "key", F.when(F.col("n") > 1, F.concat(F.lit(" x"), F.col("n").cast("string"))).otherwise(""))
+    node = lines.select(F.substring("h", 1, digits).alias("p"), line.alias("line"), "n", F.lit(1).cast("long").alias("keys"))
+    for d in range(digits, -1, -1):
+        node = node.groupBy(F.substring("p", 1, d).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("h"), F.sum("n").alias("n"))
+        node = node.select("p", F.concat(F.lit(""), "p", F.lit(":"), "h").alias("line"), "h", "n")
+    unique = lines.groupBy("key").agg(F.sum("n").alias("k")).agg(F.coalesce(F.max("k") <= 1, F.lit(True)).alias("unique_keys"))
+    return node.select(F.col("h").alias("digest"), F.col("n").alias("n_records")).join(unique, F.lit(True))  # two tables of one row
+
+
+def check_manifest(df: DataFrame, manifest: DataFrame, key: str, cols: list[str], fanout_rows: int = 10_000) -> DataFrame:
+    """(problem) of a data set against the row of its manifest (digest, n_records): digest, count or keys, none if all is well."""
+    x = dataset_digest(df, key, cols, fanout_rows).join(manifest.select(F.col("digest").alias("_d"), F.col("n_records").alias("_n")), F.lit(True))
+    said = F.array(F.when(~F.col("digest").eqNullSafe(F.col("_d")), "digest"), F.when(~F.col("n_records").eqNullSafe(F.col("_n")), "count"), F.when(~F.col("unique_keys"), "keys"))
+    return x.select(F.explode(F.array_compact(said)).alias("problem"))
+
+
+def reference_leaks(df: DataFrame, prompt: str, value: str) -> DataFrame:
+    """Rows whose prompt has the text of their reference value as a number of its own."""
+    escaped = F.replace(F.col(value).cast("string"), F.lit("."), F.lit("\\."))
+    return df.where(F.col(value).isNotNull() & F.regexp_like(F.col(prompt), F.concat(F.lit(r"(?<![0-9.])"), escaped, F.lit(r"(?![0-9]|\.[0-9])"))))
 
 
 def extract_code(text: Column) -> Column:
@@ -122,7 +179,7 @@ def extract_code(text: Column) -> Column:
     fenced = F.regexp_extract_all(text, F.lit(r"(?s)```[A-Za-z]*\n(.*?)```"), F.lit(1))
     longest = F.aggregate(fenced, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     tail = F.regexp_extract(text, r"(?s)```[A-Za-z]*\n(.*)\z", 1)
-    return F.trim(F.when(longest != "", longest).when(tail != "", tail).otherwise(text))
+    return F.btrim(F.when(longest != "", longest).when(tail != "", tail).otherwise(text), F.lit(" \t\r\n"))
 
 
 def select_exemplars(df: DataFrame, eligible: Column, preferred: list[int], key: str, n: int) -> DataFrame:
@@ -133,4 +190,4 @@ def select_exemplars(df: DataFrame, eligible: Column, preferred: list[int], key:
 
 def shard_stride(df: DataFrame, group: str, key: str, shards: int) -> DataFrame:
     """A column shard: a row's place in its group by key, modulo the number of shards."""
-    return df.withColumn("shard", F.pmod(F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1, F.lit(shards)))
+    return ranked(df, [group], [key], "_k").withColumn("shard", F.pmod("_k", F.lit(shards))).drop("_k")

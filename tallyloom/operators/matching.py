@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.tables import ranked
+
+from .datasets import dedup_keep_first
 from .scoring import paired_bootstrap
 
 
@@ -38,16 +41,21 @@ def exclude_templated(rows: DataFrame, templates: DataFrame) -> DataFrame:
     return rows.join(templates.select(F.col("template_id").alias("instance_id")), "instance_id", "left_anti")
 
 
-def contains_join(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """(text_id, name) of names, runs of words that single blanks part, that are found as such runs in a text.
+def contains_join(texts: DataFrame, names: DataFrame, size: int = 6) -> DataFrame:
+    """(text_id, name) of names that are found in a text, at any place. An empty name is found nowhere.
 
-    A text is joined by its runs of words, of the lengths that names have, so no text meets every name.
+    A name is looked up by its first characters, size of them or all, among the runs of characters that a text has; so no text meets every
+    name. What is found so is checked.
     """
-    sizes = [r[0] for r in names.select(F.size(F.split("name", " "))).distinct().collect()]  # a few integers
-    words = texts.select("text_id", F.split("text", " ").alias("w"))
-    runs = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: i + n - 1 <= F.size("w")), lambda i: F.array_join(F.slice("w", i, n), " "))
-    own = [words.select("text_id", F.explode(F.array_distinct(runs(n))).alias("name")) for n in sizes]
-    return reduce(DataFrame.union, own).join(names.select("name").distinct(), "name").select("text_id", "name") if own else texts.join(names, F.lit(False)).select("text_id", "name")
+    keyed = names.where("name <> ''").select("name", F.substring("name", 1, size).alias("start")).distinct()
+    lengths = [r[0] for r in keyed.select(F.length("start")).distinct().collect()]  # size integers at most
+    runs = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: i + n - 1 <= F.length("text")), lambda i: F.substring(F.col("text"), i, F.lit(n)))
+    own = [texts.where(F.length("text") >= n).select("text_id", "text", F.explode(F.array_distinct(runs(n))).alias("start")) for n in lengths]
+    if not own:
+        return texts.select("text_id", F.lit("").alias("name")).where(F.lit(False))
+    # The text itself does not go with its runs: candidates are found by id first.
+    found = reduce(DataFrame.union, [o.drop("text") for o in own]).join(keyed, "start").select("text_id", "name")
+    return texts.select("text_id", "text").join(found, "text_id").where(F.contains("text", F.col("name"))).select("text_id", "name").distinct()
 
 
 def cost_mismatches(old: DataFrame, new: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:
@@ -56,6 +64,34 @@ def cost_mismatches(old: DataFrame, new: DataFrame, keys: list[str], tolerance:
     return x.where(F.abs(F.col("old_cost") - F.col("new_cost")) > tolerance)
 
 
+def keep_verified(answers: DataFrame, verdicts: DataFrame, ok: list[str]) -> DataFrame:
+    """Answers whose verdict (condition, instance_id, status) is one of ok, with the status."""
+    good = verdicts.where(F.col("status").isin(*ok)).select("condition", "instance_id", "status")
+    return answers.join(good, ["condition", "instance_id"])
+
+
+def append_candidates(first: DataFrame, extra: DataFrame, keys: list[str], text: str, order: list[str]) -> DataFrame:
+    """first, then the rows of extra whose trimmed text its group does not have yet; of equal texts the earliest by order is kept."""
+    both = first.withColumn("_late", F.lit(0)).unionByName(extra.withColumn("_late", F.lit(1)), allowMissingColumns=True)
+    return dedup_keep_first(both, keys, text, ["_late", *order]).drop("_late")
+
+
+def exposure_groups(groups: dict[str, DataFrame], demos: DataFrame) -> DataFrame:
+    """(grp, instance_id, in_demos) of named groups of ids, which may overlap; demos: (instance_id)."""
+    named = reduce(DataFrame.union, [g.select(F.lit(n).alias("grp"), "instance_id").distinct() for n, g in groups.items()])
+    known = demos.select("instance_id", F.lit(True).alias("_d")).distinct()
+    return named.join(known, "instance_id", "left").select("grp", "instance_id", F.coalesce("_d", F.lit(False)).alias("in_demos"))
+
+
+def build_stats(instances: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: instances, pairs checked, pairs kept, instances that a kept pair covers, and verdicts by status. pairs: (instance_id, status, kept)."""
+    by_status = pairs.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("k"))
+    sums = by_status.agg(F.sum("n").alias("n_pairs"), F.sum("k").alias("n_kept"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "status", F.col("n").cast("string")))), ",").alias("verdicts"))
+    covered = pairs.where("kept").agg(F.countDistinct("instance_id").alias("n_covered"))
+    one = instances.agg(F.count(F.lit(1)).alias("n_instances"))
+    return one.join(sums, F.lit(True)).join(covered, F.lit(True))  # three tables of one row
+
+
 def with_subsets(rows: DataFrame, subsets: DataFrame) -> DataFrame:
     """A row for each subset that has the row's instance. subsets: (subset, ids)."""
     member = subsets.select("subset", F.explode("ids").alias("instance_id")).distinct()
@@ -113,19 +149,25 @@ def first_n_per_kind(rows: DataFrame, limits: dict[str, int], key: str, default:
     return x.where("_n = 0 OR _k <= _n").drop("_n", "_k")
 
 
+def with_sizes(rows: DataFrame, group: str, *more: Column) -> DataFrame:
+    """rows with _n, the number of rows of their group, and more aggregates; groups are a small table beside the rows."""
+    sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"), *more)
+    return rows.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+
+
 def tail_split(rows: DataFrame, group: str, key: str) -> DataFrame:
     """A column in_tail: the last max(3, n // 3) rows of each group by key."""
-    w = Window.partitionBy(group)
-    n = F.count(F.lit(1)).over(w)
-    return rows.withColumn("in_tail", F.row_number().over(w.orderBy(F.col(key).desc())) <= F.greatest(F.lit(3), F.floor(n / 3)))
+    x = with_sizes(ranked(rows, [group], [key], "_k"), group)
+    return x.withColumn("in_tail", F.col("_n") - F.col("_k") <= F.greatest(F.lit(3), F.floor(F.col("_n") / 3))).drop("_k", "_n")
 
 
 def split_or_ratio(rows: DataFrame, group: str, key: str, ratio: float) -> DataFrame:
     """A column part: the own split where a group has both train and test, else train for the first int(n * ratio) rows by key."""
-    w = Window.partitionBy(group)
-    both = (F.max((F.col("split") == "train").cast("int")).over(w) + F.max((F.col("split") == "test").cast("int")).over(w)) == 2
-    first = F.row_number().over(w.orderBy(key)) <= F.floor(F.count(F.lit(1)).over(w) * ratio)
-    return rows.withColumn("part", F.when(F.coalesce(both, F.lit(False)), F.col("split")).otherwise(F.when(first, "train").otherwise("test")))
+    has = lambda part: F.max((F.col("split") == part).cast("int")).alias(f"_{part}")
+    x = with_sizes(ranked(rows, [group], [key], "_k"), group, has("train"), has("test"))
+    both = F.coalesce(F.col("_train") + F.col("_test") == 2, F.lit(False))
+    part = F.when(both, F.col("split")).otherwise(F.when(F.col("_k") < F.floor(F.col("_n") * ratio), "train").otherwise("test"))
+    return x.withColumn("part", part).drop("_k", "_n", "_train", "_test")
 
 
 def seeded_shuffle(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
@@ -144,8 +186,12 @@ def collect_answers(files: DataFrame, shards: DataFrame, known: DataFrame) -> Da
 
 
 def diagnose_effects(deltas: DataFrame, groups: DataFrame, rounds: int, seed: int) -> DataFrame:
-    """(grp, mean, lo, hi, significant): the bootstrap of each exposure group. deltas (instance_id, delta); groups (grp, instance_id) may overlap."""
-    x = deltas.join(groups.select("grp", "instance_id").distinct(), "instance_id")
-    k = F.row_number().over(Window.partitionBy("grp").orderBy("instance_id")) - 1
-    out = paired_bootstrap(x.select("grp", k.cast("long").alias("k"), "delta"), rounds, seed)
-    return out.withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))
+    """(grp, mean, lo, hi, significant, mean_without_demos): the bootstrap of each exposure group, and its mean without demos (null if none are left).
+
+    deltas (instance_id, delta); groups (grp, instance_id) may overlap, and may have in_demos.
+    """
+    own = groups if "in_demos" in groups.columns else groups.withColumn("in_demos", F.lit(False))
+    x = deltas.join(own.select("grp", "instance_id", "in_demos").distinct(), "instance_id")
+    out = paired_bootstrap(ranked(x, ["grp"], ["instance_id"], "k").select("grp", "k", "delta"), rounds, seed)
+    rest = x.groupBy("grp").agg(F.avg(F.when(~F.col("in_demos"), F.col("delta"))).alias("mean_without_demos"))
+    return out.withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0)).join(rest, "grp")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .audit import audit_rule, close, violations
+from tallyloom.functions.numbers import close
+
+from .audit import audit_rule, violations
 
 
 @audit_rule("setup")

@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Statuses of rows without a usable answer, and scores by class of error.
+from tallyloom.functions.numbers import RANGE, mix32, mix32_of
+
+#: Statuses of feasible rows, of those at least as good as the reference, and of rows without a usable answer; scores by class of error, and what mends it.
+SOLVED = ("exact_match", "beat_reference", "new_best", "improved", "worse", "similar", "first_valid")
+AT_LEAST_REFERENCE = ("exact_match", "beat_reference", "new_best")
 FAILED = ("exec_error", "infeasible", "partial_feasible", "invalid_solution", "solver_failure", "gen_error", "unverified", "suspicious_zero")
 ERROR_SCORES = {"syntax": (-0.5, True), "no_solve": (-0.5, True), "keyerror": (-0.5, True), "timeout": (-0.3, False), "import": (-0.5, True), "attribute": (-0.5, False), "type": (-0.5, False), "index": (-0.5, False), "runtime": (-0.2, False)}
 
+ERROR_FIXES = {
+    "syntax": "check colons, indentation, brackets and strings", "no_solve": "define solve(instance)", "keyerror": "read optional fields with a default", "timeout": "use a faster method or a time limit", "import": "use allowed modules only",
+    "attribute": "check an object's type before its attributes", "type": "convert values to the type that is needed", "index": "check a list's length before indexing", "runtime": "find the fault that the code itself caught",
+}
+
 
 def classify_error(text: Column) -> Column:
     """One of nine classes, by the first rule that holds."""
@@ -22,12 +31,13 @@ def classify_error(text: Column) -> Column:
     return F.coalesce(out, F.lit("runtime"))
 
 
-def error_score(category: Column) -> tuple[Column, Column]:
-    """The score of an error class, and whether it counts as a parse error; unknown classes are runtime."""
+def error_score(category: Column) -> tuple[Column, Column, Column]:
+    """The score of an error class, whether it counts as a parse error, and what mends it; unknown classes are runtime."""
     scores = F.create_map(*[F.lit(x) for k, (s, _) in ERROR_SCORES.items() for x in (k, s)])
     parse = F.create_map(*[F.lit(x) for k, (_, p) in ERROR_SCORES.items() for x in (k, p)])
     known = F.when(category.isin(*ERROR_SCORES), category).otherwise("runtime")
-    return F.element_at(scores, known), F.element_at(parse, known)
+    fixes = F.create_map(*[F.lit(x) for kv in ERROR_FIXES.items() for x in kv])
+    return F.element_at(scores, known), F.element_at(parse, known), F.element_at(fixes, known)
 
 
 def score_v3(cost: Column, reference: Column, best: Column, use_reference: bool = True, baseline: Column | None = None) -> Column:
@@ -67,26 +77,36 @@ def self_baseline(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def evaluate_rows(rows: DataFrame, order: list[str], use_reference: bool = True) -> DataFrame:
-    """score, status and gaps of each row (instance_id, cost, reference_value, verified, error text or null, partial_score or null)."""
-    x = self_baseline(best_known_replay(rows, order, use_reference), order)
-    x = x.withColumn("s", score_v3(F.col("cost"), F.col("reference_value"), F.col("best_before"), use_reference, F.col("baseline")))
-    error = F.col("error").isNotNull()
-    fault = error_score(classify_error(F.col("error")))[0]
+    """score, status, parse_error and gaps of each row (instance_id, cost, reference_value, verified, error text or null, partial_score or null).
+
+    Rows with an error, violations, no cost or an infinite one end early: they have no gaps, and never move the best known cost or the baseline.
+    A row with a true column new_approach gets the exploration bonus.
+    """
+    error, broken = F.col("error").isNotNull(), F.col("partial_score").isNotNull()
+    infinite = F.coalesce(F.abs("cost") == float("inf"), F.lit(False))
+    usable = ~error & ~broken & ~infinite & F.col("cost").isNotNull()
+    own = rows.withColumns({"_verified": F.col("verified"), "verified": F.col("verified") & usable})
+    x = self_baseline(best_known_replay(own, order, use_reference), order).withColumn("verified", F.col("_verified")).drop("_verified")
+    baseline = F.when(F.col("verified"), F.col("baseline"))
+    x = x.withColumn("s", score_v3(F.col("cost"), F.col("reference_value"), F.col("best_before"), use_reference, baseline))
+    fault, parse, _ = error_score(classify_error(F.col("error")))
     open_best = F.when(F.col("best_before") == 0, F.lit(None)).otherwise(F.col("best_before"))  # a best of 0 counts as none here
     new_best = F.col("verified") & (F.col("cost") < F.coalesce(open_best, F.lit(float("inf")))) & ~F.col("s.status").isin("exact_match", "beat_reference")
-    broken = F.col("partial_score").isNotNull()
-    infinite = F.abs("cost") == float("inf")
-    score = F.when(error, fault).when(broken & (F.col("partial_score") > 0), F.least(0.3 * F.col("partial_score"), F.lit(0.5))).when(broken, 0.0).when(F.col("cost").isNull(), 0.1).when(infinite, -0.2).when(~F.col("verified"), F.least(F.col("s.score"), F.lit(1.0))).otherwise(F.col("s.score"))
-    status = F.when(error, "exec_error").when(broken & (F.col("partial_score") > 0), "partial_feasible").when(broken, "infeasible").when(F.col("cost").isNull(), "invalid_solution").when(infinite, "solver_failure").when(~F.col("verified"), "unverified").when(new_best, "new_best").otherwise(F.col("s.status"))
-    relative = lambda to: F.when(to != 0, (F.col("cost") - to) / F.abs(to))
-    ranked = ~error & ~broken & ~infinite
-    return x.withColumns({"score": score, "status": status, "gap_to_reference": F.when(ranked, relative(F.col("reference_value"))), "gap_to_best": F.when(ranked, relative(F.col("best_before")))}).drop("s")
+    partly = F.col("partial_score") > 0
+    capped = F.when(F.col("verified"), F.col("s.score")).otherwise(F.least(F.col("s.score"), F.lit(1.0)))
+    if "new_approach" in rows.columns:
+        capped = F.when(F.col("new_approach"), F.least(capped + 0.03, F.lit(2.5))).otherwise(capped)
+    score = F.when(error, fault).when(broken & partly, F.least(0.3 * F.col("partial_score"), F.lit(0.5))).when(broken, 0.0).when(F.col("cost").isNull(), 0.1).when(infinite, -0.2).otherwise(capped)
+    status = F.when(error, "exec_error").when(broken & partly, "partial_feasible").when(broken, "infeasible").when(F.col("cost").isNull(), "invalid_solution").when(infinite, "solver_failure").when(new_best, "new_best").when(~F.col("verified"), "unverified").otherwise(F.col("s.status"))
+    relative = lambda to: F.when(usable & (to != 0), (F.col("cost") - to) / F.abs(to))
+    return x.withColumns({"score": score, "status": status, "parse_error": F.coalesce(error & parse, F.lit(False)), "gap_to_reference": relative(F.col("reference_value")), "gap_to_best": relative(F.col("best_before"))}).drop("s")
 
 
 def gap(cost: Column, reference: Column, status: Column | None = None) -> Column:
-    """Relative gap; for a reference of 0 it is 0 if the cost is 0 within 1e-6, else infinite. Null for failed statuses."""
+    """Relative gap; for a reference of 0 it is 0 if the cost is 0 within 1e-6, else infinite. Null but for statuses of feasible rows."""
     value = F.when(reference == 0, F.when(F.abs(cost) < 1e-6, 0.0).otherwise(float("inf"))).otherwise((cost - reference) / F.abs(reference))
-    return value if status is None else F.when(~status.isin(*FAILED), value)
+    value = F.when(cost.isNotNull() & reference.isNotNull(), value)
+    return value if status is None else F.when(status.isin(*SOLVED), value)
 
 
 def is_correct(cost: Column, reference: Column, max_gap: float, status: Column | None = None) -> Column:
@@ -105,16 +125,19 @@ def reference_ratio(cost: Column, reference: Column) -> Column:
 
 
 def paired_bootstrap(deltas: DataFrame, rounds: int, seed: int) -> DataFrame:
-    """(grp, mean, lo, hi) of deltas (grp, k, delta), k from 0 without gaps: the 95 % interval of the means of resamples.
+    """(grp, mean, lo, hi) of deltas (grp, k, delta), k from 0 without gaps: the 95 % interval of the means of resamples with replacement.
 
-    Draws are integer hashes of (seed, round, draw), so the same seed gives the same result in any engine.
+    A draw is a hash of (seed, round, draw) by a nonlinear 32-bit mixer, so the same seed gives the same result in any engine. Rounds are spread
+    over tasks before their draws are made, and a group's deltas meet its draws in a join, so groups may be large.
     """
     n = deltas.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean"))
-    draws = n.select("grp", "n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("draw"))
-    mixed = F.pmod((F.col("round") * 1_000_003 + F.col("draw") * 7_919 + seed) * 48_271, F.lit(2_147_483_647))
-    picked = draws.withColumn("k", F.pmod(F.pmod(mixed * 69_621, F.lit(2_147_483_647)), F.col("n")))
+    rounds_of = n.select("grp", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))).alias("round")).repartition("grp", "round")
+    start = rounds_of.withColumn("h", mix32(F.pmod(F.col("round") + mix32_of(seed % RANGE), F.lit(RANGE))))
+    draws = start.select("grp", "n", "round", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("draw"))
+    drawn = mix32(F.col("h").bitwiseXOR(mix32(F.pmod(F.col("draw") + 1, F.lit(RANGE)))))
+    picked = draws.select("grp", "round", F.floor(drawn * F.col("n") / RANGE).cast("long").alias("k"))
     means = picked.join(deltas, ["grp", "k"]).groupBy("grp", "round").agg(F.avg("delta").alias("m"))
-    order = Window.partitionBy("grp").orderBy("m", "round")
-    ranked = means.withColumn("i", F.row_number().over(order) - 1)
-    ends = ranked.groupBy("grp").agg(F.max(F.when(F.col("i") == int(0.025 * rounds), F.col("m"))).alias("lo"), F.max(F.when(F.col("i") == int(0.975 * rounds), F.col("m"))).alias("hi"))
+    order = Window.partitionBy("grp").orderBy("m", "round")  # a row for each round
+    place = means.withColumn("i", F.row_number().over(order) - 1)
+    ends = place.groupBy("grp").agg(F.max(F.when(F.col("i") == int(0.025 * rounds), F.col("m"))).alias("lo"), F.max(F.when(F.col("i") == int(0.975 * rounds), F.col("m"))).alias("hi"))
     return n.select("grp", "mean").join(ends, "grp")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions.numbers import RANGE, mix32_of, mix32_sql
 from tallyloom.operators import matching
 from tallyloom.plans.queries import V, query, table, verdicts
 from tallyloom.streaming import results
@@ -49,10 +50,11 @@ def exclude_templated(spark, sf_dir):
     return matching.exclude_templated(orders, templates)
 
 
-@query("WITH n AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS name FROM part) SELECT p_partkey AS text_id, name FROM part JOIN n ON contains(' ' || lower(p_name) || ' ', ' ' || name || ' ')")
+@query("WITH n AS (SELECT DISTINCT substr(split_part(text, ' ', 2), 1, 9) AS name FROM benchmark UNION SELECT 'the' UNION SELECT 'er the ') SELECT conv_id * 1000 + turn AS text_id, name FROM conversations JOIN n ON contains(text, name) WHERE name <> ''")
 def contains_join(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("text_id"), F.lower("p_name").alias("text"))
-    return matching.contains_join(part, part.select(F.split_part("text", F.lit(" "), F.lit(1)).alias("name")).distinct())
+    texts = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
+    names = table(spark, sf_dir, "benchmark").select(F.substring(F.split_part("text", F.lit(" "), F.lit(2)), 1, 9).alias("name"))
+    return matching.contains_join(texts, names.union(spark.createDataFrame([("the",), ("er the ",)], "name string")))
 
 
 @query(f"WITH {V}, x AS (SELECT unnest([condition, 'all']) AS subset, cost FROM v) SELECT subset, count(*) AS n_rows, avg(cost) AS mean_cost FROM x WHERE subset IS NOT NULL GROUP BY subset")
@@ -94,22 +96,32 @@ def split_or_ratio(spark, sf_dir):
     return matching.split_or_ratio(table(spark, sf_dir, "documents").select("doc_id", "lang").withColumn("split", own), "lang", "doc_id", 0.75).select("doc_id", "lang", "part")
 
 
-@query("SELECT c_custkey AS instance_id, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)")
+@query("SELECT c_custkey AS instance_id, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000) AND c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL AND event_type = 'purchase')")
 def untouched(spark, sf_dir):
     own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("instance_id"), "c_nationkey")
-    return matching.untouched(own, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("instance_id")), table(spark, sf_dir, "events").select(F.col("user_id").alias("instance_id")))
+    return matching.untouched(own, table(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("instance_id")), table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("instance_id")))
 
 
 @query(f"WITH {V} SELECT instance_id, min(cost) AS best_cost, arg_min(cost, (ts, cost)) AS first_cost FROM v WHERE verified AND cost IS NOT NULL GROUP BY instance_id")
 def stream_best_known(spark, sf_dir):
-    """The stream's transformation over the whole table; the tests run it as a stream."""
+    """The stream's transformation over the whole table; tests/test_operators.py runs it as a stream."""
     return results.stream_best_known(verdicts(spark, sf_dir))
 
 
-def diagnose_effects(spark, sf_dir):
-    deltas = matching.paired_deltas(*halves(spark, sf_dir), ["instance_id"])
-    groups = verdicts(spark, sf_dir).select("instance_id", F.explode(F.array(F.col("condition"), F.lit("all"))).alias("grp"))
-    return matching.diagnose_effects(deltas, groups, 200, 42)
+D = "d AS (SELECT instance_id, b.score - a.score AS delta FROM m a JOIN m b USING (instance_id) WHERE a.half = 0 AND b.half = 1 AND b.score - a.score IS NOT NULL)"
 
 
-query()(diagnose_effects)
+@query(f"""WITH {MEANS}, {D}, g AS (SELECT DISTINCT instance_id, unnest([condition, 'all']) AS grp FROM v), x0 AS (SELECT grp, instance_id, instance_id % 10 = 0 AS demo, delta FROM d JOIN g USING (instance_id)),
+    x AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY instance_id) - 1 AS k FROM x0), n AS (SELECT grp, count(*) AS n, avg(delta) AS mean, avg(delta) FILTER (NOT demo) AS rest FROM x GROUP BY 1),
+    r0 AS (SELECT range AS round, (range + {mix32_of(42)}) % {RANGE} AS x FROM range(200)), r AS (SELECT round, {mix32_sql("x")} AS h FROM r0), q AS (SELECT range AS draw, {mix32_sql("(range + 1)")} AS m FROM range((SELECT max(n) FROM n))),
+    y AS (SELECT grp, n, round, xor(h, m) AS x FROM n, r, q WHERE draw < n), p AS (SELECT grp, round, floor({mix32_sql("x")} * n / {RANGE})::BIGINT AS k FROM y),
+    ms AS (SELECT p.grp, round, avg(delta) AS m FROM p JOIN x ON p.grp = x.grp AND p.k = x.k GROUP BY 1, 2), i AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY m, round) - 1 AS i FROM ms),
+    e AS (SELECT grp, max(CASE WHEN i = 5 THEN m END) AS lo, max(CASE WHEN i = 195 THEN m END) AS hi FROM i GROUP BY 1)
+    SELECT grp, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, lo > 0 OR hi < 0 AS significant, round(rest, 6) AS mean_without_demos FROM e JOIN n USING (grp)""")
+def diagnose_effects(spark, sf_dir):
+    deltas = matching.paired_deltas(*halves(spark, sf_dir), ["instance_id"])
+    v = verdicts(spark, sf_dir)
+    named = {r[0]: v.where(F.col("condition") == r[0]) for r in v.select("condition").distinct().collect()}  # a few conditions
+    groups = matching.exposure_groups(named | {"all": v}, v.where(F.pmod("instance_id", F.lit(10)) == 0))
+    out = matching.diagnose_effects(deltas, groups, 200, 42)
+    return out.select("grp", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi", "mean_without_demos")], "significant")

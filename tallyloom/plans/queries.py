@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.numbers import RANGE, mix32_of, mix32_sql
+from tallyloom.functions.tables import ranked
 from tallyloom.operators import audit, datasets, evaluation, scoring, training
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,10 +88,15 @@ def sample_per_reason(spark, sf_dir):
     return training.sample_per_reason(checked(spark, sf_dir), 3).select("conv_id", "length", "reason")
 
 
-@query(f"WITH {CHECKED} SELECT s.conv_id, sum(n_tokens)::BIGINT AS n_input, sum(CASE WHEN role <> 'assistant' THEN n_tokens ELSE 0 END)::BIGINT AS n_masked FROM s JOIN checked c ON s.conv_id = c.conv_id WHERE c.invalid_reason IS NULL GROUP BY s.conv_id")
+IDS = "list_transform(CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, ' ') END, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % 50000 + 1)"
+
+
+@query(f"""WITH {CHECKED}, i AS (SELECT s.conv_id, turn, role, {IDS} AS ids FROM s JOIN checked c ON s.conv_id = c.conv_id WHERE c.invalid_reason IS NULL),
+    l AS (SELECT conv_id, flatten(list(ids ORDER BY turn)) AS ids, flatten(list(CASE WHEN role = 'assistant' THEN ids ELSE list_transform(ids, lambda x: -100) END ORDER BY turn)) AS labels FROM i GROUP BY 1)
+    SELECT conv_id, array_to_string(ids, ',') AS input_ids, array_to_string(labels, ',') AS labels FROM l""")
 def label_arrays(spark, sf_dir):
     rows, _ = training.prepare_split(table(spark, sf_dir, "conversations"), 512)
-    return rows.select("conv_id", F.size("input_ids").cast("long").alias("n_input"), F.size(F.filter("labels", lambda x: x == training.MASKED)).cast("long").alias("n_masked"))
+    return rows.select("conv_id", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("labels", ",").alias("labels"))
 
 
 @query(f"WITH {CHECKED}, r AS (SELECT conv_id % 4 AS shard, length, (row_number() OVER (PARTITION BY conv_id % 4 ORDER BY conv_id) - 1) // 8 AS batch FROM checked) SELECT shard, batch, count(*) AS n_rows, (ceil(max(length) / 64.0) * 64)::BIGINT AS target, (ceil(max(length) / 64.0) * 64 * count(*) - sum(length))::BIGINT AS padding FROM r GROUP BY 1, 2")
@@ -153,7 +160,7 @@ def aggregate_results(spark, sf_dir):
 GAP = "CASE WHEN status IN ('unverified', 'suspicious_zero') THEN NULL ELSE (cost - reference_value) / reference_value END"
 
 
-@query(f"WITH {SCORED} SELECT condition, count(*) AS n_problems, count(*) FILTER ({GAP} <= 0.1) AS n_correct, count(*) FILTER (score > 0) AS n_feasible, round(avg(score), 6) AS mean_score, round(avg(CASE WHEN event_id % 3 > 0 THEN event_id % 100 END), 6) AS mean_tokens FROM scored GROUP BY condition")
+@query(f"WITH {SCORED} SELECT condition, count(*) AS n_problems, count(*) FILTER ({GAP} <= 0.1) AS n_correct, count(*) FILTER (status IN ('exact_match', 'beat_reference', 'new_best')) AS n_at_least_reference, count({GAP}) AS n_feasible, round(avg(score), 6) AS mean_score, round(avg(CASE WHEN event_id % 3 > 0 THEN event_id % 100 END), 6) AS mean_tokens FROM scored GROUP BY condition")
 def summarize_run(spark, sf_dir):
     x = scored(spark, sf_dir).withColumn("output_tokens", F.when(F.pmod("event_id", F.lit(3)) > 0, F.pmod("event_id", F.lit(100))))
     s = evaluation.summarize_run(x, ["condition"], 0.1)
@@ -176,7 +183,7 @@ def factorial_effects(spark, sf_dir):
     return e.select("subset", *[F.round(c, 4).alias(c) for c in e.columns if c != "subset"])
 
 
-@query("WITH m AS (SELECT p_brand AS model, count(*) AS n_parts FROM part GROUP BY 1) SELECT model, n_parts, rank() OVER (ORDER BY n_parts DESC) AS rank FROM m")
+@query("WITH m AS (SELECT p_brand AS model, count(*) AS n_parts FROM part GROUP BY 1) SELECT model, n_parts, rank() OVER (ORDER BY n_parts DESC) AS rank, row_number() OVER (ORDER BY n_parts DESC, model) AS place FROM m")
 def rank_models(spark, sf_dir):
     means = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("model")).agg(F.count(F.lit(1)).alias("n_parts"))
     return evaluation.rank_models(means, "n_parts", "model")
@@ -188,20 +195,19 @@ def paired_outcomes(spark, sf_dir):
     return evaluation.paired_outcomes(c.where("condition = 'view'"), c.where("condition = 'click'"), ["instance_id"])
 
 
-BOOT = """WITH d0 AS (SELECT l_suppkey % 4 AS grp, l_suppkey, avg(l_discount - l_tax) AS delta FROM lineitem GROUP BY 1, 2), d AS (SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY l_suppkey) - 1 AS k, delta FROM d0),
-    n AS (SELECT grp, count(*) AS n, avg(delta) AS mean FROM d GROUP BY 1), x AS (SELECT n.grp, n, r.round, q.draw FROM n, range(200) r(round), range(100000) q(draw) WHERE q.draw < n.n),
-    p AS (SELECT grp, round, ((((round * 1000003 + draw * 7919 + 42) * 48271) % 2147483647) * 69621 % 2147483647) % n AS k FROM x),
+ROUNDS = 10_000
+BOOT = f"""WITH d0 AS (SELECT l_suppkey % 4 AS grp, l_suppkey, avg(l_discount - l_tax) AS delta FROM lineitem GROUP BY 1, 2), d AS (SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY l_suppkey) - 1 AS k, delta FROM d0),
+    n AS (SELECT grp, count(*) AS n, avg(delta) AS mean FROM d GROUP BY 1), r0 AS (SELECT range AS round, (range + {mix32_of(42)}) % {RANGE} AS x FROM range({ROUNDS})), r AS (SELECT round, {mix32_sql("x")} AS h FROM r0),
+    q AS (SELECT range AS draw, {mix32_sql("(range + 1)")} AS m FROM range((SELECT max(n) FROM n))), x AS (SELECT grp, n, round, xor(h, m) AS x FROM n, r, q WHERE draw < n),
+    p AS (SELECT grp, round, floor({mix32_sql("x")} * n / {RANGE})::BIGINT AS k FROM x),
     m AS (SELECT p.grp, round, avg(delta) AS m FROM p JOIN d ON p.grp = d.grp AND p.k = d.k GROUP BY 1, 2), i AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY m, round) - 1 AS i FROM m)
-    SELECT n.grp, round(mean, 6) AS mean, round(max(CASE WHEN i = 5 THEN m END), 6) AS lo, round(max(CASE WHEN i = 195 THEN m END), 6) AS hi FROM i JOIN n ON n.grp = i.grp GROUP BY n.grp, mean"""
+    SELECT n.grp, round(mean, 6) AS mean, round(max(CASE WHEN i = {int(0.025 * ROUNDS)} THEN m END), 6) AS lo, round(max(CASE WHEN i = {int(0.975 * ROUNDS)} THEN m END), 6) AS hi FROM i JOIN n ON n.grp = i.grp GROUP BY n.grp, mean"""
 
 
 @query(BOOT)
 def paired_bootstrap(spark, sf_dir):
-    from pyspark.sql import Window
-
     d = table(spark, sf_dir, "lineitem").groupBy(F.pmod("l_suppkey", F.lit(4)).alias("grp"), "l_suppkey").agg(F.avg(F.col("l_discount") - F.col("l_tax")).alias("delta"))
-    d = d.withColumn("k", (F.row_number().over(Window.partitionBy("grp").orderBy("l_suppkey")) - 1).cast("long")).select("grp", "k", "delta")
-    b = scoring.paired_bootstrap(d, 200, 42)
+    b = scoring.paired_bootstrap(ranked(d, ["grp"], ["l_suppkey"], "k").select("grp", "k", "delta"), ROUNDS, 42)
     return b.select("grp", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])
 
 
@@ -220,7 +226,7 @@ def attempts_summary(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS iteration, value AS score FROM events), b AS (SELECT *, lag(score) OVER (PARTITION BY user_id ORDER BY iteration) AS old FROM a)
-    SELECT iteration, count(*) AS n_rows, count(*) FILTER (score > old) AS n_better, round(avg(greatest(score, old)) + 1e-9, 4) AS mean_kept FROM b WHERE old IS NOT NULL GROUP BY 1""")
+    SELECT iteration, count(*) AS n_rows, count(*) FILTER (score > old) AS n_better, round(avg(greatest(score, old)) + 1e-9, 4) AS mean_kept, count(*) FILTER (greatest(score, old) > 0) AS n_valid FROM b WHERE old IS NOT NULL GROUP BY 1""")
 def revision_outcome(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -228,9 +234,9 @@ def revision_outcome(spark, sf_dir):
     return evaluation.revision_outcome(a, "user_id").withColumn("mean_kept", F.round(F.col("mean_kept") + 1e-9, 4))
 
 
-@query("SELECT count(*) AS n_rows, count(*) FILTER (text IS NULL) AS missing_text, count(*) FILTER (lang IS NULL) AS missing_lang, count(DISTINCT doc_id) = count(*) AS unique_keys FROM documents")
+@query("SELECT count(*) AS n_rows, count(*) FILTER (text IS NULL) AS missing_text, count(*) FILTER (lang IS NULL) AS missing_lang, count(*) FILTER (n_chars > 100) AS n_numeric, count(DISTINCT doc_id) = count(*) AS unique_keys FROM documents")
 def schema_audit(spark, sf_dir):
-    return evaluation.schema_audit(table(spark, sf_dir, "documents"), ["text", "lang"], "doc_id")
+    return evaluation.schema_audit(table(spark, sf_dir, "documents"), ["text", "lang"], "doc_id", F.when(F.col("n_chars") > 100, F.col("n_chars")))
 
 
 @query("SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source, sha256(trim(text, ' ')) ORDER BY doc_id) = 1")
@@ -286,12 +292,13 @@ def assign_ids(spark, sf_dir):
     return datasets.assign_ids(table(spark, sf_dir, "documents"), "source", ["doc_id"], 1000, 100_000).select("doc_id", F.col("new_id").cast("long").alias("new_id"))
 
 
-@query("""WITH d AS (SELECT lang, CASE WHEN doc_id % 10 = 0 THEN 'validation' ELSE 'train' END AS split FROM documents), x AS (SELECT 'a' AS source, split, CASE split WHEN 'train' THEN 2 ELSE 1 END AS n FROM d WHERE lang = 'en' UNION ALL SELECT 'b', split, 1 FROM d WHERE lang = 'fr')
-    SELECT source, split, sum(n)::BIGINT AS n_rows FROM x GROUP BY 1, 2""")
+@query("""WITH d AS (SELECT lang, text, CASE WHEN doc_id % 10 = 0 THEN 'validation' ELSE 'train' END AS split FROM documents), x AS (SELECT 'a' AS source, split, text, CASE split WHEN 'train' THEN 2 ELSE 1 END AS n FROM d WHERE lang = 'en' UNION ALL SELECT 'b', split, text, 1 FROM d WHERE lang = 'fr')
+    SELECT source, split, 'Be brief.' AS said, sha256('```python' || chr(10) || trim(text, ' ') || chr(10) || '```') AS answer, sum(n)::BIGINT AS n_rows FROM x GROUP BY 1, 2, 4""")
 def merge_datasets(spark, sf_dir):
     d = training.to_messages(table(spark, sf_dir, "documents"), "s", "lang", "text").withColumns({"split": F.when(F.pmod("doc_id", F.lit(10)) == 0, "validation").otherwise("train"), "tools": F.lit(None).cast("string"), "kind": F.col("lang")})
-    m = datasets.merge_datasets([(d.drop("source").where("lang = 'en'"), "a", 2), (d.drop("source").where("lang IN ('fr', 'es')"), "b", 1)], ["es"])
-    return m.groupBy("source", "split").agg(F.count(F.lit(1)).alias("n_rows"))
+    m = datasets.merge_datasets([(d.drop("source").where("lang = 'en'"), "a", 2), (d.drop("source").where("lang IN ('fr', 'es')"), "b", 1)], ["es"], "Be brief.", 7)
+    first, last = F.element_at("messages", 1)["content"], F.element_at("messages", -1)["content"]
+    return m.groupBy("source", "split", first.alias("said"), F.sha2(last, 256).alias("answer")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("SELECT sha256(text) AS text_hash, count(DISTINCT doc_id % 3) AS n_splits, count(*) AS n_rows FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id % 3) > 1")
@@ -305,9 +312,14 @@ def reconcile_ids(spark, sf_dir):
     return datasets.reconcile_ids(table(spark, sf_dir, "part").where("p_size > 5"), table(spark, sf_dir, "lineitem").where("l_quantity = 50").withColumnRenamed("l_partkey", "p_partkey"), "p_partkey")
 
 
-@query()
+@query("""WITH h AS (SELECT doc_id::VARCHAR AS key, sha256(concat_ws('|', doc_id::VARCHAR, coalesce(lang, ''), coalesce(source, ''), coalesce(text, ''))) AS h, count(*) AS n FROM documents GROUP BY 1, 2),
+    d AS (SELECT ceil(ln(greatest(count(*) / 100.0, 1)) / ln(16) - 1e-9)::INT AS d FROM h), l AS (SELECT substr(h, 1, d) AS p, h || '  ' || key || CASE WHEN n > 1 THEN ' x' || n ELSE '' END AS line, n FROM h, d),
+    leaf AS (SELECT p, sha256(string_agg(line, chr(10) ORDER BY line)) AS h, sum(n)::BIGINT AS n FROM l GROUP BY p), n1 AS (SELECT substr(p, 1, greatest((SELECT d FROM d) - 1, 0)) AS q, CASE WHEN (SELECT d FROM d) > 0 THEN sha256(string_agg(p || ':' || h, chr(10) ORDER BY p || ':' || h)) ELSE max(h) END AS h, sum(n)::BIGINT AS n FROM leaf GROUP BY 1),
+    n2 AS (SELECT CASE WHEN (SELECT d FROM d) > 1 THEN sha256(string_agg(q || ':' || h, chr(10) ORDER BY q || ':' || h)) ELSE max(h) END AS h, sum(n)::BIGINT AS n FROM n1)
+    SELECT h AS digest, n AS n_records, (SELECT count(DISTINCT doc_id) = count(*) FROM documents) AS unique_keys FROM n2""")
 def dataset_digest(spark, sf_dir):
-    return datasets.dataset_digest(table(spark, sf_dir, "documents"), "doc_id", ["doc_id", "lang", "source", "text"])
+    """The SQL goes to two digits of the hash: up to 25,600 records in leaves of 100."""
+    return datasets.dataset_digest(table(spark, sf_dir, "documents"), "doc_id", ["doc_id", "lang", "source", "text"], 100)
 
 
 @query("SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 7 AS shard FROM documents")
