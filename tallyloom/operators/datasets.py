@@ -29,19 +29,19 @@ def priority_quota(df: DataFrame, group: str, source: str, source_rank: str, ord
     return first_of(own, [group], [source_rank, *order], n)
 
 
-def pair_by_group(instances: DataFrame, candidates: DataFrame, key: str, salts: int = 1) -> DataFrame:
-    """Every instance with every candidate of its key; salts spread a key that holds most instances."""
-    if salts < 2:
-        return instances.join(candidates, key)
-    left = instances.withColumn("_salt", F.pmod(F.xxhash64(*instances.columns), F.lit(salts)))
-    right = candidates.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, [key, "_salt"]).drop("_salt")
+def pair_by_group(instances: DataFrame, candidates: DataFrame, key: str, split: int = 1024) -> DataFrame:
+    """Every instance with every candidate of its key. A key of many instances has them dealt to parts of about split, each with a copy of its candidates."""
+    parts = F.ceil(F.count(F.lit(1)) / split).cast("int").alias("_parts")
+    sizes = instances.groupBy(F.col(key).alias("_key")).agg(parts)  # a row for each key
+    left = instances.join(sizes, F.col(key) == F.col("_key")).withColumn("_part", F.pmod(F.xxhash64(*instances.columns), F.col("_parts")).cast("int")).drop("_key", "_parts")
+    right = candidates.join(sizes, F.col(key) == F.col("_key")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_key", "_parts")
+    return left.join(right, [key, "_part"]).drop("_part")
 
 
 def replay_pairs(correct: DataFrame, instances: DataFrame) -> DataFrame:
     """Distinct correct code with the other instances of its kind, without the pairs that are solved. correct: (kind, instance_id, code_id)."""
-    pairs = correct.select("kind", "code_id").distinct().join(instances.select("kind", "instance_id"), "kind")
-    return pairs.join(correct.select("instance_id", "code_id"), ["instance_id", "code_id"], "left_anti")
+    pairs = pair_by_group(instances.select("kind", "instance_id"), correct.select("kind", "code_id").distinct(), "kind")
+    return pairs.join(correct.select("instance_id", "code_id"), ["instance_id", "code_id"], "left_anti").select("instance_id", "code_id", "kind")
 
 
 def representatives(df: DataFrame, source: str, text: str, key: str) -> DataFrame:

@@ -109,6 +109,12 @@ def rescore_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.avg("old_score").alias("old_mean"), F.avg("score").alias("new_mean"), F.count_if(moved).alias("n_status_changed"), F.count_if(F.col("score") > F.col("old_score")).alias("n_up"), F.count_if(F.col("score") < F.col("old_score")).alias("n_down"))
 
 
+def status_changes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, status, n_before, n_after): how many rows have each status before and after rescoring. rows: (status, old_status)."""
+    both = rows.select(*keys, F.explode(F.array(F.struct(F.col("old_status").alias("status"), F.lit(1).alias("b"), F.lit(0).alias("a")), F.struct("status", F.lit(0).alias("b"), F.lit(1).alias("a")))).alias("x"))
+    return both.groupBy(*keys, F.col("x.status").alias("status")).agg(F.sum("x.b").alias("n_before"), F.sum("x.a").alias("n_after"))
+
+
 def align_declared(values: DataFrame, found: DataFrame) -> DataFrame:
     """(instance_id, declared, aligned): the recomputed value where every violation of the instance is a wrong declared value."""
     only = found.groupBy("instance_id").agg(F.bool_and(F.col("rule") == "declared").alias("_only"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import num
 
+from .scoring import reference_ratio
+
 #: Words of an objective's description, and the parts of field names that they stand for.
 OBJECTIVE_WORDS = [
     (["ピーク", "peak"], ["peak"]),
@@ -35,6 +37,9 @@ MORE_IS_BETTER = ["rating", "profit", "revenue", "match", "assigned", "coverage"
 TOTALS = ["total_", "peak_", "expected_", "best_", "optimal_"]
 NO_ASSIGNMENT = ["note", "feasible", "all_scheduled", "all_assigned"]
 ALIASES = ["objective_value", "objective", "cost", "value"]
+#: Names of a solution's cost, and of a reference's value, the first that is there counts.
+COST_KEYS = ["cost", "objective", "value", "total_distance", "total_cost", "makespan", "total_delay", "project_duration", "num_trains", "score"]
+REFERENCE_KEYS = ["objective_value", "total_distance", "project_duration", "num_trains", "total_cost", "makespan", "total_delay"]
 
 
 def derive_keys(records: DataFrame) -> DataFrame:
@@ -130,6 +135,18 @@ def reference_free_cost(df: DataFrame, key: str = "instance_id") -> DataFrame:
     return df.select(key).join(own, key, "left").select(key, F.when(F.col("is_min"), F.col("value")).when(F.col("value") > 0, 1 / F.col("value")).alias("cost"))
 
 
+def generic_ratio(df: DataFrame, key: str = "instance_id") -> DataFrame:
+    """(key, ratio): reference_ratio() of the first known cost of a solution, or else its first number, or the number that it is, and of the first known value of the reference. df: (key, reference, solution)."""
+    own = members(df, [key], "solution").where("kind = 'number'").withColumn("v", num(F.col("value")))
+    place = lambda names: F.array_position(F.array(*map(F.lit, names)), F.col("key"))
+    turn = F.when(place(COST_KEYS) > 0, place(COST_KEYS)).otherwise(1000 + F.col("pos"))
+    cost = own.where("key IS NOT NULL").groupBy(key).agg(F.min_by("v", turn).alias("cost"))
+    ref = members(df, [key], "reference").where((F.col("kind") == "number") & (place(REFERENCE_KEYS) > 0)).groupBy(key).agg(F.min_by(num(F.col("value")), place(REFERENCE_KEYS)).alias("ref"))
+    bare = F.when(~F.trim("solution").startswith('"'), num(F.col("solution")))
+    x = df.select(key, bare.alias("bare")).join(cost, key, "left").join(ref, key, "left")
+    return x.select(key, reference_ratio(F.coalesce("bare", "cost"), F.col("ref")).alias("ratio"))
+
+
 def profile_json(df: DataFrame, key: str, payload: str) -> DataFrame:
     """(key, field, kind, size, element_kind, names, n_columns): what each field of a payload is: its length, the kind, field names (in their order by name) or width of its first item. Values are not shown."""
     own = members(df, [key], payload).withColumnRenamed("key", "field")

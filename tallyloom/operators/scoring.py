@@ -121,7 +121,8 @@ def beat_flags(cost: Column, reference: Column, status: Column) -> tuple[Column,
 
 
 def reference_ratio(cost: Column, reference: Column) -> Column:
-    return F.when(cost == 0, F.when(reference == 0, 1.0).otherwise(0.0)).otherwise(F.try_divide(reference, cost))
+    """reference / cost, more is better; null without a reference or for one of 0. A cost of 0 gives 2, or 1 against a negative reference."""
+    return F.when(reference != 0, F.when(cost == 0, F.when(reference > 0, 2.0).otherwise(1.0)).otherwise(F.try_divide(reference, cost)))
 
 
 def paired_bootstrap(deltas: DataFrame, rounds: int, seed: int) -> DataFrame:

@@ -244,3 +244,9 @@ def check_manifest(spark, sf_dir):
     """A data set that lacks a document of its manifest; against its own manifest it has no problem, as tests show."""
     d, cols = table(spark, sf_dir, "documents"), ["doc_id", "lang", "text"]
     return datasets.check_manifest(d.where("doc_id > 0"), datasets.dataset_digest(d, "doc_id", cols, 500), "doc_id", cols, 500)
+
+
+@query(f"WITH {FAULTS}, x AS (SELECT condition, status, 0 AS b, 1 AS a FROM faults UNION ALL SELECT condition, CASE WHEN verified THEN 'ok' ELSE 'unverified' END, 1, 0 FROM faults) SELECT condition, status, sum(b)::BIGINT AS n_before, sum(a)::BIGINT AS n_after FROM x GROUP BY 1, 2")
+def status_changes(spark, sf_dir):
+    x = faults(spark, sf_dir).withColumn("old_status", F.when(F.col("verified"), "ok").otherwise("unverified"))
+    return matching.status_changes(x, ["condition"])

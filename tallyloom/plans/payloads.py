@@ -55,6 +55,14 @@ def score_costs(spark, sf_dir):
     return suites.score_costs(rows, payloads.reference_free_cost)
 
 
+@query("""SELECT o_orderkey AS instance_id, CASE o_orderkey % 5 WHEN 0 THEN o_totalprice / (o_orderkey + 1) WHEN 1 THEN 2.0 WHEN 2 THEN -3.0 / (o_orderkey + 1) WHEN 3 THEN o_totalprice / 4 END AS ratio FROM orders""")
+def generic_ratio(spark, sf_dir):
+    i, x = F.col("o_orderkey"), F.col("o_totalprice").cast("string")
+    z = (i + 1).cast("string")
+    o = table(spark, sf_dir, "orders").select(i.alias("instance_id"), turn(i, 5, ('{"a": 9, "score": 5, "cost": %s}', z), '{"x": "0", "y": 0}', ("%s", z), '{"n": true, "y": 4, "z": 5}', '{"cost": 1}').alias("solution"), turn(i, 5, ('{"total_cost": %s, "other": 1}', x), '{"makespan": 3}', '{"makespan": -3}', ('{"total_delay": 1, "total_distance": %s}', x), '{"total_cost": 0}').alias("reference"))
+    return payloads.generic_ratio(o)
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'unknown' ELSE o_orderpriority END || '_' || CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' ELSE o_orderstatus END AS core_type, 'prob_' || CASE WHEN o_orderkey < 1000 THEN lpad(o_orderkey::VARCHAR, 3, '0') ELSE o_orderkey::VARCHAR END AS instance_id FROM orders")
 def derive_keys(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("id"), F.when(F.pmod("o_orderkey", F.lit(5)) != 0, F.col("o_orderpriority")).alias("domain"), F.when(F.pmod("o_orderkey", F.lit(7)) != 0, F.col("o_orderstatus")).alias("math_type"))

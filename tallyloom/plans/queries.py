@@ -253,7 +253,7 @@ def priority_quota(spark, sf_dir):
 def pair_by_group(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey", "c_acctbal")
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey", "s_acctbal")
-    p = datasets.pair_by_group(c, s, "n_nationkey", salts=4).join(F.broadcast(table(spark, sf_dir, "nation")), "n_nationkey")  # nation is a fixed list
+    p = datasets.pair_by_group(c, s, "n_nationkey", split=16).join(F.broadcast(table(spark, sf_dir, "nation")), "n_nationkey")  # nation is a fixed list
     return p.groupBy("n_name").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.sum(F.col("s_acctbal") - F.col("c_acctbal")), 2).alias("total"))
 
 
