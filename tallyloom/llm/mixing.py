@@ -4,7 +4,8 @@ A document's size is its number of words. Sources, by code point with null last,
 share the words of all; a target stops at CAP times its source's words, and the excess is shared again by weight. A
 source's documents are dealt by a hash of doc_id and text to blocks of about BLOCK_WORDS words. Its target is met by whole
 passes over its blocks and one partial pass, in a permuted order; in the block where the partial pass ends, documents
-are taken in a permuted order for half of what is left, and then the largest that fit, a few times. There is a shard for every SHARD_WORDS words of the mix.
+are taken in a permuted order for half of what is left, then the largest that fit, a few times, and at last one more if
+that comes nearer. There is a shard for every SHARD_WORDS words of the mix.
 
 The sources' exact block quotas then split among the output shards: a node's quotas split between its two children by a
 multivariate-hypergeometric draw of as many blocks as the left child's shards hold, so every shard is like a random
@@ -165,6 +166,10 @@ def with_draws(docs: DataFrame, shards: int | None = None, seed: int = SEED) ->
         edge = edge.withColumn("_upto", F.when(fits, F.sum(F.when(fits, F.col("size"))).over(order.rowsBetween(Window.unboundedPreceding, 0))))
         new = F.coalesce(F.col("_upto") <= free, F.lit(False))
         edge = edge.withColumns({"_took": F.col("_took") | new, "_left": F.col("_left") - F.coalesce(F.sum(F.when(new, F.col("size"))).over(whole), F.lit(0))})
+    # At last the smallest one, if it comes nearer with it.
+    nearer = ~F.col("_took") & (F.col("size") > 0) & (F.col("size") < 2 * F.col("_left"))
+    edge = edge.withColumn("_nearer", nearer).withColumn("_place", F.row_number().over(whole.orderBy(F.desc("_nearer"), "size", *permuted)))
+    edge = edge.withColumn("_took", F.col("_took") | (F.col("_nearer") & (F.col("_place") == 1))).drop("_nearer", "_place")
     edge = edge.withColumn("draws", F.when(F.col("_took"), F.col("draws")).otherwise(F.filter("draws", lambda d: d["whole"]))).drop("_took", "_left", "_upto")
     rest = rows.where("_residual IS NULL").withColumn("draws", F.coalesce("draws", F.array().cast(rows.schema["draws"].dataType)))
     return rest.unionByName(edge).drop("_block", "_residual"), shards
