@@ -37,3 +37,34 @@ def test_audio_tensors_are_stored(spark, monkeypatch):
     louder = held.withColumn("tensors", F.transform("tensors", lambda t: t.withField("log_mel", F.transform(t["log_mel"], lambda v: (v + 100).cast("short")))))
     marked = louder.withColumn("tensors", F.col("tensors").cast(held.schema["tensors"].dataType))
     assert not set(got.values()) & {r.feature for r in audio.described(marked).collect()}
+
+
+def test_features_against_plain_loops():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, s, n) for s, n in ((0.01, 900), (0.5, 1200), (0.02, 700), (0.9, 333))]).astype(np.float32)
+    mel, top = audio.log_mel(x), audio.TARGET / 2
+    scale = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (scale(top) * k / (audio.MELS + 1) / 2595) - 1) for k in range(audio.MELS + 2)]
+    assert len(mel) == 1 + -(-(len(x) - audio.WINDOW) // audio.HOP)
+    for k in range(0, len(mel), 7):
+        frame = np.zeros(audio.WINDOW)
+        part = x[k * audio.HOP : k * audio.HOP + audio.WINDOW]
+        frame[: len(part)] = part
+        frame *= 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(audio.WINDOW) / (audio.WINDOW - 1))
+        power = [abs(sum(v * np.exp(-2j * np.pi * b * i / audio.FFT) for i, v in enumerate(frame))) ** 2 for b in range(audio.FFT // 2 + 1)]
+        for m in range(0, audio.MELS, 5):
+            a, b, c = edges[m : m + 3]
+            weight = [max(0.0, min((f - a) / (b - a), (c - f) / (c - b))) for f in (i * audio.TARGET / audio.FFT for i in range(audio.FFT // 2 + 1))]
+            want = max(audio.FLOOR, 10 * np.log10(np.dot(power, weight) + 1e-10))
+            assert abs(mel[k, m] - want) < 0.02
+    level = mel.mean(axis=1) - np.median(mel.mean(axis=1))
+    on, found = False, []
+    for i, v in enumerate(level):
+        if not on and v >= audio.UPPER:
+            on, first = True, i
+        elif on and v < audio.LOWER:
+            on = False
+            found.append([first, i])
+    if on:
+        found.append([first, len(level)])
+    assert found and audio.segments(mel).tolist() == found
