@@ -26,11 +26,14 @@ def violations(df: DataFrame, rule: str, entity: str, observed: Column, limit: C
 
 
 def rollup(found: DataFrame, instances: DataFrame, total: int, keep: int = 6) -> DataFrame:
-    """feasible, partial score and the first messages of each instance."""
-    n = found.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.concat_ws(":", "rule", "entity"))).alias("m"))
+    """feasible, partial score and the first messages of each instance. Counts are of all violations; only keep messages of an instance are gathered."""
+    n = found.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n"))
+    said = found.select("instance_id", F.concat_ws(":", "rule", "entity").alias("said")).distinct()
+    first = said.withColumn("_k", F.row_number().over(Window.partitionBy("instance_id").orderBy("said"))).where(F.col("_k") <= keep)
+    n = n.join(first.groupBy("instance_id").agg(F.array_sort(F.collect_list("said")).alias("m")), "instance_id", "left")
     x = instances.select(F.col("instance_id").cast("string").alias("instance_id")).distinct().join(n, "instance_id", "left")
     count = F.coalesce("n", F.lit(0))
-    return x.select("instance_id", (count == 0).alias("feasible"), count.cast("long").alias("violation_count"), F.greatest(total - count, F.lit(0)).cast("double").__truediv__(max(total, 1)).alias("partial_score"), F.slice(F.coalesce("m", F.array().cast("array<string>")), 1, keep).alias("messages"))
+    return x.select("instance_id", (count == 0).alias("feasible"), count.cast("long").alias("violation_count"), F.greatest(total - count, F.lit(0)).cast("double").__truediv__(max(total, 1)).alias("partial_score"), F.coalesce("m", F.array().cast("array<string>")).alias("messages"))
 
 
 @audit_rule("coverage")

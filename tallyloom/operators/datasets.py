@@ -72,7 +72,8 @@ def stratified_split(df: DataFrame, stratum: str, shuffle: Column, n_train: int,
     Only the rows of the first n_train + n_test rounds can be taken, so only as many for each stratum are ranked globally.
     """
     n = n_train + n_test
-    own = df.withColumn("round", F.row_number().over(Window.partitionBy(stratum).orderBy(shuffle)) - 1).where(F.col("round") < n)
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy(shuffle))  # Spark limits each task's rows to n before the shuffle
+    own = df.withColumn("_place", place).where(F.col("_place") <= n).withColumn("round", F.col("_place") - 1).drop("_place")
     sizes = own.groupBy("round").agg(F.count(F.lit(1)).alias("c"))
     start = sizes.withColumn("start", F.coalesce(F.sum("c").over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")  # n rows at most
     ranked = own.join(start, "round").withColumn("at", F.col("start") + F.row_number().over(Window.partitionBy("round").orderBy(stratum)) - 1)
