@@ -8,8 +8,8 @@ similarity of their weighted shingles. Documents that agree in a band of registe
 Jaccard similarity of the plain shingle sets of at least SIMILARITY, computed exactly. Texts with repeated shingles are
 also sketched with unit weights, so that pairs that differ in repeats only are candidates as surely as others.
 
-Documents with equal sets are one representative, told apart by a 128-bit fingerprint of the set. A band's bucket has a pivot, its least representative, and every
-member is compared with it. Two members that these links bring into the pivot's class need no link of their own; all other pairs of the
+Documents with equal sets are one representative, told apart by a 128-bit fingerprint of the set. A band's bucket has a pivot, the
+member that meets most others over all bands, and every member is compared with it. Two members that these links bring into the pivot's class need no link of their own; all other pairs of the
 pivot's members are searched with an exact prefix filter on what sets them apart from the pivot. With E the symmetric
 difference of a member's set and the pivot's, members x and y are linked only if
 |E(x) & E(y)| >= (|E(x)| + |E(y)| - c (n(x) + n(y))) / 2, where c = (1 - s) / (1 + s). That is above 0 unless both are
@@ -212,15 +212,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     seen = shelf.put(sketches(docs), "sketches")
     owners = seen.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc_id", "t1", "t2", "bands")).alias("m"), F.min("doc_id").alias("least"))
     reps = shelf.put(owners.select("fp1", "fp2", "n", "least", F.monotonically_increasing_id().alias("rep"), "m.doc_id", "m.t1", "m.t2", F.array_distinct("m.bands").alias("bands")), "representatives")
-    entries = reps.select("rep", "least", F.explode("bands").alias("bucket"))
-    # The least doc_id of a bucket, often the original of its copies and so near all of them.
-    pivots = entries.groupBy("bucket").agg(F.min(F.struct("least", "rep")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", F.col("m.rep").alias("pivot"))
-    faced = shelf.put(entries.join(pivots, "bucket").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "faced")
+    entries = reps.select("rep", F.explode("bands").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    met = shelf.put(entries.join(shared, "bucket"), "met")
+    # A pivot is the bucket's representative that meets most others over all buckets: the original of copies, if it is there.
+    central = met.groupBy("rep").agg(F.sum("k").alias("degree"))
+    pivots = met.join(central, "rep").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("m")).select("bucket", (-F.col("m.r")).alias("pivot"))
+    faced = shelf.put(met.join(pivots, "bucket").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "faced")
     named_in = faced.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = shelf.put(named_in.join(reps.select(F.col("rep").alias("id"), "doc_id", "t1", "t2"), "id"), "wanted")
     sets = shelf.put(sets_of(docs, wanted), "shingles")
     known = shelf.put(verified(faced, sets), "verified")
-    shelf.drop(faced, wanted)
+    shelf.drop(met, faced, wanted)
     linked = known.where(F.col("similarity") >= similarity).select("a", "b")
     label = None if linked.isEmpty() else components(linked, shelf)
     if label is None:
