@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,24 +108,6 @@ def first_breach(t: dict[str, DataFrame]) -> DataFrame:
     return violations(first, "supply", "entity", F.col("b.stock"), F.lit(0.0))
 
 
-def route_lengths(stops: DataFrame, closed: bool = True) -> DataFrame:
-    """(instance_id, route, length): Euclidean, by position; closed routes return to their first stop."""
-    w = Window.partitionBy("instance_id", "route").orderBy("pos")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    px, py = (F.lag(c).over(w) for c in ("x", "y"))
-    hop = stops.select("instance_id", "route", F.sqrt(F.pow(F.col("x") - F.coalesce(px, F.last("x").over(whole) if closed else F.col("x")), F.lit(2)) + F.pow(F.col("y") - F.coalesce(py, F.last("y").over(whole) if closed else F.col("y")), F.lit(2))).alias("d"))
-    return hop.groupBy("instance_id", "route").agg(F.sum("d").alias("length"))
-
-
-def clock(stops: DataFrame) -> DataFrame:
-    """start of service at each stop: travel and service before it plus the running maximum of tw_start less that; no loop."""
-    w = Window.partitionBy("instance_id", "route").orderBy("pos")
-    x = stops.withColumn("step", F.col("travel") + F.coalesce(F.lag("service").over(w), F.lit(0.0)))
-    x = x.withColumn("prefix", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    start = F.col("prefix") + F.greatest(F.lit(0.0), F.max(F.col("tw_start") - F.col("prefix")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return x.withColumn("start", start).withColumn("late", F.col("start") > F.col("tw_end")).drop("step", "prefix")
-
-
 def flow_balance(flows: DataFrame, arcs: DataFrame) -> DataFrame:
     """(instance_id, commodity, node, net): inflow less outflow."""
     x = flows.join(arcs, ["instance_id", "arc_id"])
@@ -164,16 +145,3 @@ def cvar(losses: DataFrame, alpha: float) -> DataFrame:
     x = losses.withColumn("k", F.row_number().over(w)).withColumn("tail", (1 - alpha) * n)
     part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("tail") - F.col("k") + 1))
     return x.groupBy("instance_id").agg((F.sum(part * F.col("loss")) / F.max("tail")).alias("cvar"))
-
-
-def run_suite(rules: list[str], tables: dict[str, DataFrame], instances: DataFrame, total: int) -> DataFrame:
-    """The rollup of several rules; a name that no rule has leaves its instances unverified."""
-    known = [r for r in rules if r in RULES]
-    if not known:
-        return rollup_empty(instances)
-    found = reduce(DataFrame.unionByName, [RULES[r](tables) for r in known])
-    return rollup(found, instances, total).withColumn("verified", F.lit(len(known) == len(rules)))
-
-
-def rollup_empty(instances: DataFrame) -> DataFrame:
-    return instances.select(F.col("instance_id").cast("string").alias("instance_id")).distinct().withColumn("verified", F.lit(False))

@@ -134,9 +134,11 @@ def paired_bootstrap(deltas: DataFrame, rounds: int, seed: int) -> DataFrame:
     n = deltas.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean"))
     rounds_of = n.select("grp", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))).alias("round")).repartition("grp", "round")
     start = rounds_of.withColumn("h", mix32(F.pmod(F.col("round") + mix32_of(seed % RANGE), F.lit(RANGE))))
-    draws = start.select("grp", "n", "round", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("draw"))
-    drawn = mix32(F.col("h").bitwiseXOR(mix32(F.pmod(F.col("draw") + 1, F.lit(RANGE)))))
-    picked = draws.select("grp", "round", F.floor(drawn * F.col("n") / RANGE).cast("long").alias("k"))
+    draws = start.select("grp", "n", "round", "h", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("draw"))
+    # Each scrambled number goes through an explode of one, or the mixer, which names its input eight times, would be nested in itself.
+    draws = draws.select("grp", "n", "round", "h", F.explode(F.array(mix32(F.pmod("draw", F.lit(RANGE))))).alias("m"))
+    drawn = draws.select("grp", "n", "round", F.explode(F.array(mix32(F.col("h").bitwiseXOR(F.col("m"))))).alias("x"))
+    picked = drawn.select("grp", "round", F.floor(F.col("x") * F.col("n") / RANGE).cast("long").alias("k"))
     means = picked.join(deltas, ["grp", "k"]).groupBy("grp", "round").agg(F.avg("delta").alias("m"))
     order = Window.partitionBy("grp").orderBy("m", "round")  # a row for each round
     place = means.withColumn("i", F.row_number().over(order) - 1)

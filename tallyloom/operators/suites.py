@@ -99,7 +99,7 @@ def suite_of(payload: Column) -> Column:
     return detect_kind(payload, [(name, list(s.keys)) for name, s in ordered if s.keys])
 
 
-def audit_suite(name: str, tables: dict[str, DataFrame], instances: DataFrame, totals: int | None = None) -> DataFrame:
+def run_suite(name: str, tables: dict[str, DataFrame], instances: DataFrame, totals: int | None = None) -> DataFrame:
     """(instance_id, feasible, violation_count, partial_score, messages, verified, suite) of instances (instance_id) under a suite.
 
     Rules whose tables are absent leave the instances unverified, as an unknown suite does; they are not violations. totals: constraints of an

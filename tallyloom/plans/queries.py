@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import RANGE, mix32_of, mix32_sql
 from tallyloom.functions.tables import ranked
-from tallyloom.operators import audit, datasets, evaluation, scoring, training
+from tallyloom.operators import audit, checks, datasets, evaluation, scoring, training
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -421,7 +421,7 @@ def flow_balance(spark, sf_dir):
     SELECT route, round(sum(sqrt(pow(x - coalesce(px, lx), 2) + pow(y - coalesce(py, ly), 2))), 6) AS length FROM o GROUP BY route""")
 def route_lengths(spark, sf_dir):
     s = table(spark, sf_dir, "lineitem").select(F.lit(0).alias("instance_id"), F.col("l_orderkey").alias("route"), F.struct("l_linenumber", "l_partkey", F.pmod("l_suppkey", F.lit(100)).alias("y")).alias("pos"), F.pmod("l_partkey", F.lit(100)).alias("x"), F.pmod("l_suppkey", F.lit(100)).alias("y"))
-    return audit.route_lengths(s).select("route", F.round("length", 6).alias("length"))
+    return checks.tour_lengths(s).select("route", F.round("length", 6).alias("length"))
 
 
 @query("""WITH l AS (SELECT o_custkey % 50 AS i, o_orderkey AS scenario, o_totalprice AS loss FROM orders), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY loss DESC, scenario) AS k, 0.05 * count(*) OVER (PARTITION BY i) AS tail FROM l)

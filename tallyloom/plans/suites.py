@@ -555,7 +555,7 @@ def bins(spark, sf_dir):
     n AS (SELECT i, count(*) AS n, list_sort(list(m)) AS m FROM v GROUP BY 1) SELECT c_custkey::VARCHAR AS instance_id, n IS NULL AS feasible, coalesce(n, 0) AS violation_count, greatest(8 - coalesce(n, 0), 0) / 8.0 AS partial_score, coalesce(array_to_string(m[1:6], ','), '') AS messages, true AS verified, 'bin_packing' AS suite FROM customer LEFT JOIN n ON i = c_custkey""")
 def suite_bin_packing(spark, sf_dir):
     instances = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("instance_id"))
-    return suites.audit_suite("bin_packing", bins(spark, sf_dir), instances, 8).withColumn("messages", F.array_join("messages", ","))
+    return suites.run_suite("bin_packing", bins(spark, sf_dir), instances, 8).withColumn("messages", F.array_join("messages", ","))
 
 
 @query("SELECT c_custkey::VARCHAR AS instance_id, c_custkey % 4 AS suite, CASE WHEN c_custkey % 4 = 3 THEN false ELSE c_custkey % 4 = 0 END AS verified FROM customer")
@@ -565,5 +565,5 @@ def suite_verdicts(spark, sf_dir):
 
     c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("instance_id"))
     tables = bins(spark, sf_dir)
-    part = lambda k, name, own: suites.audit_suite(name, own, c.where(f"instance_id % 4 = {k}")).select("instance_id", F.lit(k).cast("long").alias("suite"), "verified")
+    part = lambda k, name, own: suites.run_suite(name, own, c.where(f"instance_id % 4 = {k}")).select("instance_id", F.lit(k).cast("long").alias("suite"), "verified")
     return reduce(lambda a, b: a.union(b), [part(0, "bin_packing", tables), part(1, "bin_packing", {k: v for k, v in tables.items() if k != "limits"}), part(2, "job_shop", {}), part(3, "no such suite", tables)])

@@ -224,10 +224,10 @@ def triple(spark):
 
 def test_job_shop_suite(spark):
     instances = spark.createDataFrame([(1,), (2,)], "instance_id int")
-    got = {r.instance_id: r for r in suites.audit_suite("job_shop", triple(spark), instances, 6).collect()}
+    got = {r.instance_id: r for r in suites.run_suite("job_shop", triple(spark), instances, 6).collect()}
     assert got["1"].feasible and got["1"].verified and got["1"].partial_score == 1.0
     assert not got["2"].feasible and sorted(got["2"].messages) == ["declared:makespan", "operations:0/1", "overlap:1/0"] and got["2"].violation_count == 3 and got["2"].partial_score == 0.5
-    lost = suites.audit_suite("job_shop", {k: v for k, v in triple(spark).items() if k != "allowed"}, instances).collect()
+    lost = suites.run_suite("job_shop", {k: v for k, v in triple(spark).items() if k != "allowed"}, instances).collect()
     assert not any(r.verified for r in lost)
 
 
