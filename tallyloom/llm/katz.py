@@ -7,15 +7,17 @@ that every history keeps some mass for words that it was never seen with. The ba
 over the unigram mass of the words not seen after it, so each history's distribution sums to one. A token is evaluated
 recursively: the bigram if it was seen, else the weight times the unigram, which is all there is for a new history.
 
-Documents are dealt to chunks of about CHUNK bytes by a hash of doc_id. A chunk asks for the counts of its distinct
+Documents are dealt to chunks of about CHUNK bytes by a hash of doc_id and text. A chunk asks for the counts of its distinct
 words, then of its distinct pairs: the requests, sorted arrays, are shuffled by word or pair to buckets, which add them
-up, write the tables (kind=word and kind=pair, partitioned by bucket) and send each chunk the sums it asked for. Nothing
-but distinct entries leaves a chunk, so a hot word or line costs one entry for each chunk. Histories with at least
-N / (4 * buckets) tokens, of which there are 4 * buckets at most, are spread over all buckets; only their sums pass
-through the driver. Words are known by 64-bit keys.
+up, write the tables (partitions kind=word and kind=pair) and send each chunk the sums it asked for. Nothing but distinct
+entries leaves a chunk, so a hot word or line costs one entry for each chunk. Histories with at least N / share tokens,
+where share is 4 * buckets or HOT if that is less, are spread over all buckets. There are share of them at most, so HOT;
+their sums, of about 80 bytes each, pass through the driver. Words are known by 64-bit keys, and by ids of 32 bits as long
+as these suffice.
 
 Null texts are empty: one end. A null doc_id counts as the empty text in the fold rule. Repeated rows count each time and
-get a row each. Without documents the result is empty. Other columns are not read.
+get a row each; they are dealt to one chunk. A text that is longer than a chunk is in one chunk as a whole. Equal counts
+rank words by their keys. Without documents the result is empty. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import lean_session, shared_dir, text_or_empty
 
-FOLDS, HELD_OUT, CUT, HALF, CHUNK = 7, 2, 5, 0.5, 13 << 20
+FOLDS, HELD_OUT, CUT, HALF, CHUNK, HOT = 7, 2, 5, 0.5, 13 << 20, 1 << 16
 U = np.uint64
 END, START = np.uint64(0x0123456789ABCDEF), -1
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -93,7 +95,7 @@ class Chunk:
 class Pairs:
     """A chunk's distinct pairs that can have a count, in the order of its requests."""
 
-    def __init__(self, chunk: Chunk, ids: np.ndarray, counts: np.ndarray, train_tokens: int, end_count: int, buckets: int):
+    def __init__(self, chunk: Chunk, ids: np.ndarray, counts: np.ndarray, train_tokens: int, end_count: int, buckets: int, share: int):
         n = len(chunk.words) + 1
         code, self.inverse = np.unique((chunk.history + 1) * n + chunk.word, return_inverse=True)
         h, w = code // n - 1, code % n
@@ -101,7 +103,7 @@ class Pairs:
         known = self.h_count > 0
         self.h_id = np.where(h >= 0, ids[h], START)
         self.w_id, self.w_count = ids[w], counts[w]
-        hot = self.h_count * 4 * buckets >= train_tokens
+        hot = self.h_count * share >= train_tokens
         mixed = K.mix((self.h_id + 1).astype(U) + np.where(hot, self.w_id.astype(U) * K.STEP, U(0)))
         self.bucket = np.where(known, (mixed % U(buckets)).astype(np.int64), buckets)
         # A known history with an unknown word asks for no count, but for the history's weight.
@@ -157,7 +159,7 @@ def katz_scores(docs: DataFrame) -> DataFrame:
 
 def chunked(docs: DataFrame, chunks: int) -> DataFrame:
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
-    return docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), (fold == HELD_OUT).alias("held_out"))
+    return docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text_or_empty()), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), (fold == HELD_OUT).alias("held_out"))
 
 
 def fitted(docs: DataFrame) -> tuple[Model, dict]:
@@ -168,6 +170,7 @@ def fitted(docs: DataFrame) -> tuple[Model, dict]:
     size = docs.agg(F.sum(F.octet_length(text_or_empty()) + 64)).first()[0] or 0
     chunks = max(1, -(-size // CHUNK))
     buckets = 2 * chunks
+    share = min(4 * buckets, HOT)
 
     def ask_words(table: pa.Table) -> pa.Table:
         c = Chunk(table, chunks)
@@ -186,28 +189,27 @@ def fitted(docs: DataFrame) -> tuple[Model, dict]:
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
         length = table["keys"].combine_chunks().value_lengths().to_numpy()
-        if len(word) * chunks >= 2**31:
-            raise ValueError("the vocabulary exceeds 2**31 ids")
         cut = np.concatenate(([0], np.cumsum(length)))
         own = [inverse[cut[i] : cut[i + 1]] for i in range(len(length))]
         order = order[total[order] > 0]
         return pa.table({
             "kind": ["answer"] * len(own) + ["word"], "bucket": pa.array([bucket] * (len(own) + 1), pa.int32()), "chunk": pa.array([*table["chunk"].to_pylist(), -1], pa.int32()), "keys": lists([*[np.zeros(0, np.int64)] * len(own), word[order].view(np.int64)], pa.int64()),
-            "ids": lists([*[rank[x] * chunks + bucket for x in own], np.zeros(0, np.int64)], pa.int32()), "counts": lists([*[total[x] for x in own], total[order]], pa.int64()),
+            "ids": lists([*[rank[x] * chunks + bucket for x in own], np.zeros(0, np.int64)], pa.int64()), "counts": lists([*[total[x] for x in own], total[order]], pa.int64()),
         })
 
     dealt = chunked(docs, chunks)
     asked = dealt.groupBy("chunk").applyInArrow(ask_words, "chunk int, bucket int, keys array<long>, counts array<long>")
-    word_schema = "kind string, bucket int, chunk int, keys array<long>, ids array<int>, counts array<long>"
-    asked.groupBy("bucket").applyInArrow(add_words, word_schema).write.partitionBy("kind", "bucket").parquet(f"{path}/words")
+    word_schema = "kind string, bucket int, chunk int, keys array<long>, ids array<long>, counts array<long>"
+    asked.groupBy("bucket").applyInArrow(add_words, word_schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/words")
     words = spark.read.schema(word_schema).parquet(f"{path}/words")
-    n, v, end = words.where("kind = 'word'").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.size("counts")), F.sum(F.element_at("counts", F.when(F.array_position("keys", int(END.view(np.int64))) > 0, F.array_position("keys", int(END.view(np.int64)))).cast("int")))).first()
+    n, v, end, most = words.where("kind = 'word'").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.size("counts")), F.sum(F.element_at("counts", F.when(F.array_position("keys", int(END.view(np.int64))) > 0, F.array_position("keys", int(END.view(np.int64)))).cast("int"))), F.max(F.size("counts"))).first()
     n, v, end = n or 0, v or 0, end or 0
+    id_type, slim = ("int", pa.int32()) if ((most or 0) + 1) * chunks < 2**31 else ("long", pa.int64())
     count_type = "int" if n < 2**31 else "long"
     narrow = pa.int32() if count_type == "int" else pa.int64()
 
     def ask_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        c, p = asked_pairs(left, right, chunks, buckets, n, end)
+        c, p = asked_pairs(left, right, chunks, buckets, n, end, share)
         rows: dict[str, list] = {k: [] for k in ("bucket", "h", "need", "length", "w", "wc", "n")}
         for b in range(buckets):
             at = p.of(b)
@@ -217,20 +219,21 @@ def fitted(docs: DataFrame) -> tuple[Model, dict]:
             head, live = at[first], at[p.w_count[at] > 0]
             for k, x in zip(rows, (b, p.h_id[head], need, length, p.w_id[live], p.w_count[live], p.n_train[live])):
                 rows[k].append(x)
-        return pa.table({"chunk": pa.array([left["chunk"][0].as_py()] * len(rows["bucket"]), pa.int32()), "bucket": pa.array(rows["bucket"], pa.int32()), "h": lists(rows["h"], pa.int32()), "need": lists([x.astype(np.int8) for x in rows["need"]], pa.int8()), "length": lists(rows["length"], pa.int32()), "w": lists(rows["w"], pa.int32()), "wc": lists(rows["wc"], narrow), "n": lists(rows["n"], narrow)})
+        return pa.table({"chunk": pa.array([left["chunk"][0].as_py()] * len(rows["bucket"]), pa.int32()), "bucket": pa.array(rows["bucket"], pa.int32()), "h": lists(rows["h"], slim), "need": lists([x.astype(np.int8) for x in rows["need"]], pa.int8()), "length": lists(rows["length"], pa.int32()), "w": lists(rows["w"], slim), "wc": lists(rows["wc"], narrow), "n": lists(rows["n"], narrow)})
 
     def add_pairs(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         col = {k: table[k].combine_chunks() for k in ("h", "need", "length", "w", "wc", "n")}
         h, length = col["h"].flatten().to_numpy().astype(np.int64), col["length"].flatten().to_numpy()
-        w = col["w"].flatten().to_numpy()
-        code, inverse = np.unique((np.repeat(h, length) + 1) << 32 | w, return_inverse=True)
+        word, of_word = np.unique(col["w"].flatten().to_numpy(), return_inverse=True)
+        history, of_history = np.unique(h, return_inverse=True)
+        code, inverse = np.unique(np.repeat(of_history, length) * max(1, len(word)) + of_word, return_inverse=True)
         total = np.bincount(inverse, weights=col["n"].flatten().to_numpy(), minlength=len(code)).astype(np.int64)
         word_count = np.zeros(len(code), np.int64)
         word_count[inverse] = col["wc"].flatten().to_numpy()
-        pair_h, pair_w = (code >> 32) - 1, code & 0xFFFFFFFF
-        history = np.unique(h)
-        stats = stats_of(np.searchsorted(history, pair_h), len(history), total, (word_count + 1) / (n + v + 1))
+        at_h = code // max(1, len(word))
+        pair_h, pair_w = history[at_h], word[code % max(1, len(word))]
+        stats = stats_of(at_h, len(history), total, (word_count + 1) / (n + v + 1))
         answers, sent = [], []
         h_at = w_at = 0
         for rows, pairs, need in zip(col["h"].value_lengths().to_numpy(), col["w"].value_lengths().to_numpy(), col["need"].to_pylist()):
@@ -238,31 +241,31 @@ def fitted(docs: DataFrame) -> tuple[Model, dict]:
             zero = np.bincount(np.repeat(np.arange(rows), length[h_at : h_at + rows])[own == 0], minlength=rows) > 0
             lack = zero | np.array(need, bool)
             answers.append(own)
-            sent.append(stats[np.searchsorted(history, h[h_at : h_at + rows][lack])].ravel())
+            sent.append(stats[of_history[h_at : h_at + rows][lack]].ravel())
             h_at, w_at = h_at + rows, w_at + pairs
         seen = total > 0
         numbers = np.bincount(np.minimum(total[seen], CUT + 2), minlength=CUT + 3)[1 : CUT + 2].astype(float)
         none, m = np.zeros(0, np.int64), len(answers)
         return pa.table({
-            "kind": ["answer"] * m + ["pair", "history"], "bucket": pa.array([bucket] * (m + 2), pa.int32()), "chunk": pa.array([*table["chunk"].to_pylist(), -1, -1], pa.int32()), "histories": lists([*[none] * m, pair_h[seen], history], pa.int32()), "ids": lists([*[none] * m, pair_w[seen], none], pa.int32()),
+            "kind": ["answer"] * m + ["pair", "history"], "bucket": pa.array([bucket] * (m + 2), pa.int32()), "chunk": pa.array([*table["chunk"].to_pylist(), -1, -1], pa.int32()), "histories": lists([*[none] * m, pair_h[seen], history], slim), "ids": lists([*[none] * m, pair_w[seen], none], slim),
             "counts": lists([*answers, total[seen], none], narrow), "stats": lists([*sent, numbers, stats.ravel()], pa.float64()),
         })
 
-    requests = dealt.groupBy("chunk").cogroup(words.where("kind = 'answer'").select("chunk", "bucket", "ids", F.col("counts").cast(f"array<{count_type}>").alias("counts")).groupBy("chunk")).applyInArrow(ask_pairs, f"chunk int, bucket int, h array<int>, need array<byte>, length array<int>, w array<int>, wc array<{count_type}>, n array<{count_type}>")
-    pair_schema = f"kind string, bucket int, chunk int, histories array<int>, ids array<int>, counts array<{count_type}>, stats array<double>"
-    requests.groupBy("bucket").applyInArrow(add_pairs, pair_schema).write.partitionBy("kind", "bucket").parquet(f"{path}/pairs")
+    requests = dealt.groupBy("chunk").cogroup(words.where("kind = 'answer'").select("chunk", "bucket", "ids", F.col("counts").cast(f"array<{count_type}>").alias("counts")).groupBy("chunk")).applyInArrow(ask_pairs, f"chunk int, bucket int, h array<{id_type}>, need array<byte>, length array<int>, w array<{id_type}>, wc array<{count_type}>, n array<{count_type}>")
+    pair_schema = f"kind string, bucket int, chunk int, histories array<{id_type}>, ids array<{id_type}>, counts array<{count_type}>, stats array<double>"
+    requests.groupBy("bucket").applyInArrow(add_pairs, pair_schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/pairs")
     pairs = spark.read.schema(pair_schema).parquet(f"{path}/pairs")
     numbers = pairs.where("kind = 'pair'").agg(*[F.sum(F.col("stats")[r]) for r in range(CUT + 1)]).first()
     d = discounts([x or 0.0 for x in numbers])
-    # Sums of the hot histories, 4 * buckets + 1 at most; a history is hot for all chunks or for none.
-    hot = hot_histories(pairs, words, n, end, chunks, buckets)
-    return Model(path, n, v, d), {"chunks": chunks, "buckets": buckets, "end": end, "hot": hot, "words": words, "pairs": pairs, "counts": f"array<{count_type}>"}
+    # Sums of the hot histories, share + 1 at most; a history is hot for all chunks or for none.
+    hot = hot_histories(pairs, words, n, end, chunks, share)
+    return Model(path, n, v, d), {"chunks": chunks, "buckets": buckets, "share": share, "end": end, "hot": hot, "words": words, "pairs": pairs, "counts": f"array<{count_type}>"}
 
 
-def hot_histories(pairs: DataFrame, words: DataFrame, n: int, end: int, chunks: int, buckets: int) -> dict[int, np.ndarray]:
-    listed = words.where("kind = 'word'").select("bucket", F.posexplode(F.filter("counts", lambda x: x * 4 * buckets >= n)))
+def hot_histories(pairs: DataFrame, words: DataFrame, n: int, end: int, chunks: int, share: int) -> dict[int, np.ndarray]:
+    listed = words.where("kind = 'word'").select("bucket", F.posexplode(F.filter("counts", lambda x: x * share >= n)))
     ids = [r.pos * chunks + r.bucket for r in listed.collect()]  # counts are in descending order, so positions are ranks
-    ids += [START] if end * 4 * buckets >= n else []
+    ids += [START] if end * share >= n else []
     if not ids:
         return {}
     wanted = np.sort(np.array(ids, np.int64))
@@ -278,14 +281,14 @@ def hot_histories(pairs: DataFrame, words: DataFrame, n: int, end: int, chunks:
     return {r.h: np.array(r.s) for r in parts.groupBy("h").agg(F.array(*[F.sum(F.col("s")[k]) for k in range(CUT + 2)]).alias("s")).collect()}
 
 
-def asked_pairs(left: pa.Table, right: pa.Table, chunks: int, buckets: int, n: int, end: int) -> tuple[Chunk, Pairs]:
+def asked_pairs(left: pa.Table, right: pa.Table, chunks: int, buckets: int, n: int, end: int, share: int) -> tuple[Chunk, Pairs]:
     """A chunk's tokens and pairs, from its documents and the answers about its words."""
     c = Chunk(left, chunks)
     right = right.sort_by("bucket")
     ids = right["ids"].combine_chunks().flatten().to_numpy().astype(np.int64)
     counts = right["counts"].combine_chunks().flatten().to_numpy().astype(np.int64)
     c.counts = counts
-    return c, Pairs(c, ids, counts, n, end, buckets)
+    return c, Pairs(c, ids, counts, n, end, buckets, share)
 
 
 def histories(p: Pairs, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -297,13 +300,13 @@ def histories(p: Pairs, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def scored(docs: DataFrame, model: Model, at: dict) -> DataFrame:
-    chunks, buckets, end, hot, n, v, d = at["chunks"], at["buckets"], at["end"], at["hot"], model.train_tokens, model.vocabulary, model.discounts
+    chunks, buckets, share, end, hot, n, v, d = at["chunks"], at["buckets"], at["share"], at["end"], at["hot"], model.train_tokens, model.vocabulary, model.discounts
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         is_word = right["kind"].combine_chunks().to_pandas() == "word"
-        c, p = asked_pairs(left, right.filter(pa.array(is_word.to_numpy(bool))), chunks, buckets, n, end)
+        c, p = asked_pairs(left, right.filter(pa.array(is_word.to_numpy(bool))), chunks, buckets, n, end, share)
         answers = {b: (x, s) for b, x, s in zip(*(right.filter(pa.array(~is_word.to_numpy(bool)))[k].combine_chunks() for k in ("bucket", "counts", "stats")))}
         answers = {k.as_py(): x for k, x in answers.items()}
         pair = np.zeros(len(p.h), np.int64)
@@ -336,6 +339,6 @@ def scored(docs: DataFrame, model: Model, at: dict) -> DataFrame:
         return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base_score": sums[2], "score": sums[3]})
 
     to_chunk = at["words"].where("kind = 'answer'").select("chunk", F.lit("word").alias("kind"), "bucket", "ids", F.col("counts").cast(at["counts"]).alias("counts"), F.lit(None).cast("array<double>").alias("stats"))
-    to_chunk = to_chunk.union(at["pairs"].where("kind = 'answer'").select("chunk", F.lit("pair"), "bucket", F.lit(None).cast("array<int>"), "counts", "stats"))
+    to_chunk = to_chunk.union(at["pairs"].where("kind = 'answer'").select("chunk", F.lit("pair"), "bucket", F.lit(None).cast("array<long>"), "counts", "stats"))
     out = chunked(docs, chunks).groupBy("chunk").cogroup(to_chunk.groupBy("chunk")).applyInArrow(score, RESULT)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
