@@ -2,36 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that separate words, as a character class for Java's regular expressions.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from tallyloom.functions.tables import shared_dir, stored
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share.
+__all__ = ["WORD", "Shelf", "lean_session", "shared_dir", "stored", "text_or_empty"]
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset, a local session gets a temporary
-    folder; a cluster session is an error, since a machine-local folder would lose rows there.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts lineage, and is safe when executors are lost."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes that separate words, as a character class for Java's regular expressions.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 class Shelf:
@@ -42,7 +21,7 @@ class Shelf:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{len(self.places)}-{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.places[id(out)] = (out, path)
         return out

@@ -86,8 +86,8 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 1024) -> Dat
     known = entries.select("row", *keyed("piece"), "times", "piece")
     head = F.broadcast(numbers.where(frequent).select(*keyed("piece"), "n"))
     by_head = known.join(head, ["k1", "k2"]).groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("n"))
-    tail = numbers.where(~frequent).select(*keyed("piece"), "n")
-    by_tail = known.join(head, ["k1", "k2"], "left_anti").join(tail, ["k1", "k2"]).groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("n"))
+    tail = numbers.where(~frequent).select("piece", "n")  # most are shorter than a key
+    by_tail = known.join(head, ["k1", "k2"], "left_anti").select("row", "piece", "times").join(tail, "piece").groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("n"))
     own = table.select("row", "doc_id", "n_bytes", F.col("shown").alias("n"))
     parts = own.unionByName(by_head.union(by_tail), allowMissingColumns=True)
     one = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
