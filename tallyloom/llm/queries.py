@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, html, katz, minhash, mixing, pii, quality, tokens, warc
+from . import audio, bpe, html, katz, minhash, mixing, pii, quality, runs, tokens, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -62,8 +62,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages(spark, sf_dir))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.planted(documents(spark, sf_dir))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_pii, op3_quality_rules, op4_lm_scoring, op5_mixing, op6_html_extraction, op7_minhash, op8_media_columns, op9_bpe, op10_warc)
+    own = (op1_token_counts, op2_pii, op3_quality_rules, op4_lm_scoring, op5_mixing, op6_html_extraction, op7_minhash, op8_media_columns, op9_bpe, op10_warc, op12_periodic_runs)
     return {f.__name__: f for f in own}
 
 
