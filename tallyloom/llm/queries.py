@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, html, katz, minhash, mixing, pii, quality, runs, tokens, warc
+from . import audio, bpe, html, katz, minhash, mixing, pii, quality, runs, tokens, warc, winnow
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -17,6 +17,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
@@ -66,8 +70,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.periodic_runs(runs.planted(documents(spark, sf_dir))))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.digests(winnow.contaminated(documents(spark, sf_dir), benchmark(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_pii, op3_quality_rules, op4_lm_scoring, op5_mixing, op6_html_extraction, op7_minhash, op8_media_columns, op9_bpe, op10_warc, op12_periodic_runs)
+    own = (op1_token_counts, op2_pii, op3_quality_rules, op4_lm_scoring, op5_mixing, op6_html_extraction, op7_minhash, op8_media_columns, op9_bpe, op10_warc, op12_periodic_runs, op13_decontamination)
     return {f.__name__: f for f in own}
 
 
