@@ -27,6 +27,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shelf:
+    """Stored tables of one piece of work: put() writes and rereads one, drop() deletes those whose readers are done, or all."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.places = spark, shared_dir(spark, name), {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{len(self.places)}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.places[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path in [self.places[id(t)][1] for t in tables] or [self.path]:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ranked(df: DataFrame, by: list[str], order: list, name: str) -> DataFrame:
     """df with the column name: each row's place, from 0, in its group (null is one) by order.
 

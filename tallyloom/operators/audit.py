@@ -24,15 +24,26 @@ def violations(df: DataFrame, rule: str, entity: str, observed: Column, limit: C
     return df.select(F.col("instance_id").cast("string").alias("instance_id"), F.lit(rule).alias("rule"), F.col(entity).cast("string").alias("entity"), observed.cast("double").alias("observed"), limit.cast("double").alias("limit"))
 
 
-def rollup(found: DataFrame, instances: DataFrame, total: int, keep: int = 6) -> DataFrame:
-    """feasible, partial score and the first messages of each instance. Counts are of all violations; only keep messages of an instance are gathered."""
+def rollup(found: DataFrame, instances: DataFrame, total: int | None = None, keep: int = 6) -> DataFrame:
+    """feasible, verified, partial score and the first messages of each instance. Counts are of all violations; only keep messages of an instance are gathered.
+
+    instances: (instance_id) with total constraints each, or with columns total and readable. What is not readable is unverified and feasible, whatever was found.
+    """
     n = found.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n"))
     said = found.select("instance_id", F.concat_ws(":", "rule", "entity").alias("said")).distinct()
     first = said.withColumn("_k", F.row_number().over(Window.partitionBy("instance_id").orderBy("said"))).where(F.col("_k") <= keep)
     n = n.join(first.groupBy("instance_id").agg(F.array_sort(F.collect_list("said")).alias("m")), "instance_id", "left")
-    x = instances.select(F.col("instance_id").cast("string").alias("instance_id")).distinct().join(n, "instance_id", "left")
-    count = F.coalesce("n", F.lit(0))
-    return x.select("instance_id", (count == 0).alias("feasible"), count.cast("long").alias("violation_count"), F.greatest(total - count, F.lit(0)).cast("double").__truediv__(max(total, 1)).alias("partial_score"), F.coalesce("m", F.array().cast("array<string>")).alias("messages"))
+    own = F.col("total") if "total" in instances.columns else F.lit(total if total is not None else 1)
+    read = F.coalesce("readable", F.lit(False)) if "readable" in instances.columns else F.lit(True)
+    x = instances.select(F.col("instance_id").cast("string").alias("instance_id"), own.cast("long").alias("total"), read.alias("read")).distinct().join(n, "instance_id", "left")
+    count = F.when(F.col("read"), F.coalesce("n", F.lit(0))).otherwise(F.lit(0))
+    most = F.greatest("total", F.lit(1))
+    partial = F.when(F.col("read"), F.greatest(F.col("total") - count, F.lit(0)).cast("double") / most).otherwise(1.0)
+    none = F.array().cast("array<string>")
+    return x.select(
+        "instance_id", (count == 0).alias("feasible"), count.cast("long").alias("violation_count"), partial.alias("partial_score"),
+        F.when(F.col("read"), F.coalesce("m", none)).otherwise(none).alias("messages"), F.col("read").alias("verified"), F.col("total").alias("total_constraints"),
+    )
 
 
 @audit_rule("coverage")

@@ -254,6 +254,29 @@ def route_clock(stops: DataFrame, opens: Column | None = None) -> DataFrame:
     )
 
 
+@audit_rule("clock")
+def shift_clock(t: dict[str, DataFrame]) -> DataFrame:
+    """Routes start their service in time, are no longer on duty than allowed and are back before closing; a violation of each for a route at most.
+
+    stops: (instance_id, route, pos, travel, service, tw_start, tw_end); shifts: (instance_id, route, opens, closes, longest, back), back is the travel
+    from the last stop. A route may start later than it opens as long as nothing gets late: of its time from opening on, what it
+    waits, within the least slack of its stops, is not on duty. With C the travel and service before a stop, the stop starts at
+    C + max(opens, max so far of tw_start - C), and the least slack is min(tw_end - C) - opens, so both are running extremes and there is no loop.
+    """
+    own = ["instance_id", "route"]
+    w = Window.partitionBy(*own).orderBy("pos")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = t["stops"].join(t["shifts"].select(*own, "opens"), own).withColumn("c", F.sum(F.col("travel") + F.coalesce(F.lag("service").over(w), F.lit(0.0))).over(so_far))
+    x = x.withColumn("start", F.col("c") + F.greatest("opens", F.max(F.col("tw_start") - F.col("c")).over(so_far)))
+    r = x.groupBy(*own).agg(F.max_by(F.col("start") + F.col("service"), "pos").alias("left"), F.max_by(F.col("start") - F.col("c") - F.col("opens"), "pos").alias("waited"), F.count_if(F.col("start") > F.col("tw_end") + 1e-6).alias("late"), F.min(F.col("tw_end") - F.col("c") - F.col("opens")).alias("slack"))
+    r = t["shifts"].join(r, own, "left").withColumn("home", F.coalesce("left", "opens") + F.col("back"))
+    spared = F.greatest(F.lit(0.0), F.least(F.coalesce("waited", F.lit(0.0)), F.coalesce("slack", F.lit(0.0))))
+    r = r.withColumn("duty", F.col("home") - F.col("opens") - spared)
+    late = violations(r.where("late > 0"), "clock", "route", F.col("late"), F.lit(0))
+    long = violations(r.where("duty > longest + 1e-6").withColumn("at", F.concat_ws("/", "route", F.lit("duty"))), "clock", "at", F.col("duty"), F.col("longest"))
+    return late.union(long).union(violations(r.where("home > closes + 1e-6").withColumn("at", F.concat_ws("/", "route", F.lit("return"))), "clock", "at", F.col("home"), F.col("closes")))
+
+
 @audit_rule("fleet")
 def fleet_limits(t: dict[str, DataFrame]) -> DataFrame:
     """Routes (instance_id, route, kind) of each kind of vehicle are not more than held (instance_id, kind, held)."""

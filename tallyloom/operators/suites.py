@@ -1,121 +1,133 @@
-"""Named audit suites: which rules a kind of problem is checked by, how its payload is told, and how often it can be violated."""
+"""Named audit suites: which rules a kind of problem is checked by, over long tables."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import checks, rules  # noqa: F401  register their rules
+from . import checks, kinds_rosters, kinds_routing, kinds_shops, rules  # noqa: F401  register their rules and checks
 from .audit import RULES, rollup
-from .payloads import detect_kind
+from .kinds import kind_of
 
 
 @dataclass(frozen=True)
 class Suite:
-    """rules, by name; keys, which a payload of this kind has."""
+    """rules, by name."""
 
     rules: tuple[str, ...]
-    keys: tuple[str, ...] = field(default=())
 
 
-#: Rules and telling keys of each kind. Kinds with more keys come before kinds that have some of them.
+#: Rules of each kind, over long tables that the caller makes; kinds.py has the checks that start from JSON.
 SUITES: dict[str, Suite] = {
-    "vrptw_md": Suite(("coverage", "capacity", "fleet", "declared"), ("depots", "customers", "time_windows")),
-    "pdptw": Suite(("coverage", "pairing", "capacity", "declared"), ("requests", "vehicle_capacity")),
-    "cvrp": Suite(("coverage", "capacity", "declared"), ("customers", "vehicle_capacity")),
-    "vrp_coverage": Suite(("coverage",), ("customers", "num_vehicles")),
-    "tsp": Suite(("index", "coverage", "declared"), ("cities",)),
-    "single_machine": Suite(("coverage", "declared"), ("jobs", "due_dates")),
-    "critical_path": Suite(("precedence", "declared"), ("activities", "predecessors")),
-    "train_composition": Suite(("coverage", "declared"), ("wagons", "trains")),
-    "parallel_machines": Suite(("coverage", "capacity", "declared"), ("jobs", "num_machines")),
-    "flow_shop": Suite(("coverage", "declared"), ("processing_times", "num_stages")),
-    "cluster_nodes": Suite(("coverage", "capacity"), ("nodes", "tasks")),
-    "fjsp_setup": Suite(("operations", "overlap", "setup", "blocked", "declared"), ("jobs", "machines", "setup_times")),
-    "fjsp": Suite(("operations", "overlap", "declared"), ("jobs", "machines", "operations")),
-    "job_shop": Suite(("operations", "overlap", "declared"), ("jobs", "machines")),
-    "nurse_roster": Suite(("staffing", "sequence", "runs", "blocks", "totals", "declared"), ("nurses", "shifts", "max_consecutive")),
-    "nurse_small": Suite(("staffing", "sequence", "declared"), ("nurses", "shifts")),
-    "role_roster": Suite(("staffing", "fit", "runs", "totals"), ("staff", "roles", "days")),
-    "meeting_rooms": Suite(("coverage", "fit", "overlap"), ("meetings", "rooms")),
-    "gates": Suite(("coverage", "fit", "overlap", "declared"), ("flights", "gates")),
-    "operating_rooms": Suite(("coverage", "fit", "overlap", "declared"), ("surgeries", "rooms")),
-    "multi_project": Suite(("precedence", "cumulative", "declared"), ("projects", "resources")),
-    "rcpsp": Suite(("precedence", "cumulative", "declared"), ("activities", "resources")),
-    "line_up": Suite(("index", "capacity", "fit"), ("programs", "slots")),
-    "class_timetable": Suite(("coverage", "overlap", "fit"), ("classes", "timeslots")),
-    "event_staff": Suite(("staffing", "fit", "declared"), ("events", "workers")),
-    "knapsack": Suite(("index", "capacity", "declared"), ("items", "capacity")),
-    "knapsack_multi": Suite(("index", "linear", "declared"), ("items", "capacities")),
-    "bin_packing": Suite(("coverage", "capacity", "declared"), ("items", "bin_capacity")),
-    "capital_budget": Suite(("budget", "prerequisites", "declared"), ("projects", "budget")),
-    "strip_packing": Suite(("packing", "declared"), ("rectangles", "strip_width")),
-    "network_flow": Suite(("arcs", "conservation", "declared"), ("nodes", "arcs", "demands")),
-    "shortest_path": Suite(("path", "path_ends", "declared"), ("arcs", "source", "sink")),
-    "min_cut": Suite(("index", "declared"), ("edges", "source", "sink")),
-    "spanning_tree": Suite(("bounds",), ("edges", "num_nodes")),
-    "set_cover": Suite(("index", "set_cover", "declared"), ("sets", "universe")),
-    "set_partition": Suite(("index", "partition", "declared"), ("sets", "elements")),
-    "facility_cover": Suite(("radius", "declared"), ("facilities", "radius")),
-    "facility_location": Suite(("coverage", "capacity", "declared"), ("facilities", "customers")),
-    "assignment": Suite(("coverage", "capacity", "declared"), ("agents", "tasks")),
-    "assignment_lp": Suite(("bounds", "coverage"), ("cost_matrix",)),
-    "stable_matching": Suite(("coverage", "stable"), ("preferences_a", "preferences_b")),
-    "quadratic_assignment": Suite(("coverage", "declared"), ("flow_matrix", "distance_matrix")),
-    "independent_set": Suite(("index", "independent"), ("graph_edges", "independent")),
-    "clique": Suite(("index", "clique"), ("graph_edges", "clique")),
-    "vertex_cover": Suite(("index", "cover_edges"), ("graph_edges", "cover")),
-    "graph_colouring": Suite(("coverage", "colouring"), ("graph_edges", "colours")),
-    "unit_commitment": Suite(("levels", "capacity", "declared"), ("units", "demand")),
-    "workforce": Suite(("hiring", "stock", "declared"), ("periods", "workforce")),
-    "aggregate_plan": Suite(("stock", "supply", "declared"), ("periods", "inventory")),
-    "production_mix": Suite(("linear", "declared"), ("products", "resources")),
-    "lot_sizing": Suite(("stock", "capacity", "declared"), ("products", "setup_costs", "demand")),
-    "newsvendor": Suite(("bounds", "declared"), ("price", "salvage")),
-    "cash_management": Suite(("stock", "declared"), ("cash_flows",)),
-    "facility_multi": Suite(("coverage", "stock", "capacity", "declared"), ("facilities", "periods")),
-    "facility_robust": Suite(("coverage", "scenario_outflow", "declared"), ("facilities", "scenarios")),
-    "facility_2ech": Suite(("coverage", "scenario_outflow", "declared"), ("plants", "warehouses")),
-    "mcnd_surv": Suite(("arcs", "conservation", "path", "disjoint", "declared"), ("commodities", "arcs", "failures")),
-    "mcnd": Suite(("arcs", "conservation", "declared"), ("commodities", "arcs")),
-    "portfolio_cvar": Suite(("portfolio", "no_sale", "declared"), ("assets", "scenarios", "alpha")),
-    "portfolio": Suite(("portfolio", "no_sale", "declared"), ("assets", "sectors")),
-    "clsp": Suite(("capacity", "stock", "declared"), ("items", "periods", "setup_times")),
-    "prp_tw": Suite(("capacity", "stock", "match", "declared"), ("plants", "customers", "time_windows")),
-    "prp": Suite(("capacity", "stock", "match", "declared"), ("plants", "customers", "periods")),
-    "crew_pairing": Suite(("coverage", "duties", "declared"), ("legs", "bases")),
-    "crew_pairing_seniority": Suite(("crews", "duties", "declared"), ("legs", "crews")),
-    "cutting_1d": Suite(("patterns", "production", "declared"), ("stock_length", "orders")),
-    "cutting_2d": Suite(("patterns", "production", "packing", "declared"), ("sheet_width", "orders")),
+    "vrptw_md": Suite(("coverage", "capacity", "fleet", "clock", "declared")),
+    "pdptw": Suite(("coverage", "pairing", "capacity", "clock", "declared")),
+    "cvrp": Suite(("coverage", "capacity", "declared")),
+    "vrp_coverage": Suite(("coverage",)),
+    "tsp": Suite(("index", "coverage", "declared")),
+    "single_machine": Suite(("coverage", "declared")),
+    "critical_path": Suite(("precedence", "declared")),
+    "train_composition": Suite(("coverage", "declared")),
+    "parallel_machines": Suite(("coverage", "capacity", "declared")),
+    "flow_shop": Suite(("coverage", "declared")),
+    "cluster_nodes": Suite(("coverage", "capacity")),
+    "fjsp_setup": Suite(("operations", "overlap", "setup", "blocked", "declared")),
+    "fjsp": Suite(("operations", "overlap", "declared")),
+    "job_shop": Suite(("operations", "overlap", "declared")),
+    "nurse_roster": Suite(("staffing", "sequence", "runs", "blocks", "totals", "declared")),
+    "nurse_small": Suite(("staffing", "sequence", "declared")),
+    "role_roster": Suite(("staffing", "fit", "runs", "totals")),
+    "meeting_rooms": Suite(("coverage", "fit", "overlap")),
+    "gates": Suite(("coverage", "fit", "overlap", "declared")),
+    "operating_rooms": Suite(("coverage", "fit", "overlap", "declared")),
+    "multi_project": Suite(("precedence", "cumulative", "declared")),
+    "rcpsp": Suite(("precedence", "cumulative", "declared")),
+    "line_up": Suite(("index", "capacity", "fit")),
+    "class_timetable": Suite(("coverage", "overlap", "fit")),
+    "event_staff": Suite(("staffing", "fit", "declared")),
+    "knapsack": Suite(("index", "capacity", "declared")),
+    "knapsack_multi": Suite(("index", "linear", "declared")),
+    "bin_packing": Suite(("coverage", "capacity", "declared")),
+    "capital_budget": Suite(("budget", "prerequisites", "declared")),
+    "strip_packing": Suite(("packing", "declared")),
+    "network_flow": Suite(("arcs", "conservation", "declared")),
+    "shortest_path": Suite(("path", "path_ends", "declared")),
+    "min_cut": Suite(("index", "declared")),
+    "spanning_tree": Suite(("bounds",)),
+    "set_cover": Suite(("index", "set_cover", "declared")),
+    "set_partition": Suite(("index", "partition", "declared")),
+    "facility_cover": Suite(("radius", "declared")),
+    "facility_location": Suite(("coverage", "capacity", "declared")),
+    "assignment": Suite(("coverage", "capacity", "declared")),
+    "assignment_lp": Suite(("bounds", "coverage")),
+    "stable_matching": Suite(("coverage", "stable")),
+    "quadratic_assignment": Suite(("coverage", "declared")),
+    "independent_set": Suite(("index", "independent")),
+    "clique": Suite(("index", "clique")),
+    "vertex_cover": Suite(("index", "cover_edges")),
+    "graph_colouring": Suite(("coverage", "colouring")),
+    "unit_commitment": Suite(("levels", "capacity", "declared")),
+    "workforce": Suite(("hiring", "stock", "declared")),
+    "aggregate_plan": Suite(("stock", "supply", "declared")),
+    "production_mix": Suite(("linear", "declared")),
+    "lot_sizing": Suite(("stock", "capacity", "declared")),
+    "newsvendor": Suite(("bounds", "declared")),
+    "cash_management": Suite(("stock", "declared")),
+    "facility_multi": Suite(("coverage", "stock", "capacity", "declared")),
+    "facility_robust": Suite(("coverage", "scenario_outflow", "declared")),
+    "facility_2ech": Suite(("coverage", "scenario_outflow", "declared")),
+    "mcnd_surv": Suite(("arcs", "conservation", "path", "disjoint", "declared")),
+    "mcnd": Suite(("arcs", "conservation", "declared")),
+    "portfolio_cvar": Suite(("portfolio", "no_sale", "declared")),
+    "portfolio": Suite(("portfolio", "no_sale", "declared")),
+    "clsp": Suite(("capacity", "stock", "declared")),
+    "prp_tw": Suite(("capacity", "stock", "match", "clock", "declared")),
+    "prp": Suite(("capacity", "stock", "match", "declared")),
+    "crew_pairing": Suite(("coverage", "duties", "declared")),
+    "crew_pairing_seniority": Suite(("crews", "duties", "declared")),
+    "cutting_1d": Suite(("patterns", "production", "declared")),
+    "cutting_2d": Suite(("patterns", "production", "packing", "declared")),
 }
 
 
 def suite_of(payload: Column) -> Column:
-    """The suite of an instance's JSON payload, by the most telling keys first; null if none fits."""
-    ordered = sorted(SUITES.items(), key=lambda kv: -len(kv[1].keys))
-    return detect_kind(payload, [(name, list(s.keys)) for name, s in ordered if s.keys])
+    """The kind of an instance's JSON payload; null if none fits."""
+    return kind_of(payload)
+
+
+class MissingTable(Exception):
+    """A rule asks for a table that is not there."""
+
+
+class Tables(dict):
+    def __missing__(self, name: str):
+        raise MissingTable(name)
 
 
 def run_suite(name: str, tables: dict[str, DataFrame], instances: DataFrame, totals: int | None = None) -> DataFrame:
     """(instance_id, feasible, violation_count, partial_score, messages, verified, suite) of instances (instance_id) under a suite.
 
-    Rules whose tables are absent leave the instances unverified, as an unknown suite does; they are not violations. totals: constraints of an
-    instance, by default one for each rule.
+    Rules whose tables are absent leave the instances unverified, as an unknown suite does; they are not violations. A table readable (instance_id,
+    readable) tells which instances could be read: the others are unverified and feasible, and those that it lacks too. totals: constraints of an
+    instance, by default one for each rule, or a column total of instances.
     """
     suite = SUITES.get(name)
-    if suite is None:
-        return rollup(no_violations(instances), instances, 1).withColumns({"verified": F.lit(False), "suite": F.lit(name)})
-    found, missing = [], 0
-    for r in suite.rules:
+    rules = suite.rules if suite else ()
+    given = []
+    for r in rules:
         try:
-            found.append(RULES[r](tables))
-        except KeyError:
-            missing += 1
-    own = reduce(DataFrame.unionByName, found) if found else no_violations(instances)
-    return rollup(own, instances, totals or len(suite.rules)).withColumns({"verified": F.lit(not missing), "suite": F.lit(name)})
+            given.append(RULES[r](Tables(tables)))
+        except MissingTable:  # whatever else a rule raises is a fault of its own
+            pass
+    own = reduce(DataFrame.unionByName, given, no_violations(instances))
+    x = instances if "total" in instances.columns else instances.withColumn("total", F.lit(totals or max(1, len(rules))))
+    x = x.select(F.col("instance_id").cast("string").alias("instance_id"), "total")
+    if "readable" in tables:
+        x = x.join(tables["readable"].select(F.col("instance_id").cast("string").alias("instance_id"), "readable"), "instance_id", "left")
+    verified = F.col("verified") & F.lit(bool(suite) and len(given) == len(rules))
+    return rollup(own, x).withColumn("verified", verified).withColumn("suite", F.lit(name)).drop("total_constraints")
 
 
 def no_violations(instances: DataFrame) -> DataFrame:

@@ -99,9 +99,10 @@ def shape_drift(spark, sf_dir):
     return payloads.shape_drift(x, base, "doc_id", "template_id", "payload")
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'cvrp' WHEN 1 THEN 'knapsack' WHEN 2 THEN 'vrptw_md' END AS kind FROM events")
+@query("SELECT event_id, ['vrptw_md', 'pdptw', 'crew_pairing', 'crew_pairing_seniority', 'fjsp', 'portfolio_cvar', NULL, NULL][event_id % 8 + 1] AS kind FROM events")
 def suite_of(spark, sf_dir):
-    p = turn(F.col("event_id"), 4, ('{"customers": [%s], "vehicle_capacity": 5}', F.col("event_id").cast("string")), '{"capacity": 3, "items": []}', '{"time_windows": 1, "customers": [], "depots": [], "vehicle_capacity": 1}', "[1]")
+    """Payloads whose keys alone do not tell the kind: an absent key, a list's type, a value deep inside; and some of no kind."""
+    p = turn(F.col("event_id"), 8, ('{"customers": [%s], "depots": [], "vehicle_types": []}', F.col("event_id").cast("string")), '{"pairs": [], "depots": [], "vehicle_types": []}', '{"flights": [], "bases": null}', '{"flights": [], "bases": [], "crews": []}', '{"machines": [], "jobs": [{"operations": [{"machine_options": {}}]}]}', '{"assets": [], "scenario_returns": [], "risk": {"measure": "CVaR"}}', '{"depots": {}, "customers": [], "vehicle_types": []}', "[1]")
     return table(spark, sf_dir, "events").select("event_id", suites.suite_of(p).alias("kind"))
 
 
