@@ -130,17 +130,18 @@ def pickup_routes(rows: DataFrame, keep: Keep) -> Audit:
     last = F.when(F.size(after) > 0, bare(F.get(after, F.size(after) - 1))).otherwise(False).cast("int")
     asked = each(good.withColumn("stops", F.slice(after, F.lit(1), F.size(after) - last)), ["instance_id", "route"], s)
     v = F.col("item")
-    named = F.regexp_extract(F.trim(text(v)), r"^(?i)(p|d|pickup|delivery|dropoff)[ _:-]?(\d+)$", 1)
-    two = F.when(F.size(items(v)) == 2, items(v))
-    pair = F.when(sort_of(v) == "array", two[0]).when(sort_of(v) == "object", F.coalesce(*[get(v, f"$.{k}") for k in ("pair", "pair_id", "id")]))
-    said = F.when(sort_of(v) == "array", text(two[1])).when(sort_of(v) == "object", F.coalesce(*[F.when(get(v, f"$.{k}").isNotNull(), F.coalesce(text(get(v, f"$.{k}")), F.lit(""))) for k in ("type", "kind")]))
-    said = F.when(F.coalesce(is_object(v), F.lit(False)) & (said == ""), None).otherwise(said)
-    digits = F.when(F.trim(text(pair)).rlike(r"^\d+$"), F.trim(text(pair)).try_cast("double"))
-    kind = F.when(named != "", stop_kind(named)).otherwise(stop_kind(said))
-    pid = F.when(named != "", F.regexp_extract(F.trim(text(v)), r"(\d+)$", 1).try_cast("double")).otherwise(F.coalesce(number(pair), digits))
-    x = asked.select("instance_id", "route", "pos", kind.alias("kind"), pid.alias("id"), ((named != "") | (pair.isNotNull() & said.isNotNull())).alias("told"), F.to_json("item").alias("said"))
+    two = F.when((sort_of(v) == "array") & (F.size(items(v)) == 2), items(v))
+    entry = lambda *names: F.when(is_object(v), F.coalesce(*[get(v, f"$.{k}") for k in names]))
+    parts = asked.select("instance_id", "route", "pos", F.trim(text(v)).alias("name"), F.coalesce(two[0], entry("pair", "pair_id", "id")).alias("pair"), F.coalesce(two[1], entry("type", "kind")).alias("kind"), F.to_json("item").alias("said"))
+    parts = keep(parts, "parts").select("instance_id", "route", "pos", "name", "said", number(F.col("pair")).alias("n"), F.trim(text(F.col("pair"))).alias("t"), (sort_of("pair") != "null").alias("paired"), text(F.col("kind")).alias("kind"))
+    named = F.col("name").rlike(r"^(?i)(p|d|pickup|delivery|dropoff)[ _:-]?(\d+)$")
+    digits = F.when(F.col("t").rlike(r"^\d+$"), F.col("t").try_cast("double"))
+    kind = F.when(named, stop_kind(F.regexp_extract("name", "^[A-Za-z]+", 0))).otherwise(stop_kind(F.col("kind")))
+    pid = F.when(named, F.regexp_extract("name", r"(\d+)$", 1).try_cast("double")).otherwise(F.coalesce("n", digits))
+    told = named | F.coalesce(F.col("paired") & F.col("kind").isNotNull(), F.lit(False))
+    x = parts.select("instance_id", "route", "pos", kind.alias("kind"), pid.alias("id"), F.coalesce(told, F.lit(False)).alias("told"), "said")
     x = keep(x, "asked")
-    dark = x.where(~F.coalesce("told", F.lit(False))).select("instance_id").distinct()
+    dark = x.where(~F.col("told")).select("instance_id").distinct()
     read, good, unknown = (t.join(dark, "instance_id", "left_anti") for t in (read, good, unknown))
     x = x.join(dark, "instance_id", "left_anti")
     pairs = each(rows, ["instance_id"], get("p", "$.pairs", "array<variant>")).select("instance_id", number(get("item", "$.id")).alias("id"), "item")

@@ -5,7 +5,7 @@ import math
 
 import duckdb
 import pytest
-from tallyloom.plans import matching, more, payloads, queries, rules, suites  # noqa: F401
+from tallyloom.plans import kinds, matching, more, payloads, queries, rules, suites  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
