@@ -1,16 +1,24 @@
-"""Format-preserving pseudonyms for personal data, by a keyed Feistel permutation of each format's own values.
+"""Format-preserving pseudonyms for personal data, by a keyed Feistel permutation of each kind's own values.
 
-Card numbers (Luhn), IBANs (mod 97), US social security numbers, telephone numbers, IPv4 addresses, dates, e-mail
-addresses and values of secrets are found and validated. Each kind's valid values of one format are numbered from 0,
-the number is permuted by an alternating Feistel network keyed with BLAKE2 (numbers outside the range walk on until they
-are inside), and the new number is written in the old format: same length, same separators, valid again. So equal
-values have equal pseudonyms in all documents, in whatever way their separators are written, and different ones differ.
+Card numbers (Luhn), IBANs (mod 97), US social security numbers, telephone numbers, IPv4 and IPv6 addresses, dates, e-mail
+addresses and values of secrets are found and validated. Each kind's valid values are numbered from 0, the number
+is permuted by an alternating Feistel network keyed with BLAKE2 (numbers outside the range walk on until they are
+inside), and the new number is written in the old format, with the same separators, and valid again. So equal values
+have equal pseudonyms in all documents, in whatever way they are written, and different ones differ:
+
+- a date is one day, however it is written, and its pseudonym is one day, written in the old order, with the old
+  separators, language and padding. Days up to the 12th of a month become such days, and the others others, so that
+  what is read as day and month, or as month and day, is read in the same way afterwards;
+- e-mail addresses and IBANs are the same in any case, and keep the case that they are written in;
+- numbers are the same with other separators or none.
 
 Dates and numbers that don't validate stay, as does all other text. Dates are those of the years FIRST to LAST, the range
-that they are permuted in; a secret is a value of SECRET characters or more after a name such as token, with a digit or in
-quotes, since shorter and plain ones are words of running text as a rule. Null and empty texts have nothing to replace
-(null stays null). Repeated rows are treated alike. Very long texts are searched whole. Without documents the result is
-empty. Texts keep their number of characters.
+that they are permuted in; months have their names in English, French, German and Spanish. Social security numbers and
+telephone numbers without separators are only found after a word that names them, since they are any number otherwise. A
+secret is a value of SECRET characters or more after a name such as token, with a digit or in quotes, since shorter
+and plain ones are words of running text as a rule. Null and empty texts have nothing to replace (null stays null).
+Repeated rows are treated alike. Very long texts are searched whole. Without documents the result is empty. Texts keep
+their number of characters but for IPv6 addresses, names of months, and numbers of days and months without a leading zero.
 """
 
 from __future__ import annotations
@@ -18,6 +26,7 @@ from __future__ import annotations
 import datetime as dt
 import functools
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -31,19 +40,28 @@ from .common import lean_session
 ROUNDS = 8
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email", "secret")
 
-#: Fixed values.
-MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: Names of months, by language.
+MONTHS = {
+    "en": "january february march april may june july august september october november december".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "de": "januar februar märz april mai juni juli august september oktober november dezember".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
 SECRET = 8
 FIRST, LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
-MONTH = "|".join(MONTHS)
-
+#: Letters beyond ASCII in either case, since the pattern's own case folding is for ASCII.
+MONTH = {k: "|".join("".join(f"[{c}{c.upper()}]" if c > "z" else c for c in m) for m in names) for k, names in MONTHS.items()}
+YEAR = r"(?:19|20)\d\d"
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]))"
     rf"|(?P<secret>(?i:\b(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd)\b)[\"']?\s*[:=]\s*[\"']?)(?P<value>[A-Za-z0-9_\-+/=.]{{{SECRET},}})"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
-    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w))"
+    r"|(?P<iban>(?<!\w)(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?|[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,4})?)(?!\w))"
     r"|(?P<date>(?<![\w/.-])(?:(?:19|20)\d\d(?P<mark>[-/.])\d{1,2}(?P=mark)\d{1,2}|\d{1,2}(?P<mark2>[-/.])\d{1,2}(?P=mark2)(?:19|20)\d\d)(?![\w/-]|\.\d))"
-    rf"|(?P<named>(?<!\w)(?:(?i:{MONTH}) \d{{1,2}}, (?:19|20)\d\d|\d{{1,2}} (?i:{MONTH}) (?:19|20)\d\d)(?!\w))"
+    rf"|(?P<named>(?<!\w)(?:(?i:{MONTH['en']}) \d{{1,2}}, {YEAR}|\d{{1,2}} (?i:{MONTH['en']}) {YEAR}|\d{{1,2}}\. ?(?i:{MONTH['de']}) {YEAR}|\d{{1,2}}(?:er)? (?i:{MONTH['fr']}) {YEAR}|\d{{1,2}} (?i:de) (?i:{MONTH['es']}) (?i:del?) {YEAR})(?!\w))"
+    r"|(?P<says_ssn>(?i:\b(?:ssn|social security(?: number| no\.?)?)\b)[\s:#=]{0,3})(?P<bare_ssn>\d{9}|\d{3} \d{2} \d{4})(?!\w|\.\d)"
+    r"|(?P<says_phone>(?i:\b(?:tel|phone|telephone|mobile|cell|fax|call)\b)\.?[\s:]{0,3})(?P<bare_phone>\d{10})(?!\w|\.\d)"
+    r"|(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ -]?\(?\d{1,4}\)?){2,5}(?!\w|\.\d)|(?<![\w-])\(\d{3}\) ?\d{3}-\d{4}(?![\w-])|(?<![\w.-])\d{3}[-. ]\d{3}[-. ]\d{4}(?![\w-]|\.\d))",
@@ -119,21 +137,23 @@ def card(s: str, key: bytes) -> str | None:
 
 
 def iban(s: str, key: bytes) -> str | None:
-    d = s.replace(" ", "")
+    d = s.replace(" ", "").upper()
     number = lambda t: int("".join(str(int(c, 36)) for c in t))
     if not 15 <= len(d) <= 34 or number(d[4:] + d[:4]) % 97 != 1:
         return None
     body = by_class(d[4:], key, f"iban|{d[:2]}")
-    return refilled(s, d[:2] + f"{98 - number(body + d[:2] + '00') % 97:02d}" + body)
+    new = refilled(s, d[:2] + f"{98 - number(body + d[:2] + '00') % 97:02d}" + body)
+    return new.lower() if s[0].islower() else new
 
 
 def ssn(s: str, key: bytes) -> str | None:
-    a, b, c = map(int, s.split("-"))
+    d = re.sub(r"\D", "", s)
+    a, b, c = int(d[:3]), int(d[3:5]), int(d[5:])
     if a in (0, 666) or a >= 900 or not b or not c:
         return None
     # Areas 1 to 899 without 666, groups 1 to 99, serials 1 to 9999.
     new = mixed([a - 1 - (a > 666), b - 1, c - 1], [898, 99, 9999], key, "ssn")
-    return f"{new[0] + 1 + (new[0] >= 665):03d}-{new[1] + 1:02d}-{new[2] + 1:04d}"
+    return refilled(s, f"{new[0] + 1 + (new[0] >= 665):03d}{new[1] + 1:02d}{new[2] + 1:04d}")
 
 
 def phone(s: str, key: bytes) -> str | None:
@@ -161,59 +181,96 @@ def ip(s: str, key: bytes) -> str | None:
     return ".".join(str(x + y) for x, y in zip(low, new))
 
 
-def day(ordinal: int, key: bytes) -> dt.date:
-    return dt.date.fromordinal(FIRST + permuted(ordinal - FIRST, LAST - FIRST + 1, key, "date"))
+def ip6(s: str, key: bytes) -> str | None:
+    try:
+        old = ipaddress.IPv6Address(s)
+    except ValueError:
+        return None
+    if int(old) < 2 or not re.search(r"[0-9A-Fa-f]{3}", s) or not re.search(r"\d", s):  # nowhere, this machine, and what may be a name in a program
+        return None
+    new = ipaddress.IPv6Address(2 + permuted(int(old) - 2, (1 << 128) - 2, key, "ip6")).compressed
+    return new.upper() if s.upper() == s else new
+
+
+def days_to(ordinal: int, early: bool) -> int:
+    """How many days of the range lie before a day and, by whether early, are up to the 12th of their month or after it."""
+    d = dt.date.fromordinal(ordinal)
+    months = (d.year - 1900) * 12 + d.month - 1
+    before = min(d.day - 1, 12)
+    return 12 * months + before if early else ordinal - FIRST - 12 * months - before
+
+
+def day_at(n: int, early: bool) -> dt.date:
+    """The n-th of these days."""
+    low, high = FIRST, LAST
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if days_to(mid, early) <= n else (low, mid - 1)
+    return dt.date.fromordinal(low)
+
+
+EARLY, LATE = (days_to(LAST, k) + (not k) for k in (True, False))  # the last day is a late one
+
+
+def day(old: dt.date, key: bytes) -> dt.date:
+    """A day's pseudonym: among the days up to the 12th for one of these, else among the others."""
+    early = old.day <= 12
+    return day_at(permuted(days_to(old.toordinal(), early), EARLY if early else LATE, key, f"date|{early}"), early)
+
+
+def padded(n: int, old: str, other: str) -> str:
+    """A day or month with a leading zero, unless what it stands for, or the number beside that, has one digit."""
+    return f"{n:02d}" if old[0] == "0" or len(old) > 1 and (len(other) > 1 or other[0] == "0") else str(n)
 
 
 def date(s: str, key: bytes) -> str | None:
-    """Years first, or days first where that is a date, else months first. Days and months keep their number of digits."""
+    """Years first, or days first where that is a date, else months first."""
     mark = re.search(r"[-/.]", s)[0]
     parts = s.split(mark)
-    year_first = len(parts[0]) == 4
-    orders = (("y", "m", "d"),) if year_first else (("d", "m", "y"), ("m", "d", "y"))
+    orders = (("y", "m", "d"),) if len(parts[0]) == 4 else (("d", "m", "y"), ("m", "d", "y"))
     for order in orders:
-        x = {k: int(p) for k, p in zip(order, parts)}
+        x = dict(zip(order, parts))
         try:
-            new = dt.date(x["y"], x["m"], x["d"])
+            new = day(dt.date(int(x["y"]), int(x["m"]), int(x["d"])), key)
         except ValueError:
             continue
-        width = {k: len(p) for k, p in zip(order, parts)}
-        new = day(new.toordinal(), key)
-        # Walks on until the date fits the old widths and is read in the old order.
-        while any(len(str(getattr(new, k))) > width[c] or (width[c] == 1) != (len(str(getattr(new, k))) == 1) and width[c] == 1 for k, c in (("month", "m"), ("day", "d"))) or order[0] == "m" and new.day < 13:
-            new = day(new.toordinal(), key)
-        return mark.join(f"{ {'y': new.year, 'm': new.month, 'd': new.day}[k]:0{width[k]}d}" for k in order)
+        out = {"y": str(new.year), "m": padded(new.month, x["m"], x["d"]), "d": padded(new.day, x["d"], x["m"])}
+        return mark.join(out[k] for k in order)
     return None
 
 
 def named(s: str, key: bytes) -> str | None:
-    """Dates with an English month; the new month's name has the old one's length."""
-    word = re.search(r"[A-Za-z]+", s)[0]
-    numbers = re.findall(r"\d+", s)
-    d, y = numbers
+    """Dates with a month's name, in the language that the other words and signs, or else the name, tell."""
+    word = next(w for w in re.findall(r"[^\W\d_]+", s) if w.lower() not in ("de", "del", "er"))
+    d, y = re.findall(r"\d+", s)
+    told = "es" if re.search(r"(?i) del? ", s) else "de" if "." in s else None
+    lang = next(k for k in ([told] if told else ["en", "fr"]) if word.lower() in MONTHS[k])
     try:
-        new = dt.date(int(y), MONTHS.index(word.lower()) + 1, int(d))
+        new = day(dt.date(int(y), MONTHS[lang].index(word.lower()) + 1, int(d)), key)
     except ValueError:
         return None
-    new = day(new.toordinal(), key)
-    while len(MONTHS[new.month - 1]) != len(word) or len(str(new.day)) > len(d) or (len(d) == 1) != (new.day < 10) and not d.startswith("0"):
-        new = day(new.toordinal(), key)
-    name = MONTHS[new.month - 1]
+    name = MONTHS[lang][new.month - 1]
     name = name.upper() if word.isupper() else name.capitalize() if word[0].isupper() else name
-    day_ = f"{new.day:0{len(d)}d}"
-    return f"{name} {day_}, {new.year}" if s[0].isalpha() else f"{day_} {name} {new.year}"
+    number = f"{new.day:02d}" if d[0] == "0" else str(new.day)
+    first, last = s.index(word), s.index(word) + len(word)
+    out = s[:first] + name + s[last:]
+    at = out.rindex(y)
+    out = out[:at] + str(new.year) + out[at + 4 :]
+    return re.sub(rf"(?<!\d){d}(?:er)?(?!\d)", number + ("er" if lang == "fr" and new.day == 1 and d[0] != "0" else ""), out, count=1)
 
 
 def email(s: str, key: bytes) -> str | None:
+    """The same in any case; letters keep theirs."""
     name, top = s.rsplit(".", 1)
-    return f"{by_class(name, key, 'email')}.{top}"
+    new = by_class(name.lower(), key, "email")
+    return f"{''.join(n.upper() if c.isupper() else n for c, n in zip(name, new))}.{top}"
 
 
 def secret(s: str, key: bytes) -> str | None:
     return by_class(s, key, "secret", bool(re.fullmatch(r"[0-9a-f]+", s)))
 
 
-RULES: dict[str, Callable[[str, bytes], str | None]] = {"card": card, "iban": iban, "ssn": ssn, "phone": phone, "ip": ip, "date": date, "named": named, "email": email, "value": secret}
+RULES: dict[str, Callable[[str, bytes], str | None]] = {"card": card, "iban": iban, "ssn": ssn, "phone": phone, "ip": ip, "date": date, "named": named, "email": email, "value": secret, "ip6": ip6, "bare_ssn": ssn, "bare_phone": phone}
 
 
 @functools.lru_cache(maxsize=50_000)
@@ -231,6 +288,8 @@ def replaced(text: str, key: bytes) -> tuple[str, dict[str, int]]:
             lead, s = m["secret"], m["value"]
             if not (re.search(r"\d", s) or re.search(r"[\"']", lead)):
                 return m[0]
+        elif kind in ("bare_ssn", "bare_phone"):
+            lead, s = m[kind.replace("bare", "says")], m[kind]
         else:
             lead, s = "", m[kind]
         new = pseudonym(kind, s, key)
@@ -238,7 +297,7 @@ def replaced(text: str, key: bytes) -> tuple[str, dict[str, int]]:
             new, kind = (pseudonym("phone", s, key), "phone") if re.fullmatch(r"\d{3}[-. ]\d{3}[-. ]\d{4}", s) else (None, kind)
         if new is None:
             return m[0]
-        name = {"value": "secret", "named": "date"}.get(kind, kind)
+        name = {"value": "secret", "named": "date", "ip6": "ip", "bare_ssn": "ssn", "bare_phone": "phone"}.get(kind, kind)
         found[name] = found.get(name, 0) + 1
         return lead + new
 
