@@ -279,4 +279,6 @@ def encode_documents(docs: DataFrame, tokenizer_file: str) -> DataFrame:
         ids = [np.array(ids.split(",") if ids else [], np.int32) for _, ids, _ in found]
         return [pa.array([raw.decode("utf-8", "replace") for _, _, raw in found], pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array([n for n, _, _ in found], pa.int64())]
 
-    return encoded(rows, tokenizer_file, "text string, token_ids array<int>, n_tokens long", columns)
+    # Names with dots are not for mapInArrow.
+    plain = rows.toDF(*[f"c{i}" for i in range(len(rows.columns) - 1)], "text")
+    return encoded(plain, tokenizer_file, "text string, token_ids array<int>, n_tokens long", columns).toDF(*rows.columns, "token_ids", "n_tokens")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyloom.functions.tables import shared_dir, stored
 
-__all__ = ["WORD", "Shelf", "lean_session", "shared_dir", "stored", "text_or_empty"]
+__all__ = ["WORD", "Shelf", "doc_id", "id_kind", "lean_session", "shared_dir", "stored", "text_or_empty"]
 
 #: Bytes that separate words, as a character class for Java's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,5 +40,15 @@ def lean_session(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+def doc_id(docs: DataFrame) -> Column:
+    """The doc_id as a long; one that is a struct, such as a key of two hashes, stays."""
+    own = docs.schema["doc_id"].dataType
+    return F.col("doc_id") if isinstance(own, StructType) else F.col("doc_id").cast("long").alias("doc_id")
+
+
+def id_kind(rows: DataFrame) -> str:
+    return rows.schema["doc_id"].dataType.simpleString()
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Shelf, lean_session, text_or_empty
+from .common import Shelf, doc_id, id_kind, lean_session, text_or_empty
 
 SIZE, BANDS, ROWS, SIMILARITY = 5, 16, 4, 0.8
 #: Rows that are broadcast at most (32 bytes each), and pairs that one part of a hot pivot has.
@@ -94,7 +94,7 @@ def band_keys(shingle: np.ndarray, count: np.ndarray) -> np.ndarray:
 def texts_of(docs: DataFrame) -> DataFrame:
     """(doc_id, t1, t2, text): t1 and t2 are a 128-bit key of the text."""
     text = text_or_empty()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
+    return docs.select(doc_id(docs), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -112,7 +112,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                 one, two, n, keys = zip(*out)
                 yield pa.RecordBatch.from_arrays([*(x[a:b] for x in batch.columns[:3]), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "t1", "t2", "fp1", "fp2", "n", "bands"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, t1 long, t2 long, fp1 long, fp2 long, n long, bands array<long>")
+    texts = texts_of(docs)
+    return texts.mapInArrow(run, f"doc_id {id_kind(texts)}, t1 long, t2 long, fp1 long, fp2 long, n long, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:

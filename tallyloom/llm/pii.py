@@ -325,8 +325,11 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [(t, {}) if t is None or not SIGN.search(t) else replaced(t, secret_key) for t in batch.column(at).to_pylist()]
-            out = batch.set_column(at, batch.schema.names[at], pa.array([t for t, _ in done], pa.string()))
+            out = batch.set_column(at, names[at], pa.array([t for t, _ in done], pa.string()))
             found = pa.array([list(n.items()) for _, n in done], pa.map_(pa.string(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, found], [*out.schema.names, "pii"])
+            yield pa.RecordBatch.from_arrays([*out.columns, found], [*names, "pii"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("pii", MapType(StringType(), LongType()))]))
+    # Names with dots are not for mapInArrow.
+    names = [f"c{i}" for i in range(len(rows.columns))]
+    plain = rows.toDF(*names)
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("pii", MapType(StringType(), LongType()))])).toDF(*rows.columns, "pii")

@@ -1,18 +1,20 @@
 """Quality rules: how far a document's characters and common words lie from its language's reference.
 
 References are taken from the whole corpus, for each language: the shares of eight character classes, and the shares
-of its common words (those that make up at least COMMON of its words, so 1 / COMMON at most). A document is compared
+of its common words (those that make up at least COMMON of its words, so 1 / COMMON at most, and occur LEAST times). A document is compared
 with both by Jensen-Shannon distance (base 2, from 0 to 1). Short documents say little, so each distance counts only
 from a minimum length on, and gets an allowance that shrinks with the square root of the length.
 
 Words are the runs between the bytes space and \\t to \\r; keys of words, lines and windows have 64 bits.
 Null or empty texts have no words and fail the base rule. A null language is a language of its own, and so is an empty one. Very long
-texts are counted whole; without documents the result is empty. A language has its
-own reference from LANGUAGE_DOCS documents and LANGUAGE_WORDS words on, whatever else the corpus holds. References of
-languages with LANGUAGE_SHARE of all words (1 / LANGUAGE_SHARE at most) and of the NEAREST largest are sent to all tasks;
-those of other languages are joined by language. A document of a language that is too small is compared with the nearest by words of the NEAREST
-largest languages and the whole corpus, or with the whole corpus if it has too few words to tell; so a small language
-that is like none of these is rejected from these lengths on. Repeated rows are judged alike; other columns are not read.
+texts are counted whole; without documents the result is empty. Repeated rows are judged alike; other columns are not read.
+
+What a language's own reference says counts by its evidence: with W words of the language, it weighs W / (W + EVIDENCE), and
+the rest is the reference of what the document resembles most by words, out of the NEAREST largest other languages and the whole
+corpus. So a code that is seldom used is judged almost by what it resembles, and a language that resembles no other comes to be its own measure by degrees, some
+thousand words on. From SURE words on, where the rest weighs a thousandth at most, it is left out. References of languages with SURE
+words and LANGUAGE_SHARE of all words (1 / LANGUAGE_SHARE at most), or of the NEAREST largest, are sent to all tasks; those of other languages
+are joined by language.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import lean_session, stored, text_or_empty
+from .common import doc_id, id_kind, lean_session, stored, text_or_empty
 
 COMMON, LANGUAGE_SHARE = 0.005, 0.001
-LANGUAGE_DOCS, LANGUAGE_WORDS, NEAREST = 10, 2000, 16
+LEAST, EVIDENCE, SURE, NEAREST = 5, 100, 100_000, 16
 MIN_CHARS, MIN_WORDS = 200, 40
 #: A distance may reach MAX + ALLOW / sqrt(characters or words of letters).
 MAX_CLASS, MAX_WORD, ALLOW = 0.19, 0.14, 1.8
@@ -38,7 +40,7 @@ CLASS = np.array([7 if b >= 128 else 0 if 97 <= b <= 122 else 1 if 65 <= b <= 90
 SYMBOL = CLASS == 6
 CONTINUES = (np.arange(256) & 0xC0) == 0x80
 
-FEATURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, common array<long>, n_letter_words long, ref string"
+FEATURES = "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, common array<long>, n_letter_words long, word_ref array<double>"
 #: The language that a reference is of (None: the whole corpus), sorted keys of its common words, and their shares and that of the other words.
 Reference = tuple[str | None, np.ndarray, np.ndarray]
 
@@ -60,8 +62,17 @@ def apart(counts: np.ndarray, shares: np.ndarray) -> float:
     return float(sum((x[x > 0] * np.log2(2 * x[x > 0] / both[x > 0])).sum() for x in (p, shares)))
 
 
-def features(data: np.ndarray, off: np.ndarray, refs: list[list[Reference]]) -> dict[str, object]:
-    """Counts of a slice of texts, as columns. refs: for each text the references to choose from, the first for short ones."""
+def blended(own: Reference, other: Reference, weight: float) -> Reference:
+    """own by its weight, and other for the rest; what is no common word of one is among its other words."""
+    keys = np.union1d(own[1].view(np.uint64), other[1].view(np.uint64))
+    shares = np.zeros(len(keys))
+    for r, w in ((own, weight), (other, 1 - weight)):
+        shares[np.searchsorted(keys, r[1].view(np.uint64))] += w * r[2][:-1]
+    return own[0], keys, np.append(shares, 1 - shares.sum())
+
+
+def features(data: np.ndarray, off: np.ndarray, refs: list[Reference | tuple[Reference, float, list[Reference]]]) -> dict[str, object]:
+    """Counts of a slice of texts, as columns. refs: for each text its reference, or one, its weight, and the others that it is blended with one of, the first for short texts."""
     n = len(off) - 1
     code_point = ~CONTINUES[data]
     start, end, of = K.spans(data, off, K.SPACE)
@@ -82,35 +93,45 @@ def features(data: np.ndarray, off: np.ndarray, refs: list[list[Reference]]) ->
     n_letters = np.bincount(letters_of, minlength=n)
     first = np.concatenate(([0], np.cumsum(n_letters)))
     hist: list[np.ndarray] = []
-    names: list[str | None] = []
-    for i, near in enumerate(refs):
-        own = letters[first[i] : first[i + 1]]
-        found = [counted(own, r[1]) for r in (near if len(own) >= MIN_WORDS else near[:1])]
-        best = min(range(len(found)), key=lambda k: apart(found[k], near[k][2])) if len(found) > 1 else 0
-        hist.append(found[best])
-        names.append(near[best][0])
+    shares: list[np.ndarray | None] = []
+    for i, ref in enumerate(refs):
+        words = letters[first[i] : first[i + 1]]
+        if len(ref) == 3 and isinstance(ref[1], float):
+            own, weight, near = ref
+            best = near[0]
+            if len(words) >= MIN_WORDS and len(near) > 1:
+                best = min(near, key=lambda r: apart(counted(words, r[1]), r[2]))
+            ref = blended(own, best, weight)
+            shares.append(ref[2])
+        else:
+            shares.append(None)
+        hist.append(counted(words, ref[1]))
     return {
         "n_words": np.bincount(of, minlength=n), "word_chars": K.per_text(code_point & ~K.SPACE[data], off), "n_symbols": K.per_text(SYMBOL[data], off), "n_dup_lines": np.bincount(lo[earlier], minlength=n),
-        "n_repeat_words": np.bincount(of[np.cumsum(covered[:-1]) > 0], minlength=n), "classes": list(counts), "common": hist, "n_letter_words": n_letters, "ref": names,
+        "n_repeat_words": np.bincount(of[np.cumsum(covered[:-1]) > 0], minlength=n), "classes": list(counts), "common": hist, "n_letter_words": n_letters, "word_ref": shares,
     }
 
 
-def featured(texts: DataFrame, own: dict[str, Reference], other: list[Reference]) -> DataFrame:
-    """A row of FEATURES for each of texts. References are a column of keys, if there is one, or else own by language, or one of other."""
+def featured(texts: DataFrame, sent: dict[str, Reference], others: list[Reference]) -> DataFrame:
+    """A row of FEATURES for each of texts (doc_id, lang, text), by the reference of its language; or (..., keys, shares, total), by its own reference blended with one of others."""
+    blend = "keys" in texts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, langs = batch.column(0), batch.column(1).to_pylist()
-            if batch.num_columns > 3:
-                refs = [[(lang, np.array(k, np.int64), np.zeros(0))] for lang, k in zip(langs, batch.column(3).to_pylist())]
+            refs: list = []
+            if blend:
+                for lang, keys, shares, total in zip(langs, *(batch.column(k).to_pylist() for k in (3, 4, 5))):
+                    near = [r for r in others if r[0] != lang]
+                    refs.append(((lang, np.array(keys or [], np.int64), np.array(shares or [0.0])), (total or 0) / ((total or 0) + EVIDENCE), near))
             else:
-                refs = [[own[lang]] if lang in own else other for lang in langs]
+                refs = [sent[lang] for lang in langs]
             for a, b, data, off in K.slices(batch.column(2)):
                 x = features(data, off, refs[a:b])
-                kinds = {"classes": pa.list_(pa.int64()), "common": pa.list_(pa.int64()), "ref": pa.string()}
+                kinds = {"classes": pa.list_(pa.int64()), "common": pa.list_(pa.int64()), "word_ref": pa.list_(pa.float64())}
                 yield pa.RecordBatch.from_pydict({"doc_id": ids[a:b], "lang": pa.array(langs[a:b], pa.string())} | {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in x.items()})
 
-    return texts.mapInArrow(run, FEATURES)
+    return texts.mapInArrow(run, f"doc_id {id_kind(texts)}, {FEATURES}")
 
 
 def language() -> Column:
@@ -126,11 +147,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def languages(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(lang, n_docs, total, own): each language, its documents and words, and whether these are enough for its own reference."""
+    """(lang, total): each language and its words."""
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    found = docs.groupBy(language().alias("lang")).agg(F.count(F.lit(1)).alias("n_docs")).join(totals, "lang", "left")
-    total = F.coalesce(F.col("total"), F.lit(0).cast("long"))
-    return stored(found.select("lang", "n_docs", total.alias("total"), ((F.col("n_docs") >= LANGUAGE_DOCS) & (total >= LANGUAGE_WORDS)).alias("own")), "languages")
+    found = docs.select(language().alias("lang")).distinct().join(totals, "lang", "left")
+    return stored(found.select("lang", F.coalesce(F.col("total"), F.lit(0).cast("long")).alias("total")), "languages")
 
 
 def keyed(words: DataFrame) -> DataFrame:
@@ -181,46 +201,43 @@ def judged(both: DataFrame) -> DataFrame:
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, the two distances and kept, for each document."""
     lean_session(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language().alias("lang"), text_or_empty().alias("text"))
+    texts = docs.select(doc_id(docs), language().alias("lang"), text_or_empty().alias("text"))
     counts = word_counts(docs)
     langs = languages(docs, counts)
-    n_langs, n_own, n_all = (x or 0 for x in langs.agg(F.count(F.lit(1)), F.sum(F.col("own").cast("long")), F.sum("total")).first())
-    largest = [r.lang for r in langs.where("own").orderBy(F.desc("total"), "lang").limit(NEAREST).collect()]
-    sent = F.col("own") & ((F.col("total") >= LANGUAGE_SHARE * n_all) | F.col("lang").isin(largest))
-    totals = {r.lang: r.total for r in langs.where(sent).collect()}  # at most 1 / LANGUAGE_SHARE + NEAREST
-    joined = langs.where(F.col("own") & ~sent).select("lang", "total")
+    n_langs, n_all = (x or 0 for x in langs.agg(F.count(F.lit(1)), F.sum("total")).first())
+    largest = [r.lang for r in langs.where("total > 0").orderBy(F.desc("total"), "lang").limit(NEAREST).collect()]
+    sure = (F.col("total") >= SURE) & ((F.col("total") >= LANGUAGE_SHARE * n_all) | F.col("lang").isin(largest))
+    known = langs.where(sure | F.col("lang").isin(largest))  # at most 1 / LANGUAGE_SHARE + NEAREST
+    totals = {r.lang: r.total for r in known.collect()}
 
     def common(some: DataFrame) -> DataFrame:
-        return counts.join(some.select("lang", "total"), "lang").where(F.col("n") >= COMMON * F.col("total"))
+        return counts.join(some.select("lang", "total"), "lang").where((F.col("n") >= COMMON * F.col("total")) & (F.col("n") >= LEAST))
 
     words: dict[str, list[tuple[str, int]]] = {k: [] for k in totals}
-    for r in common(langs.where(sent)).collect():  # at most 1 / COMMON for each language
+    for r in common(known).collect():  # at most 1 / COMMON for each language
         words[r.lang].append((r.word, r.n))
     own = {k: reference(k, v, totals[k]) for k, v in words.items()}
-    other: list[Reference] = []
-    if n_langs > n_own:
-        pool = counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * n_all).collect()
-        other = [reference(None, [(r.word, r.n) for r in pool], n_all), *(own[k] for k in largest)]
-    apart_langs = n_own > len(own)
-    rest = texts
-    if apart_langs:
-        rare = texts.where(~F.col("lang").isin(list(own)))
-        rest = texts.where(F.col("lang").isin(list(own))).unionByName(rare.join(joined.select("lang"), "lang", "left_anti").select(*texts.columns))
-    seen = stored(featured(rest, own, other), "features")
+    sent = {r.lang: own[r.lang] for r in langs.where(sure).select("lang").collect()}
     sums = F.array(*[F.sum(F.col("classes")[c]) for c in range(8)]).alias("class_ref")
-    refs = docs.sparkSession.createDataFrame([(k, r[2].tolist()) for k, r in own.items()], "ref string, word_ref array<double>").join(seen.groupBy(F.col("lang").alias("ref")).agg(sums), "ref")
-    everything = seen.select("classes")
-    if apart_langs:
-        keys = F.sort_array(F.collect_list(F.struct("key", "n")))
-        found = joined.join(keyed(common(joined)).groupBy("lang").agg(keys.alias("found")), "lang", "left").withColumn("found", F.coalesce("found", F.expr("CAST(array() AS array<struct<key: bigint, n: bigint>>)")))
-        n_common = F.aggregate("found", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
-        rare_refs = stored(found.select("lang", F.col("found.key").alias("keys"), F.concat(F.transform("found", lambda x: x["n"] / F.col("total")), F.array(1 - n_common / F.col("total"))).alias("word_ref")), "references")
-        rare_seen = stored(featured(rare.join(rare_refs.select("lang", "keys"), "lang").select(*texts.columns, "keys"), own, other), "rare-features")
-        everything = everything.unionByName(rare_seen.select("classes"))
-    if other:
-        refs = refs.unionByName(everything.agg(sums).select(F.lit(None).cast("string").alias("ref"), F.lit(other[0][2].tolist()).cast("array<double>").alias("word_ref"), "class_ref"))
-    refs = refs.withColumnRenamed("ref", "of")
-    out = judged(seen.join(F.broadcast(refs), F.col("ref").eqNullSafe(F.col("of")), "left"))
-    if apart_langs:
-        out = out.unionByName(judged(rare_seen.join(rare_refs.select("lang", "word_ref").join(rare_seen.groupBy("lang").agg(sums), "lang"), "lang", "left")))
-    return out
+    few = len(sent) < n_langs  # languages whose reference is blended, or joined
+    first = texts.where(F.col("lang").isin(list(sent))) if few else texts
+    seen = stored(featured(first, sent, []), "features")
+    refs = docs.sparkSession.createDataFrame([(k, r[2].tolist()) for k, r in sent.items()], "of string, shares array<double>").join(seen.groupBy(F.col("lang").alias("of")).agg(sums), "of")
+    out = judged(seen.join(F.broadcast(refs), F.col("lang") == F.col("of")).withColumn("word_ref", F.col("shares")))
+    if not few:
+        return out
+    pool = reference(None, [(r.word, r.n) for r in counts.groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") >= COMMON * n_all) & (F.col("n") >= LEAST)).collect()], n_all)
+    others = [pool, *(blended(own[k], pool, totals[k] / (totals[k] + EVIDENCE)) for k in largest)]
+    rare = langs.where(~F.col("lang").isin(list(sent)))
+    listed = F.sort_array(F.collect_list(F.struct("key", "n")))
+    found = rare.join(keyed(common(rare)).groupBy("lang").agg(listed.alias("found")), "lang", "left").withColumn("found", F.coalesce("found", F.expr("CAST(array() AS array<struct<key: bigint, n: bigint>>)")))
+    share = F.transform("found", lambda x: x["n"] / F.col("total"))
+    rest = 1 - F.aggregate(share, F.lit(0.0), lambda acc, x: acc + x)
+    rare_refs = stored(found.select("lang", F.col("found.key").alias("keys"), F.concat(share, F.array(rest)).alias("shares"), "total"), "references")
+    rare_seen = stored(featured(texts.join(rare_refs, "lang").select(*texts.columns, "keys", "shares", "total"), sent, others), "rare-features")
+    everything = seen.select("classes").unionByName(rare_seen.select("classes")).agg(sums.alias("all"))
+    shares = lambda c: F.transform(c, lambda v: v / F.greatest(F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x), F.lit(1)))
+    weight = F.col("total") / (F.col("total") + EVIDENCE)
+    classes = rare_refs.select("lang", "total").join(rare_seen.groupBy("lang").agg(sums), "lang").crossJoin(F.broadcast(everything))  # a single row
+    classes = classes.select("lang", F.zip_with(shares(F.col("class_ref")), shares(F.col("all")), lambda a, b: weight * a + (1 - weight) * b).alias("class_ref"))
+    return out.unionByName(judged(rare_seen.join(classes, "lang", "left")))

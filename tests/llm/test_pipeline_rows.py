@@ -98,3 +98,33 @@ def test_encoding_by_row(spark, docs):
     assert set(docs.columns) < set(got.columns)
     want = [(r.doc_id, r.lang, r.source, r.n_chars, r.text or "", t.encode(r.text or "").ids) for r in docs.collect()]
     assert ordered(tuple(r) for r in got.select("doc_id", "lang", "source", "n_chars", "text", "token_ids").collect()) == ordered(want)
+
+
+CHECKS = (test_quality_rules_by_row, test_near_dedup_by_row, test_private_data_by_row, test_source_mix_by_row, test_encoding_by_row)
+
+
+def test_the_chain_stage_by_stage(spark, tmp_path):
+    """Each stage on what the one before it gave, against its plain version, and run() gives the same rows."""
+    d = spark.read.parquet(f"{DIR}/documents.parquet")
+    for i, (check, (_, stage)) in enumerate(zip(CHECKS, corpus_pipeline.STAGES, strict=True)):
+        check(spark, d)
+        stage(spark, d, DIR).write.parquet(f"{tmp_path}/{i}")
+        d = spark.read.parquet(f"{tmp_path}/{i}")
+    assert ordered(corpus_pipeline.run(spark, DIR).collect()) == ordered(d.collect())
+
+
+def test_other_columns_of_any_name(spark, docs):
+    more = docs.withColumn("_key", corpus_pipeline.F.col("n_chars") * 7).withColumn("_KEY_", corpus_pipeline.F.lit("x")).withColumn("a.b", corpus_pipeline.F.lit(None).cast("int")).withColumn("class_id", corpus_pipeline.F.lit(1)).withColumn("last", corpus_pipeline.F.lit(True))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, DIR)
+        assert out.columns == more.columns
+        got = out.collect()
+        assert got and all(r["_key"] is None or r["_key"] == 7 * r["n_chars"] for r in got) and {r["a.b"] for r in got} == {None}
+        if stage in (corpus_pipeline.quality_rules, corpus_pipeline.near_dedup):
+            assert ordered(r[:5] for r in got) == ordered(stage(spark, docs, DIR).collect()) or stage is corpus_pipeline.near_dedup
+    assert set(more.columns) < set(corpus_pipeline.encoding(spark, more, DIR).columns)
+
+
+def test_no_documents(spark, docs):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DIR).count() == 0
