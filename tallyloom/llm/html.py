@@ -3,17 +3,20 @@
 A page is cut into blocks: runs of text between the tags that break lines. A classifier gives each block the log-odds of
 being content, and these are its capacity to the source (content) or the sink (boilerplate). Two parts add up to them:
 
-- words, links and sentence marks of the block, with weights that are fitted by logistic regression. Blocks in landmark
-  tags (article and main; nav, footer, aside and the like) are the labelled ones; FIT_PAGES pages by hash, and
-  FIT_BLOCKS of their blocks, are the bounded sample. PRIOR is what the weights are without a sample, and are drawn to.
-- where the block is, with the fixed log-odds of PLACE: landmark tags, names in class, id and role, and how much of the
-  page's text is in the same parent. A name such as sidebar tells nothing on a wrapper that also holds the page's main
-  heading or main element, or most of its text.
-
-Smoothness edges join blocks that follow each other, the more so the nearer they are in the tree, and blocks to the node
-of the tree that holds them. A maximum flow separates the two labels at least cost; so a short line between paragraphs
-is content though its own words do not tell, and a sentence among links is not. What the cut leaves open (a tie) is
-boilerplate. The content blocks' text is joined in page order.
+- words, links and sentence marks of the block, and how surely names in class and id speak of a side part, with weights
+  that are fitted by logistic regression. Blocks in landmark tags (article and main; nav, footer, aside and the
+  like) are the labelled ones; FIT_PAGES pages by hash, and FIT_BLOCKS of their blocks, are the bounded sample. The weights
+  are drawn to PRIOR, which they are without a sample. What words say counts in full from FULL words on;
+- bounded log-odds of landmark tags and of content names.
+
+A name tells more the more of it speaks of a side part: all of sidebar and of cookie-notice, a third of share-price-report, and
+nothing of has-comments, which is a state. What a name or a tag says fades on an element that holds most of the page's sentences.
+
+Where a block is tells by the edges alone. Smoothness edges join blocks that follow each other, the more so the nearer they are
+in the tree, and each block to its holder, the element around it. Holders are nodes of their own: those inside the part of the page that
+holds most sentences have a capacity to the source, those apart from it one to the sink, unless they hold many sentences too. A maximum flow separates
+the two labels at least cost. So a short line between paragraphs is content though its own words do not tell, a sentence among links is
+not, and neither is one that stands alone far from the text. What the cut leaves open (a tie) is boilerplate. The content blocks' text is joined in page order.
 
 Null and empty pages, and pages without text, have an empty text. Broken markup is read as browsers do in the main:
 unclosed tags end with what holds them, an angle bracket without a name is text. Whole pages are read, of any length and
@@ -50,6 +53,7 @@ CONTENT_NAMES = frozenset("article content post entry story main body text artic
 READERS = frozenset("comment comments commentlist respond disqus discussion replies reply".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 LIST_ENDS = frozenset("ul ol dl table select".split())
+WRAPS = frozenset("form fieldset header".split())
 SECTIONS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -61,19 +65,37 @@ NAME = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|[a-z]")
 WHITE = re.compile(r"\s+")
 MARKS, ENDS = ".!?。！？;:,", ".!?。！？\"”»"
 
-#: Log-odds without a sample: of 1, ln(1 + words), the share of link text, sentence marks up to 3, a mark at the end, and a heading.
-PRIOR = (-2.0, 0.9, -4.0, 0.4, 0.6, 1.5)
-#: Log-odds of places: of a sure side, of content landmarks and names, and of all the page's text being in the same parent.
-PLACE = {"side": -12.0, "landmark": 5.0, "name": 2.0, "share": 3.0}
+#: Parts of names that do not tell a role, and such that make a name a state.
+PLAIN_NAMES = frozenset("list box area wrap wrapper container block section item items inner outer top bottom left right col column row widget id js module panel group bar".split())
+STATES = frozenset("has have with without no not is show hide hidden enable enabled disable disabled allow can".split())
+#: Weights without a sample: of 1, ln(1 + words), the share of link text, sentence marks up to 3, a mark at the end, a heading, and how surely names speak of a side.
+PRIOR = (-2.0, 0.9, -4.0, 0.4, 0.6, 1.5, -6.0)
+#: Log-odds of places: of a side's tags, and of content landmarks and names. What the words say is MOST at most, in full from FULL words on.
+PLACE = {"side": -6.0, "landmark": 1.5, "name": 1.0}
+MOST, FULL = 4.0, 8
+#: The share of the page's sentences that its main part has, that which keeps a part from being apart from it, and words of a sentence.
+MAIN, MANY, SENTENCE = 0.6, 0.3, 8
 #: Costs of parting blocks that follow each other (SMOOTH for siblings, less by DECAY for each step more, FAR at least and beyond a landmark), and a block and its holder.
-SMOOTH, DECAY, FAR, HOLD, STEPS = 1.5, 4.0, 0.1, 0.3, 6
-FIT_PAGES, FIT_BLOCKS, FIT_LEAST = 1000, 20_000, 50
+SMOOTH, DECAY, FAR, HOLD, STEPS = 1.5, 4.0, 0.1, 4.0, 6
+#: Elements whose block is held by what is around them.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption summary option center".split())
+FIT_PAGES, FIT_BLOCKS = 1000, 20_000
+
+
+def side_name(name: str) -> tuple[float, bool]:
+    """How much of a name speaks of a side part, and whether it speaks of readers' comments."""
+    words = [w for w in (x.lower() for part in re.split(r"[\s_-]+", name) for x in ([part] if part.lower() in SIDE_NAMES else NAME.findall(part)))]
+    if not words or words[0] in STATES:
+        return 0.0, False
+    telling = [w for w in words if w not in PLAIN_NAMES or w in SIDE_NAMES and len(words) == 1]
+    side = [w for w in telling if w in SIDE_NAMES]
+    return (len(side) / len(telling) if telling else 0.0), bool(set(side) & READERS)
 
 
 class Node:
-    """An element of the page. length: of its text; mark: whether it holds the page's main heading or main element; side: how surely it is none of the main text."""
+    """An element of the page. told: the nearest landmark tag; tagged and spoken: how surely its own tag and names are of a side; raw: its names with those of what holds it; tag_side and name_side: what is left of these where they wrap the text; sentences: characters of them; pull: from -1, apart from the main part, to 1, inside."""
 
-    __slots__ = ("tag", "up", "depth", "never", "link", "heading", "content", "named", "own", "side", "length", "mark", "readers")
+    __slots__ = ("tag", "up", "depth", "never", "link", "heading", "content", "named", "tagged", "spoken", "tag_side", "name_side", "length", "sentences", "n", "told", "apart", "pull", "holder", "raw")
 
     def __init__(self, tag: str, up: Node | None, attributes: str):
         self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
@@ -82,26 +104,27 @@ class Node:
         self.content = tag in CONTENT_TAGS or bool(up and up.content)
         self.named = bool(up and up.named)
         self.heading = tag in HEADINGS or bool(up and up.heading and tag not in BLOCK_TAGS)
-        self.own = 1.0 if tag in SIDE_TAGS or tag == "header" and not self.content else 0.0
-        self.length, self.mark, self.readers, self.side = 0, tag in ("h1", "main"), False, 0.0
+        self.told = tag if tag in CONTENT_TAGS | SIDE_TAGS else up.told if up else ""
+        self.apart = tag in SIDE_TAGS - WRAPS or bool(up and up.apart)
+        self.holder = self if tag in BLOCK_TAGS and tag not in LINES or not up else up.holder
+        self.tagged = 1.0 if tag in SIDE_TAGS or tag == "header" and not self.content else 0.0
+        self.spoken = self.tag_side = self.name_side = self.pull = 0.0
+        self.length = self.sentences = self.n = 0
+        self.raw = up.raw if up else 0.0
         if not attributes:
             return
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" and tag not in ("html", "body") or HIDDEN.search(found.get("style", "")):
             self.never = True
-        role = found.get("role", "").lower()
-        self.mark |= role == "main"
-        if role in SIDE_ROLES:
-            self.own = 1.0
+        if found.get("role", "").lower() in SIDE_ROLES:
+            self.tagged = 1.0
         if tag in ("html", "body", "main"):
             return
-        names = f"{found.get('class', '')} {found.get('id', '')}"
-        words = {w.lower() for w in NAME.findall(names)} | {w.lower() for w in re.split(r"[\s_-]+", names)}
-        if words & SIDE_NAMES and not (tag == "header" and self.content):
-            self.readers = bool(words & READERS)
-            # A name of content beside it makes it less sure, such as in post-header.
-            self.own = max(self.own, 0.5 if words & CONTENT_NAMES and not self.readers else 1.0)
-        elif words & CONTENT_NAMES:
+        names = f"{found.get('class', '')} {found.get('id', '')}".split()
+        if not (tag == "header" and self.content):
+            self.spoken = max((side_name(n)[0] for n in names), default=0.0)
+        self.raw = max(self.raw, self.spoken)
+        if not self.spoken and any(w.lower() in CONTENT_NAMES for n in names for w in NAME.findall(n)):
             self.named = True
 
 
@@ -215,46 +238,78 @@ def read(html: str) -> Tree:
     return tree
 
 
+def like_a_sentence(b: Block) -> bool:
+    words = b.text.count(" ") + 1
+    return 2 * b.link < len(b.text) and (words >= 2.5 * SENTENCE or words >= SENTENCE and b.text[-1] in ENDS)
+
+
 def weigh(tree: Tree) -> None:
-    """Lengths and marks go up the tree; then how surely a side each element is goes down."""
+    """Lengths and sentences go up the tree; then how surely a side each element is goes down, and the part with most sentences is found."""
+    sentences = [b for b in tree.found if not b.at.apart and like_a_sentence(b)]
     for b in tree.found:
         b.at.length += len(b.text)
+    if any(b.at.raw < 1 and not b.at.apart for b in tree.found):  # else such a name holds all of the page
+        sentences = [b for b in sentences if b.at.raw < 1]
+    for b in sentences:
+        b.at.sentences += len(b.text)
+        b.at.n += 1
     for x in reversed(tree.nodes[1:]):
         x.up.length += x.length
-        x.up.mark |= x.mark and not x.readers
-    total, marked = tree.nodes[0].length, tree.nodes[0].mark
+        x.up.sentences += x.sentences
+        x.up.n += x.n
+    total, main = max(1, tree.nodes[0].sentences), tree.nodes[0]
+    for x in tree.nodes:
+        held = x.sentences / total
+        fade = lambda sure, held=held: max(0.0, min(1.0, (0.98 - held) / 0.08 if sure else (0.9 - held) / 0.4))
+        x.tag_side = max(x.tagged * fade(x.tag not in WRAPS), x.up.tag_side if x.up else 0.0)
+        x.name_side = max(x.spoken * fade(x.spoken == 1.0), x.up.name_side if x.up else 0.0)
+        if held >= MAIN and x.n > 1 and x.depth >= main.depth:
+            main = x
+    above: Node | None = main
+    around = set()
+    while above:
+        around.add(id(above))
+        above = above.up
+    # Where no part is the main one, all is inside; a page without sentences is content as far as it is no links.
+    inner = float(main.tag not in ("#page", "html", "body"))
+    if not tree.nodes[0].sentences:
+        inner = 1 - sum(b.link for b in tree.found) / max(1, tree.nodes[0].length)
     for x in tree.nodes:
-        wraps = x.mark or not marked and not x.readers and x.tag not in SIDE_TAGS - {"form"} and 2 * x.length > total
-        x.side = max(0.0 if wraps else x.own, x.up.side if x.up else 0.0)
+        if x is main:
+            x.pull = inner
+        elif id(x) not in around:
+            # What is apart from the main part is so with all that it holds.
+            x.pull = x.up.pull if x.up.pull or id(x.up) == id(main) else -max(0.0, 1 - x.sentences / total / MANY)
+        side = max(x.tag_side, x.name_side)
+        if side:
+            x.pull = min(x.pull, -side)
 
 
 def described(b: Block) -> tuple[float, ...]:
-    """What is fitted: the block's words, links and marks."""
+    """What is fitted: the block's words, links and marks, and names."""
     words, marks = b.text.count(" ") + 1, sum(map(b.text.count, MARKS))
-    return 1.0, log1p(words), min(1.0, b.link / len(b.text)), float(min(3, marks)), float(b.text[-1] in ENDS), float(b.at.heading)
+    return 1.0, log1p(words), min(1.0, b.link / len(b.text)), float(min(3, marks)), float(b.text[-1] in ENDS), float(b.at.heading), b.at.name_side
 
 
 def landmark(b: Block) -> int | None:
     """What landmark tags alone say: 1 is content, 0 boilerplate, None nothing."""
-    up: Node | None = b.at
-    while up and up.tag not in CONTENT_TAGS and up.tag not in SIDE_TAGS and b.at.depth - up.depth < STEPS:
-        up = up.up
-    if not up or up.tag not in CONTENT_TAGS | SIDE_TAGS:
+    told = b.at.told
+    if not told:
         return None
-    return None if (b.at.side == 1.0) == (up.tag in CONTENT_TAGS) else int(up.tag in CONTENT_TAGS)
+    side = max(b.at.tag_side, b.at.name_side) == 1.0
+    return None if side == (told in CONTENT_TAGS) else int(told in CONTENT_TAGS)
 
 
 def log_odds(found: list[Block], weights: tuple[float, ...]) -> list[float]:
-    """Each block's log-odds of being content, from its words and its place."""
-    open_ = [b for b in found if not b.at.side]
-    main, same = max(1, sum(len(b.text) for b in open_)), Counter()
-    for b in open_:
-        same[id(b.at.up or b.at)] += len(b.text)
+    """Each block's log-odds of being content, from its words, names and tags."""
     out = []
     for b in found:
-        words = sum(w * x for w, x in zip(weights, described(b)))
-        place = PLACE["side"] * b.at.side if b.at.side else PLACE["share"] * same[id(b.at.up or b.at)] / main + (PLACE["landmark"] if b.at.content else PLACE["name"] if b.at.named else 0.0)
-        out.append(max(-6.0, min(6.0, words)) + place)
+        x = described(b)
+        words = sum(w * v for w, v in zip(weights[:6], x))
+        place = weights[6] * x[6] + PLACE["side"] * b.at.tag_side
+        if max(b.at.tag_side, b.at.name_side) < 1:
+            place += PLACE["landmark"] if b.at.content else PLACE["name"] if b.at.named else 0.0
+        out.append(max(-MOST, min(MOST, words)) * min(1.0, (b.text.count(" ") + 1) / FULL) + place)
     return out
 
 
@@ -323,17 +378,22 @@ def labels(found: list[Block], odds: list[float]) -> list[bool]:
     """Which blocks are content, by the minimum cut."""
     n = len(found)
     holds: dict[int, int] = {}
+    pulls: Counter = Counter()
     edges: list[tuple[int, int, float, float]] = []
     for i, (b, x) in enumerate(zip(found, odds)):
         edges.append((n, i, x, 0.0) if x > 0 else (i, n + 1, -x, 0.0))
-        edges.append((i, holds.setdefault(id(b.at.up or b.at), n + 2 + len(holds)), HOLD, HOLD))
+        holder = b.at.holder
+        node = holds.setdefault(id(holder), n + 2 + len(holds))
+        pulls[node] += HOLD * holder.pull
+        edges.append((i, node, HOLD, HOLD))
         if i:
             before = found[i - 1].at
             steps = steps_between(before, b.at)
             weight = max(FAR, SMOOTH / DECAY ** max(0, steps - 2))
-            if before.side != b.at.side or before.content != b.at.content:
+            if (before.tag_side, before.name_side, before.content) != (b.at.tag_side, b.at.name_side, b.at.content):
                 weight = min(weight, FAR)
             edges.append((i - 1, i, weight, weight))
+    edges += [(n, node, x, 0.0) if x > 0 else (node, n + 1, -x, 0.0) for node, x in pulls.items() if x]
     return source_side(n + 2 + len(holds), edges, n, n + 1)[:n]
 
 
@@ -343,11 +403,11 @@ def main_text(html: str | None, weights: tuple[float, ...] = PRIOR) -> str:
 
 
 def fitted(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, ...]:
-    """Logistic regression by Newton's method, both labels with the same weight, drawn to PRIOR by a unit normal distribution. PRIOR, if either label has under FIT_LEAST rows."""
+    """Logistic regression by Newton's method, both labels with the same weight, drawn to PRIOR by a unit normal distribution; so a few rows change little."""
     prior = np.array(PRIOR)
-    if min(np.sum(y == 0), np.sum(y == 1)) < FIT_LEAST:
+    if not len(y):
         return PRIOR
-    share, w = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())), prior.copy()
+    share, w = np.where(y == 1, 0.5 * len(y) / max(1, np.sum(y == 1)), 0.5 * len(y) / max(1, np.sum(y == 0))), prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (share * (y - p)) - (w - prior))
@@ -376,7 +436,7 @@ def sample(pages: DataFrame) -> DataFrame:
 def fit(pages: DataFrame) -> tuple[float, ...]:
     """Weights of words, links and marks, from a bounded sample of the pages."""
     rows = sample(pages).collect()  # FIT_BLOCKS at most
-    return fitted(np.array([r.x for r in rows]), np.array([r.y for r in rows])) if rows else PRIOR
+    return fitted(np.array([r.x for r in rows]).reshape(-1, len(PRIOR)), np.array([r.y for r in rows]))
 
 
 def extracted(pages: DataFrame, weights: tuple[float, ...] | None = None) -> DataFrame:
