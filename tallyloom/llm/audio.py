@@ -6,8 +6,9 @@ for each output phase), cut into overlapping Hann windows, and turned into log-m
 are segmented by energy with hysteresis: a segment begins above the upper level and ends below the lower one. Features
 come in tensors of FRAMES x MELS numbers, in hundredths of a decibel as 16-bit integers (the level of 8-bit samples is not
 known more exactly), the last one padded with FLOOR, each with its span of seconds and the loud spans in it. They are
-stored for each document, with Arrow's tensor type and shape in the schema of the files, and the digests of the features
-are taken from what is read back.
+stored for each document as Arrow's fixed-shape tensors: each task writes a Parquet file of its own with the Arrow schema, under
+another name until it is whole, so that a task that is run again writes the same file. Spark reads the tensors as lists, any
+Arrow reader as tensors. The digests of the features are taken from what is read back.
 
 Null and empty texts have 64 zero bytes as payload. Equal texts have equal media and features. Very long texts are
 framed in runs of BLOCK frames. Repeated rows get rows each; without documents the result is empty. Other columns are not read.
@@ -25,6 +26,9 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem, FileType
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +42,7 @@ UNIT = 100  # tensors hold whole hundredths of a decibel, in 16 bits
 UPPER, LOWER = 3.0, -3.0  # decibels against the median frame
 BATCH = 8 << 20  # bytes of tensors sent at once, if a document has not more
 
-#: A field of tensors in a schema, marked as Arrow does it: Spark has lists only, but keeps what its fields are marked with.
+#: A field of tensors in Spark's schema, which has lists only, marked as Arrow does it.
 TENSOR = pa.fixed_shape_tensor(pa.int16(), (FRAMES, MELS))
 MARK = {"ARROW:extension:name": TENSOR.extension_name, "ARROW:extension:metadata": json.dumps({"shape": TENSOR.shape})}
 SPANS = T.ArrayType(T.StructType().add("t_start", "double").add("t_end", "double"))
@@ -159,8 +163,17 @@ def media(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def tensor_rows(stored_media: DataFrame) -> DataFrame:
-    """A row of STORED for each stored medium: digests of its bytes, and its features as tensors with their spans."""
+def arrow_schema() -> pa.Schema:
+    """The schema of the files: tensors by Arrow's type, and for Spark its own words."""
+    span = pa.struct([("t_start", pa.float64()), ("t_end", pa.float64())])
+    part = pa.struct([("t_start", pa.float64()), ("t_end", pa.float64()), ("log_mel", TENSOR), ("loud", pa.list_(span))])
+    plain = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())]
+    return pa.schema([*plain, ("tensors", pa.list_(part))], metadata={"org.apache.spark.sql.parquet.row.metadata": STORED.json()})
+
+
+def stored_tensors(stored_media: DataFrame) -> DataFrame:
+    """A row of STORED for each stored medium: digests of its bytes, and its features as tensors with their spans; written to the shared folder and read from there."""
+    path = shared_dir(stored_media.sparkSession, "tensors")
     span = pa.struct([("t_start", pa.float64()), ("t_end", pa.float64())])
 
     def columns(rows: list[tuple]) -> pa.RecordBatch:
@@ -176,11 +189,11 @@ def tensor_rows(stored_media: DataFrame) -> DataFrame:
             end.append(((last - 1) * HOP + WINDOW) / TARGET)
             low, high = np.searchsorted(seg[:, 1], first, "right"), np.searchsorted(seg[:, 0], last, "left")
             loud += [[{"t_start": max(a, f) * HOP / TARGET, "t_end": min(b, e) * HOP / TARGET} for a, b in seg[i:j].tolist()] for f, e, i, j in zip(first.tolist(), last.tolist(), low, high)]
-        part = pa.StructArray.from_arrays([pa.array(np.concatenate(start)), pa.array(np.concatenate(end)), as_tensor(padded).storage.cast(pa.list_(pa.int16())), pa.array(loud, pa.list_(span))], PART.names)
+        part = pa.StructArray.from_arrays([pa.array(np.concatenate(start)), pa.array(np.concatenate(end)), as_tensor(padded), pa.array(loud, pa.list_(span))], PART.names)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-        return pa.RecordBatch.from_arrays([*map(pa.array, plain, kinds), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(parts)), pa.int32()), part)], STORED.names)
+        return pa.RecordBatch.from_arrays([*map(pa.array, plain, kinds), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(parts)), pa.int32()), part)], schema=arrow_schema())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, held = [], 0
             for doc_id, n_bytes, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -194,19 +207,32 @@ def tensor_rows(stored_media: DataFrame) -> DataFrame:
             if rows:
                 yield columns(rows)
 
-    return stored_media.select("doc_id", "n_bytes", "media").mapInArrow(run, STORED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        files, base = FileSystem.from_uri(path)
+        name, own, n = f"{base}/part-{task.partitionId():06d}.parquet", f"{base}/_part-{task.partitionId():06d}-{task.taskAttemptId()}", 0
+        writer = None
+        for batch in batches_of(batches):
+            writer = writer or pq.ParquetWriter(own, arrow_schema(), filesystem=files, compression="zstd", compression_level=3)
+            writer.write_batch(batch)
+            n += batch.num_rows
+        if writer:
+            writer.close()
+            if files.get_file_info(name).type == FileType.NotFound:
+                files.move(own, name)
+            else:  # an earlier run of this task has finished
+                files.delete_file(own)
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    files, base = FileSystem.from_uri(path)
+    files.create_dir(base)
+    stored_media.select("doc_id", "n_bytes", "media").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return stored_media.sparkSession.read.schema(STORED).parquet(path)
 
 
 def tensors(stored_media: DataFrame) -> DataFrame:
     """(doc_id, part, t_start, t_end, log_mel, loud): tensors of FRAMES x MELS, row by row, and the loud spans in each."""
-    return tensor_rows(stored_media).select("doc_id", F.posexplode("tensors").alias("part", "t")).select("doc_id", "part", "t.*")
-
-
-def stored_tensors(stored_media: DataFrame) -> DataFrame:
-    """tensor_rows, written to the shared folder and read from there with the schema that the files have."""
-    path = shared_dir(stored_media.sparkSession, "tensors")
-    tensor_rows(stored_media).write.option("compression", "zstd").parquet(path)
-    return stored_media.sparkSession.read.parquet(path)
+    return stored_tensors(stored_media).select("doc_id", F.posexplode("tensors").alias("part", "t")).select("doc_id", "part", "t.*")
 
 
 def as_tensor(values: np.ndarray) -> pa.FixedShapeTensorArray:

@@ -3,6 +3,8 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tallyloom.llm import audio, queries
@@ -17,6 +19,11 @@ def test_audio_tensors_are_stored(spark, monkeypatch):
     got = {r.doc_id: r.feature for r in queries.op8_media_columns(spark, d).collect()}
     held = spark.read.parquet(paths["tensors"])
     assert audio.tensor_type(held).shape == [audio.FRAMES, audio.MELS]
+    read = pq.read_table(paths["tensors"].removeprefix("file://"))  # any Arrow reader sees the shape
+    part = read.schema.field("tensors").type.value_type
+    assert part.field("log_mel").type == pa.fixed_shape_tensor(pa.int16(), (audio.FRAMES, audio.MELS))
+    whole = read["tensors"].combine_chunks().flatten().field("log_mel").to_numpy_ndarray()
+    assert whole.shape == (sum(len(r.tensors) for r in held.collect()), audio.FRAMES, audio.MELS)
     media = {r.doc_id: r.media for r in spark.read.parquet(paths["media"]).collect()}
     rows = held.collect()
     assert sorted(r.doc_id for r in rows) == sorted(got) == sorted(media)
@@ -68,3 +75,20 @@ def test_features_against_plain_loops():
     if on:
         found.append([first, len(level)])
     assert found and audio.segments(mel).tolist() == found
+
+
+def test_a_task_that_runs_again_writes_the_same_file(spark, monkeypatch):
+    paths = {}
+    monkeypatch.setattr(audio, "shared_dir", lambda s, name, own=audio.shared_dir: paths.setdefault(name, own(s, name)))
+    docs = spark.createDataFrame([(i, f"text {i} " * i) for i in range(40)], "doc_id long, text string").repartition(5)
+    media = audio.media(docs)
+    first = audio.stored_tensors(media).orderBy("doc_id").collect()
+    again = audio.stored_tensors(media).orderBy("doc_id").collect()  # over what is there
+    assert first == again and len(first) == 40
+
+
+def test_other_columns_and_no_documents(spark):
+    docs = spark.createDataFrame([("a", 1, "x", 2), (None, None, None, None)], "text string, doc_id long, `tensors.log_mel` string, media int")
+    got = audio.digests(audio.media(docs))
+    assert got.count() == 2 and "n_bytes" in got.columns
+    assert audio.digests(audio.media(docs.limit(0))).count() == 0
