@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +37,14 @@ def mix32(x: Column) -> Column:
     return half(F.pmod(half(F.pmod(half(x) * STEP, F.lit(RANGE))) * STEP, F.lit(RANGE)))
 
 
+def mix32_array(x: np.ndarray) -> np.ndarray:
+    """The same of an array of 64-bit numbers without a sign."""
+    step, low = np.uint64(STEP), np.uint64(RANGE - 1)
+    for _ in range(2):
+        x = ((x ^ x >> np.uint64(16)) * step) & low
+    return x ^ x >> np.uint64(16)
+
+
 def mix32_of(x: int) -> int:
     for _ in range(2):
         x = ((x ^ x >> 16) * STEP) % RANGE

@@ -128,23 +128,26 @@ def disjoint_paths(t: dict[str, DataFrame]) -> DataFrame:
     return violations(n.where("n > 1"), "disjoint", "arc_id", F.col("n"), F.lit(1))
 
 
-def nearest_in_radius(points: DataFrame, centres: DataFrame, radius: float) -> DataFrame:
-    """(instance_id, item, x, y, distance): each point's distance to the nearest centre (instance_id, cx, cy) within the radius, null if there is none. A grid of cells as wide as the radius limits what is compared."""
-    cell = lambda c: F.floor(F.col(c) / radius)
+def nearest_in_radius(points: DataFrame, centres: DataFrame, radius: DataFrame) -> DataFrame:
+    """(instance_id, item, x, y, distance): each point's distance to the nearest centre (instance_id, cx, cy) within its instance's radius (instance_id, radius), null if there is none. A grid of cells as wide as that radius limits what is compared."""
+    cell = lambda c: F.floor(F.col(c) / F.col("radius"))
     around = lambda c: F.explode(F.array(cell(c) - 1, cell(c), cell(c) + 1))
-    p = points.withColumns({"gx": cell("x"), "gy": cell("y")})
-    c = centres.select("instance_id", "cx", "cy", around("cx").alias("gx")).select("*", around("cy").alias("gy"))
+    own = radius.select("instance_id", "radius").where("radius > 0")
+    p = points.join(own, "instance_id").withColumns({"gx": cell("x"), "gy": cell("y")})
+    c = centres.join(own, "instance_id").select("instance_id", "cx", "cy", "radius", around("cx").alias("gx")).select("*", around("cy").alias("gy")).drop("radius")
     d = F.sqrt(F.pow(F.col("x") - F.col("cx"), F.lit(2)) + F.pow(F.col("y") - F.col("cy"), F.lit(2)))
-    near = p.join(c, ["instance_id", "gx", "gy"]).withColumn("d", d).where(F.col("d") <= radius).groupBy("instance_id", "item").agg(F.min("d").alias("distance"))
+    near = p.join(c, ["instance_id", "gx", "gy"]).withColumn("d", d).where(F.col("d") <= F.col("radius")).groupBy("instance_id", "item").agg(F.min("d").alias("distance"))
     return points.join(near, ["instance_id", "item"], "left")
 
 
 @audit_rule("radius")
 def radius_coverage(t: dict[str, DataFrame]) -> DataFrame:
-    """Every point (instance_id, item, x, y) has a centre (instance_id, cx, cy) within its radius, which is one number, and 1 more."""
-    radius = t["radius"].first()[0]  # a table of one row
-    x = nearest_in_radius(t["points"], t["centres"], radius + 1.0)
-    return violations(x.where("distance IS NULL"), "radius", "item", F.lit(None), F.lit(radius))
+    """Every point (instance_id, item, x, y) has a centre (instance_id, cx, cy) within its instance's radius (instance_id, radius) and 1 more. A table of one radius alone is for all instances."""
+    r = t["radius"]
+    if "instance_id" not in r.columns:
+        r = t["points"].select("instance_id").distinct().join(F.broadcast(r.limit(1)))  # one row
+    x = nearest_in_radius(t["points"], t["centres"], r.withColumn("radius", F.col("radius") + 1.0)).join(r.select("instance_id", F.col("radius").alias("limit")), "instance_id")
+    return violations(x.where("distance IS NULL"), "radius", "item", F.lit(None), F.col("limit"))
 
 
 @audit_rule("cover_edges")
@@ -191,15 +194,37 @@ def blocking_pairs(t: dict[str, DataFrame]) -> DataFrame:
     return violations(x.where(rather("ra", "own_a") & rather("rb", "own_b")).withColumn("at", F.concat_ws("/", "a", "b")), "stable", "at", F.col("ra"), F.col("own_a"))
 
 
-def overlapping_rectangles(rectangles: DataFrame, cell: float) -> DataFrame:
-    """(instance_id, bin, item, other) of rectangles (instance_id, bin, item, x, y, w, h) that overlap, item before other. They are dealt to cells of a grid, and a pair is found in the cell where its overlap begins."""
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(a) + F.col(b)) / cell)))
-    x = rectangles.where("w > 0 AND h > 0").withColumn("gx", span("x", "w")).withColumn("gy", span("y", "h"))
-    a, b = x.alias("a"), x.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("instance_id", "bin", "gx", "gy")]
-    meet = (F.col("a.x") < F.col("b.x") + F.col("b.w")) & (F.col("b.x") < F.col("a.x") + F.col("a.w")) & (F.col("a.y") < F.col("b.y") + F.col("b.h")) & (F.col("b.y") < F.col("a.y") + F.col("a.h"))
-    first = (F.col("a.gx") == F.floor(F.greatest("a.x", "b.x") / cell)) & (F.col("a.gy") == F.floor(F.greatest("a.y", "b.y") / cell))
-    return a.join(b, reduce(Column.__and__, same) & meet & first & (F.col("a.item") < F.col("b.item"))).select("a.instance_id", "a.bin", "a.item", F.col("b.item").alias("other"))
+def overlapping_rectangles(rectangles: DataFrame) -> DataFrame:
+    """(instance_id, bin, item, other) of rectangles (instance_id, bin, item, x, y, w, h) that overlap, item before other.
+
+    Widths and heights have levels, the next power of two. Two rectangles meet in the grid whose cells are as wide as the wider and as high as the higher
+    one's level, in the cell where their overlap begins; there, each covers a few cells. A rectangle goes to grids of its own levels, where larger and smaller ones of its bin are looked up, so a cell
+    holds few rectangles that do not overlap, and a long strip meets what is near it only.
+    """
+    own = ["instance_id", "bin"]
+    level = lambda c: F.ceil(F.log2(c)).cast("int")
+    r = rectangles.where("w > 0 AND h > 0").select(*own, "item", "x", "y", "w", "h", level("w").alias("lx"), level("h").alias("ly"))
+    kinds = r.select(*own, F.col("lx").alias("gw"), F.col("ly").alias("gh")).distinct()
+    span = lambda a, b, g: F.explode(F.sequence(F.floor(F.col(a) / F.pow(F.lit(2.0), F.col(g))), F.floor((F.col(a) + F.col(b)) / F.pow(F.lit(2.0), F.col(g)))))
+    cells = lambda df: df.withColumn("gx", span("x", "w", "gw")).withColumn("gy", span("y", "h", "gh"))
+    keys = [*own, "gw", "gh", "gx", "gy"]
+
+    def pairs(a: DataFrame, b: DataFrame, more: Column) -> DataFrame:
+        a, b = cells(a).alias("a"), cells(b).alias("b")
+        same = reduce(Column.__and__, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
+        meet = (F.col("a.x") < F.col("b.x") + F.col("b.w")) & (F.col("b.x") < F.col("a.x") + F.col("a.w")) & (F.col("a.y") < F.col("b.y") + F.col("b.h")) & (F.col("b.y") < F.col("a.y") + F.col("a.h"))
+        at = lambda c, g: F.floor(F.greatest(f"a.{c}", f"b.{c}") / F.pow(F.lit(2.0), F.col(f"a.{g}")))
+        first = (F.col("a.gx") == at("x", "gw")) & (F.col("a.gy") == at("y", "gh"))
+        return a.join(b, same & meet & first & more).select(*[F.col(f"a.{k}") for k in own], F.least("a.item", "b.item").alias("item"), F.greatest("a.item", "b.item").alias("other"))
+
+    home = r.withColumns({"gw": F.col("lx"), "gh": F.col("ly")})
+    guest = r.join(kinds, own).where("gw >= lx AND gh >= ly")
+    alike = (F.col("b.lx") == F.col("a.lx")) & (F.col("b.ly") == F.col("a.ly"))
+    # One is as large as the other in both ways; or one is wider and the other higher.
+    nested = pairs(home, guest, ~alike | (F.col("a.item") < F.col("b.item")))
+    wide = r.withColumn("gw", F.col("lx")).join(kinds.select(*own, "gh").distinct(), own).where("gh > ly")
+    high = r.withColumn("gh", F.col("ly")).join(kinds.select(*own, "gw").distinct(), own).where("gw > lx")
+    return nested.unionByName(pairs(wide.select(*home.columns), high.select(*home.columns), F.lit(True)))
 
 
 @audit_rule("packing")
@@ -207,8 +232,7 @@ def packing(t: dict[str, DataFrame]) -> DataFrame:
     """rectangles lie in their bins (instance_id, bin, width, height) and do not overlap."""
     x = t["rectangles"].join(t["bins"], ["instance_id", "bin"])
     out = violations(x.where("x < 0 OR y < 0 OR x + w > width OR y + h > height"), "packing", "item", F.greatest(F.col("x") + F.col("w") - F.col("width"), F.col("y") + F.col("h") - F.col("height"), -F.col("x"), -F.col("y")), F.lit(0.0))
-    cell = t["rectangles"].agg(F.max(F.greatest("w", "h"))).first()[0] or 1.0
-    return out.union(violations(overlapping_rectangles(t["rectangles"], float(cell)), "packing", "item", F.col("other"), F.lit(None)))
+    return out.union(violations(overlapping_rectangles(t["rectangles"]), "packing", "item", F.col("other"), F.lit(None)))
 
 
 def hop(metric: str, x: Column, y: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.tables import ranked
+from tallyloom.functions.tables import ranked, stored
 
 from .training import with_system
 
@@ -89,11 +89,12 @@ def assign_ids(df: DataFrame, group: str, order: list, start: int, per_group: in
 
 
 def stratified_validation(df: DataFrame, stratum: str, shuffle: Column, n: int) -> DataFrame:
-    """A column split: n validation rows, taken in turn over the strata; all train where n is 0 or not below the number of rows."""
-    taken = stratified_split(df, stratum, shuffle, 0, n) if 0 < n < df.count() else df.withColumn("split", F.lit(None).cast("string")).limit(0)
-    own = taken.select(*[F.col(c).alias(f"_t_{c}") for c in df.columns])
-    same = [df[c].eqNullSafe(own[f"_t_{c}"]) for c in df.columns]
-    return df.join(own.withColumn("_v", F.lit(True)), same, "left").select(*df.columns, F.when(F.col("_v"), "validation").otherwise("train").alias("split"))
+    """A column split: n validation rows, taken in turn over the strata; all train where n is 0 or not below the number of rows. Repeated rows are rows of their own: only their numbers are ranked and joined."""
+    rows = stored(df.select(*[df[f"`{c}`"] for c in df.columns], shuffle.alias("_shuffle"), F.monotonically_increasing_id().alias("_row")), "validation")
+    if not 0 < n < rows.count():
+        return rows.drop("_shuffle", "_row").withColumn("split", F.lit("train"))
+    taken = stratified_split(rows.select("_row", stratum, "_shuffle"), stratum, F.struct("_shuffle", "_row"), 0, n).select("_row", F.lit("validation").alias("split"))
+    return rows.join(taken, "_row", "left").withColumn("split", F.coalesce("split", F.lit("train"))).drop("_shuffle", "_row")
 
 
 def assign_bases(df: DataFrame, kind: str, order: list, bases: int) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,21 +45,37 @@ def exclude_templated(rows: DataFrame, templates: DataFrame) -> DataFrame:
     return rows.join(templates.select(F.col("template_id").alias("instance_id")), "instance_id", "left_anti")
 
 
-def contains_join(texts: DataFrame, names: DataFrame, size: int = 6) -> DataFrame:
-    """(text_id, name) of names that are found in a text, at any place. An empty name is found nowhere.
+def contains_join(texts: DataFrame, names: DataFrame, block: int = 8 << 20) -> DataFrame:
+    """(text_id, name) of names that are found in a text, at any place. An empty or missing name is found nowhere, and a name that is listed twice once.
 
-    A name is looked up by its first characters, size of them or all, among the runs of characters that a text has; so no text meets every
-    name. What is found so is checked.
+    Names are taken in blocks of about block characters, one automaton each, that is sent to all tasks and finds all of its names in one pass over a
+    text. So nothing is shuffled but the names, and rows are made for hits only. text_id passes as it is.
     """
-    keyed = names.where("name <> ''").select("name", F.substring("name", 1, size).alias("start")).distinct()
-    lengths = [r[0] for r in keyed.select(F.length("start")).distinct().collect()]  # size integers at most
-    runs = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: i + n - 1 <= F.length("text")), lambda i: F.substring(F.col("text"), i, F.lit(n)))
-    own = [texts.where(F.length("text") >= n).select("text_id", "text", F.explode(F.array_distinct(runs(n))).alias("start")) for n in lengths]
-    if not own:
+    own = names.where("name <> ''").select("name").distinct()
+    size = own.agg(F.sum(F.length("name") + 16)).first()[0]
+    if not size:
         return texts.select("text_id", F.lit("").alias("name")).where(F.lit(False))
-    # The text itself does not go with its runs: candidates are found by id first.
-    found = reduce(DataFrame.union, [o.drop("text") for o in own]).join(keyed, "start").select("text_id", "name")
-    return texts.select("text_id", "text").join(found, "text_id").where(F.contains("text", F.col("name"))).select("text_id", "name").distinct()
+    blocks = -(-size // block)
+    kind = texts.schema["text_id"].dataType.simpleString()
+
+    def finder(block_names: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree = ahocorasick.Automaton()
+            for name in block_names:
+                tree.add_word(name, name)
+            tree.make_automaton()
+            for batch in batches:
+                at, found = [], []
+                for i, text in enumerate(batch.column(1)):
+                    hits = sorted({name for _, name in tree.iter(text.as_py() or "")})
+                    at += [i] * len(hits)
+                    found += hits
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["text_id", "name"])
+
+        return texts.select("text_id", "text").mapInArrow(run, f"text_id {kind}, name string")
+
+    parts = (own.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k).collect() for k in range(blocks))  # one block each
+    return reduce(DataFrame.union, [finder([r.name for r in rows]) for rows in parts if rows])
 
 
 def cost_mismatches(old: DataFrame, new: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:
@@ -65,8 +85,9 @@ def cost_mismatches(old: DataFrame, new: DataFrame, keys: list[str], tolerance:
 
 
 def keep_verified(answers: DataFrame, verdicts: DataFrame, ok: list[str]) -> DataFrame:
-    """Answers whose verdict (condition, instance_id, status) is one of ok, with the status."""
-    good = verdicts.where(F.col("status").isin(*ok)).select("condition", "instance_id", "status")
+    """Answers whose verdict (condition, instance_id, status) is one of ok, with the status; of several verdicts the first of ok counts, and each answer is there once."""
+    place = F.array_position(F.array(*map(F.lit, ok)), F.col("status"))
+    good = verdicts.where(F.col("status").isin(*ok)).groupBy("condition", "instance_id").agg(F.min_by("status", place).alias("status"))
     return answers.join(good, ["condition", "instance_id"])
 
 

@@ -5,6 +5,10 @@ Payloads are JSON text columns. What cannot be read is a row with readable false
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,24 +160,36 @@ def profile_json(df: DataFrame, key: str, payload: str) -> DataFrame:
     return x.select(key, "field", "kind", "size", "element_kind", F.array_join(names, ",").alias("names"), "n_columns")
 
 
-def shape_signature(payload: Column, depth: int = 3) -> Column:
-    """A text of a payload's types, keys and, in shallow levels, lengths; maps with numbers as keys count by size only. Levels below depth are told by their type alone."""
-
-    def said(v: Column, level: int) -> Column:
-        kind = F.schema_of_variant(v)
-        fields, items = F.try_variant_get(v, "$", "map<string,variant>"), F.try_variant_get(v, "$", "array<variant>")
-        plain = F.when(kind == "BOOLEAN", "bool").when(kind == "STRING", "text").when(kind == "VOID", "none").when(kind.startswith("ARRAY"), "list").when(kind.startswith("OBJECT"), "map").otherwise("number")
-        if level > depth:
-            return plain
-        keys = F.map_keys(fields)
-        numbered = (F.size(keys) > 0) & F.forall(keys, lambda k: k.rlike(r"^-*\d+$"))
-        by_size = F.concat(F.lit("map#"), F.size(keys).cast("string"), F.lit("<"), said(F.element_at(F.map_values(fields), 1), level + 1), F.lit(">"))
-        by_key = F.concat(F.lit("{"), F.array_join(F.array_sort(F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit(":"), said(e["value"], level + 1)))), ","), F.lit("}"))
-        size = F.size(items).cast("string") if level < 3 else F.lit("*")
-        listed = F.concat(F.lit("["), size, F.lit(" "), F.array_join(F.array_sort(F.array_distinct(F.transform(items, lambda x: said(x, level + 1)))), "|"), F.lit("]"))
-        return F.when(kind.startswith("OBJECT"), F.when(numbered, by_size).otherwise(by_key)).when(kind.startswith("ARRAY"), listed).otherwise(plain)
-
-    return said(F.try_parse_json(payload), 0)
+#: Levels of lists whose lengths a shape tells.
+SIZED = 3
+
+
+def shape_of(value, level: int = 0) -> str:
+    """A text of a value's types, keys and, in shallow levels, lengths; maps with numbers as keys count by size only."""
+    if isinstance(value, dict):
+        keys = sorted(value)
+        if keys and all(re.fullmatch(r"-*[0-9]+", k) for k in keys):
+            return f"map#{len(keys)}<{shape_of(value[keys[0]], level + 1)}>"
+        return "{" + ",".join(sorted(f"{k}:{shape_of(v, level + 1)}" for k, v in value.items())) + "}"
+    if isinstance(value, list):
+        return f"[{len(value) if level < SIZED else '*'} {'|'.join(sorted({shape_of(v, level + 1) for v in value}))}]"
+    return "bool" if isinstance(value, bool) else "text" if isinstance(value, str) else "none" if value is None else "number"
+
+
+def shape_signature(payload: Column) -> Column:
+    """The shape of a JSON payload, to any depth; null for what is none. Numbers too large for a double are none, as in JSON itself."""
+
+    @F.pandas_udf("string")
+    def shapes(texts: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                return None if text is None else shape_of(json.loads(text, parse_constant=lambda _: 1 / 0))
+            except (ValueError, ZeroDivisionError, RecursionError):
+                return None
+
+        return texts.map(one)
+
+    return shapes(payload)
 
 
 def shape_drift(df: DataFrame, base: DataFrame, key: str, template: str, payload: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.tables import Shelf
+
 from .scoring import classify_error, error_score
 
 DATA_CHARS, SHORT_CHARS, FEEDBACK_CHARS, SHOWN = 6000, 500, 1200, 6
@@ -40,17 +44,23 @@ def export_prompts(records: DataFrame, ids: DataFrame | None = None, hide_refere
     return render_prompt(own, hide_reference).select("instance_id", "prompt")
 
 
-def explode_demos(programs: DataFrame, key: str, program: str, depth: int = 4) -> DataFrame:
-    """(key, demo): the objects in lists under any key demos of a program's JSON, down to depth levels; demo is JSON text."""
-    v = F.try_parse_json(program)
-    found = []
-    children = lambda x: F.coalesce(F.map_values(F.try_variant_get(x, "$", "map<string,variant>")), F.try_variant_get(x, "$", "array<variant>"), F.array().cast("array<variant>"))
-    at = F.array(v)
-    for _ in range(depth):
-        found.append(F.flatten(F.transform(at, lambda x: F.coalesce(F.try_variant_get(x, "$.demos", "array<variant>"), F.array().cast("array<variant>")))))
-        at = F.flatten(F.transform(at, children))
-    rows = programs.select(key, F.explode(F.flatten(F.array(*found))).alias("d"))
-    return rows.where(F.schema_of_variant("d").startswith("OBJECT")).select(key, F.to_json("d").alias("demo"))
+def explode_demos(programs: DataFrame, key: str, program: str) -> DataFrame:
+    """(key, demo): the objects in lists under any key demos of a program's JSON, at any depth; demo is JSON text. Demos inside of demos are demos too.
+
+    Levels are taken one after the other, each written before the next, until none is left.
+    """
+    children = F.coalesce(F.map_values(F.try_variant_get("v", "$", "map<string,variant>")), F.try_variant_get("v", "$", "array<variant>"))
+    held = F.coalesce(F.try_variant_get("v", "$.demos", "array<variant>"), F.array().cast("array<variant>"))
+    nested = lambda x: F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)")
+    shelf, found = Shelf(programs.sparkSession, "demos"), []
+    level = shelf.put(programs.select(key, F.try_parse_json(program).alias("v")).where(nested("v")), "level")
+    while not level.isEmpty():
+        demos = level.select(key, F.explode(held).alias("d")).where(F.schema_of_variant("d").startswith("OBJECT"))
+        found.append(shelf.put(demos.select(key, F.to_json("d").alias("demo")), "found"))
+        deeper = shelf.put(level.select(key, F.explode(children).alias("v")).where(nested("v")), "level")
+        shelf.drop(level)
+        level = deeper
+    return reduce(DataFrame.union, found) if found else programs.select(key, F.lit(None).cast("string").alias("demo")).where(F.lit(False))
 
 
 def feedback_text(rows: DataFrame, use_reference: bool = True) -> DataFrame:

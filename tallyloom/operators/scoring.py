@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.numbers import RANGE, mix32, mix32_of
+from tallyloom.functions.numbers import RANGE, mix32_array, mix32_of
 
 #: Statuses of feasible rows, of those at least as good as the reference, and of rows without a usable answer; scores by class of error, and what mends it.
 SOLVED = ("exact_match", "beat_reference", "new_best", "improved", "worse", "similar", "first_valid")
@@ -125,21 +129,37 @@ def reference_ratio(cost: Column, reference: Column) -> Column:
     return F.when(reference != 0, F.when(cost == 0, F.when(reference > 0, 2.0).otherwise(1.0)).otherwise(F.try_divide(reference, cost)))
 
 
-def paired_bootstrap(deltas: DataFrame, rounds: int, seed: int) -> DataFrame:
+def paired_bootstrap(deltas: DataFrame, rounds: int, seed: int, block: int = 1 << 20, draws: int = 1 << 26) -> DataFrame:
     """(grp, mean, lo, hi) of deltas (grp, k, delta), k from 0 without gaps: the 95 % interval of the means of resamples with replacement.
 
-    A draw is a hash of (seed, round, draw) by a nonlinear 32-bit mixer, so the same seed gives the same result in any engine. Rounds are spread
-    over tasks before their draws are made, and a group's deltas meet its draws in a join, so groups may be large.
+    A draw is a hash of (seed, round, draw) by a nonlinear 32-bit mixer, so the same seed gives the same result in any engine. A group's deltas are held in
+    blocks of block numbers, and its rounds are dealt to parts of about draws draws; each part goes with a copy of each block and sums what its
+    draws take from it. So a row for each round and block is shuffled, however many deltas there are.
     """
     n = deltas.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean"))
-    rounds_of = n.select("grp", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))).alias("round")).repartition("grp", "round")
-    start = rounds_of.withColumn("h", mix32(F.pmod(F.col("round") + mix32_of(seed % RANGE), F.lit(RANGE))))
-    draws = start.select("grp", "n", "round", "h", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("draw"))
-    # Each scrambled number goes through an explode of one, or the mixer, which names its input eight times, would be nested in itself.
-    draws = draws.select("grp", "n", "round", "h", F.explode(F.array(mix32(F.pmod("draw", F.lit(RANGE))))).alias("m"))
-    drawn = draws.select("grp", "n", "round", F.explode(F.array(mix32(F.col("h").bitwiseXOR(F.col("m"))))).alias("x"))
-    picked = drawn.select("grp", "round", F.floor(F.col("x") * F.col("n") / RANGE).cast("long").alias("k"))
-    means = picked.join(deltas, ["grp", "k"]).groupBy("grp", "round").agg(F.avg("delta").alias("m"))
+    held = deltas.groupBy("grp", F.floor(F.col("k") / block).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col("delta").cast("double").alias("d")))), lambda s: s["d"]).alias("deltas"))
+    parts = F.least(F.lit(rounds), F.ceil(F.col("n") * rounds / draws)).cast("int")
+    dealt = held.join(n.select("grp", "n", parts.alias("parts")), "grp").select("grp", "n", "block", "deltas", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).repartition("grp", "block", "part")
+    start = mix32_of(seed % RANGE)
+    kind = deltas.schema["grp"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                size, first, whole, part = (batch.column(c)[i].as_py() for c in ("n", "block", "parts", "part"))
+                own, base = batch.column("deltas")[i].values.to_numpy(zero_copy_only=False), first * block
+                turns = range(rounds * part // whole, rounds * (part + 1) // whole)
+                sums = np.zeros(len(turns))
+                for lo in range(0, size, 1 << 20):
+                    scrambled = mix32_array(np.arange(lo + 1, min(size, lo + (1 << 20)) + 1, dtype=np.uint64) & np.uint64(RANGE - 1))
+                    for j, turn in enumerate(turns):
+                        x = mix32_array(np.uint64(mix32_of((turn + start) % RANGE)) ^ scrambled)
+                        k = np.floor((x * np.uint64(size)).astype(np.float64) / RANGE).astype(np.int64) - base
+                        sums[j] += own[k].sum() if len(own) == size else own[k[(k >= 0) & (k < len(own))]].sum()
+                yield pa.RecordBatch.from_arrays([batch.column("grp").take(pa.array([i] * len(turns), pa.int64())), pa.array(turns, pa.int64()), pa.array(sums)], ["grp", "round", "s"])
+
+    sums = dealt.mapInArrow(run, f"grp {kind}, round long, s double").groupBy("grp", "round").agg(F.sum("s").alias("s"))
+    means = sums.join(n.select("grp", "n"), "grp").select("grp", "round", (F.col("s") / F.col("n")).alias("m"))
     order = Window.partitionBy("grp").orderBy("m", "round")  # a row for each round
     place = means.withColumn("i", F.row_number().over(order) - 1)
     ends = place.groupBy("grp").agg(F.max(F.when(F.col("i") == int(0.025 * rounds), F.col("m"))).alias("lo"), F.max(F.when(F.col("i") == int(0.975 * rounds), F.col("m"))).alias("hi"))

@@ -104,6 +104,13 @@ def keep_verified(spark, sf_dir):
     return matching.keep_verified(answers, verdict, ["worse", "unverified"]).select("event_id", "status")
 
 
+@query(f"WITH {SCORED}, u AS (SELECT condition, instance_id, CASE WHEN bool_or(status = 'worse') THEN 'worse' ELSE 'unverified' END AS status FROM scored WHERE status IN ('worse', 'unverified') GROUP BY 1, 2) SELECT e.event_id, u.status FROM events e JOIN u ON e.event_type = u.condition AND e.user_id = u.instance_id")
+def keep_verified_repeats(spark, sf_dir):
+    """Many verdicts for each condition and instance, of which some are equal."""
+    answers = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("condition"), F.col("user_id").alias("instance_id"))
+    return matching.keep_verified(answers, scored(spark, sf_dir).select("condition", "instance_id", "status"), ["worse", "unverified"]).select("event_id", "status")
+
+
 @query("""WITH x AS (SELECT 0 AS late, doc_id, lang, text FROM documents WHERE doc_id % 4 <> 0 UNION ALL SELECT 1, doc_id, lang, text FROM documents WHERE doc_id % 4 = 0)
     SELECT doc_id, lang FROM x QUALIFY row_number() OVER (PARTITION BY lang, sha256(trim(text, ' ')) ORDER BY late, doc_id) = 1""")
 def append_candidates(spark, sf_dir):
@@ -132,6 +139,15 @@ def stratified_validation(spark, sf_dir):
     return datasets.stratified_validation(d, "lang", F.struct(F.pmod(F.col("doc_id") * 7919, F.lit(104729)), "doc_id"), 25)
 
 
+@query("""WITH x AS (SELECT lang, n_chars % 5 AS k FROM documents UNION ALL SELECT lang, n_chars % 5 FROM documents WHERE doc_id % 2 = 0), g AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY k) - 1 AS round FROM x), p AS (SELECT *, row_number() OVER (ORDER BY round, lang) - 1 AS place FROM g)
+    SELECT lang, CASE WHEN place < 33 THEN 'validation' ELSE 'train' END AS split, count(*) AS n, min(k) AS least FROM p GROUP BY 1, 2""")
+def stratified_validation_repeats(spark, sf_dir):
+    """Rows without an id, most of them repeated."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.pmod("n_chars", F.lit(5)).alias("k"))
+    x = datasets.stratified_validation(d.union(d.where("doc_id % 2 = 0")).drop("doc_id"), "lang", F.col("k"), 33)
+    return x.groupBy("lang", "split").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("least"))
+
+
 @query("SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 3 AS base FROM documents")
 def assign_bases(spark, sf_dir):
     return datasets.assign_bases(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"], 3)

@@ -181,6 +181,14 @@ def points(spark, sf_dir):
     return p, t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("instance_id"), (s * 41 % 103).cast("double").alias("cx"), (s * 29 % 89).cast("double").alias("cy"))
 
 
+@query(f"WITH {POINTS} SELECT {row('i', 'radius', 'item', 'NULL', '10 + i % 4 * 8')} FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.i = p.i AND sqrt(pow(x - cx, 2) + pow(y - cy, 2)) <= 11 + p.i % 4 * 8)")
+def audit_radii(spark, sf_dir):
+    """A radius for each instance."""
+    p, c = points(spark, sf_dir)
+    r = p.select("instance_id").distinct().withColumn("radius", (10 + F.pmod("instance_id", F.lit(4)) * 8).cast("double"))
+    return RULES["radius"]({"points": p, "centres": c, "radius": r})
+
+
 @query(f"WITH {POINTS} SELECT {row('i', 'radius', 'item', 'NULL', '30')} FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.i = p.i AND sqrt(pow(x - cx, 2) + pow(y - cy, 2)) <= 31)")
 def audit_radius(spark, sf_dir):
     p, c = points(spark, sf_dir)
@@ -244,6 +252,20 @@ def audit_packing(spark, sf_dir):
     return RULES["packing"]({"rectangles": r, "bins": r.select("instance_id", "bin").distinct().withColumns({"width": F.lit(92.0), "height": F.lit(96.0)})})
 
 
+@query(f"""WITH r AS (SELECT l_suppkey % 40 AS i, 0 AS bin, l_orderkey * 1000 + {LINE} AS item, CASE WHEN l_linenumber = 1 THEN 0 ELSE l_partkey * 7 % 900 END::DOUBLE AS x, CASE WHEN l_linenumber = 2 THEN 0 ELSE l_orderkey * 11 % 950 END::DOUBLE AS y, CASE WHEN l_linenumber = 1 THEN 900 ELSE 1 + l_quantity / 10 END::DOUBLE AS w, CASE WHEN l_linenumber = 2 THEN 900 ELSE 0.5 END::DOUBLE AS h FROM lineitem WHERE l_orderkey < 2000)
+    SELECT a.i AS instance_id, a.bin, a.item, count(*) AS n FROM r a JOIN r b ON a.i = b.i AND a.bin = b.bin AND a.item < b.item AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h GROUP BY 1, 2, 3""")
+def overlapping_strips(spark, sf_dir):
+    """Wide strips, high strips and small rectangles in one bin."""
+    x = lines(spark, sf_dir).where("l_orderkey < 2000")
+    kind = F.col("l_linenumber")
+    at = lambda k, c: F.when(kind == k, 0.0).otherwise(c.cast("double"))
+    r = x.select(
+        F.pmod("l_suppkey", F.lit(40)).alias("instance_id"), F.lit(0).alias("bin"), "item", at(1, F.col("l_partkey") * 7 % 900).alias("x"), at(2, F.col("l_orderkey") * 11 % 950).alias("y"),
+        F.when(kind == 1, 900.0).otherwise(1 + F.col("l_quantity") / 10).alias("w"), F.when(kind == 2, 900.0).otherwise(0.5).alias("h"),
+    )
+    return checks.overlapping_rectangles(r).groupBy("instance_id", "bin", "item").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {POINTS}, d AS (SELECT p.i, item, min(sqrt(pow(x - cx, 2) + pow(y - cy, 2))) AS d FROM p JOIN c ON c.i = p.i GROUP BY 1, 2) SELECT i AS instance_id, round(sum(d), 6) AS total, round(max(d), 6) AS worst FROM d GROUP BY 1")
 def nearest_open(spark, sf_dir):
     p, c = points(spark, sf_dir)

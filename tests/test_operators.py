@@ -136,6 +136,55 @@ def test_digest_tree(spark):
     assert {r[0] for r in datasets.check_manifest(df, datasets.dataset_digest(df.dropDuplicates(), "id", ["text"]), "id", ["text"]).collect()} == {"digest", "count", "keys"}
 
 
+def test_repeated_rows_keep_their_number(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 3), (None, None), (None, None)], "s string, id int")
+    out = datasets.stratified_validation(df, "s", F.col("id"), 3).collect()
+    assert len(out) == 6 and sorted(r.split for r in out) == ["train"] * 3 + ["validation"] * 3 and {r.s for r in out if r.split == "validation"} == {"a", "b", None}
+    verdicts = spark.createDataFrame([("c", 1, "good"), ("c", 1, "good"), ("c", 1, "fair"), ("c", 2, "bad")], "condition string, instance_id int, status string")
+    answers = spark.createDataFrame([("c", 1, "x"), ("c", 1, "x"), ("c", 2, "y"), ("d", 1, "z")], "condition string, instance_id int, answer string")
+    assert sorted(tuple(r) for r in matching.keep_verified(answers, verdicts, ["fair", "good"]).collect()) == [("c", 1, "x", "fair")] * 2
+
+
+def test_each_instance_has_its_radius(spark):
+    p = spark.createDataFrame([(1, 1, 5.0, 0.0), (2, 1, 5.0, 0.0)], "instance_id int, item int, x double, y double")
+    c = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0)], "instance_id int, cx double, cy double")
+    r = spark.createDataFrame([(1, 10.0), (2, 1.0)], "instance_id int, radius double")
+    assert [(v.instance_id, v.limit) for v in audit.RULES["radius"]({"points": p, "centres": c, "radius": r}).collect()] == [("2", 1.0)]
+
+
+def test_strips_meet_only_what_is_near(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(1, 0, i, rng.uniform(0, 90), rng.uniform(0, 90), *rng.choice([(0.1, 80.0), (80.0, 0.1), (1.0, 1.0), (7.0, 3.0)])) for i in range(150)]
+    got = {(r.item, r.other) for r in checks.overlapping_rectangles(spark.createDataFrame(rows, "instance_id int, bin int, item int, x double, y double, w double, h double")).collect()}
+    want = {(a[2], b[2]) for a in rows for b in rows if a[2] < b[2] and a[3] < b[3] + b[5] and b[3] < a[3] + a[5] and a[4] < b[4] + b[6] and b[4] < a[4] + a[6]}
+    assert got == want and len(want) > 100
+
+
+def test_deep_demos_and_shapes(spark):
+    deep, wide = '{"x": ' * 8 + '{"demos": [{"a": {"demos": [{"b": 1}]}}]}' + "}" * 8, '{"k": ' * 6 + "%s" + "}" * 6
+    p = spark.createDataFrame([(1, deep), (2, "[[[" + deep + "]]]"), (3, None)], "id int, p string")
+    assert sorted((r.id, r.demo) for r in prompts.explode_demos(p, "id", "p").collect()) == [(i, d) for i in (1, 2) for d in ('{"a":{"demos":[{"b":1}]}}', '{"b":1}')]
+    s = spark.createDataFrame([(1, wide % "1"), (2, wide % '"1"'), (3, wide % "2.5"), (4, "[" * 900), (5, "NaN")], "id int, p string").select("id", payloads.shape_signature(F.col("p")).alias("s"))
+    got = {r.id: r.s for r in s.collect()}
+    assert got[1] == got[3] != got[2] and got[4] is None and got[5] is None
+
+
+@pytest.mark.parametrize("block, draws", [(1 << 20, 1 << 26), (7, 40), (100, 1)])
+def test_bootstrap_blocks_do_not_change_digits(spark, block, draws):
+    import numpy as np
+    from tallyloom.functions.numbers import RANGE, mix32_of
+
+    rng = np.random.default_rng(3)
+    own = {g: rng.normal(size=n) for g, n in (("a", 1), ("b", 30), ("c", 101))}
+    df = spark.createDataFrame([(g, k, float(v)) for g, x in own.items() for k, v in enumerate(x)], "grp string, k long, delta double")
+    got = {r.grp: (r.mean, r.lo, r.hi) for r in scoring.paired_bootstrap(df, 40, 5, block, draws).collect()}
+    for g, x in own.items():
+        means = sorted(np.mean([x[int(mix32_of(mix32_of((r + mix32_of(5)) % RANGE) ^ mix32_of(d)) * len(x) / RANGE)] for d in range(1, len(x) + 1)]) for r in range(40))
+        assert got[g] == pytest.approx((x.mean(), means[1], means[39]))
+
+
 def test_degenerate_validation_is_all_train(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "s string, id int")
     for n in (0, 2, 5):
