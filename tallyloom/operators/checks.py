@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import close, close_soft
-from tallyloom.functions.tables import stored
+from tallyloom.functions.tables import Shelf
 
 from .audit import audit_rule, balance, run_lengths, violations
 from .rules import staffing
@@ -309,21 +309,52 @@ def fleet_limits(t: dict[str, DataFrame]) -> DataFrame:
     return violations(x.where("n > held"), "fleet", "kind", F.col("n"), F.col("held"))
 
 
+def chain_heads(edges: DataFrame, sources: DataFrame, shelf: Shelf) -> DataFrame:
+    """(instance_id, node, head, dist): for each node with one edge in and one out, and no source, the first node back that has not, and the length from there.
+
+    Heads are found by doubling: each round a node takes the head of its head, so a chain of n nodes takes about log2 n rounds. Nodes of closed rings have none.
+    """
+    into = edges.groupBy("instance_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("k"), F.min("src").alias("head"), F.min("length").alias("dist")).where("k = 1").drop("k")
+    out = edges.groupBy("instance_id", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("k")).where("k = 1").drop("k")
+    own = into.join(out, ["instance_id", "node"]).join(sources.select("instance_id", "node").distinct(), ["instance_id", "node"], "left_anti")
+    at = shelf.put(own.select("instance_id", "node", "head", "dist"), "heads")
+    for _ in range(max(1, at.count()).bit_length() + 1):
+        up = at.select("instance_id", F.col("node").alias("head"), F.col("head").alias("far"), F.col("dist").alias("more"))
+        new = at.join(up, ["instance_id", "head"], "left").select("instance_id", "node", F.coalesce("far", "head").alias("head"), (F.col("dist") + F.coalesce("more", F.lit(0.0))).alias("dist"), F.col("far").isNotNull().alias("open"))
+        new = shelf.put(new, "heads")
+        shelf.drop(at)
+        at = new.drop("open")
+        shelf.places[id(at)] = (at, shelf.places[id(new)][1])
+        if new.where("open").isEmpty():
+            return at
+    return at.join(at.select("instance_id", F.col("node").alias("head")), ["instance_id", "head"], "left_anti")
+
+
 def path_values(edges: DataFrame, sources: DataFrame, longest: bool = False, rounds: int = 10_000) -> DataFrame:
     """(instance_id, node, value): the least (or greatest, in a graph without cycles) length of edges (instance_id, src, dst, length) from sources (instance_id, node).
 
-    Relaxed in rounds, each written before the next, until nothing changes; a cycle that keeps improving is an error after rounds.
+    Chains of nodes with one edge in and one out are one edge each. What is left is relaxed in rounds from the nodes that changed, each written before the
+    next and the one before it removed, until nothing changes; a cycle that keeps improving is an error after rounds.
     """
     best = F.max if longest else F.min
     better = (lambda a, b: a > b) if longest else (lambda a, b: a < b)
-    at = stored(sources.select("instance_id", "node", F.lit(0.0).alias("value"), F.lit(True).alias("moved")).distinct(), "paths")
+    shelf = Shelf(edges.sparkSession, "paths")
+    own = shelf.put(edges.groupBy("instance_id", "src", "dst").agg(best("length").cast("double").alias("length")), "edges")
+    heads = chain_heads(own, sources, shelf)
+    to = own.join(heads.select("instance_id", F.col("node").alias("dst")), ["instance_id", "dst"], "left_anti")
+    to = to.join(heads.select("instance_id", F.col("node").alias("src"), "head", "dist"), ["instance_id", "src"], "left")
+    short = shelf.put(to.groupBy("instance_id", F.coalesce("head", "src").alias("src"), "dst").agg(best(F.col("length") + F.coalesce("dist", F.lit(0.0))).alias("length")), "short")
+    at = shelf.put(sources.select("instance_id", "node", F.lit(0.0).alias("value"), F.lit(True).alias("moved")).distinct(), "values")
     for _ in range(rounds):
-        step = at.where("moved").select("instance_id", F.col("node").alias("src"), "value").join(edges, ["instance_id", "src"]).groupBy("instance_id", F.col("dst").alias("node")).agg(best(F.col("value") + F.col("length")).alias("new"))
+        step = at.where("moved").select("instance_id", F.col("node").alias("src"), "value").join(short, ["instance_id", "src"]).groupBy("instance_id", F.col("dst").alias("node")).agg(best(F.col("value") + F.col("length")).alias("new"))
         x = at.drop("moved").join(step, ["instance_id", "node"], "full_outer")
         moved = F.col("new").isNotNull() & (F.col("value").isNull() | better(F.col("new"), F.col("value")))
-        at = stored(x.select("instance_id", "node", F.when(moved, F.col("new")).otherwise(F.col("value")).alias("value"), moved.alias("moved")), "paths")
+        new = shelf.put(x.select("instance_id", "node", F.when(moved, F.col("new")).otherwise(F.col("value")).alias("value"), moved.alias("moved")), "values")
+        shelf.drop(at)
+        at = new
         if at.where("moved").isEmpty():
-            return at.drop("moved")
+            along = heads.join(at.select("instance_id", F.col("node").alias("head"), "value"), ["instance_id", "head"]).select("instance_id", "node", (F.col("value") + F.col("dist")).alias("value"))
+            return at.drop("moved").unionByName(along)
     raise ValueError("a cycle keeps improving")
 
 

@@ -5,6 +5,8 @@ import random
 import sys
 
 import numpy as np
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +187,30 @@ def test_bootstrap_blocks_do_not_change_digits(spark, block, draws):
         assert got[g] == pytest.approx((x.mean(), means[1], means[39]))
 
 
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    puts = []
+    monkeypatch.setattr(checks.Shelf, "put", lambda self, df, name, own=checks.Shelf.put: puts.append(name) or own(self, df, name))
+    n = 10_000
+    e = spark.range(n).select(F.lit(1).alias("instance_id"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(2.0).alias("length"))
+    ring = spark.createDataFrame([(1, 90_000, 90_001, 1.0), (1, 90_001, 90_000, 1.0), (1, 5000, 5001, 7.0)], "instance_id int, src long, dst long, length double")
+    got = {r.node: r.value for r in checks.path_values(e.union(ring), spark.createDataFrame([(1, 0)], "instance_id int, node long")).collect()}
+    assert got == {i: 2.0 * i for i in range(n + 1)} and len(puts) < 24
+
+
+def test_paths_equal_a_plain_search(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(30), rng.randrange(30), float(rng.randrange(1, 9))) for i in range(3) for _ in range(38)]
+    got = {(r.instance_id, r.node): r.value for r in checks.path_values(spark.createDataFrame(rows, "instance_id int, src int, dst int, length double"), spark.createDataFrame([(i, i) for i in range(3)] + [(0, 7)], "instance_id int, node int")).collect()}
+    want = {(0, 0): 0.0, (0, 7): 0.0, (1, 1): 0.0, (2, 2): 0.0}
+    for _ in range(40):
+        for i, a, b, d in rows:
+            if (i, a) in want and want[i, a] + d < want.get((i, b), math.inf):
+                want[i, b] = want[i, a] + d
+    assert got == want
+
+
 def test_degenerate_validation_is_all_train(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "s string, id int")
     for n in (0, 2, 5):
