@@ -491,6 +491,29 @@ def tree_bound(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(n, "instance_id").withColumn("k", k).where("k < n").groupBy("instance_id").agg(F.sum("cost").alias("bound"))
 
 
+def cut_bounds(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """(instance_id, high): no flow from source to sink (instance_id, source, sink, budget) is more than what leaves the source or what enters the sink.
+
+    edges: (instance_id, u, v, capacity, expand_unit_cost). A budget widens either by as much as it buys of its cheapest edge with a unit cost.
+    """
+    x = edges.join(ends.where("source IS NOT NULL AND sink IS NOT NULL"), "instance_id")
+    sides = []
+    for at, end in (("u", "source"), ("v", "sink")):
+        own = F.col(at) == F.col(end)
+        more = F.coalesce(F.try_divide(F.max("budget"), F.min(F.when(own & (F.col("expand_unit_cost") != 0), F.col("expand_unit_cost")))), F.lit(0.0))
+        sides.append(F.coalesce(F.sum(F.when(own, F.col("capacity"))), F.lit(0.0)) + more)
+    return x.groupBy("instance_id").agg(F.least(*sides).alias("high"))
+
+
+def tour_bound(edges: DataFrame) -> DataFrame:
+    """(instance_id, bound): half the sum of each node's two shortest edges (instance_id, u, v, length), which may be listed in either direction or both: no tour is shorter. Nodes with one edge count it twice."""
+    both = edges.where("u <> v").select("instance_id", F.col("u").alias("node"), F.col("v").alias("other"), "length").union(edges.where("u <> v").select("instance_id", "v", "u", "length"))
+    near = both.groupBy("instance_id", "node", "other").agg(F.min("length").alias("length"))
+    two = near.withColumn("k", F.row_number().over(Window.partitionBy("instance_id", "node").orderBy("length", "other"))).where("k <= 2")
+    own = two.groupBy("instance_id", "node").agg(F.sum("length").alias("s"), F.count(F.lit(1)).alias("k"))
+    return own.groupBy("instance_id").agg((F.sum(F.col("s") * 2 / F.col("k")) / 2).alias("bound"))
+
+
 @audit_rule("bounds")
 def bound_check(t: dict[str, DataFrame]) -> DataFrame:
     """Objectives alone (instance_id, value) lie within bounds (instance_id, low, high), either of which may be null, with the soft tolerance."""

@@ -154,6 +154,19 @@ def test_each_instance_has_its_radius(spark):
     assert [(v.instance_id, v.limit) for v in audit.RULES["radius"]({"points": p, "centres": c, "radius": r}).collect()] == [("2", 1.0)]
 
 
+def test_no_tour_is_shorter_than_its_bound(spark):
+    import itertools
+    import random
+
+    rng = random.Random(1)
+    d = {(a, b): rng.randrange(1, 40) for a, b in itertools.combinations(range(6), 2)}
+    e = spark.createDataFrame([(1, a, b, float(x)) for (a, b), x in d.items()] + [(2, 0, 1, 3.0), (2, 1, 0, 3.0)], "instance_id int, u int, v int, length double")
+    got = {r.instance_id: r.bound for r in checks.tour_bound(e).collect()}
+    near = sum(sum(sorted(x for k, x in d.items() if n in k)[:2]) for n in range(6)) / 2
+    best = min(sum(d[tuple(sorted(p))] for p in zip((0, *t), (*t, 0))) for t in itertools.permutations(range(1, 6)))
+    assert got == {1: near, 2: 6.0} and near <= best
+
+
 def test_strips_meet_only_what_is_near(spark):
     import random
 
