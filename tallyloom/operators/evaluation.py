@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scoring import classify_error
+
 from .scoring import AT_LEAST_REFERENCE, beat_flags, gap, is_correct
 
 
@@ -111,6 +113,13 @@ def revision_outcome(rows: DataFrame, key: str) -> DataFrame:
     return x.groupBy("iteration").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("score") > F.col("old")).alias("n_better"), F.avg(kept).alias("mean_kept"), F.count_if(kept > 0).alias("n_valid"))
 
 
+def revision_errors(rows: DataFrame, key: str) -> DataFrame:
+    """(iteration, error_class, n): the classes of the errors of each iteration, and of those the fixed ones: rows whose next iteration has none. rows: (key, iteration, error), error null where there is none."""
+    after = F.lead(F.struct("error")).over(Window.partitionBy(key).orderBy("iteration"))
+    x = rows.withColumn("_after", after).where("error IS NOT NULL").withColumn("error_class", classify_error(F.col("error")))
+    return x.groupBy("iteration", "error_class").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_after").isNotNull() & F.col("_after.error").isNull()).alias("n_fixed"))
+
+
 def schema_audit(df: DataFrame, required: list[str], key: str, numeric: Column | None = None) -> DataFrame:
     """Rows without each required field, rows whose objective is a number, and whether keys are unique."""
     number = F.count_if(F.coalesce(numeric.isNotNull(), F.lit(False))) if numeric is not None else F.lit(None).cast("long")

@@ -156,6 +156,15 @@ def merge_runs(runs: list[DataFrame], fixed: list[str], expected: DataFrame) ->
     return union, reduce(DataFrame.union, [d for d in (differ, repeated, missing) if d is not None])
 
 
+def composition(rows: DataFrame, merged: str = "") -> DataFrame:
+    """(level, name, n) of rows (kind, source, origin): counts by kind, by source/origin, and by source after the merge, which is the source, or merged where a row has more than one (a text joined by +). Nulls are unknown."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    after = F.when(F.contains(part("source"), F.lit("+")), merged).otherwise(part("source")) if merged else part("source")
+    one = lambda level, name: F.struct(F.lit(level).alias("level"), name.alias("name"))
+    named = F.explode(F.array(one("kind", part("kind")), one("source/origin", F.concat_ws("/", part("source"), part("origin"))), one("merged", after)))
+    return rows.select(named.alias("x")).groupBy("x.level", "x.name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def distribution(rows: DataFrame, keys: list[str], split: str, splits: list[str]) -> DataFrame:
     """Rows by keys, with a column for each split; totals have null keys."""
     return rows.rollup(*keys).agg(*[F.count_if(F.col(split) == s).alias(f"n_{s}") for s in splits])

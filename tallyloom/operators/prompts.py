@@ -63,8 +63,43 @@ def explode_demos(programs: DataFrame, key: str, program: str) -> DataFrame:
     return reduce(DataFrame.union, found) if found else programs.select(key, F.lit(None).cast("string").alias("demo")).where(F.lit(False))
 
 
-def feedback_text(rows: DataFrame, use_reference: bool = True) -> DataFrame:
-    """A column feedback for each verdict (status, score, cost, reference_value, error, violations array), FEEDBACK_CHARS long at most. Without references none is named."""
+#: What a status asks for.
+ACTIONS = {
+    "infeasible": "See to capacities, time windows, order and coverage, and that each item is there once.", "partial_feasible": "Most constraints hold: check the one that fails before each step.",
+    "suspicious_zero": "The cost is far below what is known, so the solution may be empty: assign every job or customer.", "invalid_solution": "Fill the assignment for every job, customer or activity, under the names that are asked for.",
+    "solver_failure": "Use a greedy method in the solver's place.", "first_valid": "It is the first valid solution, from which to improve.", "exact_match": "It equals the reference.", "beat_reference": "It is better than the reference; go on below the best that is known.",
+    "new_best": "It is better than all before; search deeper.", "improved": "More rounds, another heuristic or a tuned solver may help.", "similar": "It is as good as the best before.", "worse": "Try another method, such as local search after a greedy one, or give a solver more time and a start.",
+}
+
+
+def details(rows: DataFrame, use_reference: bool) -> Column:
+    """What is to be done, how far the best known and the reference are, bonuses, hints and fields of the instance; each as far as the rows have it."""
+    has = lambda c: c in rows.columns
+    action = F.coalesce(*[F.when(F.col("status") == k, v) for k, v in ACTIONS.items()])
+    parts = [action]
+    percent = lambda c: F.format_string("%+.1f %%", F.col(c).cast("double") * 100)
+    if has("gap_to_best"):
+        parts.append(F.when(F.col("gap_to_best").isNotNull(), F.concat(F.lit("Against the best before: "), percent("gap_to_best"), F.lit("."))))
+    if has("best_before"):
+        parts.append(F.when(F.col("best_before").isNotNull(), F.format_string("The best before is %.4f.", F.col("best_before").cast("double"))))
+    if has("gap_to_reference") and use_reference:
+        parts.append(F.when(F.col("gap_to_reference").isNotNull(), F.concat(F.lit("Against the reference: "), percent("gap_to_reference"), F.lit("."))))
+    if has("bonuses"):
+        given = F.filter(F.map_entries("bonuses"), lambda e: e["value"] > 0)
+        parts.append(F.when(F.size(given) > 0, F.concat(F.lit("Bonuses: "), F.array_join(F.array_sort(F.transform(given, lambda e: F.format_string("%s +%.2f", e["key"], e["value"].cast("double")))), ", "), F.lit("."))))
+    if has("hint"):
+        parts.append(F.when(~F.col("status").isin("exact_match", "beat_reference", "new_best", "improved", "first_valid"), F.concat(F.lit("Hint: "), F.col("hint"))))
+    if has("keys"):
+        lost = F.col("status").isin("suspicious_zero", "invalid_solution") | classify_error(F.col("error")).isin("keyerror", "attribute")
+        parts.append(F.when(lost & (F.size("keys") > 0), F.concat(F.lit("Fields of the instance: "), F.array_join("keys", ", "), F.lit("."))))
+    return F.concat_ws(" ", *parts)
+
+
+def feedback_text(rows: DataFrame, use_reference: bool = True, detailed: bool = False) -> DataFrame:
+    """A column feedback for each verdict (status, score, cost, reference_value, error, violations array), FEEDBACK_CHARS long at most. Without references none is named.
+
+    Detailed texts say what the status asks for, and the gaps (gap_to_best, best_before, gap_to_reference), bonuses (a map), hint and keys (an array) that the rows have.
+    """
     kind = classify_error(F.col("error"))
     _, _, fix = error_score(kind)
     shown = F.slice(F.coalesce("violations", F.array().cast("array<string>")), 1, SHOWN)
@@ -82,4 +117,4 @@ def feedback_text(rows: DataFrame, use_reference: bool = True) -> DataFrame:
         .when(F.col("status").isin("exact_match", "beat_reference", "new_best", "improved"), F.concat(F.lit("Better than or as good as before."), own))
         .otherwise(F.concat(F.lit("Feasible, with room to improve."), own))
     )
-    return rows.withColumn("feedback", cut_at(F.trim(F.concat_ws(" ", text, points)), FEEDBACK_CHARS, " (cut)"))
+    return rows.withColumn("feedback", cut_at(F.trim(F.concat_ws(" ", text, *([F.nullif(details(rows, use_reference), F.lit(""))] if detailed else []), points)), FEEDBACK_CHARS, " (cut)"))

@@ -46,16 +46,24 @@ def staffing(required: DataFrame, assigned: DataFrame) -> DataFrame:
 
 @audit_rule("staffing")
 def understaffed(t: dict[str, DataFrame]) -> DataFrame:
-    x = staffing(t["required"], t["assigned"]).where("shortage > 0").withColumn("at", F.concat_ws("/", "slot", "role"))
-    return violations(x, "staffing", "at", F.col("n"), F.col("need"))
+    """Each slot has the staff that it needs of each role; where required has a true column exact, no more than that either."""
+    x = staffing(t["required"], t["assigned"])
+    over = F.coalesce(F.col("exact"), F.lit(False)) & (F.col("n") > F.col("need")) if "exact" in x.columns else F.lit(False)
+    return violations(x.where((F.col("shortage") > 0) | over).withColumn("at", F.concat_ws("/", "slot", "role")), "staffing", "at", F.col("n"), F.col("need"))
 
 
 @audit_rule("fit")
 def misfits(t: dict[str, DataFrame]) -> DataFrame:
-    """assigned (instance_id, item, slot): an item's size is within its slot's, and the slot has the item's skill."""
+    """assigned (instance_id, item, slot): an item's size is within its slot's, the slot has the item's skill (or all of its list, needs), is among those that the item may use (an array allowed, by name), and is open (open_from, open_to) from the item's t_start to its t_end; each as far as items and slots have these columns."""
     x = t["assigned"].join(t["items"], ["instance_id", "item"]).join(t["slots"], ["instance_id", "slot"])
-    bad = (F.col("size") > F.col("room")) | ~F.array_contains("skills", F.col("skill"))
-    return violations(x.where(bad), "fit", "item", F.col("size"), F.col("room"))
+    held = set(x.columns)
+    rules = {
+        ("size", "room"): lambda: F.col("size") > F.col("room"), ("skill", "skills"): lambda: ~F.array_contains("skills", F.col("skill")), ("needs", "skills"): lambda: F.size(F.array_except("needs", "skills")) > 0,
+        ("allowed",): lambda: ~F.array_contains("allowed", F.col("slot")), ("open_from", "open_to", "t_start", "t_end"): lambda: (F.col("t_start") < F.col("open_from")) | (F.col("t_end") > F.col("open_to")),
+    }
+    bad = [F.coalesce(broken(), F.lit(False)) for names, broken in rules.items() if set(names) <= held]
+    own = lambda c: F.col(c) if c in held else F.lit(None)
+    return violations(x.where(F.greatest(*bad, F.lit(False), F.lit(False))), "fit", "item", own("size"), own("room"))
 
 
 @audit_rule("sequence")

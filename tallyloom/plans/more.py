@@ -266,3 +266,21 @@ def check_manifest(spark, sf_dir):
 def status_changes(spark, sf_dir):
     x = faults(spark, sf_dir).withColumn("old_status", F.when(F.col("verified"), "ok").otherwise("unverified"))
     return matching.status_changes(x, ["condition"])
+
+
+@query("""WITH r AS (SELECT l_partkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS iteration, CASE l_linenumber % 4 WHEN 0 THEN 'KeyError: a' WHEN 1 THEN 'timeout' WHEN 2 THEN 'odd' END AS error FROM lineitem), x AS (SELECT *, lead(l_partkey) OVER w IS NOT NULL AND lead(error) OVER w IS NULL AS fixed FROM r WINDOW w AS (PARTITION BY l_partkey ORDER BY iteration))
+    SELECT iteration, CASE error WHEN 'KeyError: a' THEN 'keyerror' WHEN 'timeout' THEN 'timeout' ELSE 'runtime' END AS error_class, count(*) AS n, count(*) FILTER (fixed) AS n_fixed FROM x WHERE error IS NOT NULL GROUP BY 1, 2""")
+def revision_errors(spark, sf_dir):
+    from pyspark.sql import Window
+
+    k = F.pmod("l_linenumber", F.lit(4))
+    x = table(spark, sf_dir, "lineitem").select("l_partkey", F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey")).alias("iteration"), F.when(k == 0, "KeyError: a").when(k == 1, "timeout").when(k == 2, "odd").alias("error"))
+    return evaluation.revision_errors(x, "l_partkey")
+
+
+@query("""WITH d AS (SELECT lang AS kind, CASE WHEN doc_id % 5 = 0 THEN source || '+own' WHEN doc_id % 7 > 0 THEN source END AS source, CASE WHEN doc_id % 2 = 0 THEN 'raw' END AS origin FROM documents), x AS (SELECT 'kind' AS level, coalesce(kind, 'unknown') AS name FROM d UNION ALL SELECT 'source/origin', coalesce(source, 'unknown') || '/' || coalesce(origin, 'unknown') FROM d UNION ALL SELECT 'merged', CASE WHEN contains(source, '+') THEN 'both' ELSE coalesce(source, 'unknown') END FROM d)
+    SELECT level, name, count(*) AS n FROM x GROUP BY 1, 2""")
+def composition_by_source(spark, sf_dir):
+    source = F.when(F.pmod("doc_id", F.lit(5)) == 0, F.concat("source", F.lit("+own"))).when(F.pmod("doc_id", F.lit(7)) > 0, F.col("source"))
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("kind"), source.alias("source"), F.when(F.pmod("doc_id", F.lit(2)) == 0, "raw").alias("origin"))
+    return matching.composition(d, "both")

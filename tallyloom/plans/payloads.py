@@ -200,6 +200,19 @@ def explode_demos(spark, sf_dir):
     return prompts.explode_demos(table(spark, sf_dir, "events").select("event_id", p.alias("p")), "event_id", "p")
 
 
+@query("""WITH x AS (SELECT *, ['similar', 'worse', 'suspicious_zero', 'partial_feasible', 'first_valid', 'beat_reference'][event_id % 6 + 1] AS status, (event_id % 40 - 20) / 100.0 AS gap FROM events), t AS (SELECT event_id,
+    CASE WHEN status = 'partial_feasible' THEN 'Constraints are violated:' || chr(10) || '- v' WHEN status = 'beat_reference' THEN 'Better than or as good as before. The cost is ' || printf('%.4f', value) || '.' ELSE 'Feasible, with room to improve. The cost is ' || printf('%.4f', value) || '.' END AS a,
+    CASE status WHEN 'similar' THEN 'It is as good as the best before.' WHEN 'worse' THEN 'Try another method, such as local search after a greedy one, or give a solver more time and a start.' WHEN 'suspicious_zero' THEN 'The cost is far below what is known, so the solution may be empty: assign every job or customer.' WHEN 'partial_feasible' THEN 'Most constraints hold: check the one that fails before each step.' WHEN 'first_valid' THEN 'It is the first valid solution, from which to improve.' ELSE 'It is better than the reference; go on below the best that is known.' END AS b,
+    CASE WHEN event_id % 7 > 0 THEN ' Against the best before: ' || printf('%+.1f', gap * 100) || ' %.' ELSE '' END AS c, CASE WHEN event_id % 5 = 0 THEN ' Bonuses: exact +0.20, new +0.15.' ELSE '' END AS d, CASE WHEN status IN ('first_valid', 'beat_reference') THEN '' ELSE ' Hint: sort first' END AS e, CASE WHEN status = 'suspicious_zero' THEN ' Fields of the instance: jobs, machines.' ELSE '' END AS f FROM x) SELECT event_id, a || ' ' || b || c || d || e || f || ' Score 0.50.' AS feedback FROM t""")
+def feedback_details(spark, sf_dir):
+    """Texts without references, with gaps, bonuses, hints and fields."""
+    i = F.col("event_id")
+    status = turn(i, 6, "similar", "worse", "suspicious_zero", "partial_feasible", "first_valid", "beat_reference")
+    e = table(spark, sf_dir, "events").select("event_id", status.alias("status"), F.lit(0.5).alias("score"), F.col("value").alias("cost"), F.lit(20.0).alias("reference_value"), F.lit(0.3).alias("gap_to_reference"), F.lit(None).cast("string").alias("error"), F.array(F.lit("v")).alias("violations"), F.when(F.pmod(i, F.lit(7)) > 0, (F.pmod(i, F.lit(40)) - 20) / 100.0).alias("gap_to_best"), F.lit("sort first").alias("hint"), F.array(F.lit("jobs"), F.lit("machines")).alias("keys"))
+    e = e.withColumn("bonuses", F.when(F.pmod(i, F.lit(5)) == 0, F.create_map(F.lit("new"), F.lit(0.15), F.lit("exact"), F.lit(0.2), F.lit("none"), F.lit(0.0))))
+    return prompts.feedback_text(e, use_reference=False, detailed=True).select("event_id", "feedback")
+
+
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'The code failed (keyerror): KeyError: ' || props || '. To mend it: read optional fields with a default.' WHEN 1 THEN 'Constraints are violated:' || chr(10) || '- v' || array_to_string(range(1, 7), chr(10) || '- v') || chr(10) || 'and 3 more'
     WHEN 2 THEN 'The solution is empty or has not the fields that are asked for.' WHEN 3 THEN 'Better than or as good as before. The cost is ' || printf('%.4f', value) || ', the reference 20.00.' ELSE 'Feasible, with room to improve. The cost is ' || printf('%.4f', value) || '.' END || ' Score 0.50.' AS feedback FROM events""")
 def feedback_text(spark, sf_dir):

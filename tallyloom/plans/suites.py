@@ -81,6 +81,27 @@ def audit_fit(spark, sf_dir):
     return RULES["fit"]({"assigned": a, "items": a.select("instance_id", "item").distinct().join(p, "item"), "slots": slots})
 
 
+@query(f"""WITH a AS (SELECT l_suppkey AS i, l_orderkey * 10 + l_linenumber AS item, l_linenumber AS slot, {DAY} AS a, {DAY} + l_quantity AS b, l_partkey % 3 + 1 AS first, ['x', 'y', 'z'][l_partkey % 3 + 1] AS n1, ['x', 'y', 'z'][l_suppkey % 3 + 1] AS n2 FROM lineitem WHERE l_orderkey < 900)
+    SELECT DISTINCT {row('i', 'fit', 'item', 'NULL', 'NULL')} FROM a WHERE NOT (slot BETWEEN first AND first + 3) OR a < 200 + slot * 10 OR b > 2200 OR NOT list_contains(CASE WHEN slot % 2 = 0 THEN ['x', 'y'] ELSE ['y', 'z'] END, n1) OR NOT list_contains(CASE WHEN slot % 2 = 0 THEN ['x', 'y'] ELSE ['y', 'z'] END, n2)""")
+def audit_fit_lists(spark, sf_dir):
+    """Lists of machines and skills, and hours of opening; sizes are not asked."""
+    x = lines(spark, sf_dir).where("l_orderkey < 900")
+    letter = lambda c: F.get(F.array(*map(F.lit, "xyz")), F.pmod(c, F.lit(3)).cast("int"))
+    first = F.pmod("l_partkey", F.lit(3)) + 1
+    a = x.select(F.col("l_suppkey").alias("instance_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), F.col("l_linenumber").cast("long").alias("slot"), F.array(letter("l_partkey"), letter("l_suppkey")).alias("needs"), F.col("day").alias("t_start"), (F.col("day") + F.col("l_quantity")).alias("t_end"), F.sequence(first, first + 3).alias("allowed"))
+    slots = a.select("instance_id", "slot").distinct().withColumns({"skills": F.when(F.col("slot") % 2 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("y"), F.lit("z"))), "open_from": 200 + F.col("slot") * 10, "open_to": F.lit(2200)})
+    return RULES["fit"]({"assigned": a.select("instance_id", "item", "slot"), "items": a.drop("slot"), "slots": slots}).distinct()
+
+
+@query("""WITH n AS (SELECT o_custkey AS i, o_orderpriority AS slot, o_orderstatus AS role, count(*) AS n FROM orders GROUP BY 1, 2, 3), r AS (SELECT DISTINCT o_custkey AS i, o_orderpriority AS slot, role FROM orders CROSS JOIN (VALUES ('O'), ('F')) v(role)), x AS (SELECT r.*, coalesce(n, 0) AS n FROM r LEFT JOIN n USING (i, slot, role))
+    SELECT i::VARCHAR AS instance_id, 'staffing' AS rule, slot || '/' || role AS entity, n::DOUBLE AS observed, 1.0::DOUBLE AS "limit" FROM x WHERE n < 1 OR (n > 1 AND i % 2 = 0)""")
+def audit_exact_staffing(spark, sf_dir):
+    """One of each role; for some instances exactly one."""
+    a = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("instance_id"), F.col("o_orderpriority").alias("slot"), F.col("o_orderstatus").alias("role"))
+    need = a.select("instance_id", "slot").distinct().select("*", F.explode(F.array(F.lit("O"), F.lit("F"))).alias("role")).withColumns({"need": F.lit(1), "exact": F.col("instance_id") % 2 == 0})
+    return RULES["staffing"]({"required": need, "assigned": a})
+
+
 STATES = "st AS (SELECT user_id AS person, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS day, CASE WHEN event_type = 'view' THEN 'off' ELSE event_type END AS state FROM events)"
 
 
