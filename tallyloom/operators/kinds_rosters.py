@@ -146,6 +146,40 @@ def nurse_roster(rows: DataFrame, keep: Keep) -> Audit:
     return Audit(all_of(labour_rules(cells, rules_of(own), keep), wrong), seen)
 
 
+@kind_check("role_roster")
+def role_roster(rows: DataFrame, keep: Keep) -> Audit:
+    """As of nurses; besides, staff work in their home region, only the qualified at night, and what is needed is told by role, shift and region. A work day without a region is at home; wishes weigh by seniority."""
+    v = each(rows, ["instance_id"], get("p", "$.staff", "array<variant>"))
+    s = lambda c: get("item", f"$.{c}", "string").alias(c)
+    people = v.select("instance_id", "pos", whole_id(get("item", "$.id")).alias("person"), get("item", "$.preferred_off_days", "array<variant>").alias("wished"), s("role"), s("region").alias("home"), F.coalesce(get("item", "$.qualified", "boolean"), F.lit(False)).alias("qualified"), F.coalesce(get("item", "$.seniority", "double"), F.lit(1.0)).alias("seniority"))
+    odd = people.where("person IS NULL").select("instance_id").distinct()
+    needs = get("p", "$.daily_requirements", "array<variant>")
+    shifts = F.coalesce(get("p", "$.shifts", "array<string>"), F.array().cast("array<string>"))
+    own = rows.where((F.size(needs) > 0) & (F.size(get("p", "$.staff", "array<variant>")) > 0)).join(odd, "instance_id", "left_anti").select("instance_id", "p", "a", F.size(needs).alias("n_days"), F.concat(shifts, F.array(F.lit("off"))).alias("states"), F.coalesce(get("p", "$.rules.night_requires_qualified", "boolean"), F.lit(True)).alias("strict"))
+    people = keep(people.join(own.select("instance_id"), "instance_id"), "people")
+    cells, read = state_cells(own, people.select("instance_id", "person", "pos"), keep)
+    own = keep(own.join(read, "instance_id"), "own")
+    known = keep(cells.join(people.select("instance_id", "person", "role", "home", "qualified"), ["instance_id", "person"]).join(own.select("instance_id", "strict"), "instance_id"), "known")
+
+    def one(cond: Column, what: str) -> DataFrame:
+        n = known.where(cond).groupBy("instance_id", "person").agg(F.count(F.lit(1)).alias("n"))
+        return violations(n.withColumn("at", F.concat_ws("/", F.col("person").cast("string"), F.lit(what))), "fit", "at", F.col("n"), F.lit(0))
+
+    work = F.col("state") != "off"
+    away = one(work & F.col("region").isNotNull() & ~F.col("region").eqNullSafe(F.col("home")), "region")
+    nights = one(F.col("strict") & ~F.col("qualified") & (F.col("state") == "night"), "qualified")
+    need = each(own, ["instance_id"], needs).select("instance_id", (F.col("pos") + 1).cast("long").alias("day"), F.explode(fields("item")).alias("e")).where(F.col("e.key") != "day")
+    need = need.select("instance_id", "day", F.col("e.key").alias("key"), number(F.col("e.value")).alias("need"))
+    n = known.where(work).groupBy("instance_id", "day", F.concat_ws("_", "role", "state", F.coalesce("region", "home")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    shortage = need.join(n, ["instance_id", "day", "key"], "left").groupBy("instance_id").agg(F.sum(F.greatest(F.lit(0.0), F.col("need") - F.coalesce("n", F.lit(0)))).alias("shortage"))
+    wishes = people.select("instance_id", "person", F.col("seniority").alias("weight"), F.explode("wished").alias("d")).select("instance_id", "person", whole_id(F.col("d")).alias("day"), "weight")
+    cost = keep(own.select("instance_id", "a").join(roster_cost(own, cells, shortage, wishes), "instance_id"), "costs")
+    size = people.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n"))
+    wrong = mismatch(cost, number(first_of("a", "objective_value", "objective", "total_cost")), "cost")
+    seen = cost.join(size, "instance_id").select("instance_id", F.lit(True).alias("readable"), (F.col("n") * 9 + 1).alias("total"), "cost")
+    return Audit(all_of(labour_rules(cells, rules_of(own), keep), away, nights, wrong), seen)
+
+
 def label(v: Column) -> Column:
     """The name of a pairing: a whole number, or a text without the space around it."""
     n = whole_id(v)
