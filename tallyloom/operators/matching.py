@@ -178,11 +178,17 @@ def teacher_coverage(rows: DataFrame, source: str) -> DataFrame:
 
 
 def first_n_per_kind(rows: DataFrame, limits: dict[str, int], key: str, default: int = 0) -> DataFrame:
-    """The first rows of each kind (core_type where null) by key; a limit of 0 keeps all."""
+    """The first rows of each kind (core_type where null) by key; a limit of 0 keeps all.
+
+    Rows of kinds without a limit are not ranked. Of the others, each task keeps as many of a kind as the largest limit before they meet.
+    """
     kind = F.coalesce("kind", "core_type")
     limit = F.coalesce(F.create_map(*[F.lit(v) for kv in limits.items() for v in kv])[kind], F.lit(default)) if limits else F.lit(default)
-    x = rows.withColumns({"_n": limit, "_k": F.row_number().over(Window.partitionBy(kind).orderBy(key))})
-    return x.where("_n = 0 OR _k <= _n").drop("_n", "_k")
+    most = max([*limits.values(), default])
+    if not most:
+        return rows
+    ranked_rows = rows.where(limit > 0).withColumn("_k", F.row_number().over(Window.partitionBy(kind).orderBy(key))).where(F.col("_k") <= most)
+    return rows.where(limit == 0).unionByName(ranked_rows.where(F.col("_k") <= limit).drop("_k"))
 
 
 def with_sizes(rows: DataFrame, group: str, *more: Column) -> DataFrame:
