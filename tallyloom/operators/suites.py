@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import checks, kinds_facilities, kinds_networks, kinds_rosters, kinds_routing, kinds_shops, kinds_stocks, rules  # noqa: F401  register their rules and checks
+from . import checks, kinds_facilities, kinds_networks, kinds_production, kinds_rosters, kinds_routing, kinds_shops, kinds_stocks, rules  # noqa: F401  register their rules and checks
 from .audit import RULES, rollup
 from .kinds import kind_of
 
