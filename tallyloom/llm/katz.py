@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,62 +59,93 @@ class Model:
         return rows.select("bucket", F.explode(F.arrays_zip(F.col("histories").alias("history"), F.col("ids").alias("word"), F.col("counts").alias("n"))).alias("x")).select("bucket", "x.*")
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and each value's number among them. As np.unique, but in less memory: values are sorted in place."""
+    order = np.argsort(values).astype(np.int32)
+    values[:] = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    inverse = np.empty(len(values), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    return values[new], inverse
+
+
 class Chunk:
-    """The tokens of a chunk of documents: local numbers of words, and the documents they are in."""
+    """The tokens of a chunk of documents: local numbers of words, and where each document begins."""
 
     def __init__(self, table: pa.Table, buckets: int):
         self.rows = table.num_rows
-        keys, docs = [], []
-        for a, _, data, off in K.slices(table["text"]):
-            lower = K.LOWER[data]
-            start, end, of = K.spans(lower, off, K.SPACE)
-            n = len(off) - 1
-            key = np.empty(len(start) + n, U)
-            at = np.arange(len(start)) + of  # each document's end comes after its words
-            key[at] = K.keys(lower, start, end)
-            last = np.cumsum(np.bincount(of, minlength=n) + 1) - 1
-            key[last] = END
-            keys.append(key)
-            docs.append(np.repeat(np.arange(a, a + n), np.diff(np.concatenate(([-1], last)))))
-        key, self.doc = np.concatenate(keys), np.concatenate(docs)
-        held = table["held_out"].to_numpy(zero_copy_only=False)
-        self.train = ~held[self.doc]
-        word, inverse = np.unique(key, return_inverse=True)
+        found, numbers, sizes = [], [], [np.zeros(0, np.int64)]
+        for text in table["text"].chunks:
+            for _, _, data, off in K.slices(text):
+                lower = K.LOWER[data]
+                start, end, of = K.spans(lower, off, K.SPACE)
+                n = len(off) - 1
+                key = np.empty(len(start) + n, U)
+                key[np.arange(len(start)) + of] = K.keys(lower, start, end)  # each document's end comes after its words
+                size = np.bincount(of, minlength=n) + 1
+                key[np.cumsum(size) - 1] = END
+                word, number = numbered(key)
+                found.append(word)
+                numbers.append(number)
+                sizes.append(size)
+        word, number = numbered(np.concatenate(found))
         part = (word % U(buckets)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        place = np.empty_like(order)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
-        self.words, self.part, self.word = word[order], part[order], place[inverse]
-        self.history = np.empty_like(self.word)
-        self.history[1:] = self.word[:-1]
-        self.history[np.concatenate(([True], self.doc[1:] != self.doc[:-1]))] = START
+        number = place[number]
+        self.words, self.part = word[order], part[order]
+        self.size = np.concatenate(sizes)
+        self.first = np.cumsum(self.size) - self.size
+        self.word = np.empty(int(self.size.sum()), np.int32)
+        at = seen = 0
+        for own, x in zip(found, numbers):
+            self.word[at : at + len(x)] = number[seen : seen + len(own)][x]
+            at, seen = at + len(x), seen + len(own)
+        self.train = ~table["held_out"].to_numpy()
+
+    def trained(self, number: np.ndarray, n: int) -> np.ndarray:
+        """How often each of n numbers occurs in training documents, from the numbers of all tokens."""
+        return np.bincount(number[np.repeat(self.train, self.size)], minlength=n)
+
+    def by_document(self, value: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Each document's sum of value[number] over its tokens."""
+        return np.add.reduceat(value[number], self.first, dtype=np.float64 if value.dtype == np.float64 else np.int64)
 
     def cuts(self, part: np.ndarray, buckets: int) -> np.ndarray:
         return np.searchsorted(part, np.arange(buckets + 1))
 
 
 class Pairs:
-    """A chunk's distinct pairs that can have a count, in the order of its requests."""
+    """A chunk's distinct pairs, as local numbers of history and word, in the order of its requests; those that can have no count come last.
+
+    Whatever depends on one word alone is kept by word; a history of START is the last entry.
+    """
 
     def __init__(self, chunk: Chunk, ids: np.ndarray, counts: np.ndarray, train_tokens: int, end_count: int, buckets: int, share: int):
         n = len(chunk.words) + 1
-        code, self.inverse = np.unique((chunk.history + 1) * n + chunk.word, return_inverse=True)
-        h, w = code // n - 1, code % n
-        self.h_count = np.where(h >= 0, counts[h], end_count)
-        known = self.h_count > 0
-        self.h_id = np.where(h >= 0, ids[h], START)
-        self.w_id, self.w_count = ids[w], counts[w]
-        hot = self.h_count * share >= train_tokens
-        mixed = K.mix((self.h_id + 1).astype(U) + np.where(hot, self.w_id.astype(U) * K.STEP, U(0)))
-        self.bucket = np.where(known, (mixed % U(buckets)).astype(np.int64), buckets)
+        code = np.empty(len(chunk.word), np.int64)
+        code[1:] = chunk.word[:-1]
+        code[chunk.first] = START
+        code += 1
+        code *= n
+        code += chunk.word
+        code, self.inverse = numbered(code)
+        self.h, self.w = (code // n - 1).astype(np.int32), (code % n).astype(np.int32)
+        del code
+        self.id, self.count = np.append(ids, START), np.append(counts, end_count)
+        self.hot = self.count * share >= train_tokens
+        own = np.where(self.count > 0, (K.mix((self.id + 1).astype(U)) % U(buckets)).astype(np.int32), np.int32(buckets))
+        bucket = own[self.h]
+        hot = np.flatnonzero((self.hot & (self.count > 0))[self.h])
+        bucket[hot] = K.mix((self.id[self.h[hot]] + 1).astype(U) + self.id[self.w[hot]].astype(U) * K.STEP) % U(buckets)
         # A known history with an unknown word asks for no count, but for the history's weight.
-        order = np.argsort(self.bucket.astype(np.uint16 if buckets < 65_535 else np.int64), kind="stable")
-        self.order = order[: int(known.sum())]
-        self.cut = np.searchsorted(self.bucket[self.order], np.arange(buckets + 1))
-        self.hot, self.h, self.known = hot, h, known
-        self.n_train = np.bincount(self.inverse, weights=chunk.train, minlength=len(code)).astype(np.int64)
+        self.order = np.argsort(bucket.astype(np.uint16) if buckets < 65_535 else bucket, kind="stable").astype(np.int32)
+        self.cut = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets + 1))))
 
     def of(self, bucket: int) -> np.ndarray:
+        """The pairs of a bucket; those of unknown histories are those of the bucket after the last."""
         return self.order[self.cut[bucket] : self.cut[bucket + 1]]
 
 
@@ -174,7 +206,7 @@ def fitted(docs: DataFrame) -> tuple[Model, dict]:
 
     def ask_words(table: pa.Table) -> pa.Table:
         c = Chunk(table, chunks)
-        n = np.bincount(c.word[c.train], minlength=len(c.words))
+        n = c.trained(c.word, len(c.words))
         cut = c.cuts(c.part, chunks)
         own = [slice(cut[b], cut[b + 1]) for b in range(chunks) if cut[b + 1] > cut[b]]
         return pa.table({"chunk": pa.array([table["chunk"][0].as_py()] * len(own), pa.int32()), "bucket": pa.array([int(c.part[s.start]) for s in own], pa.int32()), "keys": lists([c.words[s].view(np.int64) for s in own], pa.int64()), "counts": lists([n[s] for s in own], pa.int64())})
@@ -209,17 +241,19 @@ def fitted(docs: DataFrame) -> tuple[Model, dict]:
     narrow = pa.int32() if count_type == "int" else pa.int64()
 
     def ask_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        c, p = asked_pairs(left, right, chunks, buckets, n, end, share)
+        c, p = asked_pairs(left, by_bucket(right), chunks, buckets, n, end, share)
+        ids, counts = p.id.astype(slim.to_pandas_dtype()), p.count.astype(narrow.to_pandas_dtype())
+        n_train = c.trained(p.inverse, len(p.h)).astype(narrow.to_pandas_dtype())
         rows: dict[str, list] = {k: [] for k in ("bucket", "h", "need", "length", "w", "wc", "n")}
         for b in range(buckets):
             at = p.of(b)
             if not len(at):
                 continue
             first, length, need = histories(p, at)
-            head, live = at[first], at[p.w_count[at] > 0]
-            for k, x in zip(rows, (b, p.h_id[head], need, length, p.w_id[live], p.w_count[live], p.n_train[live])):
+            live = at[p.count[p.w[at]] > 0]
+            for k, x in zip(rows, (b, ids[p.h[at[first]]], need.astype(np.int8), length.astype(np.int32), ids[p.w[live]], counts[p.w[live]], n_train[live])):
                 rows[k].append(x)
-        return pa.table({"chunk": pa.array([left["chunk"][0].as_py()] * len(rows["bucket"]), pa.int32()), "bucket": pa.array(rows["bucket"], pa.int32()), "h": lists(rows["h"], slim), "need": lists([x.astype(np.int8) for x in rows["need"]], pa.int8()), "length": lists(rows["length"], pa.int32()), "w": lists(rows["w"], slim), "wc": lists(rows["wc"], narrow), "n": lists(rows["n"], narrow)})
+        return pa.table({"chunk": pa.array([left["chunk"][0].as_py()] * len(rows["bucket"]), pa.int32()), "bucket": pa.array(rows["bucket"], pa.int32()), "h": lists(rows["h"], slim), "need": lists(rows["need"], pa.int8()), "length": lists(rows["length"], pa.int32()), "w": lists(rows["w"], slim), "wc": lists(rows["wc"], narrow), "n": lists(rows["n"], narrow)})
 
     def add_pairs(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
@@ -281,62 +315,75 @@ def hot_histories(pairs: DataFrame, words: DataFrame, n: int, end: int, chunks:
     return {r.h: np.array(r.s) for r in parts.groupBy("h").agg(F.array(*[F.sum(F.col("s")[k]) for k in range(CUT + 2)]).alias("s")).collect()}
 
 
-def asked_pairs(left: pa.Table, right: pa.Table, chunks: int, buckets: int, n: int, end: int, share: int) -> tuple[Chunk, Pairs]:
+def by_bucket(table: pa.Table) -> dict[int, dict[str, np.ndarray]]:
+    """The lists of each bucket's answer, as views of its columns."""
+    names = [x for x in ("ids", "counts", "stats") if x in table.column_names]
+    out = {}
+    for batch in table.to_batches():
+        for i, b in enumerate(batch.column("bucket").to_pylist()):
+            lists_of = {x: batch.column(x)[i].values for x in names}
+            out[b] = {k: x.to_numpy() for k, x in lists_of.items() if x is not None}
+    return out
+
+
+def asked_pairs(left: pa.Table, answers: dict[int, dict[str, np.ndarray]], chunks: int, buckets: int, n: int, end: int, share: int) -> tuple[Chunk, Pairs]:
     """A chunk's tokens and pairs, from its documents and the answers about its words."""
     c = Chunk(left, chunks)
-    right = right.sort_by("bucket")
-    ids = right["ids"].combine_chunks().flatten().to_numpy().astype(np.int64)
-    counts = right["counts"].combine_chunks().flatten().to_numpy().astype(np.int64)
-    c.counts = counts
+    ids, counts = (np.concatenate([answers[b][k] for b in sorted(answers)], dtype=np.int64) for k in ("ids", "counts"))
     return c, Pairs(c, ids, counts, n, end, buckets, share)
 
 
 def histories(p: Pairs, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the pairs of a bucket, which are in runs of one history: where each run begins, its requests, and whether it has an unknown word."""
-    first = np.flatnonzero(np.concatenate(([True], p.h[at][1:] != p.h[at][:-1])))
-    live = (p.w_count[at] > 0).astype(np.int64)
+    h = p.h[at]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    live = (p.count[p.w[at]] > 0).astype(np.int64)
     length = np.add.reduceat(live, first)
     return first, length, np.add.reduceat(1 - live, first) > 0
 
 
+def pair_logs(p: Pairs, answers: dict[int, dict[str, np.ndarray]], buckets: int, hot: dict[int, np.ndarray], size: int, d: list[float]) -> np.ndarray:
+    """The log10 probability of each pair, from the buckets' answers; size is N + V + 1."""
+    lost = np.array([0.0, *d])
+    out = np.empty(len(p.h))
+    for b in range(buckets + 1):
+        own = p.of(b)
+        if not len(own):
+            continue
+        w_count = p.count[p.w[own]]
+        prob = (w_count + 1) / size
+        if b < buckets:
+            first, length, need = histories(p, own)
+            head = p.h[own[first]]
+            counts, stats = answers[b]["counts"], answers[b]["stats"]
+            pair = np.zeros(len(own), np.int64)
+            pair[w_count > 0] = counts
+            lack = need | (np.bincount(np.repeat(np.arange(len(head)), length)[counts == 0], minlength=len(head)) > 0)
+            s = stats.reshape(-1, CUT + 2).copy()
+            lacking = head[lack]
+            for i in np.flatnonzero(p.hot[lacking]):
+                s[i] = hot[int(p.id[lacking[i]])]
+            weight = np.ones(len(head))
+            weight[lack] = weights(s, p.count[lacking], d)
+            prob *= np.repeat(weight, np.diff(np.append(first, len(own))))
+            kept = np.where(pair > CUT, pair - HALF, lost[np.minimum(pair, CUT)] * pair)
+            prob = np.where(pair > 0, kept / p.count[p.h[own]], prob)
+        out[own] = np.log10(prob)
+    return out
+
+
 def scored(docs: DataFrame, model: Model, at: dict) -> DataFrame:
     chunks, buckets, share, end, hot, n, v, d = at["chunks"], at["buckets"], at["share"], at["end"], at["hot"], model.train_tokens, model.vocabulary, model.discounts
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-        is_word = right["kind"].combine_chunks().to_pandas() == "word"
-        c, p = asked_pairs(left, right.filter(pa.array(is_word.to_numpy(bool))), chunks, buckets, n, end, share)
-        answers = {b: (x, s) for b, x, s in zip(*(right.filter(pa.array(~is_word.to_numpy(bool)))[k].combine_chunks() for k in ("bucket", "counts", "stats")))}
-        answers = {k.as_py(): x for k, x in answers.items()}
-        pair = np.zeros(len(p.h), np.int64)
-        weight = np.ones(len(p.h))
-        for b in range(buckets):
-            own = p.of(b)
-            if not len(own):
-                continue
-            first, length, need = histories(p, own)
-            head = own[first]
-            counts, stats = (x.values.to_numpy() for x in answers[b])
-            live = p.w_count[own] > 0
-            pair[own[live]] = counts
-            lack = need | (np.bincount(np.repeat(np.arange(len(head)), length)[counts == 0], minlength=len(head)) > 0)
-            s = stats.reshape(-1, CUT + 2).copy()
-            hh = p.h_id[head[lack]]
-            for i in np.flatnonzero(p.hot[head[lack]]):
-                s[i] = hot[int(hh[i])]
-            own_weight = np.ones(len(head))
-            own_weight[lack] = weights(s, p.h_count[head[lack]], d)
-            weight[own] = np.repeat(own_weight, np.diff(np.append(first, len(own))))
-        unigram = (p.w_count + 1) / (n + v + 1)
-        lost = np.array([0.0, *d])
-        kept = np.where(pair > CUT, pair - HALF, lost[np.minimum(pair, CUT)] * pair)
-        prob = np.where(pair > 0, kept / np.maximum(p.h_count, 1), weight * unigram)
-        log = np.log10(prob)[p.inverse]
-        count = c.counts[c.word]
+        of = lambda kind: by_bucket(right.filter(pc.field("kind") == kind))
+        c, p = asked_pairs(left, of("word"), chunks, buckets, n, end, share)
+        log = pair_logs(p, of("pair"), buckets, hot, n + v + 1, d)
+        count = p.count[:-1]
         base = np.log10((count + 1) / (n + v + 1))
-        sums = [np.bincount(c.doc, weights=x, minlength=c.rows) for x in (np.ones(len(c.doc)), count > 0, base, log)]
-        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base_score": sums[2], "score": sums[3]})
+        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": c.size, "n_known": c.by_document(count > 0, c.word), "base_score": c.by_document(base, c.word), "score": c.by_document(log, p.inverse)})
 
     to_chunk = at["words"].where("kind = 'answer'").select("chunk", F.lit("word").alias("kind"), "bucket", "ids", F.col("counts").cast(at["counts"]).alias("counts"), F.lit(None).cast("array<double>").alias("stats"))
     to_chunk = to_chunk.union(at["pairs"].where("kind = 'answer'").select("chunk", F.lit("pair"), "bucket", F.lit(None).cast("array<long>"), "counts", "stats"))
