@@ -12,7 +12,7 @@ words, then of its distinct pairs: the requests, sorted arrays, are shuffled by
 up, write the tables (partitions kind=word and kind=pair) and send each chunk the sums it asked for. Nothing but distinct
 entries leaves a chunk, so a hot word or line costs one entry for each chunk. Histories with at least N / share tokens,
 where share is 4 * buckets or HOT if that is less, are spread over all buckets. There are share of them at most, so HOT;
-their sums, of about 80 bytes each, pass through the driver. Words are known by 64-bit keys, and by ids of 32 bits as long
+their sums, of about 80 bytes each, pass through the driver, so that buckets send a chunk those of the others alone. Words are known by 64-bit keys, and by ids of 32 bits as long
 as these suffice.
 
 Null texts are empty: one end. A null doc_id counts as the empty text in the fold rule. Repeated rows count each time and
@@ -34,6 +34,7 @@ from . import kernels as K
 from .common import lean_session, shared_dir, text_or_empty
 
 FOLDS, HELD_OUT, CUT, HALF, CHUNK, HOT = 7, 2, 5, 0.5, 13 << 20, 1 << 16
+NEEDED, IS_HOT = 1, 2  # of a history that a chunk asks about: its weight is needed in any case; its sums come from elsewhere
 U = np.uint64
 END, START = np.uint64(0x0123456789ABCDEF), -1
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -251,14 +252,14 @@ def fitted(docs: DataFrame) -> tuple[Model, dict]:
                 continue
             first, length, need = histories(p, at)
             live = at[p.count[p.w[at]] > 0]
-            for k, x in zip(rows, (b, ids[p.h[at[first]]], need.astype(np.int8), length.astype(np.int32), ids[p.w[live]], counts[p.w[live]], n_train[live])):
+            for k, x in zip(rows, (b, ids[p.h[at[first]]], np.where(p.hot[p.h[at[first]]], IS_HOT, need * NEEDED).astype(np.int8), length.astype(np.int32), ids[p.w[live]], counts[p.w[live]], n_train[live])):
                 rows[k].append(x)
         return pa.table({"chunk": pa.array([left["chunk"][0].as_py()] * len(rows["bucket"]), pa.int32()), "bucket": pa.array(rows["bucket"], pa.int32()), "h": lists(rows["h"], slim), "need": lists(rows["need"], pa.int8()), "length": lists(rows["length"], pa.int32()), "w": lists(rows["w"], slim), "wc": lists(rows["wc"], narrow), "n": lists(rows["n"], narrow)})
 
     def add_pairs(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         col = {k: table[k].combine_chunks() for k in ("h", "need", "length", "w", "wc", "n")}
-        h, length = col["h"].flatten().to_numpy().astype(np.int64), col["length"].flatten().to_numpy()
+        h, need, length = col["h"].flatten().to_numpy().astype(np.int64), col["need"].flatten().to_numpy(), col["length"].flatten().to_numpy()
         word, of_word = np.unique(col["w"].flatten().to_numpy(), return_inverse=True)
         history, of_history = np.unique(h, return_inverse=True)
         code, inverse = np.unique(np.repeat(of_history, length) * max(1, len(word)) + of_word, return_inverse=True)
@@ -270,19 +271,21 @@ def fitted(docs: DataFrame) -> tuple[Model, dict]:
         stats = stats_of(at_h, len(history), total, (word_count + 1) / (n + v + 1))
         answers, sent = [], []
         h_at = w_at = 0
-        for rows, pairs, need in zip(col["h"].value_lengths().to_numpy(), col["w"].value_lengths().to_numpy(), col["need"].to_pylist()):
+        for rows, pairs in zip(col["h"].value_lengths().to_numpy(), col["w"].value_lengths().to_numpy()):
             own = total[inverse[w_at : w_at + pairs]]
             zero = np.bincount(np.repeat(np.arange(rows), length[h_at : h_at + rows])[own == 0], minlength=rows) > 0
-            lack = zero | np.array(need, bool)
+            own_need = need[h_at : h_at + rows]
+            lack = (zero | (own_need == NEEDED)) & (own_need != IS_HOT)
             answers.append(own)
             sent.append(stats[of_history[h_at : h_at + rows][lack]].ravel())
             h_at, w_at = h_at + rows, w_at + pairs
         seen = total > 0
         numbers = np.bincount(np.minimum(total[seen], CUT + 2), minlength=CUT + 3)[1 : CUT + 2].astype(float)
+        hot = np.unique(of_history[need == IS_HOT])
         none, m = np.zeros(0, np.int64), len(answers)
         return pa.table({
-            "kind": ["answer"] * m + ["pair", "history"], "bucket": pa.array([bucket] * (m + 2), pa.int32()), "chunk": pa.array([*table["chunk"].to_pylist(), -1, -1], pa.int32()), "histories": lists([*[none] * m, pair_h[seen], history], slim), "ids": lists([*[none] * m, pair_w[seen], none], slim),
-            "counts": lists([*answers, total[seen], none], narrow), "stats": lists([*sent, numbers, stats.ravel()], pa.float64()),
+            "kind": ["answer"] * m + ["pair", "history"], "bucket": pa.array([bucket] * (m + 2), pa.int32()), "chunk": pa.array([*table["chunk"].to_pylist(), -1, -1], pa.int32()), "histories": lists([*[none] * m, pair_h[seen], history[hot]], slim), "ids": lists([*[none] * m, pair_w[seen], none], slim),
+            "counts": lists([*answers, total[seen], none], narrow), "stats": lists([*sent, numbers, stats[hot].ravel()], pa.float64()),
         })
 
     requests = dealt.groupBy("chunk").cogroup(words.where("kind = 'answer'").select("chunk", "bucket", "ids", F.col("counts").cast(f"array<{count_type}>").alias("counts")).groupBy("chunk")).applyInArrow(ask_pairs, f"chunk int, bucket int, h array<{id_type}>, need array<byte>, length array<int>, w array<{id_type}>, wc array<{count_type}>, n array<{count_type}>")
@@ -292,27 +295,21 @@ def fitted(docs: DataFrame) -> tuple[Model, dict]:
     numbers = pairs.where("kind = 'pair'").agg(*[F.sum(F.col("stats")[r]) for r in range(CUT + 1)]).first()
     d = discounts([x or 0.0 for x in numbers])
     # Sums of the hot histories, share + 1 at most; a history is hot for all chunks or for none.
-    hot = hot_histories(pairs, words, n, end, chunks, share)
+    hot = hot_histories(pairs)
     return Model(path, n, v, d), {"chunks": chunks, "buckets": buckets, "share": share, "end": end, "hot": hot, "words": words, "pairs": pairs, "counts": f"array<{count_type}>"}
 
 
-def hot_histories(pairs: DataFrame, words: DataFrame, n: int, end: int, chunks: int, share: int) -> dict[int, np.ndarray]:
-    listed = words.where("kind = 'word'").select("bucket", F.posexplode(F.filter("counts", lambda x: x * share >= n)))
-    ids = [r.pos * chunks + r.bucket for r in listed.collect()]  # counts are in descending order, so positions are ranks
-    ids += [START] if end * share >= n else []
-    if not ids:
-        return {}
-    wanted = np.sort(np.array(ids, np.int64))
+def hot_histories(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the hot histories, in order, and their sums over all buckets."""
 
-    def pick(batches):
+    def split(batches):
         for batch in batches:
-            for h, s in zip(batch.column(0), batch.column(1)):
-                h, s = h.values.to_numpy().astype(np.int64), s.values.to_numpy().reshape(-1, CUT + 2)
-                at = np.flatnonzero(np.isin(h, wanted))
-                yield pa.RecordBatch.from_pydict({"h": pa.array(h[at]), "s": pa.array(list(s[at]), pa.list_(pa.float64()))})
+            for h, x in zip(batch.column(0), batch.column(1)):
+                yield pa.RecordBatch.from_pydict({"h": h.values.cast(pa.int64()), "s": pa.array(list(x.values.to_numpy().reshape(-1, CUT + 2)), pa.list_(pa.float64()))})
 
-    parts = pairs.where("kind = 'history'").select("histories", "stats").mapInArrow(pick, "h long, s array<double>")
-    return {r.h: np.array(r.s) for r in parts.groupBy("h").agg(F.array(*[F.sum(F.col("s")[k]) for k in range(CUT + 2)]).alias("s")).collect()}
+    parts = pairs.where("kind = 'history'").select("histories", "stats").mapInArrow(split, "h long, s array<double>")
+    sums = sorted((r.h, r.s) for r in parts.groupBy("h").agg(F.array(*[F.sum(F.col("s")[k]) for k in range(CUT + 2)]).alias("s")).collect())
+    return np.array([h for h, _ in sums], np.int64), np.array([x for _, x in sums]).reshape(-1, CUT + 2)
 
 
 def by_bucket(table: pa.Table) -> dict[int, dict[str, np.ndarray]]:
@@ -342,7 +339,7 @@ def histories(p: Pairs, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return first, length, np.add.reduceat(1 - live, first) > 0
 
 
-def pair_logs(p: Pairs, answers: dict[int, dict[str, np.ndarray]], buckets: int, hot: dict[int, np.ndarray], size: int, d: list[float]) -> np.ndarray:
+def pair_logs(p: Pairs, answers: dict[int, dict[str, np.ndarray]], buckets: int, hot: tuple[np.ndarray, np.ndarray], size: int, d: list[float]) -> np.ndarray:
     """The log10 probability of each pair, from the buckets' answers; size is N + V + 1."""
     lost = np.array([0.0, *d])
     out = np.empty(len(p.h))
@@ -359,10 +356,10 @@ def pair_logs(p: Pairs, answers: dict[int, dict[str, np.ndarray]], buckets: int,
             pair = np.zeros(len(own), np.int64)
             pair[w_count > 0] = counts
             lack = need | (np.bincount(np.repeat(np.arange(len(head)), length)[counts == 0], minlength=len(head)) > 0)
-            s = stats.reshape(-1, CUT + 2).copy()
             lacking = head[lack]
-            for i in np.flatnonzero(p.hot[lacking]):
-                s[i] = hot[int(p.id[lacking[i]])]
+            s = np.empty((len(lacking), CUT + 2))
+            s[~p.hot[lacking]] = stats.reshape(-1, CUT + 2)
+            s[p.hot[lacking]] = hot[1][np.searchsorted(hot[0], p.id[lacking[p.hot[lacking]]])]
             weight = np.ones(len(head))
             weight[lack] = weights(s, p.count[lacking], d)
             prob *= np.repeat(weight, np.diff(np.append(first, len(own))))

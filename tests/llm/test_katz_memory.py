@@ -25,3 +25,16 @@ def test_chunk_in_few_bytes_a_token(monkeypatch):
     seen = {(h, w) for x in docs for h, w in zip(["", *x], [*x, ""])}
     assert len(pairs.h) == len(seen)
     assert peak < 45 * len(chunk.word), peak / len(chunk.word)
+
+
+def test_sums_of_hot_histories_stay_in_the_buckets(spark, monkeypatch):
+    monkeypatch.setattr(katz, "CHUNK", 20_000)
+    rows = [(i, " ".join([*"abcdefghij"[i % 10 :], f"only{i}", *"abcdefghij"[: i % 10]])) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, at = katz.fitted(docs)
+    assert at["chunks"] > 1 and len(at["hot"][0]) == 11  # ten words and the start: all histories but the words of one document
+    lists = at["pairs"].selectExpr("kind", "coalesce(size(histories), 0) AS h", "coalesce(size(stats), 0) AS s").groupBy("kind").sum("h", "s").collect()
+    sums = {r.kind: (r["sum(h)"], r["sum(s)"]) for r in lists}
+    assert sums["answer"][1] == 0 and sums["history"][0] <= 11 * at["buckets"]
+    assert sums["history"][1] == 7 * sums["history"][0]
+    assert katz.scored(docs, model, at).where("score < 0").count() == 1000
