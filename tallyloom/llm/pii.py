@@ -27,6 +27,7 @@ import datetime as dt
 import functools
 import hashlib
 import ipaddress
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -75,9 +76,7 @@ def permuted(x: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of 0 to size - 1."""
     if size < 2:
         return x
-    a = int(size**0.5) + 1
-    while a * a < size:
-        a += 1
+    a = math.isqrt(size) + 1  # exact: a root in floats is far below that of a long secret's range
     b = -(-size // a)
     while True:
         left, right = divmod(x, b)

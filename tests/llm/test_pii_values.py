@@ -98,3 +98,25 @@ def test_very_long_text_is_searched_whole():
     text = "word " * 300_000 + "bob@x.org " + "a.b@" * 50_000
     out, found = pii.replaced(text, KEY)
     assert found == {"email": 1} and len(out) == len(text) and "bob@x.org" not in out
+
+
+def test_ranges_beyond_doubles_are_permuted_at_once():
+    """The root of a range is exact: one in doubles is too small by up to half of its digits, or too large for a double."""
+    import signal
+
+    def stop(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(60)
+    try:
+        for said in ("p" * 38, "a1B" * 15, "x9" * 25, "z1" * 300):
+            new = pii.secret(said, KEY)
+            assert new != said and [c.isdigit() for c in new] == [c.isdigit() for c in said] and [c.isupper() for c in new] == [c.isupper() for c in said]
+        for size in (26**38, 62**42, 36**400):
+            seen = [pii.permuted(x, size, KEY, "t") for x in (0, 1, size - 1)]
+            assert len(set(seen)) == 3 and all(0 <= y < size for y in seen)
+        assert sorted(pii.permuted(x, 100, KEY, "t") for x in range(100)) == list(range(100))
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
