@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.tables import large
+
 from . import checks, kinds_facilities, kinds_networks, kinds_production, kinds_rosters, kinds_routing, kinds_shops, kinds_stocks, rules  # noqa: F401  register their rules and checks
 from .audit import RULES, rollup
 from .kinds import kind_of
@@ -152,5 +154,5 @@ def score_costs(rows: DataFrame, fallback) -> DataFrame:
     """(instance_id, cost): each row by its core type's scorer, or by fallback where there is none or it gives null. rows: (instance_id, core_type, ...)."""
     parts = [f(rows.where(F.col("core_type") == name)).select("instance_id", F.col("cost").alias("own")) for name, f in SCORERS.items()]
     own = reduce(DataFrame.unionByName, parts) if parts else rows.select("instance_id", F.lit(None).cast("double").alias("own")).where(F.lit(False))
-    x = rows.select("instance_id").join(own, "instance_id", "left").join(fallback(rows), "instance_id", "left")
+    x = rows.select("instance_id").join(large(own), "instance_id", "left").join(large(fallback(rows)), "instance_id", "left")
     return x.select("instance_id", F.coalesce("own", "cost").alias("cost"))
