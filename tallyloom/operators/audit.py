@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.tables import large
+
 RULES: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {}
 
 
@@ -144,6 +148,43 @@ def nearest_open(distances: DataFrame, opened: DataFrame) -> DataFrame:
     return x.groupBy("instance_id", "customer").agg(F.min(F.struct("distance", "facility")).alias("m")).select("instance_id", "customer", "m.facility", "m.distance")
 
 
+def nearest_points(points: DataFrame, centres: DataFrame, part: int = 4096) -> DataFrame:
+    """Each point's nearest centre by straight distance: (instance_id, item, cx, cy, distance), of equally near ones the least (cx, cy). points: (instance_id, item, x, y), centres: (instance_id, cx, cy).
+
+    Points are dealt to parts of about part rows, and so are the distinct centres; a part of points meets each part of its instance's centres as arrays
+    in one task, which keeps the nearest only; the session's Arrow batches are bounded by bytes for that. So rows are shuffled for points and parts, not for pairs, however many an instance has. Points without a
+    place, or without a centre, have no row; repeated points are one.
+    """
+
+    def dealt(df: DataFrame, cols: list[str], name: str) -> DataFrame:
+        n = df.groupBy("instance_id").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("_parts"))
+        own = df.join(n, "instance_id").withColumn(name, F.pmod(F.xxhash64(*cols), F.col("_parts")).cast("int"))
+        return own.groupBy("instance_id", name).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name + "s"))
+
+    kind, item = (points.schema[c].dataType.simpleString() for c in ("instance_id", "item"))
+    p = dealt(points.select("instance_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "item").dropna(subset=["x", "y"]), ["x", "y", "item"], "p")
+    c = dealt(centres.select("instance_id", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy")).dropna().distinct(), ["cx", "cy"], "c")
+    points.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    met = p.join(large(c), "instance_id").repartition("instance_id", "p", "c")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = lambda rows, k: rows.field(k).to_numpy(zero_copy_only=False)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own, held = batch.column("ps")[i].values, batch.column("cs")[i].values
+                x, y, cx, cy = number(own, "x"), number(own, "y"), number(held, "cx"), number(held, "cy")
+                at, least = np.empty(len(x), np.int64), np.empty(len(x))
+                step = max(1, (1 << 18) // len(cx))  # 2 MB of distances at a time
+                for lo in range(0, len(x), step):
+                    d = (x[lo : lo + step, None] - cx) ** 2 + (y[lo : lo + step, None] - cy) ** 2
+                    at[lo : lo + step] = best = d.argmin(axis=1)
+                    least[lo : lo + step] = np.sqrt(d[np.arange(len(best)), best])
+                yield pa.RecordBatch.from_arrays([batch.column("instance_id").take(pa.array([i] * len(x), pa.int64())), own.field("item"), pa.array(least), pa.array(cx[at]), pa.array(cy[at])], ["instance_id", "item", "distance", "cx", "cy"])
+
+    found = met.select("instance_id", "ps", "cs").mapInArrow(run, f"instance_id {kind}, item {item}, distance double, cx double, cy double")
+    return found.groupBy("instance_id", "item").agg(F.min(F.struct("distance", "cx", "cy")).alias("m")).select("instance_id", "item", "m.cx", "m.cy", "m.distance")
+
+
 def makespan(loads: DataFrame) -> DataFrame:
     """(instance_id, makespan) of (instance_id, machine, time)."""
     return loads.groupBy("instance_id", "machine").agg(F.sum("time").alias("s")).groupBy("instance_id").agg(F.max("s").alias("makespan"))
